@@ -22,7 +22,14 @@ from alertloom.operators.novelty import novelty_features  # noqa: E402
 from alertloom.operators.rolling import rolling_baseline  # noqa: E402
 from alertloom.operators.windows import window_features  # noqa: E402
 from alertloom.plans.features import feature_table  # noqa: E402
-from alertloom.sources.events import load_events  # noqa: E402
+from alertloom.sources.events import load_events, metric_input  # noqa: E402
+from alertloom.config import YAML_RULES  # noqa: E402
+from alertloom.functions.bands import classify, event_severity, narrative_band, window_severity  # noqa: E402
+from alertloom.operators import evaluate as EV  # noqa: E402
+from alertloom.operators.rules import explain_rules, score_rules  # noqa: E402
+from alertloom.operators.triage import (alert_reduction, blend, normalize_weights,  # noqa: E402
+                                        reduction_from_counts, top_alerts)
+from pyspark.sql import functions as F  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -61,12 +68,157 @@ def q_feature_table(spark, sf_dir):
     return round_doubles(feature_table(_events(spark, sf_dir), DEFAULT_WINDOWS))
 
 
+# ---------------------------------------------------------------- rules and triage
+
+def _rule_view(scored: DataFrame) -> DataFrame:
+    return scored.select("window_start", "baseline_score",
+                         F.array_join("triggered_rules", ",").alias("triggered_rules"),
+                         F.col("severity").alias("rule_severity"), "rule_count")
+
+
+def q_rule_scores(spark, sf_dir):
+    """A21 with the three default rules over the feature table."""
+    ft = feature_table(_events(spark, sf_dir), DEFAULT_WINDOWS)
+    return round_doubles(_rule_view(score_rules(ft, DEFAULT_RULES)))
+
+
+def q_rule_scores_yaml(spark, sf_dir):
+    """A21 with the seven rules of the thresholds file (one reads a column no feature makes)."""
+    ft = feature_table(_events(spark, sf_dir), DEFAULT_WINDOWS)
+    return round_doubles(_rule_view(score_rules(ft, YAML_RULES)))
+
+
+def q_rule_explanations(spark, sf_dir):
+    """Fired rules with each condition's threshold and actual value, one row per condition."""
+    ft = feature_table(_events(spark, sf_dir), DEFAULT_WINDOWS)
+    ex = explain_rules(ft, DEFAULT_RULES).select("window_start", F.explode("rule_explanations").alias("r"))
+    out = ex.select("window_start", "r.rule_name", "r.severity", "r.score_boost",
+                    F.explode("r.conditions").alias("c"))
+    return round_doubles(out.select("window_start", "rule_name", "severity", "score_boost", "c.field",
+                                    "c.operator", "c.threshold", "c.actual_value"))
+
+
+def _unified_rules_only(spark, sf_dir):
+    """M8 with only the rule scorer available (weights renormalised, model scores 0)."""
+    ft = feature_table(_events(spark, sf_dir), DEFAULT_WINDOWS)
+    weights = normalize_weights(None, {"baseline": True, "lgb": False, "isolation": False})
+    scored = score_rules(ft, DEFAULT_RULES, severity_col="rule_severity")
+    return blend(scored, weights)
+
+
+def q_unified_rules_only(spark, sf_dir):
+    """Blended score and severity band when only rules are available."""
+    u = _unified_rules_only(spark, sf_dir)
+    return round_doubles(u.select("window_start", "baseline_score",
+                                  F.array_join("triggered_rules", ",").alias("triggered_rules"),
+                                  "rule_severity", "lgb_score", "if_score", "anomaly_score", "severity"))
+
+
+def _top(u, limit, min_score):
+    t = top_alerts(u, limit=limit, min_score=min_score)
+    return round_doubles(t.select("window_start", "anomaly_score", "severity",
+                                  F.array_join("triggered_rules", ",").alias("triggered_rules")))
+
+
+def q_top_alerts(spark, sf_dir):
+    """T2 + F3: alerts with score >= 0.5, highest first, at most 50."""
+    return _top(_unified_rules_only(spark, sf_dir), 50, 0.5)
+
+
+def q_top_alerts_all_scores(spark, sf_dir):
+    """T2 with min_score 0: the 50 highest-scoring windows (ties by window start)."""
+    return _top(_unified_rules_only(spark, sf_dir), 50, 0.0)
+
+
+def q_alert_reduction(spark, sf_dir):
+    """A23 over the scored windows, plus the A24 count-based ratios."""
+    red = alert_reduction(_unified_rules_only(spark, sf_dir), 0.0, 0.5)
+    extra = reduction_from_counts(red).select("absolute_reduction", "relative_reduction", "alert_rate")
+    both = red.select("*", F.lit(1).alias("_k")).join(extra.select("*", F.lit(1).alias("_k")), "_k").drop("_k")
+    return round_doubles(both)
+
+
+# ---------------------------------------------------------------- metrics
+
+def _metrics(spark, sf_dir):
+    return metric_input(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def q_confusion(spark, sf_dir):
+    """A25 confusion counts and ratios at threshold 0.5."""
+    return round_doubles(EV.confusion_metrics(_metrics(spark, sf_dir)))
+
+
+def q_confusion_low_threshold(spark, sf_dir):
+    """A25 at threshold 0.1 (more predicted positives)."""
+    return round_doubles(EV.confusion_metrics(_metrics(spark, sf_dir), threshold=0.1))
+
+
+def q_roc_auc(spark, sf_dir):
+    """W9 ROC-AUC with tied scores."""
+    return round_doubles(EV.roc_auc(_metrics(spark, sf_dir)))
+
+
+def q_average_precision(spark, sf_dir):
+    """W10 average precision (step sum)."""
+    return round_doubles(EV.average_precision(_metrics(spark, sf_dir)))
+
+
+def _fpr(target):
+    def q(spark, sf_dir):
+        return round_doubles(EV.fpr_at_recall(_metrics(spark, sf_dir), target))
+    q.__doc__ = f"W7 FPR at {target:.0%} recall (rows by score desc, id asc)."
+    return q
+
+
+def q_fpr_curve(spark, sf_dir):
+    """W8 FPR at 95 % recall from the precision-recall curve thresholds."""
+    return round_doubles(EV.fpr_at_recall_curve(_metrics(spark, sf_dir), 0.95))
+
+
+def q_detection_latency(spark, sf_dir):
+    """W6 detection latency in rows over events in time order, threshold 0.5."""
+    return round_doubles(EV.detection_latency(_metrics(spark, sf_dir), threshold=0.5))
+
+
+def q_detection_latency_low(spark, sf_dir):
+    """W6 at threshold 0.2 (more detections)."""
+    return round_doubles(EV.detection_latency(_metrics(spark, sf_dir), threshold=0.2))
+
+
+def q_severity_bands(spark, sf_dir):
+    """window/event severity, narrative band and class of each score."""
+    m = _metrics(spark, sf_dir)
+    return round_doubles(m.select("id", "y_score", window_severity("y_score").alias("window_severity"),
+                                  event_severity("y_score").alias("event_severity"),
+                                  narrative_band("y_score").alias("narrative_band"),
+                                  classify("y_score").alias("classification")))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_features": q_window_features,
     "window_features_large": q_window_features_large,
     "rolling_baseline": q_rolling_baseline,
     "novelty": q_novelty,
     "feature_table": q_feature_table,
+    "rule_scores": q_rule_scores,
+    "rule_scores_yaml": q_rule_scores_yaml,
+    "rule_explanations": q_rule_explanations,
+    "unified_rules_only": q_unified_rules_only,
+    "top_alerts": q_top_alerts,
+    "top_alerts_all_scores": q_top_alerts_all_scores,
+    "alert_reduction": q_alert_reduction,
+    "confusion": q_confusion,
+    "confusion_low_threshold": q_confusion_low_threshold,
+    "roc_auc": q_roc_auc,
+    "average_precision": q_average_precision,
+    "fpr_at_90_recall": _fpr(0.90),
+    "fpr_at_95_recall": _fpr(0.95),
+    "fpr_at_99_recall": _fpr(0.99),
+    "fpr_at_95_recall_curve": q_fpr_curve,
+    "detection_latency": q_detection_latency,
+    "detection_latency_low": q_detection_latency_low,
+    "severity_bands": q_severity_bands,
 }
 
 _ORACLES: dict[str, Callable[[], str]] = {
@@ -75,6 +227,24 @@ _ORACLES: dict[str, Callable[[], str]] = {
     "rolling_baseline": lambda: O.rolling_sql(DEFAULT_WINDOWS),
     "novelty": O.novelty_sql,
     "feature_table": lambda: O.feature_table_sql(DEFAULT_WINDOWS),
+    "rule_scores": lambda: O.rules_sql(DEFAULT_RULES),
+    "rule_scores_yaml": lambda: O.rules_sql(YAML_RULES),
+    "rule_explanations": lambda: O.rule_explanations_sql(DEFAULT_RULES),
+    "unified_rules_only": O.unified_rules_only_sql,
+    "top_alerts": lambda: O.top_alerts_sql(50, 0.5),
+    "top_alerts_all_scores": lambda: O.top_alerts_sql(50, 0.0),
+    "alert_reduction": O.alert_reduction_sql,
+    "confusion": lambda: O.confusion_sql(0.5),
+    "confusion_low_threshold": lambda: O.confusion_sql(0.1),
+    "roc_auc": O.roc_auc_sql,
+    "average_precision": O.average_precision_sql,
+    "fpr_at_90_recall": lambda: O.fpr_at_recall_sql(0.90),
+    "fpr_at_95_recall": lambda: O.fpr_at_recall_sql(0.95),
+    "fpr_at_99_recall": lambda: O.fpr_at_recall_sql(0.99),
+    "fpr_at_95_recall_curve": lambda: O.fpr_curve_sql(0.95),
+    "detection_latency": lambda: O.detection_latency_sql(0.5),
+    "detection_latency_low": lambda: O.detection_latency_sql(0.2),
+    "severity_bands": O.bands_sql,
 }
 
 

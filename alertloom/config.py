@@ -119,3 +119,29 @@ FLOW_RENAME = {
     "proto": "protocol", "dur": "duration", "sbytes": "bytes_out", "dbytes": "bytes_in",
     "sttl": "src_ttl", "dttl": "dst_ttl", "attack_cat": "attack_category", "label": "is_attack",
 }
+
+# The seven rules of the shipped thresholds file (fixed values). The dns rule reads a column
+# that no feature produces, so it can never fire.
+YAML_RULES = RuleSet(
+    rules=[
+        Rule("high_port_scan", "Potential port scanning activity",
+             (Condition("unique_dst_ports_1min", ">", 100), Condition("unique_dst_ips_1min", "<", 10)), "high", 0.3),
+        Rule("brute_force_attempt", "Multiple failed auth attempts",
+             (Condition("failed_auth_ratio_1min", ">", 0.8), Condition("event_count_1min", ">", 20)), "high", 0.4),
+        Rule("data_exfil_suspect", "Unusual outbound data volume",
+             (Condition("bytes_out_mean_5min", ">", 1000000), Condition("bytes_ratio_5min", ">", 10)),
+             "critical", 0.5),
+        Rule("dns_tunnel_suspect", "High DNS query rate",
+             (Condition("dns_query_count_1min", ">", 500),), "medium", 0.2),
+        Rule("beaconing_detected", "Regular periodic connections",
+             (Condition("inter_arrival_cv_5min", "<", 0.1), Condition("event_count_5min", ">", 50)), "high", 0.35),
+        Rule("new_destination_burst", "Burst of never-before-seen destinations",
+             (Condition("new_dst_ip_ratio_1min", ">", 0.8), Condition("unique_dst_ips_1min", ">", 20)),
+             "medium", 0.25),
+        Rule("anomalous_volume", "Traffic volume significantly above baseline",
+             (Condition("baseline_deviation_15min", ">", 3.0),), "medium", 0.2),
+    ],
+    severity_weights=dict(SEVERITY_WEIGHTS),
+    alert_threshold=0.6,
+    critical_threshold=0.85,
+)

@@ -106,3 +106,22 @@ SELECT event_id, ts AS "timestamp",
   CASE WHEN et = 'error' THEN 'failed' ELSE 'success' END AS status,
   CASE WHEN et = 'error' AND k >= 50 THEN 1 ELSE 0 END AS label
 FROM e0)"""
+
+
+def metric_input(events: DataFrame) -> DataFrame:
+    """Labelled scores for the metric operators (FIXTURES.md §4): ``id``, ``ts``, ``y_true`` =
+    the projection's label, ``y_score`` = value / 600 rounded to 4 decimals (half away from
+    zero on the binary value, as DuckDB rounds), so ties occur."""
+    k = _k(F.col("props"))
+    return events.select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.when((F.col("event_type") == "error") & (k >= 50), 1).otherwise(0).alias("y_true"),
+        (F.round(F.col("value") / 600.0 * 10000.0) / 10000.0).alias("y_score"))
+
+
+METRICS_DUCKDB_CTE = """
+m AS (SELECT event_id AS id, ts,
+             CASE WHEN event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS INT) >= 50
+                  THEN 1 ELSE 0 END AS y_true,
+             round(value / 600.0::DOUBLE * 10000.0::DOUBLE) / 10000.0::DOUBLE AS y_score
+      FROM events)"""

@@ -216,7 +216,7 @@ def rule_columns_sql(rules: RuleSet, available: set[str]) -> str:
     hits = [(r, f"({_rule_sql(r, available)})") for r in rules.rules]
     score = " + ".join(f"CASE WHEN {h} THEN {r.score_boost!r} ELSE 0.0 END" for r, h in hits) or "0.0"
     trig = ("array_to_string(list_filter([" + ", ".join(f"CASE WHEN {h} THEN '{r.name}' END" for r, h in hits)
-            + "], x -> x IS NOT NULL), ',')") if hits else "''"
+            + "], lambda x: x IS NOT NULL), ',')") if hits else "''"
     cnt = " + ".join(f"CASE WHEN {h} THEN 1 ELSE 0 END" for _, h in hits) or "0"
     # max severity: strictly greater weight wins, so among equal weights the first rule wins
     sev = "'none'"
@@ -244,3 +244,169 @@ def severity_sql(expr: str, bands) -> str:
         else:
             parts.append(f"WHEN {expr} >= {bound!r} THEN '{label}'")
     return "CASE " + " ".join(parts) + " END"
+
+
+def rule_columns_sql2(rules: RuleSet, available: set[str]) -> str:
+    """Like :func:`rule_columns_sql`, max severity by the largest fired weight (first of equals)."""
+    hits = [(r, f"({_rule_sql(r, available)})") for r in rules.rules]
+    score = " + ".join(f"CASE WHEN {h} THEN {r.score_boost!r} ELSE 0.0 END" for r, h in hits) or "0.0"
+    trig = ("array_to_string(list_filter([" + ", ".join(f"CASE WHEN {h} THEN '{r.name}' END" for r, h in hits)
+            + "], lambda x: x IS NOT NULL), ',')") if hits else "''"
+    cnt = " + ".join(f"CASE WHEN {h} THEN 1 ELSE 0 END" for _, h in hits) or "0"
+    wts = {r.name: float(rules.severity_weights.get(r.severity, 0)) for r, _ in hits}
+    best = "greatest(" + ", ".join([f"CASE WHEN {h} THEN {wts[r.name]!r} END" for r, h in hits] + ["0.0"]) + ")"
+    sev = ("coalesce(" + ", ".join(f"CASE WHEN {h} AND {wts[r.name]!r} = {best} AND {best} > 0 THEN '{r.severity}' END"
+                                   for r, h in hits) + ", 'none')")
+    return (f"{_r('least(' + score + ', 1.0)')} AS baseline_score, {trig} AS triggered_rules, "
+            f"{sev} AS rule_severity, CAST({cnt} AS INTEGER) AS rule_count")
+
+
+def rules_sql(rules: RuleSet, windows=DEFAULT_WINDOWS) -> str:
+    available = {n for n, _ in feature_table_names(windows)}
+    return (feature_table_ctes(windows) + "\n"
+            + f"SELECT make_timestamp(ws) AS window_start, {rule_columns_sql2(rules, available)} FROM ft")
+
+
+def rule_explanations_sql(rules: RuleSet, windows=DEFAULT_WINDOWS) -> str:
+    available = {n for n, _ in feature_table_names(windows)}
+    rows = []
+    for r in rules.rules:
+        hit = _rule_sql(r, available)
+        for c in r.conditions:
+            if c.field not in available:
+                continue
+            rows.append(f"SELECT make_timestamp(ws) AS window_start, '{r.name}' AS rule_name, "
+                        f"'{r.severity}' AS severity, {float(r.score_boost)!r} AS score_boost, '{c.field}' AS field, "
+                        f"'{c.operator}' AS operator, {float(c.value)!r} AS threshold, "
+                        f"{_r(f'CAST({c.field} AS DOUBLE)')} AS actual_value FROM ft WHERE {hit}")
+    return feature_table_ctes(windows) + "\n" + "\nUNION ALL\n".join(rows)
+
+
+def _unified_rules_only_cte(rules: RuleSet, windows=DEFAULT_WINDOWS, bands=None) -> str:
+    from alertloom.config import WINDOW_SEVERITY_BANDS
+    available = {n for n, _ in feature_table_names(windows)}
+    # only the rule scorer is available: weights are divided by the baseline weight
+    wb = 0.2 / 0.2
+    return (feature_table_ctes(windows) + ",\n"
+            + f"rs AS (SELECT ws, {rule_columns_sql2(rules, available)} FROM ft),\n"
+            + f"us AS (SELECT ws, baseline_score, triggered_rules, rule_severity, 0.0 AS lgb_score, 0.0 AS if_score, "
+            + f"least(greatest({wb!r} * baseline_score, 0.0), 1.0) AS anomaly_score FROM rs),\n"
+            + f"sc AS (SELECT *, {severity_sql('anomaly_score', bands or WINDOW_SEVERITY_BANDS)} AS severity FROM us)")
+
+
+def unified_rules_only_sql(rules: RuleSet = DEFAULT_RULES) -> str:
+    return (_unified_rules_only_cte(rules) + "\nSELECT make_timestamp(ws) AS window_start, baseline_score, "
+            "triggered_rules, rule_severity, lgb_score, if_score, round(anomaly_score, 6) AS anomaly_score, severity FROM sc")
+
+
+def top_alerts_sql(limit: int = 50, min_score: float = 0.5, rules: RuleSet = DEFAULT_RULES) -> str:
+    return (_unified_rules_only_cte(rules) + "\nSELECT make_timestamp(ws) AS window_start, "
+            "round(anomaly_score, 6) AS anomaly_score, severity, triggered_rules FROM sc "
+            f"WHERE anomaly_score >= {min_score!r} ORDER BY anomaly_score DESC, ws ASC LIMIT {limit}")
+
+
+def alert_reduction_sql(baseline_threshold: float = 0.0, model_threshold: float = 0.5,
+                        rules: RuleSet = DEFAULT_RULES) -> str:
+    return (_unified_rules_only_cte(rules) + ",\n"
+            + f"c AS (SELECT count(*) AS total_events, count(*) FILTER (WHERE baseline_score > {baseline_threshold!r})"
+            + f" AS baseline_alerts, count(*) FILTER (WHERE anomaly_score >= {model_threshold!r}) AS model_alerts FROM sc)\n"
+            + "SELECT total_events, baseline_alerts, model_alerts, "
+            + "round(1.0 - model_alerts / greatest(total_events, 1), 6) AS alert_reduction_rate, "
+            + "round(model_alerts / greatest(total_events, 1) * 1000, 6) AS alerts_per_1000, "
+            + "baseline_alerts - model_alerts AS absolute_reduction, "
+            + "round(1.0 - model_alerts / greatest(baseline_alerts, 1), 6) AS relative_reduction, "
+            + "round(model_alerts / greatest(total_events, 1), 6) AS alert_rate FROM c")
+
+
+# --------------------------------------------------------------------------------------
+# metrics (A25, W6-W10) on the labelled-score fixture
+# --------------------------------------------------------------------------------------
+
+def _metrics_with(body: str) -> str:
+    from alertloom.sources.events import METRICS_DUCKDB_CTE
+    return "WITH " + METRICS_DUCKDB_CTE.strip() + ",\n" + body
+
+
+def confusion_sql(threshold: float = 0.5) -> str:
+    return _metrics_with(f"""
+c AS (SELECT count(*) FILTER (WHERE y_true = 1 AND y_score >= {threshold!r}) AS tp,
+             count(*) FILTER (WHERE y_true = 0 AND y_score >= {threshold!r}) AS fp,
+             count(*) FILTER (WHERE y_true = 0 AND y_score < {threshold!r}) AS tn,
+             count(*) FILTER (WHERE y_true = 1 AND y_score < {threshold!r}) AS fn FROM m)
+SELECT tp AS true_positives, fp AS false_positives, tn AS true_negatives, fn AS false_negatives,
+  round(CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0.0 END, 6) AS accuracy,
+  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
+  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1,
+  round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 6) AS fpr
+FROM c""")
+
+
+def roc_auc_sql() -> str:
+    # pairwise definition: P(score_pos > score_neg) + 0.5 P(tie)
+    return _metrics_with("""
+pn AS (SELECT p.y_score AS sp, q.y_score AS sn FROM m p JOIN m q ON p.y_true = 1 AND q.y_true = 0),
+t AS (SELECT sum(y_true) AS P, count(*) - sum(y_true) AS N FROM m)
+SELECT round(CASE WHEN t.P > 0 AND t.N > 0 THEN
+  (SELECT sum(CASE WHEN sp > sn THEN 1.0 WHEN sp = sn THEN 0.5 ELSE 0.0 END) FROM pn) / (t.P * t.N) ELSE 0.0 END, 6)
+  AS roc_auc FROM t""")
+
+
+def average_precision_sql() -> str:
+    return _metrics_with("""
+h AS (SELECT y_score AS s, sum(y_true) AS p, count(*) - sum(y_true) AS n FROM m GROUP BY 1),
+r AS (SELECT p, sum(p) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp,
+             sum(n) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fp, sum(p) OVER () AS PT FROM h)
+SELECT round(CASE WHEN max(PT) > 0 THEN sum(p * tp / (tp + fp)) / max(PT) ELSE 0.0 END, 6) AS pr_auc FROM r""")
+
+
+def fpr_at_recall_sql(target: float) -> str:
+    return _metrics_with(f"""
+o AS (SELECT row_number() OVER (ORDER BY y_score DESC, id ASC) AS rn,
+             sum(y_true) OVER (ORDER BY y_score DESC, id ASC ROWS UNBOUNDED PRECEDING) AS tp,
+             sum(1 - y_true) OVER (ORDER BY y_score DESC, id ASC ROWS UNBOUNDED PRECEDING) AS fp FROM m),
+t AS (SELECT sum(y_true) AS P, count(*) - sum(y_true) AS N,
+             CAST(floor({target!r}::DOUBLE * sum(y_true)) AS BIGINT) AS tt FROM m)
+SELECT round(CASE WHEN P = 0 OR N = 0 THEN 0.0
+  ELSE (SELECT fp FROM o WHERE tp >= t.tt ORDER BY rn LIMIT 1) / N END, 6) AS fpr FROM t""")
+
+
+def fpr_curve_sql(target: float = 0.95) -> str:
+    return _metrics_with(f"""
+h AS (SELECT y_score AS s, sum(y_true) AS p FROM m GROUP BY 1),
+r AS (SELECT s, sum(p) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp_ge FROM h),
+t AS (SELECT sum(y_true) AS P, count(*) - sum(y_true) AS N, min(y_score) FILTER (WHERE y_true = 1) AS minpos FROM m),
+th AS (SELECT coalesce((SELECT min(s) FROM r WHERE s >= t.minpos AND tp_ge / t.P <= {target!r}::DOUBLE), 0.5) AS thr,
+              t.N FROM t)
+SELECT round((SELECT count(*) FROM m WHERE y_true <> 1 AND y_score >= th.thr) / th.N, 6) AS fpr,
+       round(th.thr, 6) AS threshold FROM th""")
+
+
+def detection_latency_sql(threshold: float = 0.5) -> str:
+    return _metrics_with(f"""
+o AS (SELECT y_true AS y, CASE WHEN y_score >= {threshold!r} THEN 1 ELSE 0 END AS pr,
+             row_number() OVER (ORDER BY ts, id) - 1 AS rn FROM m),
+l AS (SELECT *, lag(y) OVER (ORDER BY rn) AS prev FROM o),
+st AS (SELECT *, CASE WHEN y = 1 AND coalesce(prev, 0) <> 1 THEN 1 ELSE 0 END AS start FROM l),
+ep AS (SELECT *, sum(start) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS epi FROM st),
+pe AS (SELECT epi, min(rn) FILTER (WHERE start = 1) AS s, min(rn) FILTER (WHERE pr = 1) AS d
+       FROM ep WHERE (y = 1 OR prev = 1) AND epi > 0 GROUP BY epi),
+a AS (SELECT count(*) AS total, count(d) AS det, avg(d - s) AS mn, quantile_cont(d - s, 0.5) AS md,
+             quantile_cont(d - s, 0.95) AS p95 FROM pe)
+SELECT round(CASE WHEN det > 0 THEN mn ELSE 0.0 END, 6) AS mean_latency_windows,
+       round(CASE WHEN det > 0 THEN md ELSE 0.0 END, 6) AS median_latency_windows,
+       round(CASE WHEN det > 0 THEN p95 ELSE 0.0 END, 6) AS p95_latency_windows,
+       round(CASE WHEN det > 0 THEN det / total ELSE 0.0 END, 6) AS detection_rate,
+       det AS attacks_detected, total AS attacks_total FROM a""")
+
+
+def bands_sql() -> str:
+    from alertloom.config import EVENT_SEVERITY_BANDS, WINDOW_SEVERITY_BANDS
+    return _metrics_with(f"""
+b AS (SELECT id, y_score FROM m)
+SELECT id, y_score, {severity_sql('y_score', WINDOW_SEVERITY_BANDS)} AS window_severity,
+  {severity_sql('y_score', EVENT_SEVERITY_BANDS)} AS event_severity,
+  CASE WHEN y_score < 0.3 THEN 'low' WHEN y_score < 0.5 THEN 'moderate' WHEN y_score < 0.7 THEN 'elevated'
+       WHEN y_score < 0.85 THEN 'high' ELSE 'critical' END AS narrative_band,
+  CASE WHEN y_score >= 0.5 THEN 'ATTACK' ELSE 'NORMAL' END AS classification
+FROM b""")
