@@ -10,11 +10,16 @@ from pyspark.sql import types as T
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every DOUBLE/FLOAT column for comparison against an oracle, as
-    ``round(x * 10^d) / 10^d`` -- the same double as DuckDB's ``round(x, d)`` even on
-    binary near-ties, where Spark's decimal-text ``round(x, d)`` can differ in the last digit."""
-    m = float(10 ** digits)
-    return df.withColumns({f.name: F.round(F.col(f.name) * m) / m
+    """Round every DOUBLE/FLOAT column for comparison against an oracle: first to 9 decimals,
+    then to ``digits``, each as ``round(x * 10^k) / 10^k`` -- the same doubles as DuckDB's
+    ``round(round(x, 9), d)``, even on binary near-ties where Spark's decimal-text
+    ``round(x, d)`` can differ in the last digit."""
+    snap, m = 1e9, float(10 ** digits)
+
+    def r(c):
+        # snap summation-order noise (~1e-13) first, then round: ties resolve the same way
+        return F.round((F.round(c * snap) / snap) * m) / m
+    return df.withColumns({f.name: r(F.col(f.name))
                            for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
 

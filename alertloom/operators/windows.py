@@ -1,22 +1,26 @@
 """Multi-size tumbling-window features keyed by ``window_start``.
 
-One pass over the events for all window sizes:
-
-* every event is paired with each size (``explode``) and floored to its window start;
-* categorical columns are counted two-level -- ``(size, window, column, value) -> c`` with a
-  map-side partial aggregate -- which gives distinct counts and Shannon entropy without the
-  ``Expand`` row blow-up of several ``count(DISTINCT ..)`` and without holding a hot
-  window's values in one task;
-* inter-arrival gaps are taken inside one-second sub-buckets (``lag`` partitioned by
-  ``(size, sub-bucket)``, so a burst window is spread over many tasks) plus one gap between
-  consecutive non-empty sub-buckets;
-* event rows, gap rows and value-count rows are unioned and reduced by a **single** group
-  by ``window_start`` with size-conditional aggregates. That one shuffle is also the full
-  outer join of the per-size tables on exact ``window_start`` equality (J1): a row exists
-  when any size has events at that instant; a size without events there yields NULLs.
-
-Empty windows produce no row and events with a NULL timestamp drop out, as in the
-reference. Output columns exist whenever their input columns exist (fixed schema).
+Physical shape (all sizes in one plan, every event read by narrow scans only):
+
+* **A** -- events x sizes (``explode``) reduced by ``(size, window)`` in a code-generated hash
+  aggregate: counts, byte sums/means/stds, auth and protocol counts, first/last timestamp. The
+  partial aggregate runs map-side, so only one row per (task, size, window) is shuffled.
+* **B** -- value counts ``(size, window, column, value) -> c`` (map-side combined), then per
+  ``(size, window)``: distinct counts, Shannon entropy ``log2 N - sum(c log2 c) / N`` and exact
+  duration percentiles ``percentile(v, p, frequency=c)`` over the pre-counted values. No
+  ``count(DISTINCT)`` (its ``Expand`` multiplies rows) and no per-window value lists.
+* **G** -- inter-arrival gaps. A one-second sub-bucket lies inside one window of every size,
+  so the gaps inside a sub-bucket are size-independent: they are computed once, on timestamps
+  only (``lag`` partitioned by sub-bucket, so a burst window is spread over many tasks); one
+  more gap per non-empty sub-bucket links it to the previous sub-bucket of the same window.
+* A, B and G each give one row per ``(size, window)``; their union is reduced by
+  ``window_start`` with size-conditional ``max`` -- one shuffle of small rows that is also the
+  full outer join of the per-size tables on exact ``window_start`` equality (J1).
+
+Empty windows produce no row and events with a NULL timestamp drop out, as in the reference.
+Output columns exist whenever their input columns exist (fixed schema for a lazy plan).
+``quantiles='approx'`` swaps the exact duration percentiles for ``percentile_approx``
+(bounded memory per window whatever its size).
 """
 
 from __future__ import annotations
@@ -37,156 +41,168 @@ def _as_specs(windows: Sequence[WindowSpec | tuple[str, int]]) -> list[WindowSpe
     return [w if isinstance(w, WindowSpec) else WindowSpec(*w) for w in windows]
 
 
+def _size_feature_names(s: str, present: set[str]) -> list[str]:
+    out = [f"event_count_{s}"]
+    out += [f"unique_{c}s_{s}" for c in CARDINALITY_COLUMNS if c in present]
+    out += [f"{name}_{s}" for c, name in ENTROPY_COLUMNS if c in present]
+    for b in BYTE_COLUMNS:
+        if b in present:
+            out += [f"{b}_mean_{s}", f"{b}_std_{s}", f"{b}_sum_{s}"]
+    if "duration" in present:
+        out += [f"conn_duration_p50_{s}", f"conn_duration_p95_{s}"]
+    if "status" in present and "event_type" in present:
+        out.append(f"failed_auth_ratio_{s}")
+    out += [f"inter_arrival_mean_{s}", f"inter_arrival_cv_{s}"]
+    if "protocol" in present:
+        out += [f"{p}_ratio_{s}" for p in PROTOCOL_SHARES]
+    return out
+
+
 def feature_columns(columns: Sequence[str], windows: Sequence[WindowSpec | tuple[str, int]] = DEFAULT_WINDOWS,
                     ) -> list[str]:
     """Names produced by :func:`window_features` for an event table with ``columns``."""
     present = set(columns)
-    out: list[str] = []
-    for w in _as_specs(windows):
-        s = w.name
-        out.append(f"event_count_{s}")
-        out += [f"unique_{c}s_{s}" for c in CARDINALITY_COLUMNS if c in present]
-        out += [f"{name}_{s}" for c, name in ENTROPY_COLUMNS if c in present]
-        for b in BYTE_COLUMNS:
-            if b in present:
-                out += [f"{b}_mean_{s}", f"{b}_std_{s}", f"{b}_sum_{s}"]
-        if "duration" in present:
-            out += [f"conn_duration_p50_{s}", f"conn_duration_p95_{s}"]
-        if "status" in present and "event_type" in present:
-            out.append(f"failed_auth_ratio_{s}")
-        out += [f"inter_arrival_mean_{s}", f"inter_arrival_cv_{s}"]
-        if "protocol" in present:
-            out += [f"{p}_ratio_{s}" for p in PROTOCOL_SHARES]
-    return out
+    return [n for w in _as_specs(windows) for n in _size_feature_names(w.name, present)]
+
+
+def _sizes(specs: list[WindowSpec]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("zi"), F.lit(w.seconds).alias("zs"))
+                               for i, w in enumerate(specs)]))
 
 
 def window_features(events: DataFrame, windows: Sequence[WindowSpec | tuple[str, int]] = DEFAULT_WINDOWS,
-                    timestamp_col: str = "timestamp", gap_resolution_seconds: int = 1) -> DataFrame:
+                    timestamp_col: str = "timestamp", gap_resolution_us: int = _US,
+                    quantiles: str = "exact", approx_accuracy: int = 10_000) -> DataFrame:
     """Per-window features for every size in ``windows``, one row per ``window_start``."""
     specs = _as_specs(windows)
     if not specs:
         raise ValueError("at least one window size is required")
+    if quantiles not in ("exact", "approx"):
+        raise ValueError("quantiles must be 'exact' or 'approx'")
     for w in specs:
-        if w.seconds % gap_resolution_seconds:
-            raise ValueError(f"gap resolution {gap_resolution_seconds}s must divide window {w.name}")
+        if (w.seconds * _US) % gap_resolution_us:
+            raise ValueError(f"gap resolution {gap_resolution_us}us must divide window {w.name}")
     present = set(events.columns)
     cats = [c for c in CARDINALITY_COLUMNS if c in present]
-    nums = [c for c in (*BYTE_COLUMNS, "duration") if c in present]
     has_auth = "status" in present and "event_type" in present
     has_proto = "protocol" in present
-
-    keep = [F.col(c) for c in {*cats, *nums, *(("event_type", "status") if has_auth else ())}]
-    base = (events
-            .select(to_micros(timestamp_col).alias("_us"), *keep)
-            .where(F.col("_us").isNotNull())
-            .withColumn("_z", F.explode(F.array(*[F.struct(F.lit(i).alias("zi"), F.lit(w.seconds).alias("zs"))
-                                                  for i, w in enumerate(specs)])))
-            .withColumn("_zi", F.col("_z.zi"))
-            .withColumn("_ws", floor_micros(F.col("_us"), F.col("_z.zs")))
-            .drop("_z"))
-
-    # --- event rows with the gap to the previous event of the same one-second sub-bucket
-    res = gap_resolution_seconds * _US
-    sub = base.withColumn("_sb", F.floor(F.col("_us") / F.lit(res)).cast("long"))
-    in_bucket = Window.partitionBy("_zi", "_sb").orderBy("_us")
-    ev_rows = sub.withColumn("_gap", F.col("_us") - F.lag("_us").over(in_bucket))
-
-    # --- one gap per non-empty sub-bucket: its first event minus the previous bucket's last
-    buckets = ev_rows.groupBy("_zi", "_ws", "_sb").agg(F.min("_us").alias("_mn"), F.max("_us").alias("_mx"))
-    across = Window.partitionBy("_zi", "_ws").orderBy("_sb")
-    gap_rows = (buckets
-                .select("_zi", "_ws", (F.col("_mn") - F.lag("_mx").over(across)).alias("_gap"))
-                .where(F.col("_gap").isNotNull())
-                .withColumn("_kind", F.lit(1)))
-
-    # --- value counts of categorical columns (two-level distinct / entropy)
-    parts = [gap_rows]
-    if cats:
-        stacked = base.select("_zi", "_ws", F.explode(F.array(*[
-            F.struct(F.lit(c).alias("n"), F.col(c).cast("string").alias("v")) for c in cats])).alias("_cv"))
-        counts = (stacked.where(F.col("_cv.v").isNotNull())
-                  .groupBy("_zi", "_ws", F.col("_cv.n").alias("_cn"), F.col("_cv.v").alias("_cval"))
-                  .agg(F.count(F.lit(1)).alias("_c"))
-                  .drop("_cval")
-                  .withColumn("_kind", F.lit(2)))
-        parts.append(counts)
-
-    rows = ev_rows.drop("_sb").withColumn("_kind", F.lit(0))
-    for p in parts:
+    has_dur = "duration" in present
+    exact_q = has_dur and quantiles == "exact"
+
+    needed = {*cats, *[b for b in BYTE_COLUMNS if b in present], *(("duration",) if has_dur else ()),
+              *(("event_type", "status") if has_auth else ())}
+    base = (events.select(to_micros(timestamp_col).alias("_us"), *sorted(needed))
+            .where(F.col("_us").isNotNull()))
+    sized = (base.select("*", _sizes(specs).alias("_z"))
+             .select("*", F.col("_z.zi").alias("_zi"), floor_micros(F.col("_us"), F.col("_z.zs")).alias("_ws"))
+             .drop("_z"))
+
+    # ---- A: numeric aggregates on raw rows (code-generated hash aggregate)
+    a_aggs = [F.count(F.lit(1)).alias("n"), F.min("_us").alias("tmin"), F.max("_us").alias("tmax")]
+    for b in BYTE_COLUMNS:
+        if b in present:
+            a_aggs += [F.count(b).alias(f"{b}_n"), F.avg(b).alias(f"{b}_mean"),
+                       F.stddev_samp(b).alias(f"{b}_sd"), F.sum(b).alias(f"{b}_sum")]
+    if has_dur and not exact_q:
+        a_aggs += [F.percentile_approx("duration", 0.5, approx_accuracy).alias("q50"),
+                   F.percentile_approx("duration", 0.95, approx_accuracy).alias("q95")]
+    if has_auth:
+        auth = F.col("event_type") == "auth"
+        a_aggs += [F.count(F.when(auth, 1)).alias("n_auth"),
+                   F.count(F.when(auth & (F.col("status") == "failed"), 1)).alias("n_fail")]
+    if has_proto:
+        a_aggs += [F.count(F.when(F.col("protocol") == p, 1)).alias(f"n_{p}") for p in PROTOCOL_SHARES]
+    part_a = sized.groupBy("_zi", "_ws").agg(*a_aggs)
+
+    # ---- B: value counts -> distinct counts, entropy, exact percentiles
+    parts = [part_a]
+    vals = [F.struct(F.lit(c).alias("n"), F.col(c).cast("string").alias("v"), F.lit(None).cast("double").alias("d"))
+            for c in cats]
+    if exact_q:
+        vals.append(F.struct(F.lit("duration").alias("n"), F.lit(None).cast("string").alias("v"),
+                             F.col("duration").alias("d")))
+    if vals:
+        counted = (sized.select("_zi", "_ws", F.explode(F.array(*vals)).alias("_x"))
+                   .where(F.col("_x.v").isNotNull() | F.col("_x.d").isNotNull())
+                   .groupBy("_zi", "_ws", F.col("_x.n").alias("cn"), F.col("_x.v").alias("cv"),
+                            F.col("_x.d").alias("dv"))
+                   .agg(F.count(F.lit(1)).alias("c")))
+        b_aggs = []
+        for c in cats:
+            hit = F.col("cn") == c
+            b_aggs.append(F.count(F.when(hit, 1)).alias(f"d_{c}"))
+            if any(c == e for e, _ in ENTROPY_COLUMNS):
+                b_aggs += [F.sum(F.when(hit, F.col("c"))).alias(f"en_{c}"),
+                           F.sum(F.when(hit, F.col("c") * F.log2(F.col("c")))).alias(f"es_{c}")]
+        if exact_q:
+            b_aggs.append(F.percentile(F.col("dv"), F.array(F.lit(0.5), F.lit(0.95)),
+                                       F.when(F.col("cn") == "duration", F.col("c")).otherwise(F.lit(0)))
+                          .alias("dq"))
+        part_b = counted.groupBy("_zi", "_ws").agg(*b_aggs)
+        if exact_q:
+            part_b = part_b.select("*", F.col("dq")[0].alias("q50"), F.col("dq")[1].alias("q95")).drop("dq")
+        parts.append(part_b)
+
+    # ---- G: gaps inside one-second sub-buckets (computed once) and between sub-buckets
+    ts = base.select("_us", F.floor(F.col("_us") / F.lit(gap_resolution_us)).cast("long").alias("_sb"))
+    inner = (ts.select("_sb", (F.col("_us") - F.lag("_us").over(Window.partitionBy("_sb").orderBy("_us")))
+                       .alias("_gap"))
+             .where(F.col("_gap").isNotNull())
+             .select((F.col("_sb") * F.lit(gap_resolution_us)).alias("_sbus"), "_gap", _sizes(specs).alias("_z"))
+             .select(F.col("_z.zi").alias("_zi"), floor_micros(F.col("_sbus"), F.col("_z.zs")).alias("_ws"), "_gap"))
+    spans = (ts.groupBy("_sb").agg(F.min("_us").alias("_mn"), F.max("_us").alias("_mx"))
+             .select("_sb", "_mn", "_mx", _sizes(specs).alias("_z"))
+             .select("_sb", "_mn", "_mx", F.col("_z.zi").alias("_zi"),
+                     floor_micros(F.col("_mn"), F.col("_z.zs")).alias("_ws")))
+    across = (spans.select("_zi", "_ws", (F.col("_mn") - F.lag("_mx").over(
+        Window.partitionBy("_zi", "_ws").orderBy("_sb"))).alias("_gap"))
+        .where(F.col("_gap").isNotNull()))
+    gaps = inner.unionByName(across)
+    parts.append(gaps.groupBy("_zi", "_ws").agg(
+        F.stddev_samp(F.col("_gap") / F.lit(float(_US))).alias("gsd")))
+
+    # ---- union of per-(size, window) rows, pivoted by window_start (the outer join J1)
+    rows = parts[0]
+    for p in parts[1:]:
         rows = rows.unionByName(p, allowMissingColumns=True)
-
-    aggs: list[Column] = []
-    for i, w in enumerate(specs):
-        aggs += _size_aggregates(i, w.name, cats, nums, has_auth, has_proto)
-    wide = rows.groupBy("_ws").agg(*aggs)
-
+    value_cols = [c for c in rows.columns if c not in ("_zi", "_ws")]
+    # SQL-text expressions: one JVM parse each instead of a Py4J call per sub-expression
+    pivot = [F.expr(f"max(CASE WHEN _zi = {i} THEN `{c}` END) AS `{c}__{i}`")
+             for i in range(len(specs)) for c in value_cols]
+    wide = rows.groupBy("_ws").agg(*pivot)
     finals = [from_micros(F.col("_ws")).alias("window_start")]
     for i, w in enumerate(specs):
-        finals += _size_finals(i, w.name, cats, nums, has_auth, has_proto)
+        finals += [F.expr(e) for e in _size_finals(i, w.name, cats, present, has_auth, has_proto, has_dur)]
     return wide.select(*finals)
 
 
-def _size_aggregates(i: int, s: str, cats, nums, has_auth, has_proto) -> list[Column]:
-    ev = (F.col("_kind") == 0) & (F.col("_zi") == i)
-    gp = (F.col("_kind") != 2) & (F.col("_zi") == i) & F.col("_gap").isNotNull()
-    out = [
-        F.count(F.when(ev, 1)).alias(f"_n_{s}"),
-        F.min(F.when(ev, F.col("_us"))).alias(f"_tmin_{s}"),
-        F.max(F.when(ev, F.col("_us"))).alias(f"_tmax_{s}"),
-        F.stddev_samp(F.when(gp, F.col("_gap") / F.lit(float(_US)))).alias(f"_gstd_{s}"),
-    ]
-    for c in cats:
-        cv = (F.col("_kind") == 2) & (F.col("_zi") == i) & (F.col("_cn") == c)
-        out.append(F.count(F.when(cv, 1)).alias(f"_d_{c}_{s}"))
-        if any(c == e for e, _ in ENTROPY_COLUMNS):
-            out.append(F.sum(F.when(cv, F.col("_c"))).alias(f"_en_{c}_{s}"))
-            out.append(F.sum(F.when(cv, F.col("_c") * F.log2(F.col("_c")))).alias(f"_es_{c}_{s}"))
-    for b in nums:
-        v = F.when(ev, F.col(b))
-        if b == "duration":
-            out.append(F.percentile(v, F.array(F.lit(0.5), F.lit(0.95))).alias(f"_p_{s}"))
-        else:
-            out += [F.count(v).alias(f"_{b}_n_{s}"), F.avg(v).alias(f"_{b}_mean_{s}"),
-                    F.stddev_samp(v).alias(f"_{b}_std_{s}"), F.sum(v).alias(f"_{b}_sum_{s}")]
-    if has_auth:
-        auth = ev & (F.col("event_type") == "auth")
-        out += [F.count(F.when(auth, 1)).alias(f"_auth_{s}"),
-                F.count(F.when(auth & (F.col("status") == "failed"), 1)).alias(f"_fail_{s}")]
-    if has_proto:
-        out += [F.count(F.when(ev & (F.col("protocol") == p), 1)).alias(f"_pr_{p}_{s}") for p in PROTOCOL_SHARES]
-    return out
-
-
-def _size_finals(i: int, s: str, cats, nums, has_auth, has_proto) -> list[Column]:
-    n = F.col(f"_n_{s}")
-    has = n > 0
-
-    def when_has(c: Column) -> Column:
-        return F.when(has, c)
-
-    out = [when_has(n).alias(f"event_count_{s}")]
-    out += [when_has(F.col(f"_d_{c}_{s}")).alias(f"unique_{c}s_{s}") for c in cats]
-    for c, name in ENTROPY_COLUMNS:
-        if c in cats:
-            tot, acc = F.col(f"_en_{c}_{s}"), F.col(f"_es_{c}_{s}")
-            ent = F.coalesce(F.log2(tot) - acc / tot, F.lit(0.0))
-            out.append(when_has(ent).alias(f"{name}_{s}"))
-    for b in nums:
-        if b == "duration":
-            p = F.col(f"_p_{s}")
-            out += [p.getItem(0).alias(f"conn_duration_p50_{s}"), p.getItem(1).alias(f"conn_duration_p95_{s}")]
-        else:
-            nb = F.col(f"_{b}_n_{s}")
-            std = F.when(nb > 1, F.col(f"_{b}_std_{s}")).when(nb == 1, F.lit(0.0))
-            out += [F.col(f"_{b}_mean_{s}").alias(f"{b}_mean_{s}"), std.alias(f"{b}_std_{s}"),
-                    F.col(f"_{b}_sum_{s}").alias(f"{b}_sum_{s}")]
+def _size_finals(i: int, s: str, cats, present, has_auth, has_proto, has_dur) -> list[str]:
+    def c(name: str) -> str:
+        return f"`{name}__{i}`"
+
+    n = c("n")
+    has = f"{n} > 0"
+    out = [f"{n} AS `event_count_{s}`"]
+    out += [f"CASE WHEN {has} THEN coalesce({c('d_' + k)}, 0) END AS `unique_{k}s_{s}`" for k in cats]
+    for k, name in ENTROPY_COLUMNS:
+        if k in cats:
+            tot, acc = c(f"en_{k}"), c(f"es_{k}")
+            out.append(f"CASE WHEN {has} THEN coalesce(log2({tot}) - {acc} / {tot}, 0.0D) END AS `{name}_{s}`")
+    for b in BYTE_COLUMNS:
+        if b in present:
+            nb = c(f"{b}_n")
+            out += [f"{c(b + '_mean')} AS `{b}_mean_{s}`",
+                    f"CASE WHEN {nb} > 1 THEN {c(b + '_sd')} WHEN {nb} = 1 THEN 0.0D END AS `{b}_std_{s}`",
+                    f"{c(b + '_sum')} AS `{b}_sum_{s}`"]
+    if has_dur:
+        out += [f"{c('q50')} AS `conn_duration_p50_{s}`", f"{c('q95')} AS `conn_duration_p95_{s}`"]
     if has_auth:
-        ratio = F.coalesce(F.try_divide(F.col(f"_fail_{s}").cast("double"), F.col(f"_auth_{s}")), F.lit(0.0))
-        out.append(when_has(ratio).alias(f"failed_auth_ratio_{s}"))
-    mean_gap = F.try_divide((F.col(f"_tmax_{s}") - F.col(f"_tmin_{s}")).cast("double") / F.lit(float(_US)), n - 1)
-    ok = (n > 1) & (mean_gap > 0)
-    out += [F.when(ok, mean_gap).alias(f"inter_arrival_mean_{s}"),
-            F.when(ok, F.col(f"_gstd_{s}") / mean_gap).alias(f"inter_arrival_cv_{s}")]
+        out.append(f"CASE WHEN {has} THEN coalesce(try_divide(CAST({c('n_fail')} AS DOUBLE), {c('n_auth')}), 0.0D) "
+                   f"END AS `failed_auth_ratio_{s}`")
+    mean_gap = f"try_divide(CAST({c('tmax')} - {c('tmin')} AS DOUBLE) / {float(_US)!r}D, {n} - 1)"
+    ok = f"{n} > 1 AND {mean_gap} > 0"
+    out += [f"CASE WHEN {ok} THEN {mean_gap} END AS `inter_arrival_mean_{s}`",
+            f"CASE WHEN {ok} THEN {c('gsd')} / {mean_gap} END AS `inter_arrival_cv_{s}`"]
     if has_proto:
-        out += [when_has(F.col(f"_pr_{p}_{s}") / n).alias(f"{p}_ratio_{s}") for p in PROTOCOL_SHARES]
+        out += [f"CASE WHEN {has} THEN {c('n_' + p)} / {n} END AS `{p}_ratio_{s}`" for p in PROTOCOL_SHARES]
     return out

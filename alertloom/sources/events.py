@@ -82,10 +82,20 @@ def events_from_table(events: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_partitions`` tasks when the scan yields fewer
+    (a small file with one row group is one split). On a cluster the scan already has
+    thousands of splits and this returns ``df`` unchanged -- no extra shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read ``events.parquet`` from a test-data folder and project it (column pruning and
     filter pushdown reach the Parquet scan)."""
-    return events_from_table(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return spread(events_from_table(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
 # DuckDB form of the same projection, used by the SQL oracles.

@@ -15,7 +15,8 @@ R = 6
 
 
 def _r(expr: str) -> str:
-    return f"round({expr}, {R})"
+    # round to 9 decimals first (summation-order noise), then to R: same doubles as the Spark side
+    return f"round(round({expr}, 9), {R})"
 
 
 # --------------------------------------------------------------------------------------
@@ -296,12 +297,12 @@ def _unified_rules_only_cte(rules: RuleSet, windows=DEFAULT_WINDOWS, bands=None)
 
 def unified_rules_only_sql(rules: RuleSet = DEFAULT_RULES) -> str:
     return (_unified_rules_only_cte(rules) + "\nSELECT make_timestamp(ws) AS window_start, baseline_score, "
-            "triggered_rules, rule_severity, lgb_score, if_score, round(anomaly_score, 6) AS anomaly_score, severity FROM sc")
+            "triggered_rules, rule_severity, lgb_score, if_score, round(round(anomaly_score, 9), 6) AS anomaly_score, severity FROM sc")
 
 
 def top_alerts_sql(limit: int = 50, min_score: float = 0.5, rules: RuleSet = DEFAULT_RULES) -> str:
     return (_unified_rules_only_cte(rules) + "\nSELECT make_timestamp(ws) AS window_start, "
-            "round(anomaly_score, 6) AS anomaly_score, severity, triggered_rules FROM sc "
+            "round(round(anomaly_score, 9), 6) AS anomaly_score, severity, triggered_rules FROM sc "
             f"WHERE anomaly_score >= {min_score!r} ORDER BY anomaly_score DESC, ws ASC LIMIT {limit}")
 
 
@@ -311,11 +312,11 @@ def alert_reduction_sql(baseline_threshold: float = 0.0, model_threshold: float
             + f"c AS (SELECT count(*) AS total_events, count(*) FILTER (WHERE baseline_score > {baseline_threshold!r})"
             + f" AS baseline_alerts, count(*) FILTER (WHERE anomaly_score >= {model_threshold!r}) AS model_alerts FROM sc)\n"
             + "SELECT total_events, baseline_alerts, model_alerts, "
-            + "round(1.0 - model_alerts / greatest(total_events, 1), 6) AS alert_reduction_rate, "
-            + "round(model_alerts / greatest(total_events, 1) * 1000, 6) AS alerts_per_1000, "
+            + "round(round(1.0 - model_alerts / greatest(total_events, 1), 9), 6) AS alert_reduction_rate, "
+            + "round(round(model_alerts / greatest(total_events, 1) * 1000, 9), 6) AS alerts_per_1000, "
             + "baseline_alerts - model_alerts AS absolute_reduction, "
-            + "round(1.0 - model_alerts / greatest(baseline_alerts, 1), 6) AS relative_reduction, "
-            + "round(model_alerts / greatest(total_events, 1), 6) AS alert_rate FROM c")
+            + "round(round(1.0 - model_alerts / greatest(baseline_alerts, 1), 9), 6) AS relative_reduction, "
+            + "round(round(model_alerts / greatest(total_events, 1), 9), 6) AS alert_rate FROM c")
 
 
 # --------------------------------------------------------------------------------------
@@ -334,11 +335,11 @@ c AS (SELECT count(*) FILTER (WHERE y_true = 1 AND y_score >= {threshold!r}) AS
              count(*) FILTER (WHERE y_true = 0 AND y_score < {threshold!r}) AS tn,
              count(*) FILTER (WHERE y_true = 1 AND y_score < {threshold!r}) AS fn FROM m)
 SELECT tp AS true_positives, fp AS false_positives, tn AS true_negatives, fn AS false_negatives,
-  round(CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0.0 END, 6) AS accuracy,
-  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
-  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall,
-  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1,
-  round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 6) AS fpr
+  round(round(CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0.0 END, 9), 6) AS accuracy,
+  round(round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 9), 6) AS precision,
+  round(round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 9), 6) AS recall,
+  round(round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 9), 6) AS f1,
+  round(round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END, 9), 6) AS fpr
 FROM c""")
 
 
@@ -347,8 +348,8 @@ def roc_auc_sql() -> str:
     return _metrics_with("""
 pn AS (SELECT p.y_score AS sp, q.y_score AS sn FROM m p JOIN m q ON p.y_true = 1 AND q.y_true = 0),
 t AS (SELECT sum(y_true) AS P, count(*) - sum(y_true) AS N FROM m)
-SELECT round(CASE WHEN t.P > 0 AND t.N > 0 THEN
-  (SELECT sum(CASE WHEN sp > sn THEN 1.0 WHEN sp = sn THEN 0.5 ELSE 0.0 END) FROM pn) / (t.P * t.N) ELSE 0.0 END, 6)
+SELECT round(round(CASE WHEN t.P > 0 AND t.N > 0 THEN
+  (SELECT sum(CASE WHEN sp > sn THEN 1.0 WHEN sp = sn THEN 0.5 ELSE 0.0 END) FROM pn) / (t.P * t.N) ELSE 0.0 END, 9), 6)
   AS roc_auc FROM t""")
 
 
@@ -357,7 +358,7 @@ def average_precision_sql() -> str:
 h AS (SELECT y_score AS s, sum(y_true) AS p, count(*) - sum(y_true) AS n FROM m GROUP BY 1),
 r AS (SELECT p, sum(p) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp,
              sum(n) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fp, sum(p) OVER () AS PT FROM h)
-SELECT round(CASE WHEN max(PT) > 0 THEN sum(p * tp / (tp + fp)) / max(PT) ELSE 0.0 END, 6) AS pr_auc FROM r""")
+SELECT round(round(CASE WHEN max(PT) > 0 THEN sum(p * tp / (tp + fp)) / max(PT) ELSE 0.0 END, 9), 6) AS pr_auc FROM r""")
 
 
 def fpr_at_recall_sql(target: float) -> str:
@@ -367,8 +368,8 @@ o AS (SELECT row_number() OVER (ORDER BY y_score DESC, id ASC) AS rn,
              sum(1 - y_true) OVER (ORDER BY y_score DESC, id ASC ROWS UNBOUNDED PRECEDING) AS fp FROM m),
 t AS (SELECT sum(y_true) AS P, count(*) - sum(y_true) AS N,
              CAST(floor({target!r}::DOUBLE * sum(y_true)) AS BIGINT) AS tt FROM m)
-SELECT round(CASE WHEN P = 0 OR N = 0 THEN 0.0
-  ELSE (SELECT fp FROM o WHERE tp >= t.tt ORDER BY rn LIMIT 1) / N END, 6) AS fpr FROM t""")
+SELECT round(round(CASE WHEN P = 0 OR N = 0 THEN 0.0
+  ELSE (SELECT fp FROM o WHERE tp >= t.tt ORDER BY rn LIMIT 1) / N END, 9), 6) AS fpr FROM t""")
 
 
 def fpr_curve_sql(target: float = 0.95) -> str:
@@ -378,8 +379,8 @@ r AS (SELECT s, sum(p) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp_ge
 t AS (SELECT sum(y_true) AS P, count(*) - sum(y_true) AS N, min(y_score) FILTER (WHERE y_true = 1) AS minpos FROM m),
 th AS (SELECT coalesce((SELECT min(s) FROM r WHERE s >= t.minpos AND tp_ge / t.P <= {target!r}::DOUBLE), 0.5) AS thr,
               t.N FROM t)
-SELECT round((SELECT count(*) FROM m WHERE y_true <> 1 AND y_score >= th.thr) / th.N, 6) AS fpr,
-       round(th.thr, 6) AS threshold FROM th""")
+SELECT round(round((SELECT count(*) FROM m WHERE y_true <> 1 AND y_score >= th.thr) / th.N, 9), 6) AS fpr,
+       round(round(th.thr, 9), 6) AS threshold FROM th""")
 
 
 def detection_latency_sql(threshold: float = 0.5) -> str:
@@ -393,10 +394,10 @@ pe AS (SELECT epi, min(rn) FILTER (WHERE start = 1) AS s, min(rn) FILTER (WHERE
        FROM ep WHERE (y = 1 OR prev = 1) AND epi > 0 GROUP BY epi),
 a AS (SELECT count(*) AS total, count(d) AS det, avg(d - s) AS mn, quantile_cont(d - s, 0.5) AS md,
              quantile_cont(d - s, 0.95) AS p95 FROM pe)
-SELECT round(CASE WHEN det > 0 THEN mn ELSE 0.0 END, 6) AS mean_latency_windows,
-       round(CASE WHEN det > 0 THEN md ELSE 0.0 END, 6) AS median_latency_windows,
-       round(CASE WHEN det > 0 THEN p95 ELSE 0.0 END, 6) AS p95_latency_windows,
-       round(CASE WHEN det > 0 THEN det / total ELSE 0.0 END, 6) AS detection_rate,
+SELECT round(round(CASE WHEN det > 0 THEN mn ELSE 0.0 END, 9), 6) AS mean_latency_windows,
+       round(round(CASE WHEN det > 0 THEN md ELSE 0.0 END, 9), 6) AS median_latency_windows,
+       round(round(CASE WHEN det > 0 THEN p95 ELSE 0.0 END, 9), 6) AS p95_latency_windows,
+       round(round(CASE WHEN det > 0 THEN det / total ELSE 0.0 END, 9), 6) AS detection_rate,
        det AS attacks_detected, total AS attacks_total FROM a""")
 
 
