@@ -30,6 +30,12 @@ from alertloom.operators.rules import explain_rules, score_rules  # noqa: E402
 from alertloom.operators.triage import (alert_reduction, blend, normalize_weights,  # noqa: E402
                                         reduction_from_counts, top_alerts)
 from pyspark.sql import functions as F  # noqa: E402
+from alertloom.operators import profile as PR  # noqa: E402
+from alertloom.operators import sampling as SA  # noqa: E402
+from alertloom.operators.encoding import event_level_features  # noqa: E402
+from alertloom.operators.explain import collect_stats, explain_top_k, fit_reference_stats  # noqa: E402
+from alertloom.operators.labels import attach_labels, window_labels  # noqa: E402
+from alertloom.operators.scaling import fit_standard_scaler, min_max, percentile_sigmoid, standard_scale  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -195,6 +201,119 @@ def q_severity_bands(spark, sf_dir):
                                   classify("y_score").alias("classification")))
 
 
+# ---------------------------------------------------------------- profiles, labels, sampling
+
+def q_class_balance(spark, sf_dir):
+    """Rows and share per label, imbalance ratio."""
+    return round_doubles(PR.class_balance(_events(spark, sf_dir), "label"))
+
+
+def q_category_means(spark, sf_dir):
+    """Feature means per protocol."""
+    feats = ["src_port", "dst_port", "bytes_in", "bytes_out", "duration", "label"]
+    return round_doubles(PR.category_means(_events(spark, sf_dir), "protocol", feats))
+
+
+def q_label_correlation(spark, sf_dir):
+    """Correlation of each numeric event column with the label, ranked by |r|."""
+    ev = _events(spark, sf_dir)
+    feats = ["event_id", "src_port", "dst_port", "bytes_in", "bytes_out", "duration"]
+    return round_doubles(PR.label_correlation(ev, "label", feats))
+
+
+def q_null_profile(spark, sf_dir):
+    """NULL counts of the joined window table (before the fill)."""
+    return PR.null_profile(window_features(_events(spark, sf_dir), DEFAULT_WINDOWS))
+
+
+def q_window_labels(spark, sf_dir):
+    """A11 + J3: window label (any attack in the 60 s window) joined onto the window table."""
+    ev = _events(spark, sf_dir)
+    wf = window_features(ev, DEFAULT_WINDOWS).select("window_start", "event_count_1min")
+    return attach_labels(wf, window_labels(ev, 60))
+
+
+def _ids(spark, sf_dir):
+    return _events(spark, sf_dir).withColumnRenamed("event_id", "id")
+
+
+def q_stratified_split(spark, sf_dir):
+    """Stratified 80/20 split by seeded id hash; rows per (label, split)."""
+    sp = SA.stratified_split(_ids(spark, sf_dir), "label", 0.2, "id")
+    return sp.groupBy("label", "split").agg(F.count(F.lit(1)).alias("count"))
+
+
+def q_stratified_sample(spark, sf_dir):
+    """Stratified sample of exactly 1000 rows; rows per label."""
+    smp = SA.stratified_sample(_ids(spark, sf_dir), 1000, "label", "id")
+    return smp.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+
+
+def q_class_weight(spark, sf_dir):
+    """Weight column negatives/positives for the positive class; rows per (label, weight)."""
+    df, _ = SA.class_weight(_events(spark, sf_dir), "label")
+    return round_doubles(df.groupBy("label", "weight").agg(F.count(F.lit(1)).alias("count")))
+
+
+def q_temporal_split(spark, sf_dir):
+    """The latest 20 % of events (by time) as test; rows per split."""
+    sp = SA.temporal_split(_events(spark, sf_dir), "timestamp", 0.2)
+    return sp.groupBy("split").agg(F.count(F.lit(1)).alias("count"))
+
+
+# ---------------------------------------------------------------- encoding, scaling, explanations
+
+def q_event_level_features(spark, sf_dir):
+    """S2 + F5 + F6 + F7: numeric event columns, protocol one-hot and status flag."""
+    ev = _events(spark, sf_dir).drop("dst_port")
+    return round_doubles(event_level_features(ev, keep=("event_id",)))
+
+
+def q_standard_scaling(spark, sf_dir):
+    """Standard scaling (population std) of the byte and duration columns."""
+    ev = _events(spark, sf_dir)
+    cols = ["bytes_in", "bytes_out", "duration"]
+    scaled = standard_scale(ev, fit_standard_scaler(ev, cols), suffix="_scaled")
+    return round_doubles(scaled.select("event_id", *[f"{c}_scaled" for c in cols]))
+
+
+def q_percentile_sigmoid(spark, sf_dir):
+    """batch percentile-centred sigmoid of the scores."""
+    out, _ = percentile_sigmoid(_metrics(spark, sf_dir), "y_score", "normalized_score")
+    return round_doubles(out.select("id", "normalized_score"))
+
+
+def q_min_max(spark, sf_dir):
+    """batch min-max normalisation of the scores."""
+    return round_doubles(min_max(_metrics(spark, sf_dir), "y_score", "minmax_score").select("id", "minmax_score"))
+
+
+def q_reference_stats(spark, sf_dir):
+    """Mean, std and 10/25/50/75/90th percentiles of feature-table columns."""
+    ft = feature_table(_events(spark, sf_dir), DEFAULT_WINDOWS)
+    return round_doubles(fit_reference_stats(ft, O.EXPLAIN_FEATURES))
+
+
+def q_explanations(spark, sf_dir):
+    """T4 + F25 + F26: per window the 3 features with the largest |standardized deviation| (the
+    contribution given to the explainer), their direction and percentile position."""
+    feats = O.EXPLAIN_FEATURES
+    # values snapped to 9 decimals so that engine-level ulp noise cannot move a value across a
+    # breakpoint it equals (the oracle snaps the same way)
+    ft = feature_table(_events(spark, sf_dir), DEFAULT_WINDOWS).select(
+        "window_start", *[(F.round(F.col(f).cast("double") * 1e9) / 1e9).alias(f) for f in feats])
+    stats_df = fit_reference_stats(ft, feats)
+    stats = collect_stats(stats_df)
+    ms = {r["feature"]: (r["mean"], r["std"]) for r in stats_df.select("feature", "mean", "std").collect()}
+    contrib = ft.select("window_start", *feats, *[
+        F.coalesce(F.try_divide(F.col(f).cast("double") - F.lit(ms[f][0]), F.lit(ms[f][1])), F.lit(0.0))
+        .alias(f"c_{f}") for f in feats])
+    ex = explain_top_k(contrib, feats, [f"c_{f}" for f in feats], stats, top_k=3)
+    flat = ex.select("window_start", F.posexplode("explanations").alias("pos", "e"))
+    return round_doubles(flat.select("window_start", (F.col("pos") + 1).cast("int").alias("rank"), "e.feature",
+                                     "e.value", "e.contribution", "e.direction", "e.percentile"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_features": q_window_features,
     "window_features_large": q_window_features_large,
@@ -219,6 +338,21 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detection_latency": q_detection_latency,
     "detection_latency_low": q_detection_latency_low,
     "severity_bands": q_severity_bands,
+    "class_balance": q_class_balance,
+    "category_means": q_category_means,
+    "label_correlation": q_label_correlation,
+    "null_profile": q_null_profile,
+    "window_labels": q_window_labels,
+    "stratified_split": q_stratified_split,
+    "stratified_sample": q_stratified_sample,
+    "class_weight": q_class_weight,
+    "temporal_split": q_temporal_split,
+    "event_level_features": q_event_level_features,
+    "standard_scaling": q_standard_scaling,
+    "percentile_sigmoid": q_percentile_sigmoid,
+    "min_max": q_min_max,
+    "reference_stats": q_reference_stats,
+    "explanations": q_explanations,
 }
 
 _ORACLES: dict[str, Callable[[], str]] = {
@@ -245,6 +379,21 @@ _ORACLES: dict[str, Callable[[], str]] = {
     "detection_latency": lambda: O.detection_latency_sql(0.5),
     "detection_latency_low": lambda: O.detection_latency_sql(0.2),
     "severity_bands": O.bands_sql,
+    "class_balance": O.class_balance_sql,
+    "category_means": O.category_means_sql,
+    "label_correlation": O.label_correlation_sql,
+    "null_profile": O.null_profile_sql,
+    "window_labels": O.window_labels_sql,
+    "stratified_split": lambda: O.split_counts_sql(0.2),
+    "stratified_sample": lambda: O.sample_counts_sql(1000),
+    "class_weight": O.class_weight_sql,
+    "temporal_split": lambda: O.temporal_split_sql(0.2),
+    "event_level_features": O.event_level_sql,
+    "standard_scaling": O.standard_scaling_sql,
+    "percentile_sigmoid": O.percentile_sigmoid_sql,
+    "min_max": O.min_max_sql,
+    "reference_stats": O.reference_stats_sql,
+    "explanations": O.explanations_sql,
 }
 
 

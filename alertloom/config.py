@@ -88,9 +88,13 @@ CLASS_THRESHOLD = 0.5          # ATTACK if score >= 0.5
 
 UNIFIED_WEIGHTS = {"baseline": 0.2, "lgb": 0.5, "isolation": 0.3}
 
-# Explainer: reference percentiles and the piecewise-linear map onto 5..95
+# Explainer: reference percentiles and the piecewise-linear map of a value onto a percentile:
+# 5 at or below p10; between consecutive breakpoints linear from the start to the end level;
+# 95 above p90.
 EXPLAIN_PERCENTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
-EXPLAIN_LEVELS = (5.0, 25.0, 50.0, 75.0, 90.0, 95.0)
+EXPLAIN_BELOW = 5.0
+EXPLAIN_SEGMENTS = ((10.0, 25.0), (25.0, 50.0), (50.0, 75.0), (75.0, 90.0))
+EXPLAIN_ABOVE = 95.0
 
 FPR_RECALL_TARGETS = (0.90, 0.95, 0.99)
 

@@ -411,3 +411,178 @@ SELECT id, y_score, {severity_sql('y_score', WINDOW_SEVERITY_BANDS)} AS window_s
        WHEN y_score < 0.85 THEN 'high' ELSE 'critical' END AS narrative_band,
   CASE WHEN y_score >= 0.5 THEN 'ATTACK' ELSE 'NORMAL' END AS classification
 FROM b""")
+
+
+# --------------------------------------------------------------------------------------
+# profiles (A12, A15, A17, A18), labels (A11, J3), sampling counts
+# --------------------------------------------------------------------------------------
+
+def _ev_with(body: str) -> str:
+    return "WITH " + EVENTS_DUCKDB_CTE.strip() + ",\n" + body
+
+
+def class_balance_sql() -> str:
+    return _ev_with("""
+c AS (SELECT label, count(*) AS count FROM ev GROUP BY label)
+SELECT label, count, round(round(count / sum(count) OVER (), 9), 6) AS share,
+  round(round(sum(CASE WHEN label = 1 THEN 0 ELSE count END) OVER ()
+        / nullif(sum(CASE WHEN label = 1 THEN count ELSE 0 END) OVER (), 0), 9), 6) AS imbalance_ratio
+FROM c""")
+
+
+def category_means_sql() -> str:
+    cols = ["src_port", "dst_port", "bytes_in", "bytes_out", "duration", "label"]
+    return _ev_with("x AS (SELECT 1)\nSELECT protocol, " + ", ".join(
+        f"round(round(avg({c}), 9), 6) AS {c}_mean" for c in cols) + " FROM ev GROUP BY protocol")
+
+
+def label_correlation_sql() -> str:
+    cols = ["event_id", "src_port", "dst_port", "bytes_in", "bytes_out", "duration"]
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), CAST(label AS DOUBLE)) AS correlation"
+                              f" FROM ev" for c in cols)
+    return _ev_with(f"""
+r AS ({rows})
+SELECT feature, round(round(correlation, 9), 6) AS correlation,
+  CAST(row_number() OVER (ORDER BY round(abs(correlation), 9) DESC NULLS LAST, feature) AS INTEGER) AS rank
+FROM r""")
+
+
+def null_profile_sql(windows=DEFAULT_WINDOWS) -> str:
+    names = ["window_start"] + [n for n, _ in window_feature_names(windows)]
+    parts = []
+    for n in names:
+        src = "ws" if n == "window_start" else n
+        kind = "categorical" if n == "window_start" else "numeric"
+        parts.append(f"SELECT '{n}' AS column, '{kind}' AS kind, count(*) - count({src}) AS null_count, "
+                     f"count(*) AS rows FROM wf")
+    return window_ctes(windows) + "\n" + "\nUNION ALL ".join(parts)
+
+
+def window_labels_sql(windows=DEFAULT_WINDOWS) -> str:
+    return (window_ctes(windows) + ",\n"
+            + "lb AS (SELECT us - (us % 60000000) AS ws, max(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS label "
+              "FROM b GROUP BY 1)\n"
+            + "SELECT make_timestamp(wf.ws) AS window_start, wf.event_count_1min, coalesce(lb.label, 0) AS label "
+              "FROM wf LEFT JOIN lb USING (ws)")
+
+
+def split_counts_sql(test_size: float = 0.2) -> str:
+    return _ev_with(f"""
+c AS (SELECT label, count(*) AS n FROM ev GROUP BY label)
+SELECT label, 'test' AS split, CAST(ceil({test_size!r}::DOUBLE * n) AS BIGINT) AS count FROM c
+UNION ALL SELECT label, 'train', n - CAST(ceil({test_size!r}::DOUBLE * n) AS BIGINT) FROM c""")
+
+
+def sample_counts_sql(n: int) -> str:
+    return _ev_with(f"""
+c AS (SELECT label, count(*) AS k FROM ev GROUP BY label),
+t AS (SELECT sum(k) AS total FROM c),
+q AS (SELECT label, least({n}, total) * k / total AS raw, floor(least({n}, total) * k / total) AS fl, total FROM c, t),
+r AS (SELECT label, fl, row_number() OVER (ORDER BY raw - fl DESC, CAST(label AS VARCHAR)) AS rk,
+             least({n}, total) - sum(fl) OVER () AS rest FROM q)
+SELECT label, CAST(fl + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS BIGINT) AS count FROM r""")
+
+
+def class_weight_sql() -> str:
+    return _ev_with("""
+w AS (SELECT count(*) FILTER (WHERE label <> 1) / greatest(count(*) FILTER (WHERE label = 1), 1) AS w FROM ev)
+SELECT label, round(round(CASE WHEN label = 1 THEN w.w ELSE 1.0 END, 9), 6) AS weight, count(*) AS count
+FROM ev, w GROUP BY label, w.w""")
+
+
+def temporal_split_sql(test_size: float = 0.2) -> str:
+    return _ev_with(f"""
+o AS (SELECT "timestamp" AS t, row_number() OVER (ORDER BY "timestamp") AS rn, count(*) OVER () AS n FROM ev),
+cut AS (SELECT t FROM o WHERE rn = greatest(1, CAST(ceil((1 - {test_size!r}::DOUBLE) * n) AS BIGINT)))
+SELECT CASE WHEN ev."timestamp" > cut.t THEN 'test' ELSE 'train' END AS split, count(*) AS count
+FROM ev, cut GROUP BY 1""")
+
+
+# --------------------------------------------------------------------------------------
+# encoding (F7, S2), scaling (A20, F23, F24), reference statistics
+# --------------------------------------------------------------------------------------
+
+def event_level_sql() -> str:
+    ev_sub = "(WITH " + EVENTS_DUCKDB_CTE.strip() + " SELECT * FROM ev)"
+    return ("SELECT event_id, round(round(src_port, 9), 6) AS src_port, round(round(bytes_in, 9), 6) AS bytes_in,\n"
+            "       round(round(bytes_out, 9), 6) AS bytes_out, round(round(duration, 9), 6) AS duration,\n"
+            "       CAST(status_failed AS INTEGER) AS status_failed, COLUMNS('proto_.*')::INTEGER FROM (\n"
+            + _EVENT_PIVOT.replace("FROM ev)", "FROM " + ev_sub + ")") + ")")
+
+
+_EVENT_PIVOT = """
+PIVOT (SELECT event_id, coalesce(CAST(src_port AS DOUBLE), 0.0) AS src_port,
+                    coalesce(CAST(bytes_in AS DOUBLE), 0.0) AS bytes_in,
+                    coalesce(CAST(bytes_out AS DOUBLE), 0.0) AS bytes_out,
+                    coalesce(CAST(duration AS DOUBLE), 0.0) AS duration,
+                    CASE WHEN status = 'failed' THEN 1 ELSE 0 END AS status_failed,
+                    'proto_' || protocol AS pcol FROM ev)
+     ON pcol USING count(*) GROUP BY event_id, src_port, bytes_in, bytes_out, duration, status_failed"""
+
+
+def standard_scaling_sql() -> str:
+    cols = ["bytes_in", "bytes_out", "duration"]
+    sel = ", ".join(f"round(round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 "
+                    f"THEN stddev_pop({c}) OVER () ELSE 1.0 END, 9), 6) AS {c}_scaled" for c in cols)
+    return _ev_with(f"x AS (SELECT 1)\nSELECT event_id, {sel} FROM ev")
+
+
+def percentile_sigmoid_sql() -> str:
+    return _metrics_with("""
+q AS (SELECT quantile_cont(y_score, 0.05) AS p5, quantile_cont(y_score, 0.5) AS p50,
+             quantile_cont(y_score, 0.95) AS p95 FROM m)
+SELECT id, round(round(1.0 / (1.0 + exp(-(y_score - p50) / greatest(p95 - p50, p50 - p5, 0.1))), 9), 6)
+  AS normalized_score FROM m, q""")
+
+
+def min_max_sql() -> str:
+    return _metrics_with("""
+q AS (SELECT min(y_score) AS lo, max(y_score) AS hi FROM m)
+SELECT id, round(round((y_score - lo) / (hi - lo + 1e-8), 9), 6) AS minmax_score FROM m, q""")
+
+
+EXPLAIN_FEATURES = ["event_count_1min", "unique_dst_ports_1min", "port_entropy_1min", "bytes_out_mean_1min",
+                    "conn_duration_p95_1min", "failed_auth_ratio_1min", "baseline_deviation_1min",
+                    "bytes_ratio_5min", "event_count_15min", "new_dst_ip_ratio_1min"]
+
+
+def _snapped_ft(features) -> str:
+    return "fs AS (SELECT ws, " + ", ".join(f"round(CAST({f} AS DOUBLE), 9) AS {f}" for f in features) + " FROM ft)"
+
+
+def reference_stats_sql(features=EXPLAIN_FEATURES) -> str:
+    parts = []
+    for f in features:
+        x = f"CAST({f} AS DOUBLE)"
+        qs = ", ".join(f"round(round(quantile_cont({x}, {p}), 9), 6) AS p{int(round(p * 100))}"
+                       for p in (0.1, 0.25, 0.5, 0.75, 0.9))
+        parts.append(f"SELECT '{f}' AS feature, round(round(avg({x}), 9), 6) AS mean, "
+                     f"round(round(stddev_samp({x}), 9), 6) AS std, {qs} FROM fs")
+    return feature_table_ctes() + ",\n" + _snapped_ft(features) + "\n" + "\nUNION ALL ".join(parts)
+
+
+def explanations_sql(features=EXPLAIN_FEATURES, top_k: int = 3) -> str:
+    """Top-k features by |standardized deviation| per window, with percentile position."""
+    stats = []
+    for f in features:
+        x = f"CAST({f} AS DOUBLE)"
+        stats.append(f"SELECT {features.index(f)} AS idx, '{f}' AS feature, avg({x}) AS mu, stddev_samp({x}) AS sd, "
+                     + ", ".join(f"quantile_cont({x}, {p}) AS q{j}" for j, p in enumerate((0.1, 0.25, 0.5, 0.75, 0.9)))
+                     + " FROM fs")
+    longs = " UNION ALL ".join(f"SELECT ws, {i} AS idx, CAST({f} AS DOUBLE) AS v FROM fs" for i, f in enumerate(features))
+    pct = ("CASE WHEN v <= q0 THEN 5.0 "
+           "WHEN v <= q1 THEN 25.0 - 15.0 * (q1 - v) / (q1 - q0) "
+           "WHEN v <= q2 THEN 50.0 - 25.0 * (q2 - v) / (q2 - q1) "
+           "WHEN v <= q3 THEN 75.0 - 25.0 * (q3 - v) / (q3 - q2) "
+           "WHEN v <= q4 THEN 90.0 - 15.0 * (q4 - v) / (q4 - q3) ELSE 95.0 END")
+    return (feature_table_ctes() + ",\n" + _snapped_ft(features) + ",\n"
+            + f"st AS ({' UNION ALL '.join(stats)}),\n"
+            + f"lv AS ({longs}),\n"
+            + "ct AS (SELECT lv.ws, lv.idx, st.feature, lv.v, coalesce((lv.v - st.mu) / nullif(st.sd, 0), 0.0)"
+              " AS contribution, "
+              f"{pct} AS percentile FROM lv JOIN st USING (idx)),\n"
+            + "rk AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY abs(contribution) DESC, idx) AS rank FROM ct)\n"
+            + "SELECT make_timestamp(ws) AS window_start, CAST(rank AS INTEGER) AS rank, feature, "
+              "round(round(v, 9), 6) AS value, round(round(contribution, 9), 6) AS contribution, "
+              "CASE WHEN contribution > 0 THEN 'increases' ELSE 'decreases' END AS direction, "
+              f"round(round(percentile, 9), 6) AS percentile FROM rk WHERE rank <= {top_k}")
