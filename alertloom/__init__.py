@@ -4,7 +4,15 @@ Every operator takes and returns a ``pyspark.sql.DataFrame``; nothing is collect
 driver except bounded model artefacts (tree node tables, fitted statistics).
 """
 
-from alertloom.session import get_spark, checkpoint_dir
+import sys as _sys
+
+from alertloom.session import checkpoint_dir, get_spark
+
+try:  # ship the library's helpers inside task closures (executors need not have it installed)
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: install the package on the executors instead
+    pass
 
 __all__ = ["get_spark", "checkpoint_dir"]
 __version__ = "0.1.0"
