@@ -314,6 +314,27 @@ def q_explanations(spark, sf_dir):
                                      "e.value", "e.contribution", "e.direction", "e.percentile"))
 
 
+# ---------------------------------------------------------------- supervised model (rows-only check)
+
+def q_supervised_event_model(spark, sf_dir):
+    """M1 + M2 + P1 + P3 + A25/W9: boosted trees (20 rounds) on event-level features without the
+    columns that give the label away (dst_port, status, event_type), stratified 80/20 split,
+    isotonic calibration on the test split's 15 % validation share; metrics of the test rows."""
+    from alertloom.operators import supervised as SU
+    ev = _events(spark, sf_dir).select("event_id", "label", "src_port", "bytes_in", "bytes_out", "duration",
+                                       "protocol")
+    X = event_level_features(ev, keep=("event_id", "label"))
+    feats = [c for c in X.columns if c not in ("event_id", "label")]
+    sp = SA.stratified_split(X.withColumnRenamed("event_id", "id"), "label", 0.2, "id")
+    train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+    model = SU.fit_supervised(train, feats, "label", "gbt", {"maxIter": 20}, validation=test)
+    scored = SU.predict_proba(model, test, "y_score").select(F.col("label").alias("y_true"), "y_score")
+    conf = EV.confusion_metrics(scored)
+    auc = EV.roc_auc(scored)
+    return round_doubles(conf.select("*", F.lit(1).alias("_k")).join(auc.select("*", F.lit(1).alias("_k")), "_k")
+                         .drop("_k"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_features": q_window_features,
     "window_features_large": q_window_features_large,
@@ -353,6 +374,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "min_max": q_min_max,
     "reference_stats": q_reference_stats,
     "explanations": q_explanations,
+    "supervised_event_model": q_supervised_event_model,
 }
 
 _ORACLES: dict[str, Callable[[], str]] = {

@@ -39,7 +39,8 @@ def event_level_features(events: DataFrame, protocols: Sequence[str] | None = No
     protos = list(protocols) if protocols is not None else fit_categories(events, "protocol")
     cols = [c for c in keep if c in events.columns]
     nums = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in EVENT_NUMERIC if c in events.columns]
-    base = events.select(*cols, *nums, "protocol", flag("status", "failed").alias("status_failed"))
+    status = [flag("status", "failed").alias("status_failed")] if "status" in events.columns else []
+    base = events.select(*cols, *nums, "protocol", *status)
     return one_hot(base, "protocol", protos, prefix="proto")
 
 
