@@ -22,7 +22,7 @@ from alertloom.llm.common import doc_type, materialise, rid_bucket, running_offs
 
 #: Rounds whose turns are put in order in one task.
 ROUNDS = 16
-#: Cache sizes of a worker, in entries.
+#: Cache sizes of a worker, in entries; a full cache keeps what came first, as frequent words do.
 CHUNKS, PIECES = 300_000, 200_000
 
 # Fixed by the tokenizer file word_bpe_49k.json: how it splits lower-cased ASCII and Latin-1 letters.
@@ -37,6 +37,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def folded(text: str) -> str:
+    """The text lower-cased, as the tokenizer would, if it is Latin-1 without special tokens; else as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 def chunk_ids(path: str) -> Callable[[bytes], bytes]:
     """Function from a chunk of UTF-8 without ASCII white space to its ids as bytes ("<u4").
 
@@ -57,9 +66,7 @@ def chunk_ids(path: str) -> Callable[[bytes], bytes]:
         if got is None:
             text = p if p.isascii() else "".join(letters[b] for b in p.encode())
             got = np.array([t.id for t in model.tokenize(text)], "<u4").tobytes()
-            if len(pieces) >= PIECES:
-                pieces.clear()
-            if len(p) < 64:
+            if len(p) < 64 and len(pieces) < PIECES:
                 pieces[p] = got
         return got
 
@@ -84,16 +91,14 @@ def tokenise(docs: DataFrame, tokenizer_path: str, eos_id: int, id_col: str, tex
         for batch in batches:
             ids, counts = [], []
             for text in batch.column(2).to_pylist():
-                parts = (text or "").encode().split()
+                parts = folded(text or "").encode().split()
                 got = list(map(cache.get, parts))
                 if None in got:
                     for i, x in enumerate(got):
                         if x is None:
                             raw = parts[i]
                             x = got[i] = cache.get(raw) or encode(raw)
-                            if len(raw) < 64:
-                                if len(cache) >= CHUNKS:
-                                    cache.clear()
+                            if len(raw) < 64 and len(cache) < CHUNKS:
                                 cache[raw] = x
                 got.append(end)
                 all_ids = np.frombuffer(b"".join(got), "<u4")

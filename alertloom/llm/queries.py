@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertloom.llm import mixing, packing, sharding, topk
+from alertloom.llm import classlm, langid, mixing, packing, quality, sharding, simhash, topk, toxicity
 from alertloom.llm.common import WORD
 
 
@@ -12,6 +12,11 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(folds: int):
+    """Remainder of crc32(doc_id as text); a NULL id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
+
+
 def op1_packing(spark, sf_dir):
     """All documents packed into windows of 2,048 tokens; the sources' shares of all tokens are the targets."""
     import public_tokenizers
@@ -20,6 +25,26 @@ def op1_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
+#: Mean log ratio from which a document is kept: no more than this below a text as common in both corpora.
+QUALITY_THRESHOLD = -0.05
+
+
+def op2_quality(spark, sf_dir):
+    """Base rules and the verdict of the hashed n-gram ratio of documents labelled good against all."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratio = quality.fit_ratio(docs, _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+    return quality.judge(docs, ratio, QUALITY_THRESHOLD).drop("text")
+
+
+def op3_classlm(spark, sf_dir):
+    """Log probability of all documents under a class bigram model of those whose crc32 mod 10 is not 0."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classlm.fit(docs.where(_fold(10) != 0))
+    scored = classlm.score(docs, model)
+    return scored.select("doc_id", (_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+                         "base_score", "score")
+
+
 def op4_sharding(spark, sf_dir):
     """All documents in 16 equal shards of a tree of 2 regions and 4 racks; ``grown_shard``: with shard 16 in a region of its own."""
     tree = sharding.balanced_tree(16)
@@ -48,6 +73,27 @@ def op6_mixing(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_sharding, op5_topk, op6_mixing)}
+def op8_langid(spark, sf_dir):
+    """Language of all documents, learned from the two thirds whose crc32 mod 3 is not 1."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, _fold(3) != 1)
+    return langid.identify(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op9_toxicity(spark, sf_dir):
+    """Toxicity of all documents, learned from labelled ones whose crc32 mod 5 is not 0."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), _fold(5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_simhash(spark, sf_dir):
+    """SimHash of 3-word shingles of all documents, linked at 2 or fewer differing bits."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_classlm, op4_sharding, op5_topk, op6_mixing, op8_langid, op9_toxicity, op10_simhash)}
 
 ORACLES: dict[str, str] = {}
