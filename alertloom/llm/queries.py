@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertloom.llm import classlm, langid, mixing, packing, quality, sharding, simhash, topk, toxicity
+from alertloom.llm import classlm, langid, mixing, packing, quality, repeats, sharding, simhash, topk, toxicity
 from alertloom.llm.common import WORD
 
 
@@ -12,7 +12,7 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _fold(folds: int):
+def fold(folds: int):
     """Remainder of crc32(doc_id as text); a NULL id counts as empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
 
@@ -39,9 +39,9 @@ def op2_quality(spark, sf_dir):
 def op3_classlm(spark, sf_dir):
     """Log probability of all documents under a class bigram model of those whose crc32 mod 10 is not 0."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = classlm.fit(docs.where(_fold(10) != 0))
+    model = classlm.fit(docs.where(fold(10) != 0))
     scored = classlm.score(docs, model)
-    return scored.select("doc_id", (_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+    return scored.select("doc_id", (fold(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
                          "base_score", "score")
 
 
@@ -73,19 +73,24 @@ def op6_mixing(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_repeats(spark, sf_dir):
+    """Words of all documents without those of 20-word windows that start earlier."""
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark, sf_dir):
     """Language of all documents, learned from the two thirds whose crc32 mod 3 is not 1."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = langid.fit(docs, _fold(3) != 1)
-    return langid.identify(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+    model = langid.fit(docs, fold(3) != 1)
+    return langid.identify(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 def op9_toxicity(spark, sf_dir):
     """Toxicity of all documents, learned from labelled ones whose crc32 mod 5 is not 0."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), _fold(5) != 0)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), fold(5) != 0)
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_simhash(spark, sf_dir):
@@ -94,6 +99,6 @@ def op10_simhash(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_classlm, op4_sharding, op5_topk, op6_mixing, op8_langid, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_classlm, op4_sharding, op5_topk, op6_mixing, op7_repeats, op8_langid, op9_toxicity, op10_simhash)}
 
 ORACLES: dict[str, str] = {}
