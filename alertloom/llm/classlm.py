@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from alertloom.llm.common import doc_type, materialise, with_row_id, words
 
 #: Words that are units of their own, groups of endings for the rest, and classes besides that of the text's end.
-UNIT_WORDS, ENDINGS, CLASSES = 1024, 512, 48
+UNIT_WORDS, ENDINGS, CLASSES = 768, 256, 48
 #: Most frequent words whose counts every worker holds; the counts of all others are joined.
 HELD_WORDS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

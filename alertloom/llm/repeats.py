@@ -67,35 +67,23 @@ def anchors(hashes):
     return at, h
 
 
-def _count_anchors(batches):
-    """mapInArrow: texts to (anchor, n), n places of a batch with that anchor."""
-    import numpy as np
-    import pyarrow as pa
-
-    hashes = word_hashes()
-    for batch in batches:
-        found = []
-        for text in batch.column(0).to_pylist():
-            at, h = anchors(hashes((text or "").encode().split()))
-            found.append(h[np.unique(at)])
-        value, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int64))], names=["anchor", "n"])
-
-
 def _list_anchors(batches):
-    """mapInArrow: (key, text) to the distinct anchors of each document."""
+    """mapInArrow: (key, text) to the distinct anchors of each document and their places there (2: or more)."""
     import numpy as np
     import pyarrow as pa
 
     hashes = word_hashes()
     for batch in batches:
-        keys, found = [], []
+        keys, found, places = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             at, h = anchors(hashes((text or "").encode().split()))
-            found.append(np.unique(h[np.unique(at)]))
-            keys.append(np.full(len(found[-1]), key, np.int64))
+            value, n = np.unique(h[at[np.flatnonzero(np.diff(at, prepend=-1))]], return_counts=True)
+            found.append(value)
+            places.append(np.minimum(n, 2))
+            keys.append(np.full(len(value), key, np.int64))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found).view(np.int64))], names=["key", "anchor"])
+            cols = (np.concatenate(keys), np.concatenate(found).view(np.int64), np.concatenate(places).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "anchor", "n"])
 
 
 def _compress(batches):
@@ -135,7 +123,7 @@ def _segments(shards: int):
                 ends = np.append(edge[1:], len(at))
                 for s, e in zip(edge, ends):
                     if live[s]:
-                        out[0].append(int(gram[at[s]] % np.uint64(shards)))
+                        out[0].append(int(gram[at[s]].view(np.int64) % shards))
                         out[1].append(key)
                         out[2].append(order)
                         out[3].append(int(s))
@@ -234,7 +222,9 @@ def _kept(keep_text: bool):
                 raw = _unpack(z)
                 words = raw.split()
                 out = words
-                if spans:
+                if spans and any(s["end"] < 0 for s in spans):
+                    out = words if len(words) < WINDOW else []  # a copy: every word lies in a window that goes
+                elif spans:
                     gone = np.zeros(len(words) + 1, np.int64)
                     for s in spans:
                         gone[s["begin"]] += 1
@@ -267,27 +257,37 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col:
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     key = F.xxhash64(id_col, text_col)
     text = F.col(text_col).cast("string")
-    seen = docs.select(text).mapInArrow(_count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    listed = docs.select(key.alias("key"), text).mapInArrow(_list_anchors, "key long, anchor long")
-    live = listed.join(seen.where(F.col("n") > 1).select("anchor"), "anchor", "left_semi")
-    wanted = live.groupBy("key").agg(F.collect_set("anchor").alias("wanted"))
+    # Copies of a text of an earlier document lose all windows, whatever else there is; one document of each text goes on.
+    light = docs.select(key.alias("key"), order.alias("ord"), F.xxhash64(text, F.lit(1)).alias("h1"), F.sha1(text.cast("binary")).alias("h2"))
+    first = materialise(light.groupBy("h1", "h2").agg(F.min(F.struct("ord", "key")).alias("f")).select("h1", "h2", "f.ord", "f.key"))
+    copies = light.join(first.select("h1", "h2", F.col("ord").alias("first_ord")), ["h1", "h2"]).where("ord > first_ord").select("key").distinct()
+    listed = docs.select(key.alias("key"), text).mapInArrow(_list_anchors, "key long, anchor long, n int")
+    listed = materialise(listed.join(first.select("key"), "key", "left_semi").dropDuplicates(["key", "anchor"]))
+    seen = listed.groupBy("anchor").agg(F.sum("n").alias("places")).where(F.col("places") > 1)
+    live = materialise(listed.join(seen.select("anchor"), "anchor", "left_semi"))
     raw = docs.select(key.alias("key"), order.alias("ord"), F.struct(*keep).alias("doc"), text.alias("t"))
     packed = raw.mapInArrow(_compress, f"key long, ord long, doc {doc_type(raw, 'doc')}, z binary")
-    wanted = materialise(wanted)
-    places = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
-    shards = max(1, -(-places // SHARD))
-    # Rows that repeat id and text are one document here.
-    once = packed.select("key", "ord", "z").join(wanted, "key").dropDuplicates(["key"]).select("key", "ord", "z", "wanted")
-    segments = materialise(once.mapInArrow(_segments(shards), "shard long, key long, ord long, start long, codes binary"))
-    sizes = segments.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("shard", F.when(F.col("n") > 2 * SHARD, F.ceil(F.col("n") / SHARD)).otherwise(F.lit(1)).cast("int").alias("parts"))
-    dealt = segments.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    large = dealt.where(F.col("parts") > 1).select("shard", "part", "ord", "codes").groupBy("shard", "part").applyInArrow(
+    shards = max(1, -(-live.count() // SHARD))
+    of = F.pmod("anchor", F.lit(shards))
+    sizes = live.groupBy(of.alias("shard")).agg(F.sum("n").alias("n"))
+    sizes = materialise(sizes.select("shard", F.when(F.col("n") > 2 * SHARD, F.ceil(F.col("n") / SHARD)).otherwise(F.lit(1)).cast("int").alias("parts")))
+
+    def segments(anchors: DataFrame) -> DataFrame:
+        wanted = anchors.groupBy("key").agg(F.collect_set("anchor").alias("wanted"))
+        # Rows that repeat id and text are one document here.
+        once = packed.select("key", "ord", "z").join(wanted, "key").dropDuplicates(["key"]).select("key", "ord", "z", "wanted")
+        made = once.mapInArrow(_segments(shards), "shard long, key long, ord long, start long, codes binary").join(sizes, "shard")
+        # By shard and part: the join alone would leave a large shard in one task.
+        return made.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).repartition("shard", "part")
+
+    large = live.withColumn("shard", of).join(sizes.where("parts > 1").select("shard"), "shard", "left_semi").drop("shard")
+    large = segments(large).select("shard", "part", "ord", "codes").groupBy("shard", "part").applyInArrow(
         _first_seen, "shard long, phrase binary, first long, n long")
     phrases = large.groupBy("shard", "phrase").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where(F.col("n") > 1)
     phrases = phrases.join(sizes, "shard").select("shard", "phrase", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    spans = (dealt.select("shard", "part", "key", "ord", "start", "codes").groupBy("shard", "part")
+    spans = (segments(live).select("shard", "part", "key", "ord", "start", "codes").groupBy("shard", "part")
              .cogroup(phrases.groupBy("shard", "part")).applyInArrow(_locate, "key long, begin long, end long"))
+    spans = spans.unionByName(copies.select("key", F.lit(0).cast("long").alias("begin"), F.lit(-1).cast("long").alias("end")))
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     full = packed.select("key", "doc", "z").join(spans, "key", "left").select("doc", "z", "spans")
     schema = f"doc {doc_type(raw, 'doc')}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text

@@ -184,7 +184,9 @@ def links(distinct: DataFrame, threshold: int = 2, group: int = GROUP) -> DataFr
     at = at.join(busy, "anchor")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (F.col("part") == own))
-    return dealt.select("anchor", "part", "fp", "home").groupBy("anchor", "part").applyInArrow(_links(threshold), "a long, b long")
+    # By anchor and part: the join alone would leave a large anchor in one task.
+    dealt = dealt.select("anchor", "part", "fp", "home").repartition("anchor", "part")
+    return dealt.groupBy("anchor", "part").applyInArrow(_links(threshold), "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
