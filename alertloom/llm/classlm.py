@@ -125,7 +125,8 @@ def exchange(pairs, classes: int, sweeps: int = 8):
             both[own, :] -= r
             both[:, own] -= l
             both[own, own] -= own_pair
-            row, col, diag = both.sum(1), both.sum(0), np.diag(both)
+            # Class sizes without u itself; pairs with u count for the classes of its neighbours.
+            row, col, diag = both.sum(1) + l, both.sum(0) + r, np.diag(both)
             gain = (log(both + r) - log(both)).sum(1) + (log(both + l[:, None]) - log(both)).sum(0)
             gain += log(diag + r + l + own_pair) - log(diag + r) - log(diag + l) + log(diag)
             gain -= log(row + r.sum() + own_pair) - log(row) + log(col + l.sum() + own_pair) - log(col)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,6 +30,15 @@ def words(text: str | Column) -> Column:
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, SPACE))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is made once for each row, however the optimizer moves the expression.
+
+    A column used inside a lambda can be replaced by its definition, e.g. when a filter is pushed below it, and would
+    then be made again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def source_key(source: str | Column) -> Column:
     """A never-NULL key that orders like the source by code point, NULL last."""
     c = F.col(source) if isinstance(source, str) else source

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import materialise, rid_bucket, running_offsets, source_key, with_row_id, word_count, words
+from alertloom.llm.common import let, materialise, rid_bucket, running_offsets, source_key, with_row_id, word_count, words
 
 #: Blocks of a shard.
 SHARD_BLOCKS = 1024
@@ -140,7 +140,7 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...], text_col: str = "
     full = full.withColumn("_times", F.flatten(F.transform("spans", per_word)))
     full = full.withColumn("_c", F.explode(F.when(F.col("size") == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.lit(most)))))
     full = full.where((F.col("size") == 0) | (F.array_max("_times") >= F.col("_c")))
-    part = F.array_join(F.filter("_w", lambda w, i: F.element_at(F.col("_times"), i + 1) >= F.col("_c")), " ")
+    part = let(F.col("_times"), lambda t: F.array_join(F.filter("_w", lambda w, i: F.element_at(t, i + 1) >= F.col("_c")), " "))
     text = F.when((F.col("size") == 0) | (F.array_min("_times") >= F.col("_c")), F.col("_text")).otherwise(part)
     out = {n: text if n == text_col else F.col("doc")[n] for n in names}
     return full.select(*[c.alias(n) for n, c in out.items()])

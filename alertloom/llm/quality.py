@@ -10,57 +10,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import words
+from alertloom.llm.common import let, words
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 14
 
 
+def _shift(name: str, x: Column, bits: Column) -> Column:
+    return F.call_function(f"shift{name}", x, bits)
+
+
+def _repeat_words(w: Column, n: Column, bits: Column) -> Column:
+    """Number of words in 3-word windows that stand twice or more among the words ``w``."""
+    # Hash of each window with its place in the low bits, sorted: equal windows are neighbours.
+    mark = lambda i: _shift("left", _shift("right", F.xxhash64(*[F.get(w, i + k) for k in range(3)]), bits), bits).bitwiseOR(i.cast("long"))
+    at = lambda x: x.bitwiseAND(_shift("left", F.lit(1).cast("long"), bits) - 1).cast("int")
+    equal = lambda x, y: F.coalesce((_shift("right", x, bits) == _shift("right", y, bits)) & (F.get(w, at(x)) == F.get(w, at(y))) & (
+        F.get(w, at(x) + 1) == F.get(w, at(y) + 1)) & (F.get(w, at(x) + 2) == F.get(w, at(y) + 2)), F.lit(False))
+    again = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: equal(x, F.get(s, i - 1)) | equal(x, F.get(s, i + 1))), at))
+    # Words covered by windows of 3 that begin at the places ``p``.
+    covered = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
+    windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), mark))
+    return F.when(n >= 3, let(windows, lambda s: let(again(s), covered))).otherwise(F.lit(0)).cast("long")
+
+
 def base_rules(docs: DataFrame, text_col: str = "text", word_col: str = "_words") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to every row.
 
     ``word_col`` holds the words of the text, as ``common.words`` gives them; NULL texts have none.
     """
     text, w = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(word_col)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
+    bits = lambda w: F.ceil(F.log2(F.greatest(F.size(w), F.lit(2)) + 1.0)).cast("int")
     out = docs.withColumns({
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-        "_lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": let(w, lambda w: let(bits(w), lambda b: _repeat_words(w, F.size(w), b))),
     })
-    out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    # Hash of each 3-word window with its place in the low bits, sorted: equal windows are neighbours.
-    bits = F.ceil(F.log2(F.greatest(F.col("n_words"), F.lit(2)) + 1.0)).cast("int")
-    out = out.withColumn("_bits", bits)
-    place = F.sequence(F.lit(0), F.greatest(F.col("n_words") - 3, F.lit(0)).cast("int"))
-    mark = lambda i: F.call_function("shiftleft", F.call_function("shiftright", F.xxhash64(*[F.get(w, i + k) for k in range(3)]), F.col("_bits")), F.col("_bits")).bitwiseOR(i.cast("long"))
-    out = out.withColumn("_windows", F.when(F.col("n_words") >= 3, F.sort_array(F.transform(place, mark))).otherwise(F.array().cast("array<long>")))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
-    at = lambda x: x.bitwiseAND(low).cast("int")
-    head = lambda x: F.call_function("shiftright", x, F.col("_bits"))
-    same = lambda x, y: y.isNotNull() & (head(x) == head(y)) & (F.get(w, at(x)) == F.get(w, at(y))) & (
-        F.get(w, at(x) + 1) == F.get(w, at(y) + 1)) & (F.get(w, at(x) + 2) == F.get(w, at(y) + 2))
-    again = F.filter("_windows", lambda x, i: F.coalesce(same(x, F.get("_windows", i - 1)), F.lit(False)) | F.coalesce(same(x, F.get("_windows", i + 1)), F.lit(False)))
-    out = out.withColumn("_again", F.sort_array(F.transform(again, at)))
-    # Words covered by windows of 3 that begin at these places.
-    covered = F.aggregate(F.transform("_again", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_again", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    out = out.withColumn("n_repeat_words", covered.cast("long"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_lines", "_bits", "_windows", "_again")
+    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def ngram_buckets(word_col: str | Column, orders: tuple[int, ...] = (1, 2), buckets: int = BUCKETS) -> Column:
     """Buckets of all n-grams of the words, repeats included."""
-    w = F.col(word_col) if isinstance(word_col, str) else word_col
 
-    def of_order(n: int) -> Column:
+    def of_order(w: Column, n: int) -> Column:
         if n == 1:
             return F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
         places = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.pmod(F.xxhash64(*[F.get(w, i + k) for k in range(n)]), F.lit(buckets)).cast("int"))
 
-    parts = [of_order(n) for n in orders]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    return let(F.col(word_col) if isinstance(word_col, str) else word_col, lambda w: F.concat(*[of_order(w, n) for n in orders]))
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", orders: tuple[int, ...] = (1, 2), buckets: int = BUCKETS) -> list[float]:
@@ -88,7 +89,7 @@ def ratio_score(word_col: str, ratio: list[float], orders: tuple[int, ...] = (1,
     """Mean log ratio of the n-grams of a text; NULL if it has none."""
     table = F.split(F.lit(",".join(repr(x) for x in ratio)), ",").cast("array<double>")  # one folded literal of as many numbers as buckets
     b = ngram_buckets(word_col, orders, len(ratio))
-    total = F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(table, x))
+    total = let(table, lambda t: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(t, x)))
     w = F.size(word_col)
     count = sum((F.greatest(w - (n - 1), F.lit(0)) for n in orders), F.lit(0))
     return F.try_divide(total, count)
