@@ -74,8 +74,8 @@ def explain_top_k(df: DataFrame, features: Sequence[str], contributions: Sequenc
 
 
 def _fmt2(c: Column) -> Column:
-    # two decimals of the value rounded half away from zero (same text in Spark and DuckDB)
-    return F.format_string("%.2f", F.round(c * 100.0) / 100.0)
+    # two decimals, halves to even
+    return F.format_string("%.2f", F.bround(c * 100.0) / 100.0)
 
 
 def narrative(score: Column, explanations: Column) -> Column:
@@ -86,7 +86,7 @@ def narrative(score: Column, explanations: Column) -> Column:
     inc = F.filter(explanations, lambda e: e["direction"] == "increases")
     top = inc[0]
     primary = F.concat(F.lit("The primary driver is "), top["feature"], F.lit(" (value: "), _fmt2(top["value"]),
-                       F.lit(", "), F.format_string("%.0f", F.round(top["percentile"])),
+                       F.lit(", "), F.format_string("%.0f", F.bround(top["percentile"])),
                        F.lit("th percentile), which increases the anomaly score. "))
     others = F.concat(F.lit("Other contributing factors: "),
                       F.array_join(F.transform(F.slice(inc, 2, 2), lambda e: e["feature"]), ", "), F.lit("."))

@@ -14,7 +14,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,31 +73,37 @@ def running_sum(df: DataFrame, value: str, out: str, chunk_col: str = "_chunk",
             .drop("_coff"))
 
 
-def kth_smallest(df: DataFrame, col: Column | str, k: int, bins: int = 1024, local_limit: int = 50_000):
-    """The ``k``-th smallest non-null value (1-based, ties counted individually), or None."""
+def kth_smallest(df: DataFrame, col: Column | str, k: int, pivots: int = 63):
+    """The ``k``-th smallest non-null value (1-based, ties counted individually), or None.
+
+    Exact for every orderable type and at every size: each round counts the rows on, and between, up to ``pivots``
+    values drawn by hash from those left, compared in the column's own order (times as microseconds), and goes on
+    between two of them. Only the pivots and their counts reach the driver.
+    """
     c = F.col(col) if isinstance(col, str) else col
     cur = df.select(c.alias("_v")).where(F.col("_v").isNotNull())
-    while True:
-        st = cur.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-        if st is None or st["n"] == 0 or k < 1 or k > st["n"]:
+    kind = cur.schema["_v"].dataType.typeName()
+    key = {"timestamp": F.unix_micros("_v"), "timestamp_ntz": F.unix_micros(F.col("_v").cast("timestamp")),
+           "date": F.unix_date("_v")}.get(kind, F.col("_v")) if kind in ("timestamp", "timestamp_ntz", "date") else F.col("_v")
+    cur = cur.withColumn("_k", key)
+    while k >= 1:
+        drawn = cur.select("_k").distinct().orderBy(F.xxhash64("_k"), "_k").limit(pivots)
+        at = [r[0] for r in drawn.orderBy("_k").collect()]
+        if not at:
             return None
-        lo, hi, n = st["lo"], st["hi"], st["n"]
-        if lo == hi:
-            return lo
-        if n <= local_limit:
-            vals = sorted(r[0] for r in cur.collect())
-            return vals[k - 1]
-        width = float(hi) / bins - float(lo) / bins
-        if not (width > 0 and math.isfinite(width)):
-            raise ValueError("cannot split the value range further")
-        bucket = F.least(F.floor((F.col("_v").cast("double") - F.lit(float(lo))) / F.lit(width)),
-                         F.lit(bins - 1)).cast("int")
-        counts = sorted((r["_b"], r["c"]) for r in
-                        cur.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("c")).collect())
-        before = 0
-        for b, cnt in counts:
-            if before + cnt >= k:
-                k -= before
-                cur = cur.where(bucket == F.lit(b))
+        # 2 i + 1: on pivot i; 2 i: between the pivots before and after.
+        place = sum(((F.col("_k") > p).cast("int") + (F.col("_k") >= p).cast("int") for p in map(F.lit, at)), F.lit(0))
+        counts = sorted((r["_b"], r["c"]) for r in cur.groupBy(place.alias("_b")).agg(F.count(F.lit(1)).alias("c")).collect())
+        for b, n in counts:
+            if k <= n:
                 break
-            before += cnt
+            k -= n
+        else:
+            return None
+        if b % 2:
+            return cur.where(F.col("_k") == F.lit(at[b // 2])).select("_v").first()[0]
+        if b > 0:
+            cur = cur.where(F.col("_k") > F.lit(at[b // 2 - 1]))
+        if b < 2 * len(at):
+            cur = cur.where(F.col("_k") < F.lit(at[b // 2]))
+    return None

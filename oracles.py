@@ -503,21 +503,11 @@ FROM ev, cut GROUP BY 1""")
 # --------------------------------------------------------------------------------------
 
 def event_level_sql() -> str:
-    ev_sub = "(WITH " + EVENTS_DUCKDB_CTE.strip() + " SELECT * FROM ev)"
-    return ("SELECT event_id, round(round(src_port, 9), 6) AS src_port, round(round(bytes_in, 9), 6) AS bytes_in,\n"
-            "       round(round(bytes_out, 9), 6) AS bytes_out, round(round(duration, 9), 6) AS duration,\n"
-            "       CAST(status_failed AS INTEGER) AS status_failed, COLUMNS('proto_.*')::INTEGER FROM (\n"
-            + _EVENT_PIVOT.replace("FROM ev)", "FROM " + ev_sub + ")") + ")")
-
-
-_EVENT_PIVOT = """
-PIVOT (SELECT event_id, coalesce(CAST(src_port AS DOUBLE), 0.0) AS src_port,
-                    coalesce(CAST(bytes_in AS DOUBLE), 0.0) AS bytes_in,
-                    coalesce(CAST(bytes_out AS DOUBLE), 0.0) AS bytes_out,
-                    coalesce(CAST(duration AS DOUBLE), 0.0) AS duration,
-                    CASE WHEN status = 'failed' THEN 1 ELSE 0 END AS status_failed,
-                    'proto_' || protocol AS pcol FROM ev)
-     ON pcol USING count(*) GROUP BY event_id, src_port, bytes_in, bytes_out, duration, status_failed"""
+    nums = ", ".join(f"round(round(coalesce(CAST({c} AS DOUBLE), 0.0), 9), 6) AS {c}" for c in ("src_port", "bytes_in", "bytes_out", "duration"))
+    # The five protocols of the event projection (FIXTURES.md, section 4).
+    protos = ", ".join(f"CAST(coalesce(protocol = '{p}', false) AS INTEGER) AS proto_{p}" for p in ("dns", "http", "https", "smtp", "ssh"))
+    return (f"WITH {EVENTS_DUCKDB_CTE.strip()} SELECT event_id, {nums}, CAST(coalesce(status = 'failed', false) AS INTEGER) AS status_failed, "
+            f"{protos} FROM ev")
 
 
 def standard_scaling_sql() -> str:
