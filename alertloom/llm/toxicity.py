@@ -95,30 +95,31 @@ def _bags(batches):
     import pyarrow as pa
 
     for batch in batches:
-        made = [bag(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.astype("int32") for b, _ in made], pa.list_(pa.int32())),
-                                          pa.array([s.astype("float32") for _, s in made], pa.list_(pa.float32()))], names=["toxic", "ids", "share"])
+        made = [bag(t) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.astype("int32") for b, _ in made], pa.list_(pa.int32())),
+                                          pa.array([s.astype("float32") for _, s in made], pa.list_(pa.float32()))], names=["id", "toxic", "ids", "share"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """Fit on the labelled documents that ``may_learn`` (over the labels) allows: (effects, bias).
 
-    At most ``per_label`` documents of each label take part, those with the smallest hash of the id; their bags, at
-    most ``BUCKETS`` entries each, come to the driver. Other labels than 0 and 1 and NULL labels are left out.
+    At most ``per_label`` ids of each label take part, those with the smallest hash; of repeated ids the least text
+    counts. The bags, at most ``BUCKETS`` entries each, come to the driver; texts don't. Other labels than 0 and 1
+    and NULL labels are left out.
     """
     known = labels.where(may_learn).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
     draw = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
     chosen = F.broadcast(draw(0).union(draw(1)).distinct())  # per_label rows of each label at most
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(chosen, "_id").select("toxic", "_text", "_id")
-    # Repeated ids can be more than the bound: the first by hash again.
-    texts = texts.orderBy(F.xxhash64("_id", "_text")).limit(2 * per_label).select("toxic", "_text")
-    got = texts.mapInArrow(_bags, "toxic int, ids array<int>, share array<float>").toArrow()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(chosen, "_id")
+    texts = texts.groupBy("_id", "toxic").agg(F.min("_text").alias("_text"))
+    got = texts.mapInArrow(_bags, f"id {doc_type(texts, '_id')}, toxic int, ids array<int>, share array<float>").toArrow()
+    got = got.sort_by([("toxic", "ascending"), ("id", "ascending")]).combine_chunks()
     if not got.num_rows:
         return train([], [])
-    import numpy as np
-
-    rows = sorted(((y, i.tobytes(), s.tobytes()) for y, i, s in zip(got["toxic"].to_pylist(), *([np.asarray(x.values) for x in got[c]] for c in ("ids", "share")))))
-    return train([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(s, np.float32).astype(float)) for _, i, s in rows], [y for y, *_ in rows])
+    ids, share = got["ids"].combine_chunks(), got["share"].combine_chunks()
+    at = ids.offsets.to_numpy()
+    ids, share = ids.values.to_numpy(), share.values.to_numpy()
+    return train([(ids[i:j], share[i:j]) for i, j in zip(at, at[1:])], got["toxic"].to_pylist())
 
 
 def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", score_col: str = "score") -> DataFrame:
