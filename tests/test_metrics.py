@@ -105,5 +105,14 @@ def test_kth_smallest_refines(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v long")
     s = sorted(vals)
     for k in (1, 17, 2500, 5000):
-        assert kth_smallest(df, "v", k, bins=8, local_limit=100) == s[k - 1]
+        assert kth_smallest(df, "v", k, pivots=15) == s[k - 1]
     assert kth_smallest(df, "v", 5001) is None
+
+
+def test_kth_smallest_of_other_types(spark):
+    big = [2**62 + i for i in (5, 3, 3, 4, 9)]  # equal as doubles
+    names = ["b", "a", "é", "a", "c"]
+    times = [dt.datetime(2024, 1, 1, 0, 0, i) for i in (3, 1, 2, 2, 0)]
+    df = spark.createDataFrame(list(zip(big, names, times)), "v long, s string, t timestamp_ntz")
+    for col, vals in (("v", big), ("s", names), ("t", times)):
+        assert kth_smallest(df, col, 3, pivots=2) == sorted(vals)[2]
