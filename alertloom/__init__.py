@@ -8,11 +8,10 @@ import sys as _sys
 
 from alertloom.session import checkpoint_dir, get_spark
 
-try:  # ship the library's helpers inside task closures (executors need not have it installed)
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001 - older cloudpickle: install the package on the executors instead
-    pass
+from pyspark import cloudpickle as _cp
+
+# Task closures carry the library's helpers by value, so executors need not have it installed.
+_cp.register_pickle_by_value(_sys.modules[__name__])
 
 __all__ = ["get_spark", "checkpoint_dir"]
 __version__ = "0.1.0"

@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.scalar import flag
 
-MAX_CATEGORIES = 1000
 
+def fit_categories(df: DataFrame, col: str) -> list:
+    """F7 fit: sorted distinct non-null values, for a column known to be a small vocabulary (each
+    becomes a column); :func:`one_hot_vector` takes columns of any vocabulary."""
+    return sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().collect())
 
-def fit_categories(df: DataFrame, col: str, max_categories: int = MAX_CATEGORIES) -> list:
-    """F7 fit: sorted distinct non-null values (a small categorical vocabulary; refused when
-    the column has more than ``max_categories`` values, which would be an identifier)."""
-    vals = df.where(F.col(col).isNotNull()).select(col).distinct().limit(max_categories + 1).collect()
-    if len(vals) > max_categories:
-        raise ValueError(f"{col} has more than {max_categories} distinct values")
-    return sorted(r[0] for r in vals)
+
+def one_hot_vector(df: DataFrame, col: str, out: str) -> DataFrame:
+    """F7 for a vocabulary of any size: one sparse vector column, positions by falling frequency, ties by
+    value; NULL is a category of its own, the last."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    index = f"_{out}_index"
+    indexed = StringIndexer(inputCol=col, outputCol=index, handleInvalid="keep").fit(df).transform(df)
+    return OneHotEncoder(inputCol=index, outputCol=out, dropLast=False).fit(indexed).transform(indexed).drop(index)
 
 
 def one_hot(df: DataFrame, col: str, values: Sequence, prefix: str | None = None, drop: bool = True,

@@ -7,9 +7,8 @@
   ``overlap`` rows of each chunk into the next, so ``lag`` / short frames are exact per chunk.
 * :func:`running_sum` -- exact global running sums: chunk totals (one row per chunk) are
   prefix-summed and added to the in-chunk running sum.
-* :func:`kth_smallest` -- exact order statistic by range refinement: each round counts rows in
-  ``bins`` value ranges (at most ``bins`` rows reach the driver), keeps the range that holds the
-  k-th value, and ends when the candidates fit a bounded local sort.
+* :func:`kth_values` -- exact order statistics by refinement around drawn pivots; all ranks share
+  their rounds, and only pivots and counts reach the driver.
 """
 
 from __future__ import annotations
@@ -73,37 +72,63 @@ def running_sum(df: DataFrame, value: str, out: str, chunk_col: str = "_chunk",
             .drop("_coff"))
 
 
-def kth_smallest(df: DataFrame, col: Column | str, k: int, pivots: int = 63):
-    """The ``k``-th smallest non-null value (1-based, ties counted individually), or None.
+def kth_values(df: DataFrame, col: Column | str, ranks: Sequence[int], pivots: int = 63) -> list:
+    """The non-null values of the given ranks (1-based, ties counted individually), None beyond the last.
 
-    Exact for every orderable type and at every size: each round counts the rows on, and between, up to ``pivots``
-    values drawn by hash from those left, compared in the column's own order (times as microseconds), and goes on
-    between two of them. Only the pivots and their counts reach the driver.
+    Exact for every orderable type and at every size. All ranks share their rounds: a round draws up to ``pivots``
+    values by hash from each range that still holds a rank, counts the rows on and between them (values are compared
+    in the column's own order, times as microseconds), and narrows each rank to a pivot or to the range between two.
+    Only pivots and counts reach the driver, ``pivots`` for each open range; a round is two jobs.
     """
     c = F.col(col) if isinstance(col, str) else col
     cur = df.select(c.alias("_v")).where(F.col("_v").isNotNull())
     kind = cur.schema["_v"].dataType.typeName()
-    key = {"timestamp": F.unix_micros("_v"), "timestamp_ntz": F.unix_micros(F.col("_v").cast("timestamp")),
-           "date": F.unix_date("_v")}.get(kind, F.col("_v")) if kind in ("timestamp", "timestamp_ntz", "date") else F.col("_v")
+    key = {"timestamp": lambda: F.unix_micros("_v"), "timestamp_ntz": lambda: F.unix_micros(F.col("_v").cast("timestamp")),
+           "date": lambda: F.unix_date("_v")}.get(kind, lambda: F.col("_v"))()
     cur = cur.withColumn("_k", key)
-    while k >= 1:
-        drawn = cur.select("_k").distinct().orderBy(F.xxhash64("_k"), "_k").limit(pivots)
-        at = [r[0] for r in drawn.orderBy("_k").collect()]
-        if not at:
-            return None
+    found: dict[int, object] = {}
+    # (key above, key below), None where open -> {rank: rank inside the range}
+    ranges: dict[tuple, dict[int, int]] = {(None, None): {k: k for k in set(ranks) if k >= 1}}
+    while any(ranges.values()):
+        bounds = list(ranges)
+        inside = [F.lit(True) if lo is None else F.col("_k") > F.lit(lo) for lo, _ in bounds]
+        inside = [a if hi is None else a & (F.col("_k") < F.lit(hi)) for a, (_, hi) in zip(inside, bounds)]
+        drawn = None
+        for i, a in enumerate(inside):
+            some = (cur.where(a).groupBy("_k").agg(F.min("_v").alias("_v")).orderBy(F.xxhash64("_k"), "_k").limit(pivots)
+                    .select(F.lit(i).alias("_i"), "_k", "_v"))
+            drawn = some if drawn is None else drawn.unionAll(some)
+        at: list[list] = [[] for _ in bounds]
+        for r in drawn.orderBy("_i", "_k").collect():
+            at[r["_i"]].append((r["_k"], r["_v"]))
         # 2 i + 1: on pivot i; 2 i: between the pivots before and after.
-        place = sum(((F.col("_k") > p).cast("int") + (F.col("_k") >= p).cast("int") for p in map(F.lit, at)), F.lit(0))
-        counts = sorted((r["_b"], r["c"]) for r in cur.groupBy(place.alias("_b")).agg(F.count(F.lit(1)).alias("c")).collect())
-        for b, n in counts:
-            if k <= n:
-                break
-            k -= n
-        else:
-            return None
-        if b % 2:
-            return cur.where(F.col("_k") == F.lit(at[b // 2])).select("_v").first()[0]
-        if b > 0:
-            cur = cur.where(F.col("_k") > F.lit(at[b // 2 - 1]))
-        if b < 2 * len(at):
-            cur = cur.where(F.col("_k") < F.lit(at[b // 2]))
-    return None
+        place = F.lit(None)
+        for i, a in enumerate(inside):
+            if not at[i]:
+                continue
+            below = F.array(*[F.lit(k) for k, _ in at[i]])
+            steps = F.size(F.filter(below, lambda p: p < F.col("_k"))) + F.size(F.filter(below, lambda p: p <= F.col("_k")))
+            place = F.when(a, F.struct(F.lit(i).alias("i"), steps.alias("b"))).otherwise(place)
+        counts = cur.groupBy(place.alias("_p")).agg(F.count(F.lit(1)).alias("c")).where(F.col("_p").isNotNull()).select("_p.i", "_p.b", "c")
+        rows = sorted((r["i"], r["b"], r["c"]) for r in counts.collect())
+        narrower: dict[tuple, dict[int, int]] = {}
+        for i, (lo, hi) in enumerate(bounds):
+            here = [(b, c) for j, b, c in rows if j == i]
+            for rank, k in ranges[lo, hi].items():
+                for b, c in here:
+                    if k > c:
+                        k -= c
+                        continue
+                    if b % 2:
+                        found[rank] = at[i][b // 2][1]
+                    else:
+                        part = (at[i][b // 2 - 1][0] if b else lo, at[i][b // 2][0] if b < 2 * len(at[i]) else hi)
+                        narrower.setdefault(part, {})[rank] = k
+                    break
+        ranges = narrower
+    return [found.get(k) for k in ranks]
+
+
+def kth_smallest(df: DataFrame, col: Column | str, k: int, pivots: int = 63):
+    """The ``k``-th smallest non-null value, or None; see :func:`kth_values`."""
+    return kth_values(df, col, [k], pivots)[0]

@@ -1,19 +1,14 @@
-"""Isolation forest and local outlier factor as Spark jobs.
-
-Isolation forest (Liu, Ting, Zhou 2008):
-* each tree is grown on its own subsample of ``sample_size`` rows. Rows are picked by seeded
-  hashes -- a cheap first filter keeps only rows that any tree may use, then each tree takes
-  the rows whose per-tree hash is smallest -- so the training input of every tree is bounded
-  (about ``2 * sample_size`` rows per ``applyInPandas`` group) whatever the table size;
-* the forest (trees x at most ``2 * sample_size - 1`` nodes) is broadcast and every Arrow batch
-  is scored with a vectorised level-by-level walk: ``s = 2^(-E[h(x)] / c(psi))``.
-
-Local outlier factor (Breunig et al. 2000), novelty mode: the reference set is the fitted
-(training) table. It is broadcast only below ``max_reference`` rows (checked); its k-distances
-and local reachability densities are computed by a distributed pass over the reference rows,
-then new rows are scored batch by batch. Beyond the bound the fit is refused with an error.
-
-Scores are turned into [0, 1] by the batch percentile sigmoid (F23) or stored quantiles.
+"""Isolation forest as a Spark job.
+
+Isolation forest (Liu, Ting, Zhou 2008): each tree is grown on its own subsample of ``sample_size``
+rows. Rows are picked by seeded hashes of a unique id -- a first filter keeps only rows that any
+tree may use, then each tree takes the rows whose per-tree hash is smallest -- so the input of every
+tree is bounded (about ``2 * sample_size`` rows per ``applyInPandas`` group) whatever the table size.
+The forest (trees x at most ``2 * sample_size - 1`` nodes) is broadcast as plain arrays and every
+Arrow batch is scored with a vectorised level-by-level walk: ``s = 2^(-E[h(x)] / c(psi))``.
+
+Scores are turned into [0, 1] by the batch percentile sigmoid (F23) or stored quantiles. The local
+outlier factor (M5) is not here: an exact one needs a partitioned nearest-neighbour join.
 """
 
 from __future__ import annotations
@@ -28,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertloom.config import CONTAMINATION, ISOLATION_SAMPLE, ISOLATION_TREES, LOF_NEIGHBORS
+from alertloom.config import ISOLATION_SAMPLE, ISOLATION_TREES
 from alertloom.operators.scaling import exact_quantiles, fit_standard_scaler, percentile_sigmoid, standard_scale
 
 _EULER = 0.5772156649015329
@@ -91,11 +86,12 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int):
 
 def fit_isolation_forest(df: DataFrame, features: Sequence[str], n_trees: int = ISOLATION_TREES,
                          sample_size: int = ISOLATION_SAMPLE, seed: int = 42, scale: bool = True,
-                         id_col: str | None = None) -> Forest:
+                         *, id_col: str) -> Forest:
     """M4 fit. ``scale`` standardises features first (as the window-level scorer does); the
-    event-level variant (M11) fits on raw values."""
+    event-level variant (M11) fits on raw values. ``id_col`` is unique for each row: rows are drawn by
+    its hash, so equal feature rows are drawn one by one. Exactly ``n_trees`` trees, or an error."""
     feats = list(features)
-    data = df.select(*([id_col] if id_col else []), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f)
+    data = df.select(F.xxhash64(id_col).alias("_id"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f)
                                                       for f in feats])
     scaler = fit_standard_scaler(data, feats) if scale else None
     if scaler:
@@ -104,7 +100,7 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], n_trees: int =
     psi = min(sample_size, n)
     if n == 0:
         raise ValueError("cannot fit on an empty table")
-    key = F.col(id_col) if id_col else F.xxhash64(*[F.col(f) for f in feats])
+    key = F.col("_id")
     q_tree = min(1.0, 2.0 * psi / n)
     q_any = min(1.0, n_trees * q_tree)
     frac = lambda h: F.pmod(h, F.lit(1 << 62)).cast("double") / float(1 << 62)
@@ -117,7 +113,7 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], n_trees: int =
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["_tree"].iloc[0])
-        pdf = pdf.sort_values("_h").head(psi)
+        pdf = pdf.sort_values(["_h", "_id"]).head(psi)
         rng = np.random.default_rng(seed * 100_003 + t)
         f, th, l, r, s, d = _grow(pdf[feats].to_numpy(dtype=float), rng, max_depth)
         return pd.DataFrame({"tree": t, "node": np.arange(len(f)), "feature": f, "threshold": th,
@@ -125,6 +121,8 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], n_trees: int =
 
     nodes = per_tree.groupBy("_tree").applyInPandas(build, out_schema).toPandas()  # bounded forest
     trees = sorted(nodes.tree.unique())
+    if len(trees) != n_trees:
+        raise ValueError(f"{id_col} is not unique: only {len(trees)} of {n_trees} trees got rows")
     width = int(nodes.groupby("tree").node.max().max()) + 1
     arr = {k: np.full((len(trees), width), -1 if k in ("feature", "left", "right") else 0,
                       dtype=float if k == "threshold" else np.int64) for k in
@@ -137,22 +135,27 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], n_trees: int =
                   arr["size"], arr["depth"])
 
 
-def _path_lengths(forest: Forest, x: np.ndarray) -> np.ndarray:
+#: The arrays of a forest that scoring walks.
+_NODE_ARRAYS = ("feature", "threshold", "left", "right", "size", "depth")
+
+
+def _path_lengths(forest: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    feature, threshold, left, right, size, depth = (forest[k] for k in _NODE_ARRAYS)
     m = len(x)
     rows = np.arange(m)
-    out = np.zeros((m, forest.feature.shape[0]))
-    for t in range(forest.feature.shape[0]):
+    out = np.zeros((m, feature.shape[0]))
+    for t in range(feature.shape[0]):
         node = np.zeros(m, dtype=np.int64)
         while True:
-            f = forest.feature[t, node]
+            f = feature[t, node]
             active = f >= 0
             if not active.any():
                 break
             fa = np.where(active, f, 0)
-            go = x[rows, fa] < forest.threshold[t, node]
-            child = np.where(go, forest.left[t, node], forest.right[t, node])
+            go = x[rows, fa] < threshold[t, node]
+            child = np.where(go, left[t, node], right[t, node])
             node = np.where(active, child, node)
-        out[:, t] = forest.depth[t, node] + avg_path_length(forest.size[t, node])
+        out[:, t] = depth[t, node] + avg_path_length(size[t, node])
     return out
 
 
@@ -161,7 +164,8 @@ def isolation_scores(forest: Forest, df: DataFrame, keep: Sequence[str] = (), de
     """``keep`` columns + ``if_raw`` = 2^(-E[h]/c(psi)) (higher = more isolated) and, with
     ``depth_stats`` (M7), the mean and population std of the per-tree path lengths."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(forest)
+    # Plain arrays: workers unpickle a broadcast without this package.
+    bc = spark.sparkContext.broadcast({k: getattr(forest, k) for k in _NODE_ARRAYS})
     feats = forest.features
     data = df.select(*keep, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
     if forest.scaler:
@@ -186,143 +190,20 @@ def isolation_scores(forest: Forest, df: DataFrame, keep: Sequence[str] = (), de
     return data.mapInPandas(score, T.StructType(fields))
 
 
-# ------------------------------------------------------------------------------ LOF (M5)
-
-@dataclass
-class LofModel:
-    features: list[str]
-    scaler: dict[str, tuple[float, float]] | None
-    k: int
-    reference: np.ndarray
-    kdist: np.ndarray
-    lrd: np.ndarray
-
-
-_BLOCK = 128
+# ------------------------------------------------------------------------------ combined (M6 without LOF, M7, M11, T3)
 
+def score_outliers(forest: Forest, df: DataFrame, keep: Sequence[str], quantiles: Sequence[float] | None = None) -> DataFrame:
+    """``if_score`` (percentile sigmoid of the raw scores: the batch's own, or the stored ``quantiles``),
+    ``combined_score`` (equal to it, as there is no second detector) and the ``> 0.5`` flags.
+    One row per input row."""
+    s, _ = percentile_sigmoid(isolation_scores(forest, df, keep), "if_raw", "if_score", quantiles)
+    flags = (F.col("if_score") > 0.5).cast("int")
+    return s.withColumns({"if_anomaly": flags, "combined_score": F.col("if_score"), "is_anomaly": flags})
 
-def _dist(block: np.ndarray, ref: np.ndarray, ref_sq: np.ndarray) -> np.ndarray:
-    """Euclidean distances of a row block to every reference row (block x reference, via a
-    matrix product: memory is block x reference, never block x reference x features)."""
-    d2 = (block ** 2).sum(1)[:, None] + ref_sq[None, :] - 2.0 * block @ ref.T
-    return np.sqrt(np.maximum(d2, 0.0))
-
-
-def _knn(x: np.ndarray, ref: np.ndarray, k: int, self_ids: np.ndarray | None = None):
-    """k nearest reference rows of every row of ``x`` (indices, distances), in row blocks;
-    ``self_ids`` excludes each row's own reference index."""
-    ref_sq = (ref ** 2).sum(1)
-    idx = np.empty((len(x), k), dtype=np.int64)
-    dist = np.empty((len(x), k))
-    for s in range(0, len(x), _BLOCK):
-        d = _dist(x[s:s + _BLOCK], ref, ref_sq)
-        if self_ids is not None:
-            d[np.arange(len(d)), self_ids[s:s + _BLOCK]] = np.inf
-        nn = np.argpartition(d, k - 1, axis=1)[:, :k]
-        idx[s:s + _BLOCK], dist[s:s + _BLOCK] = nn, np.take_along_axis(d, nn, axis=1)
-    return idx, dist
-
-
-def fit_lof(df: DataFrame, features: Sequence[str], k: int = LOF_NEIGHBORS, scale: bool = True,
-            max_reference: int = 100_000, id_col: str = "_rid") -> LofModel:
-    """M5 fit: exact k-distances and local reachability densities of the reference rows."""
-    feats = list(features)
-    data = df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
-    scaler = fit_standard_scaler(data, feats) if scale else None
-    if scaler:
-        data = standard_scale(data, scaler)
-    n = data.count()
-    if n > max_reference:
-        raise ValueError(f"LOF reference set of {n} rows exceeds the broadcast bound {max_reference}")
-    if n <= k:
-        raise ValueError("LOF needs more reference rows than neighbours")
-    ref = data.toPandas()[feats].to_numpy(dtype=float)          # bounded by max_reference (checked)
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(ref)
-    ids = spark.range(n).withColumnRenamed("id", id_col)
 
-    def kdist(batches):
-        r = bc.value
-        for pdf in batches:
-            rid = pdf[id_col].to_numpy()
-            _, dist = _knn(r[rid], r, k, self_ids=rid)
-            yield pd.DataFrame({id_col: rid, "kd": dist.max(axis=1)})
-
-    kd = ids.mapInPandas(kdist, f"{id_col} long, kd double").toPandas().sort_values(id_col)["kd"].to_numpy()
-    bc2 = spark.sparkContext.broadcast((ref, kd))
-
-    def lrd(batches):
-        r, kdv = bc2.value
-        for pdf in batches:
-            rid = pdf[id_col].to_numpy()
-            nn, dist = _knn(r[rid], r, k, self_ids=rid)
-            reach = np.maximum(dist, kdv[nn])
-            yield pd.DataFrame({id_col: rid, "lrd": 1.0 / np.maximum(reach.mean(axis=1), 1e-10)})
-
-    lr = ids.mapInPandas(lrd, f"{id_col} long, lrd double").toPandas().sort_values(id_col)["lrd"].to_numpy()
-    return LofModel(feats, scaler, k, ref, kd, lr)
-
-
-def lof_scores(model: LofModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """``keep`` + ``lof_raw`` = local outlier factor of each row against the reference set."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast((model.reference, model.kdist, model.lrd))
-    feats, k = model.features, model.k
-    data = df.select(*keep, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
-    if model.scaler:
-        data = standard_scale(data, model.scaler)
-    schema = T.StructType([data.schema[c] for c in keep] + [T.StructField("lof_raw", T.DoubleType())])
-
-    def score(batches):
-        r, kd, lrd_ref = bc.value
-        for pdf in batches:
-            x = pdf[feats].to_numpy(dtype=float)
-            out = pdf[list(keep)].copy()
-            nn, dist = _knn(x, r, k)
-            reach = np.maximum(dist, kd[nn])
-            lrd_q = 1.0 / np.maximum(reach.mean(axis=1), 1e-10)
-            out["lof_raw"] = lrd_ref[nn].mean(axis=1) / lrd_q
-            yield out
-
-    return data.mapInPandas(score, schema)
-
-
-# ------------------------------------------------------------------------------ combined
-
-@dataclass
-class OutlierScorer:
-    forest: Forest
-    lof: LofModel | None = None
-    if_quantiles: tuple | None = None
-    lof_quantiles: tuple | None = None
-    contamination: float = CONTAMINATION   # kept for the record: the batch normalisation cancels it
-
-
-def fit_outliers(df: DataFrame, features: Sequence[str], use_lof: bool = True, n_trees: int = ISOLATION_TREES,
-                 sample_size: int = ISOLATION_SAMPLE, k: int = LOF_NEIGHBORS, seed: int = 42,
-                 max_reference: int = 100_000) -> OutlierScorer:
-    forest = fit_isolation_forest(df, features, n_trees, sample_size, seed)
-    lof = fit_lof(df, features, k, max_reference=max_reference) if use_lof else None
-    return OutlierScorer(forest, lof)
-
-
-def score_outliers(scorer: OutlierScorer, df: DataFrame, keep: Sequence[str], stored: bool = False) -> DataFrame:
-    """M6: ``if_score``, ``lof_score`` (batch sigmoid of the raw scores, or the stored
-    quantiles when ``stored``), ``combined_score`` = their mean (IF alone without LOF) and the
-    ``> 0.5`` flags."""
-    keep = list(keep)
-    s = isolation_scores(scorer.forest, df, keep)
-    s, q_if = percentile_sigmoid(s, "if_raw", "if_score", scorer.if_quantiles if stored else None)
-    out = s.withColumn("if_anomaly", (F.col("if_score") > 0.5).cast("int"))
-    if scorer.lof is not None:
-        lf = lof_scores(scorer.lof, df, keep)
-        lf, q_lof = percentile_sigmoid(lf, "lof_raw", "lof_score", scorer.lof_quantiles if stored else None)
-        out = out.join(lf.select(*keep, "lof_raw", "lof_score"), keep, "inner")
-        out = (out.withColumn("lof_anomaly", (F.col("lof_score") > 0.5).cast("int"))
-               .withColumn("combined_score", (F.col("if_score") + F.col("lof_score")) / 2))
-    else:
-        out = out.withColumn("combined_score", F.col("if_score"))
-    return out.withColumn("is_anomaly", (F.col("combined_score") > 0.5).cast("int"))
+def top_anomalies(scored: DataFrame, k: int, score: str = "if_score", id_col: str = "event_id") -> DataFrame:
+    """The ``k`` rows with the highest score, ties to the smaller id."""
+    return scored.orderBy(F.col(score).desc(), id_col).limit(k)
 
 
 def isolation_depth(forest: Forest, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -334,9 +215,9 @@ def isolation_depth(forest: Forest, df: DataFrame, keep: Sequence[str]) -> DataF
 
 
 def event_isolation_forest(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str],
-                           n_trees: int = ISOLATION_TREES, seed: int = 42) -> DataFrame:
+                           n_trees: int = ISOLATION_TREES, seed: int = 42, id_col: str = "event_id") -> DataFrame:
     """Unscaled forest on event rows, min-max normalised scores; the attack rate (capped
     at 0.5) is the contamination -- recorded only, as it does not change the ranking."""
-    forest = fit_isolation_forest(df, features, n_trees, ISOLATION_SAMPLE, seed, scale=False)
+    forest = fit_isolation_forest(df, features, n_trees, ISOLATION_SAMPLE, seed, scale=False, id_col=id_col)
     from alertloom.operators.scaling import min_max
     return min_max(isolation_scores(forest, df, list(keep) + [label]), "if_raw", "if_score")

@@ -1,7 +1,7 @@
 """Fitted scaling and score normalisation.
 
 Fitting returns a handful of numbers per column (collected once, like a model); applying them is a
-projection. Batch quantiles are exact order statistics from :func:`kth_smallest`, with linear
+projection. Batch quantiles are exact order statistics from :func:`kth_values`, with linear
 interpolation between ranks (the usual ``(n - 1) * p`` definition).
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.operators.ordering import kth_smallest
+from alertloom.operators.ordering import kth_values
 
 
 def fit_standard_scaler(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -39,18 +39,13 @@ def exact_quantiles(df: DataFrame, col: Column | str, probs: Sequence[float]) ->
     n = vals.count()
     if n == 0:
         return [None for _ in probs]
-    cache: dict[int, float] = {}
-
-    def kth(k: int) -> float:
-        if k not in cache:
-            cache[k] = kth_smallest(vals, "_q", k)
-        return cache[k]
+    ends = [(int(math.floor((n - 1) * p)), int(math.ceil((n - 1) * p))) for p in probs]
+    ranks = sorted({r + 1 for pair in ends for r in pair})
+    value = dict(zip(ranks, kth_values(vals, "_q", ranks)))
     out = []
-    for p in probs:
-        h = (n - 1) * p
-        lo, hi = int(math.floor(h)), int(math.ceil(h))
-        a, b = kth(lo + 1), kth(hi + 1)
-        out.append(a + (h - lo) * (b - a))
+    for p, (lo, hi) in zip(probs, ends):
+        a, b = value[lo + 1], value[hi + 1]
+        out.append(a + ((n - 1) * p - lo) * (b - a))
     return out
 
 

@@ -211,7 +211,8 @@ def contributions(model: SupervisedModel, df: DataFrame, keep: Sequence[str] = (
     tab = tree_table(model)
     roots = [_root(tab, t) for t in range(len(tab.weights))]
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast((tab, roots))
+    # Plain arrays: workers unpickle a broadcast without this package.
+    bc = spark.sparkContext.broadcast((tab.weights, tab.feature, tab.threshold, tab.left, tab.right, tab.value, roots))
     feats = list(model.features)
     nf = len(feats)
     base = float(sum(w * tab.value[t][roots[t]] for t, w in enumerate(tab.weights)))
@@ -222,24 +223,24 @@ def contributions(model: SupervisedModel, df: DataFrame, keep: Sequence[str] = (
                              T.StructField("base", T.DoubleType()), T.StructField("margin", T.DoubleType())])
 
     def walk(batches):
-        tb, rts = bc.value
+        weights, feature, threshold, left, right, value, rts = bc.value
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype=float)
             m = len(x)
             contrib = np.zeros((m, nf))
             rows = np.arange(m)
-            for t, w in enumerate(tb.weights):
+            for t, w in enumerate(weights):
                 node = np.full(m, rts[t], dtype=np.int64)
                 while True:
-                    f = tb.feature[t][node]
+                    f = feature[t][node]
                     active = f >= 0
                     if not active.any():
                         break
                     fa = np.where(active, f, 0)
-                    go_left = x[rows, fa] <= tb.threshold[t][node]
-                    child = np.where(go_left, tb.left[t][node], tb.right[t][node])
+                    go_left = x[rows, fa] <= threshold[t][node]
+                    child = np.where(go_left, left[t][node], right[t][node])
                     child = np.where(active, child, node)
-                    delta = w * (tb.value[t][child] - tb.value[t][node])
+                    delta = w * (value[t][child] - value[t][node])
                     np.add.at(contrib, (rows[active], fa[active]), delta[active])
                     node = child
             out = pdf[keep + feats].copy()

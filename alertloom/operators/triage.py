@@ -64,11 +64,12 @@ def alert_reduction(scored: DataFrame, baseline_threshold: float = 0.0, model_th
 
 
 def reduction_from_counts(counts: DataFrame, baseline_col: str = "baseline_alerts",
-                          model_col: str = "model_alerts", total_col: str = "total_events") -> DataFrame:
-    """The count-based definition (relative to baseline alerts, not to the total)."""
+                          model_col: str = "model_alerts", total_col: str = "total_events",
+                          keep: tuple[str, ...] = ()) -> DataFrame:
+    """The count-based definition (relative to baseline alerts, not to the total), beside the ``keep`` columns."""
     b, m, t = F.col(baseline_col), F.col(model_col), F.col(total_col)
     rate = m / F.greatest(t, F.lit(1)).cast("double")
-    return counts.select(b.alias("baseline_alerts"), m.alias("model_alerts"),
-                         (b - m).alias("absolute_reduction"),
-                         (F.lit(1.0) - m / F.greatest(b, F.lit(1)).cast("double")).alias("relative_reduction"),
-                         rate.alias("alert_rate"), (rate * 1000).alias("alerts_per_1000"))
+    out = {"baseline_alerts": b, "model_alerts": m, "absolute_reduction": b - m,
+           "relative_reduction": F.lit(1.0) - m / F.greatest(b, F.lit(1)).cast("double"),
+           "alert_rate": rate, "alerts_per_1000": rate * 1000}
+    return counts.select(*keep, *[c.alias(n) for n, c in out.items() if n not in keep])
