@@ -101,6 +101,8 @@ def kth_values(df: DataFrame, col: Column | str, ranks: Sequence[int], pivots: i
         at: list[list] = [[] for _ in bounds]
         for r in drawn.orderBy("_i", "_k").collect():
             at[r["_i"]].append((r["_k"], r["_v"]))
+        if not any(at):
+            break
         # 2 i + 1: on pivot i; 2 i: between the pivots before and after.
         place = F.lit(None)
         for i, a in enumerate(inside):
