@@ -101,4 +101,48 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_classlm, op4_sharding, op5_topk, op6_mixing, op7_repeats, op8_langid, op9_toxicity, op10_simhash)}
 
-ORACLES: dict[str, str] = {}
+#: Words without those of windows that start earlier. A word goes if one of the 20 windows that cover it goes.
+REPEATS_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS place,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), windows AS (
+  SELECT rid, place, s, array_to_string(list_slice(words, s, s + 19), ' ') AS phrase
+  FROM (SELECT rid, place, words, unnest(range(1, len(words) - 18)) AS s FROM docs)
+), judged AS (
+  SELECT rid, s, min(place) OVER (PARTITION BY phrase) < place OR min(s) OVER (PARTITION BY phrase, rid) < s AS goes
+  FROM windows
+), each_word AS (
+  SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS s FROM docs
+), covered AS (
+  SELECT w.rid, w.s, w.word,
+         bool_or(coalesce(j.goes, false)) OVER (PARTITION BY w.rid ORDER BY w.s ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM each_word w LEFT JOIN judged j ON j.rid = w.rid AND j.s = w.s
+), kept AS (
+  SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY s) FILTER (WHERE NOT gone) AS text
+  FROM covered GROUP BY rid
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.rid = d.rid
+"""
+
+#: Ranked inner products of whole numbers; as doubles they are exact below 2**53.
+TOPK_SQL = """
+WITH whole AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), filled AS (
+  SELECT rid, vec_id, list_resize(v, (SELECT max(len(v)) FROM whole), 0) AS v FROM whole
+), ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY q.rid ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id NULLS LAST, c.rid) AS rank
+  FROM filled q JOIN filled c ON q.rid <> c.rid
+  WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLES: dict[str, str] = {"op5_topk": TOPK_SQL, "op7_repeats": REPEATS_SQL}
