@@ -67,8 +67,15 @@ def anchors(hashes):
     return at, h
 
 
+def runs(values):
+    """Where runs of equal values begin."""
+    import numpy as np
+
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+
+
 def _list_anchors(batches):
-    """mapInArrow: (key, text) to the distinct anchors of each document and their places there (2: or more)."""
+    """mapInArrow: (key, text) to the distinct anchors of each document and their segments there (2 if it stands at several places of one)."""
     import numpy as np
     import pyarrow as pa
 
@@ -77,9 +84,13 @@ def _list_anchors(batches):
         keys, found, places = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             at, h = anchors(hashes((text or "").encode().split()))
-            value, n = np.unique(h[at[np.flatnonzero(np.diff(at, prepend=-1))]], return_counts=True)
+            at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+            value, n = np.unique(h[at], return_counts=True)
+            begins = runs(h[at])
+            if len(begins) < len(at):
+                n = np.maximum(np.unique(h[at[begins]], return_counts=True)[1], np.minimum(n, 2))
             found.append(value)
-            places.append(np.minimum(n, 2))
+            places.append(n)
             keys.append(np.full(len(value), key, np.int64))
         if found:
             cols = (np.concatenate(keys), np.concatenate(found).view(np.int64), np.concatenate(places).astype(np.int32))
@@ -104,7 +115,10 @@ def _unpack(z: bytes | None) -> bytes:
 
 
 def _segments(shards: int):
-    """mapInArrow: (key, ord, z, anchors that recur) to segments: runs of windows with one anchor, as word codes."""
+    """mapInArrow: (key, ord, z, anchors that recur) to segments: runs of windows with one anchor, as word codes.
+
+    A run goes on over several places of the anchor, so a phrase said over and over is one segment.
+    """
 
     def run(batches):
         import numpy as np
@@ -117,17 +131,15 @@ def _segments(shards: int):
                 h = hashes(_unpack(z).split())
                 at, gram = anchors(h)
                 codes = (h >> np.uint64(32)).astype("<u4")
-                live = np.isin(gram[at], np.array(wanted, np.int64).view(np.uint64))
-                # Runs of windows with the same live anchor place.
-                edge = np.flatnonzero(np.diff(at, prepend=-1))
+                edge = runs(gram[at])
                 ends = np.append(edge[1:], len(at))
-                for s, e in zip(edge, ends):
-                    if live[s]:
-                        out[0].append(int(gram[at[s]].view(np.int64) % shards))
-                        out[1].append(key)
-                        out[2].append(order)
-                        out[3].append(int(s))
-                        out[4].append(codes[s : e + WINDOW - 1].tobytes())
+                anchor = gram[at[edge]]
+                live = np.flatnonzero(np.isin(anchor, np.array(wanted, np.int64).view(np.uint64)))
+                out[0] += (anchor[live].view(np.int64) % shards).tolist()
+                out[1] += [key] * len(live)
+                out[2] += [order] * len(live)
+                out[3] += edge[live].tolist()
+                out[4] += [codes[s : e + WINDOW - 1].tobytes() for s, e in zip(edge[live].tolist(), ends[live].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                                              names=["shard", "key", "ord", "start", "codes"])
 

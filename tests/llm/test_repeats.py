@@ -70,3 +70,19 @@ def test_stripped_documents(spark):
     assert 500 not in rows and 0 in rows  # a copy goes, the first stays
     assert all(r.n_chars == len(r.text) for r in rows.values())
     assert repeats.strip_repeats(df.limit(0)).count() == 0
+
+
+def test_phrases_said_over_and_over_stay_few_segments(spark):
+    import pyarrow as pa
+
+    rows = [(i, " ".join(f"v{i}x{j}" for j in range(i)) + " spam eggs" * (40 + i) + " " + " ".join(f"k{j % 30}" for j in range(200)), "en", "s")
+            for i in range(25)]
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(doc_frame(spark, rows)).collect()), key=str)
+    assert got == brute([(r[0], r[1]) for r in rows])
+    words = "spam eggs" + " spam eggs" * 500
+    anchor = pa.Table.from_batches(repeats._list_anchors([pa.record_batch({"key": [1], "t": [words]})]))
+    assert anchor.column("n").to_pylist() == [2]
+    batch = pa.record_batch({"key": [1], "ord": [1], "z": pa.array([None], pa.binary()), "wanted": [anchor.column("anchor").to_pylist()]})
+    packed = next(repeats._compress([pa.record_batch({"key": [1], "t": [words]})])).column("z")
+    segments = pa.Table.from_batches(repeats._segments(3)([batch.set_column(2, "z", packed)]))
+    assert segments.num_rows == 1 and len(segments.column("codes")[0].as_py()) == 4 * 1002
