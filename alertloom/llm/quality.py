@@ -73,8 +73,8 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     import math
 
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_in", F.lit(1))
-    # Texts move once, uncut: arrays of their words take over twice the room. Small tables of ids are broadcast by Spark's own size check.
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left")
+    # Texts move once, uncut (arrays of their words take over twice the room) and unsorted, to the ids' hash tables; the plan is one at every size.
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids.hint("shuffle_hash"), "_id", "left")
     one = marked.select("_in", F.explode(ngram_buckets(words("_text"), orders, buckets)).alias("b"))
     counts = one.groupBy("b").agg(F.count(F.lit(1)).alias("every"), F.count("_in").alias("good")).collect()
     every, good = [1] * buckets, [1] * buckets
