@@ -1,15 +1,16 @@
 """Brown class-based bigram model: exchange clustering, class transitions and word emissions.
 
-The units that are clustered are the most frequent training words and, for all others, groups of words
-with the same hashed ending; so every word, seen or not, has a class. Unit bigrams are counted over the
-whole training corpus; their number is bounded by the units, and the exchange algorithm moves one unit at a
-time to the class that raises the corpus likelihood most, until no move helps. A token's probability mixes
-P(class | class before) * P(word | class) with the smoothed frequency of the word alone.
+The most frequent training words and, for all others, groups of words with the same hashed ending are clustered
+by the exchange algorithm, which moves one unit at a time to the class that raises the corpus likelihood most. From
+there every training word gets a class of its own: sweeps over the whole corpus count the classes before and after
+each word, and each word takes the class that explains them best. Groups of endings stay for unseen words only.
+A token's probability mixes P(class | class before) * P(word | class) with the smoothed frequency of the word alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -18,36 +19,56 @@ from pyspark.sql import functions as F
 from alertloom.llm.common import doc_type, materialise, with_row_id, words
 
 #: Words that are units of their own, groups of endings for the rest, and classes besides that of the text's end.
-UNIT_WORDS, ENDINGS, CLASSES = 768, 256, 48
-#: Most frequent words whose counts every worker holds; the counts of all others are joined.
+UNIT_WORDS, ENDINGS, CLASSES = 1024, 512, 48
+END = ENDINGS + UNIT_WORDS
+#: Sweeps over the corpus that give every word its class; they stop early when the likelihood does not rise.
+SWEEPS = 2
+#: Most frequent words whose counts and classes every worker holds; those of all others are joined.
 HELD_WORDS = 200_000
+#: Tokens whose neighbours' classes a worker counts before it passes them on.
+COUNTED = 4_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass
 class Model:
-    """A fitted model. ``counts`` is the written table (word, c) of all training words; the rest is bounded."""
+    """A fitted model. ``counts`` is the written table (word, c, k) of all training words and their classes; the rest is bounded."""
 
     counts: DataFrame
     tokens: int  # N, ends included
     distinct: int  # V, the end included
-    unit_words: list[str]
-    unit_class: Any  # class of each unit: words, endings, the end
+    ending_class: Any  # class of each group of endings, for unseen words
     transitions: Any  # P(class | class before)
     emission_sizes: Any  # denominators of P(word | class)
     smooth: float = 0.1
     class_weight: float = 0.9
 
+    @cached_property
+    def _words(self):
+        return self.counts.select("word", "k").toArrow()
+
+    @property
+    def unit_words(self) -> list[str]:
+        """All training words, to look into a small model: the whole table comes to the driver."""
+        return self._words["word"].to_pylist()
+
+    @property
+    def unit_class(self):
+        """Class of each group of endings and each of ``unit_words``."""
+        import numpy as np
+
+        return np.append(self.ending_class, self._words["k"].to_numpy())
+
 
 def ending_unit(word: bytes) -> int:
     """Group of a word that is no unit of its own, by its last three bytes."""
     import zlib
 
-    return UNIT_WORDS + zlib.crc32(word[-3:]) % ENDINGS
+    return zlib.crc32(word[-3:]) % ENDINGS
 
 
 def unit_index(unit_words: list[str], limit: int = 300_000) -> dict:
-    """Dict from a word's bytes to its unit that finds the groups of all other words."""
+    """Dict from a word's bytes to its unit, after those of the endings, that finds the groups of all other words."""
 
     class Units(dict):
         def __missing__(self, word):
@@ -56,7 +77,7 @@ def unit_index(unit_words: list[str], limit: int = 300_000) -> dict:
                 self[word] = unit
             return unit
 
-    return Units((w.encode(), i) for i, w in enumerate(unit_words))
+    return Units((w.encode(), ENDINGS + i) for i, w in enumerate(unit_words))
 
 
 def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -72,7 +93,7 @@ def _bigrams(unit_words: list[str]):
         import numpy as np
         import pyarrow as pa
 
-        units, end = unit_index(unit_words), UNIT_WORDS + ENDINGS
+        units, end = unit_index(unit_words), END
         side = end + 1
         total = np.zeros(side * side, np.int64)
         for batch in batches:
@@ -148,86 +169,265 @@ def exchange(pairs, classes: int, sweeps: int = 8):
     return cls
 
 
+def _first_classes(unit_words: list[str], unit_class):
+    """mapInArrow: (word, c) to (word, c, class of its unit)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        units = unit_index(unit_words, 0)
+        for batch in batches:
+            k = unit_class[np.fromiter((units[w.encode()] for w in batch.column(0).to_pylist()), np.int64, batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k, pa.int32())], names=["word", "c", "k"])
+
+    return run
+
+
+def held_words(table: DataFrame):
+    """The most frequent words with counts and classes, HELD_WORDS rows at most, broadcast as an Arrow table."""
+    top = table.orderBy(F.col("c").desc(), "word").limit(HELD_WORDS).select("word", "c", "k").toArrow()
+    return table.sparkSession.sparkContext.broadcast(top)
+
+
+def word_index(held) -> dict:
+    """Dict from a held word's bytes to its row; -1 for all others."""
+
+    class Index(dict):
+        def __missing__(self, word):
+            return -1
+
+    return Index((w.encode(), i) for i, w in enumerate(held["word"].to_pylist()))
+
+
+def _contexts(shared, named: bool):
+    """mapInArrow: texts to (id, n, a, a_at, a_class, b, b_at, b_class).
+
+    ``id`` below 0: n pairs of held words of two classes. From 0 on, only with ``named``: n neighbours of one class
+    before or after a held word, ``id`` being 2 * (CLASSES + 1) * its row + the class, + CLASSES + 1 if after it.
+    NULL: a pair of neighbours of which one at least isn't held; of held ones row and class are given, of others the word.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, side = shared.value, CLASSES + 1
+        index, cls, end = word_index(held), np.append(held["k"].to_numpy(), CLASSES).astype(np.int64), held.num_rows
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+        schema = pa.schema(list(zip(("id", "n", "a", "a_at", "a_class", "b", "b_at", "b_class"), kinds)))
+
+        def word(i, token):
+            return (None, i, int(cls[i])) if i >= 0 else (token.decode(), -1, -1)
+
+        def count(seq, tokens):
+            for i in [i for i in range(len(seq) - 1) if seq[i] < 0 or seq[i + 1] < 0]:
+                pair = word(seq[i], tokens[i]) + word(seq[i + 1], tokens[i + 1])
+                pairs[pair] = pairs.get(pair, 0) + 1
+            x, y = np.array(seq[:-1], np.int64), np.array(seq[1:], np.int64)
+            ok = (x >= 0) & (y >= 0)
+            x, y = x[ok], y[ok]
+            both[:] += np.bincount(cls[x] * side + cls[y], minlength=side * side)
+            if named:
+                codes.append(np.concatenate([x * 2 * side + side + cls[y], y * 2 * side + cls[x]]))
+
+        def out():
+            at = np.flatnonzero(both)
+            ids, n = -1 - at, both[at]
+            if codes:
+                values, times = np.unique(np.concatenate(codes), return_counts=True)
+                ids, n = np.append(ids, values), np.append(n, times)
+            cols = [pa.array(ids), pa.array(n), *(pa.nulls(len(ids), k) for k in kinds[2:])]
+            yield from pa.table(cols, schema=schema).to_batches(100_000)
+            if pairs:
+                cols = [pa.nulls(len(pairs), pa.int64()), pa.array(list(pairs.values()), pa.int64())]
+                yield from pa.table([*cols, *(pa.array(c, k) for c, k in zip(zip(*pairs), kinds[2:]))], schema=schema).to_batches(100_000)
+
+        both, codes, pairs, size = np.zeros(side * side, np.int64), [], {}, 0
+        for batch in batches:
+            seq, tokens = [end], [b""]
+            for text in batch.column(0).to_pylist():
+                parts = (text or "").encode().lower().split()
+                seq += map(index.__getitem__, parts)
+                seq.append(end)
+                tokens += parts
+                tokens.append(b"")
+                if len(seq) > 500_000:
+                    count(seq, tokens)
+                    size, seq, tokens = size + len(seq), [end], [b""]
+            count(seq, tokens)
+            size += len(seq)
+            if size > COUNTED:
+                yield from out()
+                both[:], codes, pairs, size = 0, [], {}, 0
+        yield from out()
+
+    return run
+
+
+def contexts(texts: DataFrame, table: DataFrame, named: bool = True):
+    """Counts of class pairs, a square array, and the words with the broadcast that knows the held ones.
+
+    The words are (word, at, k, near): the word and its class, or the row of a held one, and counts of the classes before
+    it and (from CLASSES + 1) after it.
+    """
+    import numpy as np
+
+    side, shared = CLASSES + 1, held_words(table)
+    rows = materialise(texts.mapInArrow(_contexts(shared, named), "id long, n long, a string, a_at int, a_class int, b string, b_at int, b_class int"))
+    # Only words that aren't held are looked up; a key with a space matches none and spreads the others.
+    pairs = rows.where("id is null").withColumn("none", F.concat(F.lit(" "), F.xxhash64("a", "b").cast("string")))
+    first = table.select(F.col("word").alias("first"), F.col("k").alias("first_k"))
+    second = table.select(F.col("word").alias("second"), F.col("k").alias("second_k"))
+    pairs = pairs.join(first, F.coalesce("a", "none") == F.col("first"), "left").join(second, F.coalesce("b", "none") == F.col("second"), "left")
+    pairs = materialise(pairs.select("n", "a", "a_at", F.coalesce("first_k", "a_class").alias("a_class"), "b", "b_at", F.coalesce("second_k", "b_class").alias("b_class")))
+    both = np.zeros(side * side)
+    found = rows.where("id < 0").select((-1 - F.col("id")).alias("at"), "n").union(pairs.select((F.col("a_class") * side + F.col("b_class")).cast("long"), "n"))
+    for r in found.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        both[r.at] = r.n
+    both = both.reshape(side, side)
+    if not named:
+        return both, None, shared
+    one = lambda x, code: F.struct(F.col(x).alias("word"), F.col(f"{x}_at").alias("at"), F.col(f"{x}_class").alias("k"), code.alias("code"), "n")
+    each = pairs.select(F.explode(F.array(one("a", F.col("b_class") + side), one("b", F.col("a_class")))).alias("x")).select("x.*")
+    # A task gives at most two rows of a class for a held word; what the joins add is summed first.
+    more = each.where("word is null").groupBy((F.col("at").cast("long") * (2 * side) + F.col("code")).alias("id")).agg(F.sum("n").alias("n"))
+    held = rows.where("id >= 0").select("id", "n").union(more).withColumn("at", F.expr(f"cast(id div {2 * side} as int)"))
+    held = held.where(F.col("at") < shared.value.num_rows).repartition("at").groupBy("at", "id").agg(F.sum("n").alias("n"))
+    held = held.groupBy("at").agg(F.collect_list(F.struct((F.col("id") % (2 * side)).cast("int").alias("code"), "n")).alias("near"))
+    rest = each.where("word is not null").groupBy("word", "k").agg(F.collect_list(F.struct("code", "n")).alias("near"))
+    none = F.lit(None)
+    return both, held.select(none.cast("string").alias("word"), "at", none.cast("int").alias("k"), "near").union(rest.select("word", F.lit(-1), "k", "near")), shared
+
+
+def likelihood(both) -> float:
+    """The part of the corpus' log likelihood that the classes change."""
+    import numpy as np
+
+    log = lambda x: float((x * np.log(np.maximum(x, 1.0))).sum())
+    return log(both) - log(both.sum(0)) - log(both.sum(1))
+
+
+def _choose(both, shared, smooth: float):
+    """mapInArrow: (word, at, k, near) to (word, c, class whose neighbours explain those of the word best).
+
+    In its own class a word is judged without its own counts. Ties stay, then go to the smaller class.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held, side = shared.value, CLASSES + 1
+        names, classes = held["word"].combine_chunks(), held["k"].to_numpy()
+        share = lambda x: np.log((x + smooth) / (x.sum(-1, keepdims=True) + smooth * side))
+        after, before = share(both), share(both.T)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 10_000):
+                batch = whole.slice(i, 10_000)
+                at, near = batch.column(1).to_numpy(), batch.column(3)
+                own = batch.column(2).fill_null(0).to_numpy().copy()
+                own[at >= 0] = classes[at[at >= 0]]
+                flat, rows = near.flatten(), np.arange(batch.num_rows)
+                n = np.zeros((batch.num_rows, 2 * side))
+                sizes = near.value_lengths().to_numpy()
+                np.add.at(n, (np.repeat(rows, sizes), flat.field(0).to_numpy()), flat.field(1).to_numpy())
+                left, right = n[:, :side], n[:, side:]
+                gain = (right @ after.T + left @ before.T)[:, :CLASSES]
+                alone = (right * share(np.maximum(both[own] - right, 0))).sum(1) + (left * share(np.maximum(both.T[own] - left, 0))).sum(1)
+                gain[rows, own] = alone
+                new = np.argmax(gain, 1)
+                new = np.where(gain[rows, new] > alone + 1e-9, new, own)
+                word = names.take(pa.array(at, pa.int32(), mask=at < 0)) if len(names) else batch.column(0)
+                yield pa.RecordBatch.from_arrays([pc.coalesce(batch.column(0), word.cast(pa.string())), pa.array(left.sum(1).astype(np.int64)), pa.array(new, pa.int32())],
+                                                 names=["word", "c", "k"])
+
+    return run
+
+
 def fit(docs: DataFrame, text_col: str = "text", smooth: float = 0.1, class_weight: float = 0.9) -> Model:
-    """Fit on all given documents. Counts cover every token; NULL texts have an end alone.
+    """Fit on all given documents. Counts and classes cover every token and word; NULL texts have an end alone.
 
-    To the driver come the unit words, one number per pair of units and per class, and the totals.
+    To the driver come the unit words, one number per pair of units and per pair of classes, the totals and the held words.
     """
     import numpy as np
 
+    texts = docs.select(F.col(text_col).cast("string"))
     counts = materialise(token_counts(docs, text_col))
     n_docs = docs.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     unit_words = [r.word for r in counts.orderBy(F.col("c").desc(), "word").limit(UNIT_WORDS).collect()]
-    side = UNIT_WORDS + ENDINGS + 1
-    made = docs.select(F.col(text_col).cast("string")).mapInArrow(_bigrams(unit_words), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    side = END + 1
+    made = texts.mapInArrow(_bigrams(unit_words), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(side * side)
     pairs[made["code"].to_numpy()] = made["n"].to_numpy()
+    del made
     cls = exchange(pairs.reshape(side, side), CLASSES)
-    one = np.zeros((side, CLASSES + 1))
-    one[np.arange(side), cls] = 1
-    both = one.T @ pairs.reshape(side, side) @ one
+    del pairs
+
+    table = counts.select("word", "c").mapInArrow(_first_classes(unit_words, cls), "word string, c long, k int")
+    best, kept, both = None, table, np.zeros((CLASSES + 1, CLASSES + 1))
+    for sweep in range(SWEEPS + 1):
+        last = sweep == SWEEPS
+        now, near, shared = contexts(texts, table, named=not last)
+        if best is not None and likelihood(now) <= best:
+            break
+        best, kept, both = likelihood(now), table, now
+        if not last:
+            table = materialise(near.mapInArrow(_choose(now, shared, smooth), "word string, c long, k int"))
     transitions = (both + smooth) / (both.sum(1, keepdims=True) + smooth * (CLASSES + 1))
-
-    def sizes(batches):
-        import pyarrow as pa
-
-        units = unit_index(unit_words, 0)
-        for batch in batches:
-            c = cls[np.fromiter((units[w.encode()] for w in batch.column(0).to_pylist()), np.int64, batch.num_rows)]
-            weight = np.bincount(c, batch.column(1).to_numpy(), CLASSES + 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES + 1), pa.int64()), pa.array(weight), pa.array(np.bincount(c, minlength=CLASSES + 1))], names=["k", "c", "v"])
-
     emission = np.zeros(CLASSES + 1)
-    for r in counts.mapInArrow(sizes, "k long, c long, v long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect():
-        emission[r.k] = r.c
-        emission[r.k] += smooth * (r.v + 1)  # one more for all unseen words of the class
+    for r in kept.groupBy("k").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+        emission[r.k] = r.c + smooth * (r.v + 1)  # one more for all unseen words of the class
     emission = np.where(emission > 0, emission, smooth)
-    return Model(counts, int(total) + n_docs, int(distinct) + (n_docs > 0), unit_words, cls, transitions, emission, smooth, class_weight)
+    return Model(kept, int(total) + n_docs, int(distinct) + (n_docs > 0), cls[:ENDINGS], transitions, emission, smooth, class_weight)
+
 
+def _local(shared, ending_class, transitions, emission, n_docs, tokens, distinct, smooth, weight):
+    """mapInArrow: sums over the held tokens that follow held ones, and a list of the others.
 
-def _local(held, class_of, transitions, emission, n_docs, tokens, distinct, smooth, weight, unit_words):
-    """mapInArrow: sums over the tokens whose counts are held, and a list of the others with their class and transition."""
+    Of these ``a`` and ``b``, the word before and the word, are given where they aren't held, with the class that they
+    have if unseen; of held ones only the class and the count are.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names, freq = held.value
-        units, end = unit_index(unit_words), CLASSES
-
-        class Index(dict):
-            def __missing__(self, word):
-                return -1
-
-        index = Index((w.encode(), i) for i, w in enumerate(names))
-        unit = class_of[np.fromiter((units[w.encode()] for w in names), np.int64, len(names))] if names else np.zeros(0, np.int64)
+        held = shared.value
+        index, end = word_index(held), CLASSES
         # One entry more: the end of a text, alone in its class.
-        freq, unit = np.append(freq, n_docs).astype(np.float64), np.append(unit, end)
+        freq, unit = np.append(held["c"].to_numpy(), n_docs).astype(np.float64), np.append(held["k"].to_numpy(), end).astype(np.int64)
         plain = (freq + smooth) / (tokens + smooth * (distinct + 1))
         emit = (freq + smooth) / emission[unit]
         emit[-1] = 1.0
         for batch in batches:
-            cols = {c: [] for c in ("n_tokens", "n_known", "base", "score", "tail_word", "tail_class", "tail_step")}
+            cols = {c: [] for c in ("n_tokens", "n_known", "base", "score", "a", "a_class", "b", "b_class", "b_count")}
             for text in batch.column(1).to_pylist():
                 parts = (text or "").encode().lower().split()
                 at = np.fromiter(map(index.__getitem__, parts), np.int64, len(parts))
                 at = np.append(at, len(freq) - 1)
-                tail = np.flatnonzero(at < 0)
+                known = at >= 0
                 cls = unit[at]
+                tail = np.flatnonzero(~known)
                 if len(tail):
-                    cls[tail] = class_of[[units[parts[i]] for i in tail]]
-                step = transitions[np.append(end, cls[:-1]), cls]
-                ok = at >= 0
-                p = plain[at[ok]]
+                    cls[tail] = ending_class[[ending_unit(parts[i]) for i in tail]]
+                before, seen = np.append(end, cls[:-1]), np.append(True, known[:-1])
+                ok = known & seen
+                word = at[ok]
                 cols["n_tokens"].append(len(at))
-                cols["n_known"].append(int((freq[at[ok]] > 0).sum()))
-                cols["base"].append(float(np.log10(p).sum()))
-                cols["score"].append(float(np.log10(weight * step[ok] * emit[at[ok]] + (1 - weight) * p).sum()))
-                cols["tail_word"].append([parts[i].decode() for i in tail])
-                cols["tail_class"].append(cls[tail].tolist())
-                cols["tail_step"].append(step[tail].tolist())
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float64()))
+                cols["n_known"].append(int((freq[at[known]] > 0).sum()))
+                cols["base"].append(float(np.log10(plain[at[known]]).sum()))
+                cols["score"].append(float(np.log10(weight * transitions[before[ok], cls[ok]] * emit[word] + (1 - weight) * plain[word]).sum()))
+                rest = np.flatnonzero(~ok)
+                cols["a"].append([None if seen[i] else parts[i - 1].decode() for i in rest])
+                cols["a_class"].append(before[rest].tolist())
+                cols["b"].append([None if known[i] else parts[i].decode() for i in rest])
+                cols["b_class"].append(cls[rest].tolist())
+                cols["b_count"].append([int(freq[at[i]]) if known[i] else 0 for i in rest])
+            text, number = pa.list_(pa.string()), pa.list_(pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), text, number, text, number, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(cols.values(), kinds))], names=["keep", *cols])
 
     return run
@@ -237,29 +437,29 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     """The kept columns, n_tokens, n_known, base_score and score of every row.
 
     Both scores are sums of log10 probabilities over all words and one end; base_score takes words alone, smoothed by
-    ``smooth``. NULL and empty texts have the end alone. Words beyond the held ones meet their counts in a join.
+    ``smooth``. NULL and empty texts have the end alone. Words beyond the held ones meet their counts and classes in joins.
     """
-    spark = docs.sparkSession
-    top = model.counts.orderBy(F.col("c").desc(), "word").limit(HELD_WORDS).collect()  # HELD_WORDS rows at most
-    import numpy as np
-
-    held = spark.sparkContext.broadcast(([r.word for r in top], np.array([r.c for r in top], np.int64)))
     n_docs = model.tokens - int(model.counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    run = _local(held, model.unit_class, model.transitions, model.emission_sizes, n_docs, model.tokens, model.distinct, model.smooth, model.class_weight, model.unit_words)
+    run = _local(held_words(model.counts), model.ending_class, model.transitions, model.emission_sizes, n_docs, model.tokens, model.distinct, model.smooth, model.class_weight)
     light = docs.select(F.struct(*keep).alias("keep"), F.col(text_col).cast("string").alias("text"))
-    schema = (f"keep {doc_type(light, 'keep')}, n_tokens long, n_known long, base double, score double, tail_word array<string>, "
-              "tail_class array<int>, tail_step array<double>")
+    schema = (f"keep {doc_type(light, 'keep')}, n_tokens long, n_known long, base double, score double, a array<string>, "
+              "a_class array<int>, b array<string>, b_class array<int>, b_count array<bigint>")
     rows = materialise(with_row_id(light.mapInArrow(run, schema)))
-    tail = rows.select("rid", F.explode(F.arrays_zip("tail_word", "tail_class", "tail_step")).alias("t"))
-    tail = tail.select("rid", F.col("t.tail_word").alias("word"), F.col("t.tail_class").alias("k"), F.col("t.tail_step").alias("step"))
-    tail = tail.join(model.counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    tail = rows.select("rid", F.explode(F.arrays_zip("a", "a_class", "b", "b_class", "b_count")).alias("t")).select("rid", "t.*")
+    # A key with a space matches no word and spreads the tokens that need no look-up.
+    none = F.concat(F.lit(" "), F.col("rid").cast("string"))
+    first = model.counts.select(F.col("word").alias("first"), F.col("k").alias("first_k"))
+    second = model.counts.select(F.col("word").alias("second"), F.col("k").alias("second_k"), "c")
+    tail = tail.join(first, F.coalesce("a", none) == F.col("first"), "left").join(second, F.coalesce("b", none) == F.col("second"), "left")
+    tail = tail.select("rid", "b", F.coalesce("first_k", "a_class").alias("j"), F.coalesce("second_k", "b_class").alias("k"), F.coalesce("c", "b_count").alias("c"))
     sizes = F.array(*[F.lit(float(x)) for x in model.emission_sizes])
+    steps = F.array(*[F.lit(float(x)) for x in model.transitions.ravel()])
     plain = (F.col("c") + model.smooth) / F.lit(model.tokens + model.smooth * (model.distinct + 1))
-    mixed = model.class_weight * F.col("step") * (F.col("c") + model.smooth) / F.get(sizes, "k") + (1 - model.class_weight) * plain
-    rest = tail.groupBy("rid").agg(F.sum(F.log10(plain)).alias("base_rest"), F.sum(F.log10(mixed)).alias("score_rest"),
-                                   F.count(F.when(F.col("c") > 0, 1)).alias("known_rest"))
+    emit = F.when(F.col("k") == CLASSES, F.lit(1.0)).otherwise((F.col("c") + model.smooth) / F.get(sizes, "k"))
+    mixed = model.class_weight * F.get(steps, F.col("j") * (CLASSES + 1) + F.col("k")) * emit + (1 - model.class_weight) * plain
+    rest = tail.groupBy("rid").agg(F.sum(F.when(F.col("b").isNotNull(), F.log10(plain))).alias("base_rest"), F.sum(F.log10(mixed)).alias("score_rest"),
+                                   F.count(F.when(F.col("b").isNotNull() & (F.col("c") > 0), 1)).alias("known_rest"))
     zero = F.lit(0.0)
     return rows.select("rid", "keep", "n_tokens", "n_known", "base", "score").join(rest, "rid", "left").select(
         "keep.*", "n_tokens", (F.col("n_known") + F.coalesce("known_rest", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("base_rest", zero)).alias("base_score"), (F.col("score") + F.coalesce("score_rest", zero)).alias("score"))
-

@@ -99,6 +99,26 @@ def test_language_model(spark, docs, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_every_word_has_a_class_of_its_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "UNIT_WORDS", 8)
+    monkeypatch.setattr(classlm, "END", classlm.ENDINGS + 8)
+    monkeypatch.setattr(classlm, "HELD_WORDS", 30)  # classes of most words are joined
+    r = random.Random(3)
+    # Words of two kinds that take turns; all end alike, so their endings tell nothing.
+    kinds = [[f"{a}{i}xyz" for i in range(60)] for a in "pq"]
+    texts = [" ".join(r.choice(kinds[j % 2]) for j in range(40)) for _ in range(150)]
+    model = classlm.fit(doc_frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+    k = {x.word: x.k for x in model.counts.collect()}
+    assert len(k) == 120 and {k[w] for w in kinds[0]}.isdisjoint(k[w] for w in kinds[1])
+    both = Counter()
+    for t in texts:
+        c = [classlm.CLASSES, *(k[w] for w in t.split()), classlm.CLASSES]
+        both.update(zip(c, c[1:]))
+    both[classlm.CLASSES, classlm.CLASSES] = 0
+    want = np.array([[both[i, j] + 0.1 for j in range(classlm.CLASSES + 1)] for i in range(classlm.CLASSES + 1)])
+    assert model.transitions == pytest.approx(want / want.sum(1, keepdims=True))
+
+
 def test_exchange_finds_the_classes(spark):
     r, n = np.random.default_rng(0), 30
     pairs = np.zeros((n + 1, n + 1))
