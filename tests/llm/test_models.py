@@ -177,6 +177,15 @@ def test_toxicity_finds_misspellings(spark):
     assert toxicity.score(df, toxicity.fit(df, labels.limit(0), F.lit(True))).where("score > 0.5").count() == 0
 
 
+def test_toxicity_learns_from_4000_documents_of_a_label(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(toxicity, "train", lambda bags, labels, *a, **b: given.extend(labels))
+    rows = [(i, f"word{i}", "en", "s") for i in range(6500)]
+    labels = spark.createDataFrame([(i, int(i < 2500)) for i in range(6500)], "doc_id long, toxic int")
+    toxicity.fit(doc_frame(spark, rows), labels, F.lit(True))
+    assert Counter(given) == {0: 4000, 1: 2500}
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     got = queries.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
