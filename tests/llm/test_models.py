@@ -161,6 +161,39 @@ def test_language_of_odd_texts(spark, docs):
     assert [r.lang_pred for r in langid.identify(unseen, langid.fit(known, F.lit(True))).orderBy("doc_id").collect()] == ["de", "es"]
 
 
+def test_small_languages_keep_all_their_words(spark):
+    big = " ".join(f"{a}{b}{c}{d}{e}" * 2 for a in "abcdefghijkl" for b in "abcdefghijkl" for c in "abcdefghijkl" for d in "abcdefghijkl" for e in "abcdefghij")
+    rows = [(1, f"{big} {big}", "aa", "s"), (2, "zoom zest zulu", "zz", "s"), (3, "yoke yarn zulu", "yy", "s")]
+    model = langid.fit(doc_frame(spark, rows), F.lit(True))
+    assert model[0] == ["aa", "yy", "zz"]
+    test = doc_frame(spark, [(1, "zoom zest", None, None), (2, "yoke yarn", None, None), (3, "zoo", None, None)])
+    assert [r.lang_pred for r in langid.identify(test, model).orderBy("doc_id").collect()] == ["zz", "yy", "zz"]
+
+
+def test_language_scores_against_brute_force(spark, docs):
+    model = langid.fit(docs, F.lit(True))
+    sample = {(r.doc_id, r.text): r for r in docs.where("lang is not null and text is not null").collect()}
+    langs = sorted({r.lang for r in sample.values()})
+    tables = [{} for _ in range(5)]
+    for r in sample.values():
+        for w, n in langid.letter_words(r.text).items():
+            for size in range(5):
+                for g in langid.grams(w, size) if size else [w]:
+                    tables[size].setdefault(g, Counter())[r.lang] += n
+
+    def mean(size, keys):
+        t = tables[size]
+        total = [sum(c[x] for c in t.values()) + 0.5 * (len(t) + 1) for x in langs]
+        found = [[math.log((t[g][x] + 0.5) / y) for x, y in zip(langs, total)] for g in keys if g in t]
+        return [sum(x) / len(found) for x in zip(*found)] if found else None
+
+    r = random.Random(2)
+    known = r.sample(sorted(tables[0]), 40)
+    for w in known + [x[::-1] for x in known] + ["ж", "qqqq"]:
+        want = mean(0, [w]) or next((m for n in (4, 3, 2, 1) if (m := mean(n, langid.grams(w, n)))), [0.0] * len(langs))
+        assert langid.word_scores(w, model) == pytest.approx(want)
+
+
 def test_toxicity_finds_misspellings(spark):
     r = random.Random(0)
     plain = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru", "te") for b in ("ran", "del", "vos", "pin", "sun")]
