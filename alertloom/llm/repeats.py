@@ -161,13 +161,22 @@ def _first_seen(table):
         for w in _windows(codes):
             first[w] = min(order, first.get(w, order))
             times[w] = min(2, times.get(w, 0) + 1)
-    shard = table.column("shard")[0].as_py()
-    return pa.table({"shard": pa.array([shard] * len(first), pa.int64()), "phrase": pa.array(list(first), pa.binary()),
+    shard, part = table.column("shard")[0].as_py(), table.column("part")[0].as_py()
+    return pa.table({"shard": pa.array([shard] * len(first), pa.int64()), "part": pa.array([part] * len(first), pa.int32()), "phrase": pa.array(list(first), pa.binary()),
                      "first": pa.array(list(first.values()), pa.int64()), "n": pa.array(list(times.values()), pa.int64())})
 
 
+def dealt_phrases(found: DataFrame) -> DataFrame:
+    """(shard, part, phrase, first): the phrases that recur in a large shard, at the parts that they stand in.
+
+    ``found`` is (shard, part, phrase, first, n), a written table: a phrase has a row for each part that it stands in.
+    """
+    recur = found.groupBy("shard", "phrase").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where(F.col("n") > 1)
+    return found.select("shard", "part", "phrase").join(recur.select("shard", "phrase", "first"), ["shard", "phrase"])
+
+
 def _locate(segments, phrases):
-    """cogroup of a shard's segments, or of a part of them, and the phrases found for large shards: spans to remove.
+    """cogroup of a shard's segments, or of a part of them, and the phrases of large shards that stand in it: spans to remove.
 
     Compiles the phrases and streams the segments. A window goes if its first document is an earlier one, or if it
     stands earlier in the same document; the latter is seen here only for windows of this shard, and equal windows
@@ -195,10 +204,8 @@ def _locate(segments, phrases):
     keys, begins, ends = [], [], []
     if first and rows:
         machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        here = {w for *_, codes in rows for w in _windows(codes)} if phrases.num_rows else first
         for w, f in first.items():
-            if w in here:
-                machine.add_word(tuple(np.frombuffer(w, "<u4").tolist()), (f, w))
+            machine.add_word(tuple(np.frombuffer(w, "<u4").tolist()), (f, w))
         if len(machine):
             machine.make_automaton()
             rows.sort(key=lambda r: (r[1], r[0], r[2]))
@@ -294,9 +301,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col:
 
     large = live.withColumn("shard", of).join(sizes.where("parts > 1").select("shard"), "shard", "left_semi").drop("shard")
     large = segments(large).select("shard", "part", "ord", "codes").groupBy("shard", "part").applyInArrow(
-        _first_seen, "shard long, phrase binary, first long, n long")
-    phrases = large.groupBy("shard", "phrase").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where(F.col("n") > 1)
-    phrases = phrases.join(sizes, "shard").select("shard", "phrase", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        _first_seen, "shard long, part int, phrase binary, first long, n long")
+    phrases = dealt_phrases(materialise(large))
     spans = (segments(live).select("shard", "part", "key", "ord", "start", "codes").groupBy("shard", "part")
              .cogroup(phrases.groupBy("shard", "part")).applyInArrow(_locate, "key long, begin long, end long"))
     spans = spans.unionByName(copies.select("key", F.lit(0).cast("long").alias("begin"), F.lit(-1).cast("long").alias("end")))

@@ -86,3 +86,16 @@ def test_phrases_said_over_and_over_stay_few_segments(spark):
     packed = next(repeats._compress([pa.record_batch({"key": [1], "t": [words]})])).column("z")
     segments = pa.Table.from_batches(repeats._segments(3)([batch.set_column(2, "z", packed)]))
     assert segments.num_rows == 1 and len(segments.column("codes")[0].as_py()) == 4 * 1002
+
+
+def test_parts_get_only_the_phrases_that_stand_in_them(spark):
+    r = random.Random(4)
+    found = {(r.randrange(2), r.randrange(9), bytes([r.randrange(60)])): (r.randrange(100), r.choice((1, 1, 2))) for _ in range(250)}
+    df = spark.createDataFrame([(*k, *v) for k, v in found.items()], "shard long, part int, phrase binary, first long, n long")
+    times, first = {}, {}
+    for (shard, _, phrase), (f, n) in found.items():
+        times[shard, phrase] = times.get((shard, phrase), 0) + n
+        first[shard, phrase] = min(f, first.get((shard, phrase), f))
+    want = sorted((s, p, w, first[s, w]) for s, p, w in found if times[s, w] > 1)
+    got = sorted((x.shard, x.part, bytes(x.phrase), x.first) for x in repeats.dealt_phrases(df).collect())
+    assert got == want
