@@ -327,25 +327,25 @@ def _model_rows(spark, sf_dir):
 
 
 def q_supervised_event_model(spark, sf_dir):
-    """M1 + M2 + P1 + P3 + A25/W9: boosted trees of at most 20 rounds on event-level features; stratified 80/20
+    """M1 + M2 + P1 + P3 + A25/W9: boosted trees of the default setting on event-level features; stratified 80/20
     split, 15 % of the training rows for early stopping and isotonic calibration; metrics of the test rows."""
     from alertloom.operators import supervised as SU
     sp = SA.train_validation_test(_model_rows(spark, sf_dir), "label", id_col="event_id")
     part = lambda name: sp.where(F.col("split") == name)
-    model = SU.fit_supervised(part("train"), _MODEL_FEATURES, "label", "gbt", {"maxIter": 20}, validation=part("validation"))
+    model = SU.fit_supervised(part("train"), _MODEL_FEATURES, "label", "gbt", validation=part("validation"))
     scored = cut_lineage(SU.predict_proba(model, part("test"), "y_score").select(F.col("label").alias("y_true"), "y_score"))
     auc = EV.roc_auc(scored)
     return round_doubles(EV.confusion_metrics(scored).select("*", *[F.lit(v).alias(c) for c, v in auc.first().asDict().items()]))
 
 
 def q_contribution_invariants(spark, sf_dir):
-    """M3: contributions of all events under boosted trees of 5 rounds; rows, and rows whose base and
+    """M3: contributions of all events under boosted trees of the default setting; rows, and rows whose base and
     contributions do not add up to the model's own margin."""
     from pyspark.ml.functions import vector_to_array
 
     from alertloom.operators import supervised as SU
     rows = _model_rows(spark, sf_dir)
-    model = SU.fit_supervised(rows, _MODEL_FEATURES, "label", "gbt", {"maxIter": 5}, calibrate=False)
+    model = SU.fit_supervised(rows, _MODEL_FEATURES, "label", "gbt", calibrate=False)
     con = SU.contributions(model, rows, keep=("event_id",))
     own = model.model.transform(con).withColumn("p", vector_to_array("probability")[1])
     total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)

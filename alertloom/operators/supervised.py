@@ -79,6 +79,7 @@ def fit_supervised(train: DataFrame, features: Sequence[str], label: str = "labe
     """M1 (+P3, M2): fit on ``train``; when ``validation`` is given it drives early stopping
     (boosted trees) and the isotonic calibration."""
     feats = list(features)
+    checkpoint_dir(train.sparkSession)  # without a folder checkpointInterval has no effect
     data = _prepare(train, feats, label).withColumn("_val", F.lit(False))
     if validation is not None:
         data = data.unionByName(_prepare(validation, feats, label).withColumn("_val", F.lit(True)))
