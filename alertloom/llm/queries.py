@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertloom.llm import classlm, langid, mixing, packing, quality, repeats, sharding, simhash, topk, toxicity
+from alertloom.llm import classlm, goodness, langid, mixing, negatives, packing, quality, repeats, sharding, simhash, topk, toxicity, whitening
 from alertloom.llm.common import WORD
 
 
@@ -99,7 +99,28 @@ def op10_simhash(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_classlm, op4_sharding, op5_topk, op6_mixing, op7_repeats, op8_langid, op9_toxicity, op10_simhash)}
+def op11_goodness(spark, sf_dir):
+    """Quality of all documents, learned from labelled ones whose crc32 mod 3 is not 1."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = goodness.fit(docs, _table(spark, sf_dir, "labels"), fold(3) != 1)
+    scored = goodness.score(docs, weights)
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_whitening(spark, sf_dir):
+    """All vectors projected on the first 4 whitened components of their distinct values."""
+    return whitening.whiten(whitening.whole_rows(_table(spark, sf_dir, "embeddings")), 4)
+
+
+def op13_negatives(spark, sf_dir):
+    """Hard negatives of every vector whose id is divisible by 100 among all vectors, one label in seven moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), negatives.quantise("embedding").alias("v"))
+    return negatives.mine(e, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_classlm, op4_sharding, op5_topk, op6_mixing, op7_repeats, op8_langid, op9_toxicity, op10_simhash, op11_goodness,
+                                   op12_whitening, op13_negatives)}
 
 #: Words without those of windows that start earlier. A word goes if one of the 20 windows that cover it goes.
 REPEATS_SQL = r"""
@@ -145,4 +166,27 @@ WITH whole AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op5_topk": TOPK_SQL, "op7_repeats": REPEATS_SQL}
+#: Hard negatives from ranked inner products of whole numbers.
+NEGATIVES_SQL = """
+WITH whole AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), filled AS (
+  SELECT rid, vec_id, label, list_resize(v, (SELECT max(len(v)) FROM whole), 0) AS v FROM whole
+), pairs AS (
+  SELECT a.rid AS arid, a.vec_id AS anchor_id, c.rid AS crid, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM filled a JOIN filled c ON a.rid <> c.rid
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT arid, anchor_id, crid AS prid, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id NULLS LAST, crid) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.arid, p.prid ORDER BY n.score DESC, n.vec_id NULLS LAST, n.crid) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.arid = p.arid AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op5_topk": TOPK_SQL, "op7_repeats": REPEATS_SQL, "op13_negatives": NEGATIVES_SQL}
