@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import SparkContext, StorageLevel
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
@@ -44,9 +45,16 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def block_matrix(rows: DataFrame, n: int, width: int) -> BlockMatrix:
-    """Block matrix of (i, c): row numbers and arrays of doubles; rows that are not there are zero."""
+    """Block matrix of (i, c): row numbers and arrays of doubles; rows that are not there are zero.
+
+    The blocks are kept, as a multiplication reads them up to four times; lost ones are made again.
+    """
     vectors = MLUtils.convertVectorColumnsFromML(rows.select(F.col("i").alias("index"), array_to_vector("c").alias("vector")), "vector")
-    return IndexedRowMatrix(vectors, n, width).toBlockMatrix(ROWS, COLUMNS)
+    return IndexedRowMatrix(vectors, n, width).toBlockMatrix(ROWS, COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _release(matrix: BlockMatrix) -> None:
+    matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
 
 
 def scatter(matrix: BlockMatrix, n: int):
@@ -62,17 +70,11 @@ def project(matrix: BlockMatrix, onto) -> DataFrame:
     width, k = onto.shape
     cuts = range(0, width, COLUMNS)
     blocks = [((j, 0), Matrices.dense(len(onto[c : c + COLUMNS]), k, onto[c : c + COLUMNS].ravel(order="F").tolist())) for j, c in enumerate(cuts)]
-    right = BlockMatrix(_context().parallelize(blocks, len(blocks)), COLUMNS, k, width, k)
+    right = BlockMatrix(SparkContext.getOrCreate().parallelize(blocks, len(blocks)), COLUMNS, k, width, k)
     found = matrix.multiply(right).toIndexedRowMatrix()
     return callMLlibFunc("getIndexedRows", found._java_matrix_wrapper._java_model).select(F.col("index").alias("i"), vector_to_array("vector").alias("y"))
 
 
-def _context():
-    from pyspark import SparkContext
-
-    return SparkContext.getOrCreate()
-
-
 def covariance_error(whitened: DataFrame, n: int, k: int) -> float:
     """Largest absolute entry of the covariance of (y), centred first, less the identity."""
     means = whitened.agg(*[(F.sum(F.get("y", F.lit(a))) / n).alias(f"m{a}") for a in range(k)]).first()
@@ -110,14 +112,18 @@ def whiten(rows: DataFrame, components: int = 4) -> DataFrame:
 
     import numpy as np
 
-    v = scatter(block_matrix(centre(fit), total, width), total) / n
+    distinct = block_matrix(centre(fit), total, width)
+    v = scatter(distinct, total) / n
+    _release(distinct)
     e, u = np.linalg.eigh((v + v.T) / 2)
     trace, order = float(e.sum()), np.argsort(-e, kind="stable")[:components]
     order = order[e[order] > LEAST * max(trace, 0.0)] if trace > 0 else order[:0]
     if not len(order):
         return spark.createDataFrame([], kinds)
     k = len(order)
-    projected = materialise(project(block_matrix(centre(table), total, width), u[:, order] / np.sqrt(e[order])))
+    every = block_matrix(centre(table), total, width)
+    projected = materialise(project(every, u[:, order] / np.sqrt(e[order])))
+    _release(every)
     error = covariance_error(projected.join(fit.select("i"), "i", "left_semi"), n, k)
     whole = F.array(*[F.lit(x).cast("long") for x in s])
     square = lambda x, t: F.try_multiply(F.try_subtract(F.try_multiply(F.lit(n).cast("long"), x), t), F.try_subtract(F.try_multiply(F.lit(n).cast("long"), x), t))
