@@ -5,36 +5,42 @@ by the exchange algorithm, which moves one unit at a time to the class that rais
 there every training word gets a class of its own: sweeps over the whole corpus count the classes before and after
 each word, and each word takes the class that explains them best. Groups of endings stay for unseen words only.
 A token's probability mixes P(class | class before) * P(word | class) with the smoothed frequency of the word alone.
+
+Texts are cut once into 64-bit word ids, whose low bits are the group of the ending; counts and classes of the most
+frequent words are held as plain arrays and texts become places in them, so a sweep is a look-up of classes. The
+words beyond meet their classes in joins.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import doc_type, materialise, with_row_id, words
+from alertloom.llm.common import doc_type, materialise, with_row_id
 
 #: Words that are units of their own, groups of endings for the rest, and classes besides that of the text's end.
 UNIT_WORDS, ENDINGS, CLASSES = 1024, 512, 48
-END = ENDINGS + UNIT_WORDS
 #: Sweeps over the corpus that give every word its class; they stop early when the likelihood does not rise.
 SWEEPS = 2
-#: Most frequent words whose counts and classes every worker holds; those of all others are joined.
-HELD_WORDS = 200_000
+#: Most words whose counts and classes are held in every worker, 13 bytes each; those of all others are joined.
+HELD_WORDS = 1 << 22
 #: Tokens whose neighbours' classes a worker counts before it passes them on.
-COUNTED = 4_000_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+COUNTED = 2_000_000
+#: Words whose ids a worker keeps.
+CACHE = 300_000
+#: Id of a text's end, and a neighbour's class and how often it was met, as bytes.
+STOP, NEAR = -1, [("code", "u1"), ("n", ">u4")]
 
 
 @dataclass
 class Model:
-    """A fitted model. ``counts`` is the written table (word, c, k) of all training words and their classes; the rest is bounded."""
+    """A fitted model. ``counts`` is the written table (id, c, k) of all training words and their classes; the rest is bounded."""
 
     counts: DataFrame
+    least: int  # words of at least so many tokens are held
     tokens: int  # N, ends included
     distinct: int  # V, the end included
     ending_class: Any  # class of each group of endings, for unseen words
@@ -43,74 +49,104 @@ class Model:
     smooth: float = 0.1
     class_weight: float = 0.9
 
-    @cached_property
-    def _words(self):
-        return self.counts.select("word", "k").toArrow()
 
-    @property
-    def unit_words(self) -> list[str]:
-        """All training words, to look into a small model: the whole table comes to the driver."""
-        return self._words["word"].to_pylist()
+def word_id(word: bytes) -> int:
+    """Id of a word, never negative: 54 bits of its hash, then the group of its ending, the last three bytes."""
+    import zlib
 
-    @property
-    def unit_class(self):
-        """Class of each group of endings and each of ``unit_words``."""
-        import numpy as np
+    import xxhash
 
-        return np.append(self.ending_class, self._words["k"].to_numpy())
+    return xxhash.xxh64_intdigest(word) & 0x7FFF_FFFF_FFFF_FFFF & -ENDINGS | zlib.crc32(word[-3:]) % ENDINGS
 
 
-def ending_unit(word: bytes) -> int:
-    """Group of a word that is no unit of its own, by its last three bytes."""
-    import zlib
+class _Ids(dict):
+    def __missing__(self, word):
+        got = word_id(word)
+        if len(self) < CACHE and len(word) < 64:
+            self[word] = got
+        return got
+
+
+def _lists(texts, ids: _Ids):
+    """Ids of the lower-cased words of all texts (values, how many each text has); NULL texts have none."""
+    import numpy as np
+
+    found = [list(map(ids.__getitem__, (t or "").encode().lower().split())) for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((i for part in found for i in part), np.int64, int(sizes.sum())), sizes
+
+
+def _list_array(values, sizes):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
+
+
+def _word_ids(batches):
+    """mapInArrow: texts to arrays of the ids of their words."""
+    import pyarrow as pa
+
+    ids = _Ids()
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([_list_array(*_lists(batch.column(0).to_pylist(), ids))], names=["ids"])
 
-    return zlib.crc32(word[-3:]) % ENDINGS
 
+def _stopped(values, sizes, stop: int):
+    """All texts' values behind each other, ``stop`` first and after each text."""
+    import numpy as np
+
+    out = np.full(len(values) + len(sizes) + 1, stop, values.dtype)
+    out[np.arange(len(values)) + 1 + np.repeat(np.arange(len(sizes)), sizes)] = values
+    return out
 
-def unit_index(unit_words: list[str], limit: int = 300_000) -> dict:
-    """Dict from a word's bytes to its unit, after those of the endings, that finds the groups of all other words."""
 
-    class Units(dict):
-        def __missing__(self, word):
-            unit = ending_unit(word)
-            if len(self) < limit:
-                self[word] = unit
-            return unit
+def _column(column):
+    """Values and sizes of an Arrow list column."""
+    return column.flatten().to_numpy(), column.value_lengths().to_numpy(zero_copy_only=False)
 
-    return Units((w.encode(), ENDINGS + i) for i, w in enumerate(unit_words))
 
+def _counts(batches):
+    """mapInArrow: arrays of ids to (id, n), summed over some batches."""
+    import numpy as np
+    import pyarrow as pa
 
-def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, c): lower-cased words of all texts with their counts."""
-    lowered = F.translate(F.col(text_col).cast("string"), UPPER, LOWER)
-    return docs.select(F.explode(words(lowered)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    def out(parts):
+        ids, n = np.unique(np.concatenate(parts), return_counts=True)
+        yield from pa.table({"id": ids, "n": n}).to_batches(100_000)
 
+    parts, size = [np.zeros(0, np.int64)], 0
+    for batch in batches:
+        parts.append(batch.column(0).flatten().to_numpy())
+        size += len(parts[-1])
+        if size > COUNTED:
+            yield from out(parts)
+            parts, size = [np.zeros(0, np.int64)], 0
+    yield from out(parts)
 
-def _bigrams(unit_words: list[str]):
-    """mapInArrow: texts to (code, n): counts of unit pairs, the end standing before the first word too."""
+
+def _bigrams(unit_ids):
+    """mapInArrow: arrays of ids to (code, n): counts of unit pairs, the end standing before the first word too."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        units, end = unit_index(unit_words), END
+        order = np.argsort(unit_ids)
+        known, end = unit_ids[order], ENDINGS + len(unit_ids)
         side = end + 1
         total = np.zeros(side * side, np.int64)
         for batch in batches:
-            seq = [end]
-            for text in batch.column(0).to_pylist():
-                seq += map(units.__getitem__, (text or "").encode().lower().split())
-                seq.append(end)
-                if len(seq) > 1_000_000:
-                    a = np.array(seq, np.int64)
-                    total += np.bincount(a[:-1] * side + a[1:], minlength=side * side)
-                    seq = [end]
-            a = np.array(seq, np.int64)
-            total += np.bincount(a[:-1] * side + a[1:], minlength=side * side)
+            values, sizes = _column(batch.column(0))
+            units = values % ENDINGS
+            if len(known):
+                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                units = np.where(known[at] == values, ENDINGS + order[at], units)
+            a = _stopped(units, sizes, end)
+            codes, n = np.unique(a[:-1] * side + a[1:], return_counts=True)
+            total[codes] += n
         codes = np.flatnonzero(total)
-        for i in range(0, len(codes), 100_000):
-            part = codes[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["code", "n"])
+        yield from pa.table({"code": codes, "n": total[codes]}).to_batches(100_000)
 
     return run
 
@@ -169,135 +205,163 @@ def exchange(pairs, classes: int, sweeps: int = 8):
     return cls
 
 
-def _first_classes(unit_words: list[str], unit_class):
-    """mapInArrow: (word, c) to (word, c, class of its unit)."""
+def _first_classes(unit_ids, cls):
+    """mapInArrow: (id, c) to (id, c, class of its unit)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        units = unit_index(unit_words, 0)
+        order = np.argsort(unit_ids)
+        known = unit_ids[order]
         for batch in batches:
-            k = unit_class[np.fromiter((units[w.encode()] for w in batch.column(0).to_pylist()), np.int64, batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k, pa.int32())], names=["word", "c", "k"])
+            ids = batch.column(0).to_numpy()
+            k = cls[ids % ENDINGS]
+            if len(known):
+                at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                k = np.where(known[at] == ids, cls[ENDINGS + order[at]], k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k, pa.int32())], names=["id", "c", "k"])
 
     return run
 
 
-def held_words(table: DataFrame):
-    """The most frequent words with counts and classes, HELD_WORDS rows at most, broadcast as an Arrow table."""
-    top = table.orderBy(F.col("c").desc(), "word").limit(HELD_WORDS).select("word", "c", "k").toArrow()
-    return table.sparkSession.sparkContext.broadcast(top)
+def held_from(counts: DataFrame) -> int:
+    """The least count such that at most HELD_WORDS words have it or more; counts over 1,024 are told apart by their highest bit."""
+    level = F.when(F.col("c") <= 1024, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(F.col("c").cast("double")))).cast("long"))
+    found = sorted(((r.level, r.n) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total, least = 0, 2**62
+    for at, n in found:
+        total += n
+        if total > HELD_WORDS:
+            break
+        least = at
+    return least
 
 
-def word_index(held) -> dict:
-    """Dict from a held word's bytes to its row; -1 for all others."""
+def held_words(table: DataFrame, least: int):
+    """The held words, sorted by id: ids, counts and classes (bytes), HELD_WORDS at most."""
+    import numpy as np
 
-    class Index(dict):
-        def __missing__(self, word):
-            return -1
+    got = table.where(F.col("c") >= least).select("id", "c", F.col("k").cast("byte").alias("k")).toArrow()
+    ids, c, k = (got[x].to_numpy() for x in ("id", "c", "k"))
+    order = np.argsort(ids)
+    return ids[order], np.minimum(c[order], 2**32 - 1).astype(np.uint32) if len(c) and c.max() < 2**32 else c[order], k[order].astype(np.int8)
 
-    return Index((w.encode(), i) for i, w in enumerate(held["word"].to_pylist()))
 
+def find(held, ids):
+    """Places of ids among the sorted held ones, -1 for those that aren't held."""
+    import numpy as np
 
-def _contexts(shared, named: bool):
-    """mapInArrow: texts to (id, n, a, a_at, a_class, b, b_at, b_class).
+    if not len(held):
+        return np.full(len(ids), -1, np.int32)
+    at = np.minimum(np.searchsorted(held, ids), len(held) - 1).astype(np.int32)
+    return np.where(held[at] == ids, at, np.int32(-1))
 
-    ``id`` below 0: n pairs of held words of two classes. From 0 on, only with ``named``: n neighbours of one class
-    before or after a held word, ``id`` being 2 * (CLASSES + 1) * its row + the class, + CLASSES + 1 if after it.
-    NULL: a pair of neighbours of which one at least isn't held; of held ones row and class are given, of others the word.
-    """
+
+def _places(shared):
+    """mapInArrow: arrays of ids to arrays of places among the held words, and the ids that have none, in their order."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        held, side = shared.value, CLASSES + 1
-        index, cls, end = word_index(held), np.append(held["k"].to_numpy(), CLASSES).astype(np.int64), held.num_rows
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-        schema = pa.schema(list(zip(("id", "n", "a", "a_at", "a_class", "b", "b_at", "b_class"), kinds)))
+        for batch in batches:
+            values, sizes = _column(batch.column(0))
+            at = find(shared.value[0], values)
+            none = at < 0
+            owner = _owners(sizes)[none]
+            yield pa.RecordBatch.from_arrays([_list_array(at, sizes), _list_array(values[none], _times(owner, len(sizes)))], names=["at", "rest"])
 
-        def word(i, token):
-            return (None, i, int(cls[i])) if i >= 0 else (token.decode(), -1, -1)
+    return run
 
-        def count(seq, tokens):
-            for i in [i for i in range(len(seq) - 1) if seq[i] < 0 or seq[i + 1] < 0]:
-                pair = word(seq[i], tokens[i]) + word(seq[i + 1], tokens[i + 1])
-                pairs[pair] = pairs.get(pair, 0) + 1
-            x, y = np.array(seq[:-1], np.int64), np.array(seq[1:], np.int64)
-            ok = (x >= 0) & (y >= 0)
-            x, y = x[ok], y[ok]
-            both[:] += np.bincount(cls[x] * side + cls[y], minlength=side * side)
-            if named:
-                codes.append(np.concatenate([x * 2 * side + side + cls[y], y * 2 * side + cls[x]]))
-
-        def out():
-            at = np.flatnonzero(both)
-            ids, n = -1 - at, both[at]
-            if codes:
-                values, times = np.unique(np.concatenate(codes), return_counts=True)
-                ids, n = np.append(ids, values), np.append(n, times)
-            cols = [pa.array(ids), pa.array(n), *(pa.nulls(len(ids), k) for k in kinds[2:])]
-            yield from pa.table(cols, schema=schema).to_batches(100_000)
-            if pairs:
-                cols = [pa.nulls(len(pairs), pa.int64()), pa.array(list(pairs.values()), pa.int64())]
-                yield from pa.table([*cols, *(pa.array(c, k) for c, k in zip(zip(*pairs), kinds[2:]))], schema=schema).to_batches(100_000)
-
-        both, codes, pairs, size = np.zeros(side * side, np.int64), [], {}, 0
+
+def _owners(sizes):
+    """Number of the text that each value belongs to."""
+    import numpy as np
+
+    return np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _times(owner, n: int):
+    import numpy as np
+
+    return np.bincount(owner, minlength=n)
+
+
+def _neighbours(batch, held, classes):
+    """For all neighbouring tokens of a batch of places: places (-1: not held, the number of held words: the end), ids and classes."""
+    import numpy as np
+
+    values, sizes = _column(batch.column(0))
+    at = _stopped(values, sizes, len(held))
+    ids = np.append(held, STOP)[at]
+    ids[at < 0] = batch.column(1).flatten().to_numpy()
+    k = np.append(classes, np.int8(CLASSES))[at].astype(np.int64)
+    k[at < 0] = -1
+    return at, ids, k
+
+
+def _pairs(shared, classes):
+    """mapInArrow: places to (code, n), n pairs of held words of two classes, and (a, ka, b, kb), a pair of which one at least isn't held."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        side, kinds = CLASSES + 1, (("code", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("ka", pa.int32()), ("b", pa.int64()), ("kb", pa.int32()))
+        total = np.zeros(side * side, np.int64)
         for batch in batches:
-            seq, tokens = [end], [b""]
-            for text in batch.column(0).to_pylist():
-                parts = (text or "").encode().lower().split()
-                seq += map(index.__getitem__, parts)
-                seq.append(end)
-                tokens += parts
-                tokens.append(b"")
-                if len(seq) > 500_000:
-                    count(seq, tokens)
-                    size, seq, tokens = size + len(seq), [end], [b""]
-            count(seq, tokens)
-            size += len(seq)
-            if size > COUNTED:
-                yield from out()
-                both[:], codes, pairs, size = 0, [], {}, 0
-        yield from out()
+            _, ids, k = _neighbours(batch, shared.value[0], classes.value)
+            x, y = k[:-1], k[1:]
+            ok = (x >= 0) & (y >= 0)
+            total += np.bincount(x[ok] * side + y[ok], minlength=side * side)
+            if not ok.all():
+                cols = (ids[:-1][~ok], x[~ok], ids[1:][~ok], y[~ok])
+                yield from pa.table([pa.nulls(len(cols[0]), t) for _, t in kinds[:2]] + [pa.array(c, t) for c, (_, t) in zip(cols, kinds[2:])], schema=pa.schema(kinds)).to_batches(100_000)
+        at = np.flatnonzero(total)
+        yield from pa.table([pa.array(at), pa.array(total[at])] + [pa.nulls(len(at), t) for _, t in kinds[2:]], schema=pa.schema(kinds)).to_batches()
 
     return run
 
 
-def contexts(texts: DataFrame, table: DataFrame, named: bool = True):
-    """Counts of class pairs, a square array, and the words with the broadcast that knows the held ones.
+def _near(shared, classes):
+    """mapInArrow: places to (id, k, near): a held word, its class, and the classes before it and (from CLASSES + 1) after it,
+    as bytes of NEAR; of neighbours that are held both."""
 
-    The words are (word, at, k, near): the word and its class, or the row of a held one, and counts of the classes before
-    it and (from CLASSES + 1) after it.
-    """
-    import numpy as np
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    side, shared = CLASSES + 1, held_words(table)
-    rows = materialise(texts.mapInArrow(_contexts(shared, named), "id long, n long, a string, a_at int, a_class int, b string, b_at int, b_class int"))
-    # Only words that aren't held are looked up; a key with a space matches none and spreads the others.
-    pairs = rows.where("id is null").withColumn("none", F.concat(F.lit(" "), F.xxhash64("a", "b").cast("string")))
-    first = table.select(F.col("word").alias("first"), F.col("k").alias("first_k"))
-    second = table.select(F.col("word").alias("second"), F.col("k").alias("second_k"))
-    pairs = pairs.join(first, F.coalesce("a", "none") == F.col("first"), "left").join(second, F.coalesce("b", "none") == F.col("second"), "left")
-    pairs = materialise(pairs.select("n", "a", "a_at", F.coalesce("first_k", "a_class").alias("a_class"), "b", "b_at", F.coalesce("second_k", "b_class").alias("b_class")))
-    both = np.zeros(side * side)
-    found = rows.where("id < 0").select((-1 - F.col("id")).alias("at"), "n").union(pairs.select((F.col("a_class") * side + F.col("b_class")).cast("long"), "n"))
-    for r in found.groupBy("at").agg(F.sum("n").alias("n")).collect():
-        both[r.at] = r.n
-    both = both.reshape(side, side)
-    if not named:
-        return both, None, shared
-    one = lambda x, code: F.struct(F.col(x).alias("word"), F.col(f"{x}_at").alias("at"), F.col(f"{x}_class").alias("k"), code.alias("code"), "n")
-    each = pairs.select(F.explode(F.array(one("a", F.col("b_class") + side), one("b", F.col("a_class")))).alias("x")).select("x.*")
-    # A task gives at most two rows of a class for a held word; what the joins add is summed first.
-    more = each.where("word is null").groupBy((F.col("at").cast("long") * (2 * side) + F.col("code")).alias("id")).agg(F.sum("n").alias("n"))
-    held = rows.where("id >= 0").select("id", "n").union(more).withColumn("at", F.expr(f"cast(id div {2 * side} as int)"))
-    held = held.where(F.col("at") < shared.value.num_rows).repartition("at").groupBy("at", "id").agg(F.sum("n").alias("n"))
-    held = held.groupBy("at").agg(F.collect_list(F.struct((F.col("id") % (2 * side)).cast("int").alias("code"), "n")).alias("near"))
-    rest = each.where("word is not null").groupBy("word", "k").agg(F.collect_list(F.struct("code", "n")).alias("near"))
-    none = F.lit(None)
-    return both, held.select(none.cast("string").alias("word"), "at", none.cast("int").alias("k"), "near").union(rest.select("word", F.lit(-1), "k", "near")), shared
+        held, side = shared.value[0], CLASSES + 1
+
+        def out(parts):
+            codes, n = np.unique(np.concatenate(parts), return_counts=True)
+            word = codes // (2 * side)
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+            for i in range(0, len(first), 100_000):
+                some = first[i : i + 100_000]
+                stop = first[i + 100_000] if i + 100_000 < len(first) else len(codes)
+                data = np.empty(stop - some[0], NEAR)
+                data["code"], data["n"] = codes[some[0] : stop] % (2 * side), n[some[0] : stop]
+                offsets = (np.append(some, stop) - some[0]).astype(np.int32) * data.itemsize
+                near = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(held[word[some]]), pa.array(classes.value[word[some]], pa.int32()), near], names=["id", "k", "near"])
+
+        parts, size = [], 0
+        for batch in batches:
+            at, _, k = _neighbours(batch, held, classes.value)
+            at = at.astype(np.int64)
+            x, y = at[:-1], at[1:]
+            ok = (x >= 0) & (y >= 0)
+            after, before = ok & (x < len(held)), ok & (y < len(held))
+            parts += [x[after] * (2 * side) + side + k[1:][after], y[before] * (2 * side) + k[:-1][before]]
+            size += len(at)
+            if size > COUNTED:
+                yield from out(parts)
+                parts, size = [], 0
+        if parts:
+            yield from out(parts)
+
+    return run
 
 
 def likelihood(both) -> float:
@@ -308,80 +372,140 @@ def likelihood(both) -> float:
     return log(both) - log(both.sum(0)) - log(both.sum(1))
 
 
-def _choose(both, shared, smooth: float):
-    """mapInArrow: (word, at, k, near) to (word, c, class whose neighbours explain those of the word best).
+def best_classes(both, near, own, smooth: float):
+    """For each row of ``near``, counts of the classes before a word and after it, the class that explains them best.
 
-    In its own class a word is judged without its own counts. Ties stay, then go to the smaller class.
+    In its ``own`` class a word is judged without its own counts. Ties stay, then go to the smaller class.
     """
+    import numpy as np
+
+    side, rows = CLASSES + 1, np.arange(len(near))
+    share = lambda x: np.log((x + smooth) / (x.sum(-1, keepdims=True) + smooth * side))
+    left, right = near[:, :side], near[:, side:]
+    gain = (right @ share(both).T + left @ share(both.T).T)[:, :CLASSES]
+    alone = (right * share(np.maximum(both[own] - right, 0))).sum(1) + (left * share(np.maximum(both.T[own] - left, 0))).sum(1)
+    gain[rows, own] = alone
+    new = np.argmax(gain, 1)
+    return np.where(gain[rows, new] > alone + 1e-9, new, own)
+
+
+def _choose(both, smooth: float):
+    """mapInArrow: (id, k, near), equal ids behind each other, to (id, c, class whose neighbours explain those of the word best)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        held, side = shared.value, CLASSES + 1
-        names, classes = held["word"].combine_chunks(), held["k"].to_numpy()
-        share = lambda x: np.log((x + smooth) / (x.sum(-1, keepdims=True) + smooth * side))
-        after, before = share(both), share(both.T)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 10_000):
-                batch = whole.slice(i, 10_000)
-                at, near = batch.column(1).to_numpy(), batch.column(3)
-                own = batch.column(2).fill_null(0).to_numpy().copy()
-                own[at >= 0] = classes[at[at >= 0]]
-                flat, rows = near.flatten(), np.arange(batch.num_rows)
-                n = np.zeros((batch.num_rows, 2 * side))
-                sizes = near.value_lengths().to_numpy()
-                np.add.at(n, (np.repeat(rows, sizes), flat.field(0).to_numpy()), flat.field(1).to_numpy())
-                left, right = n[:, :side], n[:, side:]
-                gain = (right @ after.T + left @ before.T)[:, :CLASSES]
-                alone = (right * share(np.maximum(both[own] - right, 0))).sum(1) + (left * share(np.maximum(both.T[own] - left, 0))).sum(1)
-                gain[rows, own] = alone
-                new = np.argmax(gain, 1)
-                new = np.where(gain[rows, new] > alone + 1e-9, new, own)
-                word = names.take(pa.array(at, pa.int32(), mask=at < 0)) if len(names) else batch.column(0)
-                yield pa.RecordBatch.from_arrays([pc.coalesce(batch.column(0), word.cast(pa.string())), pa.array(left.sum(1).astype(np.int64)), pa.array(new, pa.int32())],
-                                                 names=["word", "c", "k"])
+
+        side = CLASSES + 1
+
+        def out(ids, own, near):
+            for i in range(0, len(ids), 5_000):
+                part = slice(i, i + 5_000)
+                k = best_classes(both, near[part], own[part], smooth)
+                c = near[part, :side].sum(1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(c), pa.array(k, pa.int32())], names=["id", "c", "k"])
+
+        # The last word of a batch may go on in the next.
+        ids, own, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2 * side))
+        for batch in batches:
+            column = batch.column(2)
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(NEAR)
+            every = np.append(ids, batch.column(0).to_numpy())
+            new = np.append(True, every[1:] != every[:-1]) if len(every) else np.zeros(0, bool)
+            place = np.cumsum(new) - 1
+            mine = np.zeros((int(place[-1]) + 1 if len(place) else 0, 2 * side))
+            rows = np.repeat(place[len(ids) :], np.diff(offsets) // data.itemsize)
+            mine += np.bincount(rows * (2 * side) + data["code"], data["n"].astype(np.float64), mine.size).reshape(mine.shape)
+            mine[: len(near)] += near
+            ids, own, near = every[new], np.append(own, batch.column(1).to_numpy())[new], mine
+            yield from out(ids[:-1], own[:-1], near[:-1])
+            ids, own, near = ids[-1:], own[-1:], near[-1:]
+        yield from out(ids, own, near)
 
     return run
 
 
+def _square(rows: DataFrame):
+    """Counts of class pairs, a square array, from (code, n)."""
+    import numpy as np
+
+    side = CLASSES + 1
+    both = np.zeros(side * side)
+    for r in rows.groupBy("code").agg(F.sum("n").alias("n")).collect():
+        both[r.code] = r.n
+    return both.reshape(side, side)
+
+
+def _unheld(table: DataFrame, least: int, *names: str) -> DataFrame:
+    """Words that aren't held, under other column names."""
+    return table.where(F.col("c") < least).select(*(F.col(a).alias(b) for a, b in zip(("id", "k", "c"), names)))
+
+
+def _key(wanted: Column, ident: str, other: Column) -> Column:
+    """The id where it is to be looked up, else a negative number that matches none and spreads the rows."""
+    return F.when(wanted, F.col(ident)).otherwise(-2 - F.abs(other % (1 << 40)))
+
+
 def fit(docs: DataFrame, text_col: str = "text", smooth: float = 0.1, class_weight: float = 0.9) -> Model:
-    """Fit on all given documents. Counts and classes cover every token and word; NULL texts have an end alone.
+    """Fit on all given documents. Counts and classes cover every token and word of whole texts.
 
-    To the driver come the unit words, one number per pair of units and per pair of classes, the totals and the held words.
+    NULL and empty texts have an end alone; repeated rows count as often as they stand; an empty table gives a model without
+    words. Only the text is read, so other columns of any name do no harm. Ties between classes go to the smaller one, between
+    units to the smaller id. Words are told apart by 64-bit ids; words that share one (3 pairs among 10**10) count as one.
+    To the driver come the ids of the unit words, one number per pair of units and of classes, the totals and the held words.
     """
     import numpy as np
 
-    texts = docs.select(F.col(text_col).cast("string"))
-    counts = materialise(token_counts(docs, text_col))
-    n_docs = docs.count()
+    spark = docs.sparkSession
+    texts = materialise(docs.select(F.col(text_col).cast("string")).mapInArrow(_word_ids, "ids array<long>"))
+    counts = materialise(texts.mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("c")))
+    n_docs = texts.count()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    unit_words = [r.word for r in counts.orderBy(F.col("c").desc(), "word").limit(UNIT_WORDS).collect()]
-    side = END + 1
-    made = texts.mapInArrow(_bigrams(unit_words), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    unit_ids = np.array([r.id for r in counts.orderBy(F.col("c").desc(), "id").limit(UNIT_WORDS).collect()], np.int64)
+    side = ENDINGS + len(unit_ids) + 1
+    made = texts.mapInArrow(_bigrams(unit_ids), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(side * side)
     pairs[made["code"].to_numpy()] = made["n"].to_numpy()
     del made
     cls = exchange(pairs.reshape(side, side), CLASSES)
     del pairs
 
-    table = counts.select("word", "c").mapInArrow(_first_classes(unit_words, cls), "word string, c long, k int")
+    table = counts.mapInArrow(_first_classes(unit_ids, cls), "id long, c long, k int")
+    least = held_from(counts)
+    ids, _, classes = held_words(table, least)
+    shared = spark.sparkContext.broadcast((ids,))
+    places = materialise(texts.mapInArrow(_places(shared), "at array<int>, rest array<long>"))
     best, kept, both = None, table, np.zeros((CLASSES + 1, CLASSES + 1))
     for sweep in range(SWEEPS + 1):
-        last = sweep == SWEEPS
-        now, near, shared = contexts(texts, table, named=not last)
+        known = spark.sparkContext.broadcast(classes)
+        met = materialise(places.mapInArrow(_pairs(shared, known), "code long, n long, a long, ka int, b long, kb int"))
+        # Classes of words that aren't held; each has fewer than ``least`` tokens.
+        rest = met.where("code is null")
+        rest = rest.join(_unheld(table, least, "first", "first_k"), _key(F.col("ka") < 0, "a", F.col("b")) == F.col("first"), "left")
+        rest = rest.join(_unheld(table, least, "second", "second_k"), _key(F.col("kb") < 0, "b", F.col("a")) == F.col("second"), "left")
+        rest = materialise(rest.select("a", F.coalesce("first_k", "ka").alias("ka"), "b", F.coalesce("second_k", "kb").alias("kb")))
+        code = (F.col("ka") * (CLASSES + 1) + F.col("kb")).cast("long")
+        now = _square(met.where("code is not null").select("code", "n").union(rest.select(code, F.lit(1).cast("long"))))
         if best is not None and likelihood(now) <= best:
             break
         best, kept, both = likelihood(now), table, now
-        if not last:
-            table = materialise(near.mapInArrow(_choose(now, shared, smooth), "word string, c long, k int"))
+        if sweep < SWEEPS:
+            one = lambda word, k, code: F.struct(F.col(word).alias("id"), F.col(k).alias("k"), code.cast("int").alias("code"))
+            each = rest.select(F.explode(F.array(one("a", "ka", F.col("kb") + CLASSES + 1), one("b", "kb", F.col("ka")))).alias("x")).select("x.*")
+            each = each.where(F.col("id") != STOP).groupBy("id", "k", "code").agg(F.count(F.lit(1)).alias("n"))
+            as_bytes = lambda c, digits: F.unhex(F.lpad(F.hex(c), digits, "0"))
+            each = each.select("id", "k", F.concat(as_bytes("code", 2), as_bytes(F.least("n", F.lit(2**32 - 1)), 8)).alias("near"))
+            near = places.mapInArrow(_near(shared, known), "id long, k int, near binary").union(each)
+            near = near.repartition("id").sortWithinPartitions("id")
+            table = materialise(near.mapInArrow(_choose(now, smooth), "id long, c long, k int"))
+            classes = held_words(table, least)[2]
     transitions = (both + smooth) / (both.sum(1, keepdims=True) + smooth * (CLASSES + 1))
     emission = np.zeros(CLASSES + 1)
     for r in kept.groupBy("k").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         emission[r.k] = r.c + smooth * (r.v + 1)  # one more for all unseen words of the class
     emission = np.where(emission > 0, emission, smooth)
-    return Model(kept, int(total) + n_docs, int(distinct) + (n_docs > 0), cls[:ENDINGS], transitions, emission, smooth, class_weight)
+    return Model(kept, least, int(total) + n_docs, int(distinct) + (n_docs > 0), cls[:ENDINGS], transitions, emission, smooth, class_weight)
 
 
 def _local(shared, ending_class, transitions, emission, n_docs, tokens, distinct, smooth, weight):
@@ -395,40 +519,31 @@ def _local(shared, ending_class, transitions, emission, n_docs, tokens, distinct
         import numpy as np
         import pyarrow as pa
 
-        held = shared.value
-        index, end = word_index(held), CLASSES
+        held, counts, classes = shared.value
         # One entry more: the end of a text, alone in its class.
-        freq, unit = np.append(held["c"].to_numpy(), n_docs).astype(np.float64), np.append(held["k"].to_numpy(), end).astype(np.int64)
-        plain = (freq + smooth) / (tokens + smooth * (distinct + 1))
-        emit = (freq + smooth) / emission[unit]
-        emit[-1] = 1.0
+        freq, unit = np.append(counts.astype(np.int64), n_docs), np.append(classes, np.int8(CLASSES))
+        log_plain = np.log10((freq + smooth) / (tokens + smooth * (distinct + 1)))
+        names, ids = ("n_tokens", "n_known", "base", "score", "a", "a_class", "b", "b_class", "b_count"), _Ids()
         for batch in batches:
-            cols = {c: [] for c in ("n_tokens", "n_known", "base", "score", "a", "a_class", "b", "b_class", "b_count")}
-            for text in batch.column(1).to_pylist():
-                parts = (text or "").encode().lower().split()
-                at = np.fromiter(map(index.__getitem__, parts), np.int64, len(parts))
-                at = np.append(at, len(freq) - 1)
-                known = at >= 0
-                cls = unit[at]
-                tail = np.flatnonzero(~known)
-                if len(tail):
-                    cls[tail] = ending_class[[ending_unit(parts[i]) for i in tail]]
-                before, seen = np.append(end, cls[:-1]), np.append(True, known[:-1])
-                ok = known & seen
-                word = at[ok]
-                cols["n_tokens"].append(len(at))
-                cols["n_known"].append(int((freq[at[known]] > 0).sum()))
-                cols["base"].append(float(np.log10(plain[at[known]]).sum()))
-                cols["score"].append(float(np.log10(weight * transitions[before[ok], cls[ok]] * emit[word] + (1 - weight) * plain[word]).sum()))
-                rest = np.flatnonzero(~ok)
-                cols["a"].append([None if seen[i] else parts[i - 1].decode() for i in rest])
-                cols["a_class"].append(before[rest].tolist())
-                cols["b"].append([None if known[i] else parts[i].decode() for i in rest])
-                cols["b_class"].append(cls[rest].tolist())
-                cols["b_count"].append([int(freq[at[i]]) if known[i] else 0 for i in rest])
-            text, number = pa.list_(pa.string()), pa.list_(pa.int32())
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), text, number, text, number, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(cols.values(), kinds))], names=["keep", *cols])
+            values, sizes = _lists(batch.column(1).to_pylist(), ids)
+            n, sizes = len(sizes), sizes + 1
+            word = _stopped(values, sizes - 1, STOP)[1:]
+            at = _stopped(find(held, values), sizes - 1, len(held))[1:]
+            owner, known = _owners(sizes), at >= 0
+            k = np.where(known, unit[at], ending_class[word % ENDINGS]).astype(np.int64)
+            before, seen = np.append(CLASSES, k[:-1])[: len(k)], np.append(True, known[:-1])[: len(k)]
+            ok = known & seen
+            plain, place = log_plain[at[ok]], at[ok]
+            emit = np.where(place == len(held), 1.0, (freq[place] + smooth) / emission[k[ok]])
+            mixed = np.log10(weight * transitions[before[ok], k[ok]] * emit + (1 - weight) * 10.0**plain)
+            rest = np.flatnonzero(~ok)
+            last = np.append(STOP, word[:-1])[: len(word)][rest]
+            cuts = pa.array(np.append(0, np.cumsum(_times(owner[rest], n))), pa.int32())
+            lists = (pa.array(last, mask=seen[rest]), pa.array(before[rest], pa.int32()), pa.array(word[rest], mask=known[rest]),
+                     pa.array(k[rest], pa.int32()), pa.array(np.where(known[rest], freq[at[rest]], 0)))
+            total = lambda of, values, kind: np.bincount(of, values, n).astype(kind)  # noqa: E731  whole numbers if there are no values
+            sums = (sizes, total(owner[known], freq[at[known]] > 0, np.int64), total(owner[known], log_plain[at[known]], np.float64), total(owner[ok], mixed, np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums), *(pa.ListArray.from_arrays(cuts, x) for x in lists)], names=["keep", *names])
 
     return run
 
@@ -436,21 +551,21 @@ def _local(shared, ending_class, transitions, emission, n_docs, tokens, distinct
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The kept columns, n_tokens, n_known, base_score and score of every row.
 
-    Both scores are sums of log10 probabilities over all words and one end; base_score takes words alone, smoothed by
-    ``smooth``. NULL and empty texts have the end alone. Words beyond the held ones meet their counts and classes in joins.
+    Both scores are sums of log10 probabilities over all words of the whole text and one end; base_score takes words alone,
+    smoothed by ``smooth``. NULL and empty texts have the end alone. Every row is scored by itself: repeated rows get equal
+    scores, an empty table gives no rows. Only ``keep`` is carried, so other columns of any name do no harm. Words beyond the
+    held ones meet their counts and classes in joins.
     """
     n_docs = model.tokens - int(model.counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    run = _local(held_words(model.counts), model.ending_class, model.transitions, model.emission_sizes, n_docs, model.tokens, model.distinct, model.smooth, model.class_weight)
+    shared = docs.sparkSession.sparkContext.broadcast(held_words(model.counts, model.least))
+    run = _local(shared, model.ending_class, model.transitions, model.emission_sizes, n_docs, model.tokens, model.distinct, model.smooth, model.class_weight)
     light = docs.select(F.struct(*keep).alias("keep"), F.col(text_col).cast("string").alias("text"))
-    schema = (f"keep {doc_type(light, 'keep')}, n_tokens long, n_known long, base double, score double, a array<string>, "
-              "a_class array<int>, b array<string>, b_class array<int>, b_count array<bigint>")
+    schema = (f"keep {doc_type(light, 'keep')}, n_tokens long, n_known long, base double, score double, a array<long>, "
+              "a_class array<int>, b array<long>, b_class array<int>, b_count array<long>")
     rows = materialise(with_row_id(light.mapInArrow(run, schema)))
     tail = rows.select("rid", F.explode(F.arrays_zip("a", "a_class", "b", "b_class", "b_count")).alias("t")).select("rid", "t.*")
-    # A key with a space matches no word and spreads the tokens that need no look-up.
-    none = F.concat(F.lit(" "), F.col("rid").cast("string"))
-    first = model.counts.select(F.col("word").alias("first"), F.col("k").alias("first_k"))
-    second = model.counts.select(F.col("word").alias("second"), F.col("k").alias("second_k"), "c")
-    tail = tail.join(first, F.coalesce("a", none) == F.col("first"), "left").join(second, F.coalesce("b", none) == F.col("second"), "left")
+    tail = tail.join(_unheld(model.counts, model.least, "first", "first_k"), _key(F.col("a").isNotNull(), "a", F.col("rid")) == F.col("first"), "left")
+    tail = tail.join(_unheld(model.counts, model.least, "second", "second_k", "c"), _key(F.col("b").isNotNull(), "b", F.col("rid")) == F.col("second"), "left")
     tail = tail.select("rid", "b", F.coalesce("first_k", "a_class").alias("j"), F.coalesce("second_k", "b_class").alias("k"), F.coalesce("c", "b_count").alias("c"))
     sizes = F.array(*[F.lit(float(x)) for x in model.emission_sizes])
     steps = F.array(*[F.lit(float(x)) for x in model.transitions.ravel()])
