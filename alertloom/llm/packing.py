@@ -24,6 +24,8 @@ from alertloom.llm.common import doc_type, materialise, rid_bucket, running_offs
 ROUNDS = 16
 #: Cache sizes of a worker, in entries; a full cache keeps what came first, as frequent words do.
 CHUNKS, PIECES = 300_000, 200_000
+#: Documents that are split together.
+DOCS = 2048
 
 # Fixed by the tokenizer file word_bpe_49k.json: how it splits lower-cased ASCII and Latin-1 letters.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
@@ -79,6 +81,37 @@ def chunk_ids(path: str) -> Callable[[bytes], bytes]:
     return chunk
 
 
+class Chunks(dict):
+    """Ids of chunks as bytes; unknown ones are encoded, and kept while there is room."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.encode = chunk_ids(path)
+
+    def __missing__(self, raw: bytes) -> bytes:
+        got = self.encode(raw)
+        if len(raw) < 64 and len(self) < CHUNKS:
+            self[raw] = got
+        return got
+
+
+def text_ids(texts: list, chunks: Chunks):
+    """Ids of all texts behind each other, and where each text's begin; each distinct chunk is looked up once."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    split = pc.ascii_split_whitespace(pa.array([folded(t or "") for t in texts], pa.large_string()))
+    parts = split.flatten().dictionary_encode()
+    made = [chunks[raw] if raw else b"" for raw in parts.dictionary.cast(pa.large_binary()).to_pylist()]
+    size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+    flat, begin, at = np.frombuffer(b"".join(made), "<u4"), np.cumsum(size) - size, parts.indices.to_numpy()
+    n = size[at]
+    off = np.cumsum(n) - n
+    ids = flat[np.repeat(begin[at] - off, n) + np.arange(int(n.sum()))]
+    return ids, np.append(0, np.cumsum(n))[split.offsets.to_numpy()]
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, eos_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """doc_id, sk, n and ids ("<u4" or, if every id fits, "<u2") of each document with the end id; NULL text is empty."""
 
@@ -86,24 +119,16 @@ def tokenise(docs: DataFrame, tokenizer_path: str, eos_id: int, id_col: str, tex
         import numpy as np
         import pyarrow as pa
 
-        encode, cache = chunk_ids(tokenizer_path), worker_cache(f"chunks {tokenizer_path}")
-        end = np.array([eos_id], "<u4").tobytes()
+        made = worker_cache(f"chunks {tokenizer_path}")
+        chunks = made.get("") or made.setdefault("", Chunks(tokenizer_path))
         for batch in batches:
             ids, counts = [], []
-            for text in batch.column(2).to_pylist():
-                parts = folded(text or "").encode().split()
-                got = list(map(cache.get, parts))
-                if None in got:
-                    for i, x in enumerate(got):
-                        if x is None:
-                            raw = parts[i]
-                            x = got[i] = cache.get(raw) or encode(raw)
-                            if len(raw) < 64 and len(cache) < CHUNKS:
-                                cache[raw] = x
-                got.append(end)
-                all_ids = np.frombuffer(b"".join(got), "<u4")
-                counts.append(len(all_ids))
-                ids.append((all_ids.astype("<u2") if all_ids.max() < 65536 else all_ids).tobytes())
+            for i in range(0, batch.num_rows, DOCS):
+                found, cuts = text_ids(batch.column(2).slice(i, DOCS).to_pylist(), chunks)
+                for j, k in zip(cuts, cuts[1:]):
+                    all_ids = np.append(found[j:k], np.uint32(eos_id))
+                    counts.append(len(all_ids))
+                    ids.append((all_ids.astype("<u2") if all_ids.max() < 65536 else all_ids).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
                                              names=["doc_id", "sk", "n", "ids"])
 
