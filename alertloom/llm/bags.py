@@ -9,5 +9,13 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letter_words(text: str | None) -> Counter:
-    """Lower-cased runs of letters with their counts; empty for NULL and texts without letters."""
-    return Counter(_LETTERS.findall(text.lower())) if text else Counter()
+    """Lower-cased runs of letters (Unicode categories L) with their counts; empty for NULL and texts without letters."""
+    if not text:
+        return Counter()
+    found = Counter(_LETTERS.findall(text.lower()))
+    # The pattern also takes signs like the fraction one half, which are numbers but no decimal digits.
+    for run in [w for w in found if not w.isalpha()]:
+        n = found.pop(run)
+        for word in "".join(c if c.isalpha() else " " for c in run).split():
+            found[word] += n
+    return found

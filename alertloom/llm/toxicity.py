@@ -9,16 +9,19 @@ they come from.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm.bags import letter_words
-from alertloom.llm.common import doc_type, worker_cache
+from alertloom.llm.common import doc_type, materialise, worker_cache
 
 BUCKETS, NGRAMS = 1 << 16, (3, 4, 5)
 #: Words that a worker keeps the sums of.
 CACHE = 300_000
+#: Parts of an epoch over which the repeats of a toxic text are spread; more of them follow each other.
+MOST_COPIES = 8
 
 
 def subwords(word: str):
@@ -50,80 +53,161 @@ def bag(text: str | None):
     return ids, np.bincount(where, weights) / weights.sum()
 
 
-def train(bags: list, labels, dim: int = 8, epochs: int = 5, rate: float = 0.3, scale: float = 30.0, seed: int = 0):
-    """Fit embeddings and softmax jointly by stochastic gradient steps with Adagrad rates.
+class Trainer:
+    """Embeddings and softmax, learned jointly by stochastic gradient steps with Adagrad rates.
 
-    ``bags`` are (buckets, shares), ``labels`` 0 or 1. Returns (effect of each bucket on the logit, bias). The softmax
-    is linear in the average, so a bucket's effect is its embedding times the difference of the two classes' weights.
-    Without both labels the effect is 0 and the bias says which label there is.
+    ``rare`` weighs the buckets. The softmax is linear in the average of a bag, so a bucket's effect on the logit is its
+    embedding times the difference of the two classes' weights.
     """
+
+    def __init__(self, rare, dim: int = 8, rate: float = 0.3, seed: int = 0):
+        import numpy as np
+
+        rng = np.random.default_rng(seed)
+        self.rare, self.rate = rare, rate
+        self.emb, self.out, self.bias = rng.normal(0, 0.1, (BUCKETS, dim)), rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
+        self.emb_sq, self.out_sq = np.full(BUCKETS, 1e-4), 1e-4
+
+    def learn(self, ids, share, label: int) -> None:
+        """One step with the buckets of a text and their shares of its bag."""
+        import numpy as np
+
+        if not len(ids):
+            return
+        share = share * self.rare[ids]
+        mean = share @ self.emb[ids]
+        z = mean @ self.out + self.bias
+        grad = np.exp(z - z.max())
+        grad /= grad.sum()
+        grad[label] -= 1
+        back, out_grad = self.out @ grad, np.outer(mean, grad)
+        self.emb_sq[ids] += share**2 * (back**2).mean()
+        self.out_sq += (out_grad**2).mean()
+        self.emb[ids] -= (self.rate * share / np.sqrt(self.emb_sq[ids]))[:, None] * back
+        self.out -= 0.3 * self.rate * out_grad / np.sqrt(self.out_sq)
+        self.bias -= 0.1 * self.rate * grad
+
+    def effects(self):
+        """Effect of each bucket on the logit of toxic, the bias last."""
+        import numpy as np
+
+        return np.append(self.emb @ (self.out[:, 1] - self.out[:, 0]) * self.rare, self.bias[1] - self.bias[0])
+
+
+def _frequencies(batches):
+    """mapInArrow: texts to (bucket, n), n of the partition's texts having the bucket; bucket BUCKETS counts all texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    total, mark, cache = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS, bool), worker_cache("toxicity buckets")
+    for batch in batches:
+        total[BUCKETS] += batch.num_rows
+        for text in batch.column(0).to_pylist():
+            parts = []
+            for word in letter_words(text):
+                ids = cache.get(word)
+                if ids is None:
+                    ids = subwords(word).astype(np.uint16)
+                    if len(cache) < CACHE // 2 and len(word) < 64:
+                        cache[word] = ids
+                parts.append(ids)
+            if parts:
+                mark[:] = False
+                mark[np.concatenate(parts)] = True
+                total[:BUCKETS] += mark
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
+
+
+def rarity(docs: DataFrame, text_col: str = "text", scale: float = 30.0):
+    """Weight of each bucket: ``scale`` times the logarithm of (texts + 1) / (texts that have it + 1), over all documents."""
     import numpy as np
 
-    labels = np.asarray(labels, np.int64)
-    pos, neg = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    if not len(pos) or not len(neg):
-        return np.zeros(BUCKETS), 20.0 if len(pos) else -20.0
-    rng = np.random.default_rng(seed)
-    seen = np.zeros(BUCKETS)
-    for ids, _ in bags:
-        seen[ids] += 1
-    rare = np.log((len(bags) + 1) / (seen + 1)) * scale
-    emb, out, bias = rng.normal(0, 0.1, (BUCKETS, dim)), rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
-    emb_sq, out_sq = np.full(BUCKETS, 1e-4), 1e-4
-    for _ in range(epochs):
-        # Every clean text once; toxic texts repeated or thinned to a third of that number.
-        for i in rng.permutation(np.concatenate([neg, np.resize(rng.permutation(pos), max(1, len(neg) // 3))])):
-            ids, share = bags[i]
-            if not len(ids):
-                continue
-            share = share * rare[ids]
-            mean = share @ emb[ids]
-            z = mean @ out + bias
-            grad = np.exp(z - z.max())
-            grad /= grad.sum()
-            grad[labels[i]] -= 1
-            back, out_grad = out @ grad, np.outer(mean, grad)
-            emb_sq[ids] += share**2 * (back**2).mean()
-            out_sq += (out_grad**2).mean()
-            emb[ids] -= (rate * share / np.sqrt(emb_sq[ids]))[:, None] * back
-            out -= 0.3 * rate * out_grad / np.sqrt(out_sq)
-            bias -= 0.1 * rate * grad
-    return emb @ (out[:, 1] - out[:, 0]) * rare, float(bias[1] - bias[0])
+    texts = docs.select(F.col(text_col).cast("string"))
+    got = texts.mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(BUCKETS + 1)
+    n[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return np.log((n[-1] + 1) / (n[:-1] + 1)) * scale
 
 
 def _bags(batches):
+    """mapInArrow: (draw, toxic, text) to (draw, toxic, ids, share): buckets as "<u2" and shares as "<f4" bytes."""
     import pyarrow as pa
 
     for batch in batches:
         made = [bag(t) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.astype("int32") for b, _ in made], pa.list_(pa.int32())),
-                                          pa.array([s.astype("float32") for _, s in made], pa.list_(pa.float32()))], names=["id", "toxic", "ids", "share"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([i.astype("<u2").tobytes() for i, _ in made], pa.binary()),
+                                          pa.array([s.astype("<f4").tobytes() for _, s in made], pa.binary())], names=["draw", "toxic", "ids", "share"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
-    """Fit on the labelled documents that ``may_learn`` (over the labels) allows: (effects, bias).
+def _train(shared):
+    """mapInArrow over one partition: bags in the order in which they are learned to (bucket, effect), the bias as bucket BUCKETS."""
 
-    At most ``per_label`` ids of each label take part, those with the smallest hash; of repeated ids the least text
-    counts. The bags, at most ``BUCKETS`` entries each, come to the driver; texts don't. Other labels than 0 and 1
-    and NULL labels are left out.
-    """
-    known = labels.where(may_learn).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        trainer = Trainer(shared.value)
+        for batch in batches:
+            for label, ids, share in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                trainer.learn(np.frombuffer(ids, "<u2").astype(np.int64), np.frombuffer(share, "<f4").astype(np.float64), label)
+        effects = trainer.effects()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(effects)), pa.int32()), pa.array(effects)], names=["bucket", "effect"])
+
+    return run
+
+
+def sample(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, toxic, text) of the documents to learn from: at most ``per_label`` ids of each label, those with the smallest hash."""
+    known = labels.where(may_learn).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).distinct()
     draw = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_label)
-    chosen = F.broadcast(draw(0).union(draw(1)).distinct())  # per_label rows of each label at most
+    chosen = F.broadcast(draw(0).union(draw(1)))  # per_label rows of each label at most
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(chosen, "_id")
-    texts = texts.groupBy("_id", "toxic").agg(F.min("_text").alias("_text"))
-    got = texts.mapInArrow(_bags, f"id {doc_type(texts, '_id')}, toxic int, ids array<int>, share array<float>").toArrow()
-    got = got.sort_by([("toxic", "ascending"), ("id", "ascending")]).combine_chunks()
-    if not got.num_rows:
-        return train([], [])
-    ids, share = got["ids"].combine_chunks(), got["share"].combine_chunks()
-    at = ids.offsets.to_numpy()
-    ids, share = ids.values.to_numpy(), share.values.to_numpy()
-    return train([(ids[i:j], share[i:j]) for i, j in zip(at, at[1:])], got["toxic"].to_pylist())
+    return texts.groupBy("_id", "toxic").agg(F.min("_text").alias("_text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int = 4000, epochs: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
+    """Fit on the labelled documents that ``may_learn`` (over the labels) allows: (effect of each bucket, bias).
+
+    At most ``per_label`` ids of each label take part, those with the smallest hash; of repeated ids the least text counts.
+    Other labels than 0 and 1, NULL labels and NULL ids are left out; empty texts teach nothing. The buckets' weights come
+    from all documents. The bags are written once and run ``epochs`` times through one task, which holds the model and a
+    batch of them; toxic ones are repeated or thinned to about a third of the clean ones. The driver gets one number a bucket.
+    Without both labels the effects are 0 and the bias says which label there is; without labels nothing is toxic.
+    """
+    import math
+
+    import numpy as np
+
+    texts = sample(docs, labels, may_learn, per_label, id_col, text_col, label_col)
+    rows = texts.select(F.xxhash64("_id").alias("draw"), "toxic", "_text")
+    bags = materialise(rows.mapInArrow(_bags, "draw long, toxic int, ids binary, share binary").repartition(8, "draw").sortWithinPartitions("draw"))
+    sizes = {r.toxic: r.n for r in bags.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return np.zeros(BUCKETS), 20.0 if 1 in sizes else -20.0
+    wanted = max(1, sizes[0] // 3) / sizes[1]  # times that a toxic document is learned in an epoch, on average
+    copies = min(MOST_COPIES, math.ceil(wanted))
+
+    def turn(epoch: int, copy: int) -> DataFrame:
+        """A part of the clean bags, and the toxic ones, each ``wanted / copies`` times on average."""
+        chance = F.pmod(F.xxhash64("draw", F.lit(epoch), F.lit(copy)), F.lit(1_000_003)) / 1_000_003
+        times = F.when(F.col("toxic") == 1, F.floor(wanted / copies + chance)).otherwise((F.pmod(F.xxhash64("draw"), F.lit(copies)) == copy).cast("int"))
+        return bags.withColumn("_", F.explode(F.array_repeat(F.lit(True), times.cast("int")))).select("toxic", "ids", "share")
+
+    order = reduce(DataFrame.union, [turn(e, c) for e in range(epochs) for c in range(copies)]).coalesce(1)
+    shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col))
+    got = order.mapInArrow(_train(shared), "bucket int, effect double").toArrow().sort_by("bucket")
+    effects = got["effect"].to_numpy()
+    return effects[:-1], float(effects[-1])
 
 
 def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """The kept columns and P(toxic) of every whole text; texts without letters get the bias alone."""
+    """The kept columns and P(toxic) of every whole text.
+
+    NULL, empty and letterless texts get the bias alone. Every row is scored by itself: repeated rows get equal scores, ties
+    need no rule, very long texts are scored whole, an empty table gives no rows. Only ``keep`` is carried, so further columns
+    of any name do no harm.
+    """
     import numpy as np
 
     effects, bias = model

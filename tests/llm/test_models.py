@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 import zlib
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertloom.llm import classlm, langid, quality, queries, toxicity
+from alertloom.llm.bags import letter_words
 from alertloom.llm.common import words
 from tests.llm.conftest import SF, clash, doc_frame, odd_docs
 
@@ -69,14 +71,16 @@ def test_language_model(spark, docs, monkeypatch):
         counts.update([*(r.text or "").encode().lower().split(), b""])
     n, v = sum(counts.values()), len(counts)
     assert (model.tokens, model.distinct) == (n, v)
-    units = classlm.unit_index(model.unit_words)
-    cls = {w: int(model.unit_class[units[w]]) if w else classlm.CLASSES for w in counts}
+    assert model.least > 1
+    k_of, c_of = ({r.id: r[x] for r in model.counts.collect()} for x in ("k", "c"))
+    cls = {w: k_of[classlm.word_id(w)] if w else classlm.CLASSES for w in counts}
+    assert all(c_of[classlm.word_id(w)] == c for w, c in counts.items() if w)
 
     def p_base(w):
         return (counts[w] + 0.1) / (n + 0.1 * (v + 1))
 
     def p_model(before, w):
-        k = int(model.unit_class[units[w]]) if w else classlm.CLASSES
+        k = cls[w] if w in cls else int(model.ending_class[classlm.word_id(w) % classlm.ENDINGS])
         emit = 1.0 if not w else (counts[w] + 0.1) / model.emission_sizes[k]
         return 0.9 * model.transitions[before, k] * emit + 0.1 * p_base(w), k
 
@@ -99,17 +103,19 @@ def test_language_model(spark, docs, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_every_word_has_a_class_of_its_neighbours(spark, monkeypatch):
+@pytest.mark.parametrize("held", [30, 1000])
+def test_every_word_has_a_class_of_its_neighbours(spark, monkeypatch, held):
     monkeypatch.setattr(classlm, "UNIT_WORDS", 8)
-    monkeypatch.setattr(classlm, "END", classlm.ENDINGS + 8)
-    monkeypatch.setattr(classlm, "HELD_WORDS", 30)  # classes of most words are joined
+    monkeypatch.setattr(classlm, "HELD_WORDS", held)  # with 30, classes of most words are joined
+    monkeypatch.setattr(classlm, "COUNTED", 500)
     r = random.Random(3)
     # Words of two kinds that take turns; all end alike, so their endings tell nothing.
     kinds = [[f"{a}{i}xyz" for i in range(60)] for a in "pq"]
     texts = [" ".join(r.choice(kinds[j % 2]) for j in range(40)) for _ in range(150)]
     model = classlm.fit(doc_frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]))
-    k = {x.word: x.k for x in model.counts.collect()}
-    assert len(k) == 120 and {k[w] for w in kinds[0]}.isdisjoint(k[w] for w in kinds[1])
+    by_id = {x.id: x.k for x in model.counts.collect()}
+    k = {w: by_id[classlm.word_id(w.encode())] for kind in kinds for w in kind}
+    assert len(by_id) == 120 and {k[w] for w in kinds[0]}.isdisjoint(k[w] for w in kinds[1])
     both = Counter()
     for t in texts:
         c = [classlm.CLASSES, *(k[w] for w in t.split()), classlm.CLASSES]
@@ -210,13 +216,37 @@ def test_toxicity_finds_misspellings(spark):
     assert toxicity.score(df, toxicity.fit(df, labels.limit(0), F.lit(True))).where("score > 0.5").count() == 0
 
 
-def test_toxicity_learns_from_4000_documents_of_a_label(spark, monkeypatch):
-    given = []
-    monkeypatch.setattr(toxicity, "train", lambda bags, labels, *a, **b: given.extend(labels))
-    rows = [(i, f"word{i}", "en", "s") for i in range(6500)]
-    labels = spark.createDataFrame([(i, int(i < 2500)) for i in range(6500)], "doc_id long, toxic int")
-    toxicity.fit(doc_frame(spark, rows), labels, F.lit(True))
-    assert Counter(given) == {0: 4000, 1: 2500}
+def test_toxicity_learns_from_4000_documents_of_a_label(spark):
+    rows = [(i, f"word{i}", "en", "s") for i in range(6500)] + [(0, "a", "en", "s"), (0, "zzz", "en", "s")]
+    labels = spark.createDataFrame([(i, int(i < 2500)) for i in range(6500)] * 2 + [(None, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(doc_frame(spark, rows), labels, F.lit(True), inspect.signature(toxicity.fit).parameters["per_label"].default, "doc_id", "text", "toxic").collect()
+    assert Counter(r.toxic for r in got) == {0: 4000, 1: 2500} and next(r._text for r in got if r._id == 0) == "a"
+
+
+def test_toxicity_weighs_buckets_by_all_documents(spark):
+    df = clash(odd_docs(spark)).repartition(3)
+    bags = [set(toxicity.bag(r.text)[0].tolist()) for r in df.select("text").collect()]
+    want = [30 * math.log((len(bags) + 1) / (sum(b in x for x in bags) + 1)) for b in range(toxicity.BUCKETS)]
+    assert toxicity.rarity(df) == pytest.approx(np.array(want))
+    assert not toxicity.rarity(df.limit(0)).any()
+
+
+def test_toxicity_scores_equal_the_plain_average(spark):
+    effects, bias = np.random.default_rng(3).normal(0, 3, toxicity.BUCKETS), -0.5
+    df = clash(odd_docs(spark))
+    got = toxicity.score(df, (effects, bias), ("doc_id", "text")).collect()
+    assert len(got) == df.count()
+    for r in got:
+        ids, share = toxicity.bag(r.text)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(float(share @ effects[ids]) + bias))), rel=1e-9)
+
+
+def test_letters_are_letters_only(spark):
+    assert letter_words("\u00bd \u00b2 \u2460 7_ \u2167") == Counter() and letter_words(None) == Counter()
+    assert letter_words("Ab\u00b2c \u4e2d\u6587x ab") == {"ab": 2, "c": 1, "\u4e2d\u6587x": 1}
+    model = langid.fit(doc_frame(spark, [(1, "hallo welt", "de", "s")]), F.lit(True))
+    got = langid.identify(doc_frame(spark, [(1, "\u00bd \u00b2", "de", "s"), (2, "welt", "de", "s")]), model).orderBy("doc_id").collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0), ("de", 1.0)]
 
 
 def test_toxicity_held_out(spark):
