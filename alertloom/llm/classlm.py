@@ -25,12 +25,12 @@ from alertloom.llm.common import doc_type, materialise, with_row_id
 UNIT_WORDS, ENDINGS, CLASSES = 1024, 512, 48
 #: Sweeps over the corpus that give every word its class; they stop early when the likelihood does not rise.
 SWEEPS = 2
-#: Most words whose counts and classes are held in every worker, 13 bytes each; those of all others are joined.
+#: Most words whose counts and classes are held in every worker, 17 bytes each; those of all others are joined.
 HELD_WORDS = 1 << 22
 #: Tokens whose neighbours' classes a worker counts before it passes them on.
 COUNTED = 2_000_000
-#: Words whose ids a worker keeps.
-CACHE = 300_000
+#: Words whose ids a worker keeps, and texts that are cut into words together.
+CACHE, DOCS = 300_000, 2048
 #: Id of a text's end, and a neighbour's class and how often it was met, as bytes.
 STOP, NEAR = -1, [("code", "u1"), ("n", ">u4")]
 
@@ -67,13 +67,22 @@ class _Ids(dict):
         return got
 
 
-def _lists(texts, ids: _Ids):
-    """Ids of the lower-cased words of all texts (values, how many each text has); NULL texts have none."""
+def _words(texts, ids: _Ids):
+    """The words of an Arrow column of texts, lower-cased: ids of the distinct ones, which of them stands where, and how many each
+    text has; NULL texts have none."""
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    found = [list(map(ids.__getitem__, (t or "").encode().lower().split())) for t in texts]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return np.fromiter((i for part in found for i in part), np.int64, int(sizes.sum())), sizes
+    # A new array: the cast of a slice that has no bitmap of NULLs reads from the first text on.
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts.to_pylist()], pa.large_string())))
+    parts = split.flatten().dictionary_encode()
+    found = parts.dictionary.cast(pa.large_binary()).to_pylist()
+    at, sizes = parts.indices.to_numpy(), split.value_lengths().to_numpy().astype(np.int64)
+    if b"" in found:  # stands before, after and instead of words
+        real = at != found.index(b"")
+        at, sizes = at[real], _times(_owners(sizes)[real], len(sizes))
+    return np.fromiter(map(ids.__getitem__, found), np.int64, len(found)), at, sizes
 
 
 def _list_array(values, sizes):
@@ -89,7 +98,9 @@ def _word_ids(batches):
 
     ids = _Ids()
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([_list_array(*_lists(batch.column(0).to_pylist(), ids))], names=["ids"])
+        for i in range(0, batch.num_rows, DOCS):
+            distinct, at, sizes = _words(batch.column(0).slice(i, DOCS), ids)
+            yield pa.RecordBatch.from_arrays([_list_array(distinct[at], sizes)], names=["ids"])
 
 
 def _stopped(values, sizes, stop: int):
@@ -143,14 +154,29 @@ def _bigrams(unit_ids):
                 at = np.minimum(np.searchsorted(known, values), len(known) - 1)
                 units = np.where(known[at] == values, ENDINGS + order[at], units)
             a = _stopped(units, sizes, end)
-            codes, n = np.unique(a[:-1] * side + a[1:], return_counts=True)
-            total[codes] += n
+            total += np.bincount(a[:-1] * side + a[1:], minlength=side * side)
         codes = np.flatnonzero(total)
         yield from pa.table({"code": codes, "n": total[codes]}).to_batches(100_000)
 
     return run
 
 
+def _exchange(side: int):
+    """mapInArrow over one partition: (code, n) of all unit pairs to (unit, class)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        pairs = np.zeros(side * side)
+        for batch in batches:
+            pairs[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+        cls = exchange(pairs.reshape(side, side), CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(side)), pa.array(cls)], names=["unit", "k"])
+
+    return run
+
+
 def exchange(pairs, classes: int, sweeps: int = 8):
     """Classes of units from their bigram counts (a square array) by the exchange algorithm.
 
@@ -238,14 +264,14 @@ def held_from(counts: DataFrame) -> int:
     return least
 
 
-def held_words(table: DataFrame, least: int):
-    """The held words, sorted by id: ids, counts and classes (bytes), HELD_WORDS at most."""
+def held_words(table: DataFrame, least: int, counted: bool = False):
+    """The held words, sorted by id: ids, counts if wanted, and classes (bytes); HELD_WORDS at most."""
     import numpy as np
 
-    got = table.where(F.col("c") >= least).select("id", "c", F.col("k").cast("byte").alias("k")).toArrow()
-    ids, c, k = (got[x].to_numpy() for x in ("id", "c", "k"))
-    order = np.argsort(ids)
-    return ids[order], np.minimum(c[order], 2**32 - 1).astype(np.uint32) if len(c) and c.max() < 2**32 else c[order], k[order].astype(np.int8)
+    got = table.where(F.col("c") >= least).select("id", F.col("k").cast("byte").alias("k"), *(["c"] if counted else [])).toArrow()
+    ids = got["id"].to_numpy()
+    order = np.argsort(ids).astype(np.int32)
+    return tuple(got[x].to_numpy()[order] for x in (("id", "c", "k") if counted else ("id", "k")))
 
 
 def find(held, ids):
@@ -266,7 +292,8 @@ def _places(shared):
 
         for batch in batches:
             values, sizes = _column(batch.column(0))
-            at = find(shared.value[0], values)
+            distinct = pa.array(values).dictionary_encode()
+            at = find(shared.value[0], distinct.dictionary.to_numpy())[distinct.indices.to_numpy()]
             none = at < 0
             owner = _owners(sizes)[none]
             yield pa.RecordBatch.from_arrays([_list_array(at, sizes), _list_array(values[none], _times(owner, len(sizes)))], names=["at", "rest"])
@@ -453,7 +480,7 @@ def fit(docs: DataFrame, text_col: str = "text", smooth: float = 0.1, class_weig
     NULL and empty texts have an end alone; repeated rows count as often as they stand; an empty table gives a model without
     words. Only the text is read, so other columns of any name do no harm. Ties between classes go to the smaller one, between
     units to the smaller id. Words are told apart by 64-bit ids; words that share one (3 pairs among 10**10) count as one.
-    To the driver come the ids of the unit words, one number per pair of units and of classes, the totals and the held words.
+    To the driver come the ids and classes of the units, one number per pair of classes, the totals and the held words.
     """
     import numpy as np
 
@@ -464,16 +491,14 @@ def fit(docs: DataFrame, text_col: str = "text", smooth: float = 0.1, class_weig
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     unit_ids = np.array([r.id for r in counts.orderBy(F.col("c").desc(), "id").limit(UNIT_WORDS).collect()], np.int64)
     side = ENDINGS + len(unit_ids) + 1
-    made = texts.mapInArrow(_bigrams(unit_ids), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(side * side)
-    pairs[made["code"].to_numpy()] = made["n"].to_numpy()
-    del made
-    cls = exchange(pairs.reshape(side, side), CLASSES)
-    del pairs
+    # One number per pair of units runs through one task.
+    made = texts.mapInArrow(_bigrams(unit_ids), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    cls = made.repartition(1).mapInArrow(_exchange(side), "unit long, k long").toArrow().sort_by("unit")["k"].to_numpy()
+    cls = cls if len(cls) else np.zeros(side, np.int64)  # no text, no pairs
 
     table = counts.mapInArrow(_first_classes(unit_ids, cls), "id long, c long, k int")
     least = held_from(counts)
-    ids, _, classes = held_words(table, least)
+    ids, classes = held_words(table, least)
     shared = spark.sparkContext.broadcast((ids,))
     places = materialise(texts.mapInArrow(_places(shared), "at array<int>, rest array<long>"))
     best, kept, both = None, table, np.zeros((CLASSES + 1, CLASSES + 1))
@@ -499,7 +524,8 @@ def fit(docs: DataFrame, text_col: str = "text", smooth: float = 0.1, class_weig
             near = places.mapInArrow(_near(shared, known), "id long, k int, near binary").union(each)
             near = near.repartition("id").sortWithinPartitions("id")
             table = materialise(near.mapInArrow(_choose(now, smooth), "id long, c long, k int"))
-            classes = held_words(table, least)[2]
+            classes = held_words(table, least)[1]
+            known.destroy()
     transitions = (both + smooth) / (both.sum(1, keepdims=True) + smooth * (CLASSES + 1))
     emission = np.zeros(CLASSES + 1)
     for r in kept.groupBy("k").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
@@ -508,7 +534,7 @@ def fit(docs: DataFrame, text_col: str = "text", smooth: float = 0.1, class_weig
     return Model(kept, least, int(total) + n_docs, int(distinct) + (n_docs > 0), cls[:ENDINGS], transitions, emission, smooth, class_weight)
 
 
-def _local(shared, ending_class, transitions, emission, n_docs, tokens, distinct, smooth, weight):
+def _local(shared, ending_class, transitions, emission, n_docs, tokens, distinct_words, smooth, weight):
     """mapInArrow: sums over the held tokens that follow held ones, and a list of the others.
 
     Of these ``a`` and ``b``, the word before and the word, are given where they aren't held, with the class that they
@@ -522,28 +548,33 @@ def _local(shared, ending_class, transitions, emission, n_docs, tokens, distinct
         held, counts, classes = shared.value
         # One entry more: the end of a text, alone in its class.
         freq, unit = np.append(counts.astype(np.int64), n_docs), np.append(classes, np.int8(CLASSES))
-        log_plain = np.log10((freq + smooth) / (tokens + smooth * (distinct + 1)))
         names, ids = ("n_tokens", "n_known", "base", "score", "a", "a_class", "b", "b_class", "b_count"), _Ids()
-        for batch in batches:
-            values, sizes = _lists(batch.column(1).to_pylist(), ids)
-            n, sizes = len(sizes), sizes + 1
-            word = _stopped(values, sizes - 1, STOP)[1:]
-            at = _stopped(find(held, values), sizes - 1, len(held))[1:]
-            owner, known = _owners(sizes), at >= 0
-            k = np.where(known, unit[at], ending_class[word % ENDINGS]).astype(np.int64)
-            before, seen = np.append(CLASSES, k[:-1])[: len(k)], np.append(True, known[:-1])[: len(k)]
-            ok = known & seen
-            plain, place = log_plain[at[ok]], at[ok]
-            emit = np.where(place == len(held), 1.0, (freq[place] + smooth) / emission[k[ok]])
-            mixed = np.log10(weight * transitions[before[ok], k[ok]] * emit + (1 - weight) * 10.0**plain)
-            rest = np.flatnonzero(~ok)
-            last = np.append(STOP, word[:-1])[: len(word)][rest]
-            cuts = pa.array(np.append(0, np.cumsum(_times(owner[rest], n))), pa.int32())
-            lists = (pa.array(last, mask=seen[rest]), pa.array(before[rest], pa.int32()), pa.array(word[rest], mask=known[rest]),
-                     pa.array(k[rest], pa.int32()), pa.array(np.where(known[rest], freq[at[rest]], 0)))
-            total = lambda of, values, kind: np.bincount(of, values, n).astype(kind)  # noqa: E731  whole numbers if there are no values
-            sums = (sizes, total(owner[known], freq[at[known]] > 0, np.int64), total(owner[known], log_plain[at[known]], np.float64), total(owner[ok], mixed, np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums), *(pa.ListArray.from_arrays(cuts, x) for x in lists)], names=["keep", *names])
+        for whole in batches:
+            for batch in (whole.slice(i, DOCS) for i in range(0, whole.num_rows, DOCS)):
+                distinct, where, sizes = _words(batch.column(1), ids)
+                n, end = len(sizes), len(distinct)
+                # What is looked up and computed for a word is so once for all its places; the end comes after all words.
+                found = np.append(find(held, distinct), len(held))
+                word, known_word = np.append(distinct, STOP), found >= 0
+                k_word = np.where(known_word, unit[found], ending_class[word % ENDINGS]).astype(np.int64)
+                freq_word = np.where(known_word, freq[found], 0)
+                plain_word = (freq_word + smooth) / (tokens + smooth * (distinct_words + 1))
+                emit_word, log_word = np.append(((freq_word + smooth) / emission[k_word])[:-1], 1.0), np.log10(plain_word)
+                where, sizes = _stopped(where.astype(np.int64), sizes, end)[1:], sizes + 1
+                owner, known, k = _owners(sizes), known_word[where], k_word[where]
+                before, seen = np.append(CLASSES, k[:-1])[: len(k)], np.append(True, known[:-1])[: len(k)]
+                ok = known & seen
+                place = where[ok]
+                mixed = np.log10(weight * transitions[before[ok], k[ok]] * emit_word[place] + (1 - weight) * plain_word[place])
+                rest = np.flatnonzero(~ok)
+                last, here = np.append(end, where[:-1])[: len(where)][rest], where[rest]
+                cuts = pa.array(np.append(0, np.cumsum(_times(owner[rest], n))), pa.int32())
+                lists = (pa.array(word[last], mask=seen[rest]), pa.array(before[rest], pa.int32()), pa.array(word[here], mask=known[rest]),
+                         pa.array(k[rest], pa.int32()), pa.array(freq_word[here]))
+                total = lambda of, values, kind: np.bincount(of, values, n).astype(kind)  # noqa: E731  whole numbers if there are no values
+                in_known = where[known]
+                sums = (sizes, total(owner[known], freq_word[in_known] > 0, np.int64), total(owner[known], log_word[in_known], np.float64), total(owner[ok], mixed, np.float64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums), *(pa.ListArray.from_arrays(cuts, x) for x in lists)], names=["keep", *names])
 
     return run
 
@@ -557,7 +588,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     held ones meet their counts and classes in joins.
     """
     n_docs = model.tokens - int(model.counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    shared = docs.sparkSession.sparkContext.broadcast(held_words(model.counts, model.least))
+    shared = docs.sparkSession.sparkContext.broadcast(held_words(model.counts, model.least, True))
     run = _local(shared, model.ending_class, model.transitions, model.emission_sizes, n_docs, model.tokens, model.distinct, model.smooth, model.class_weight)
     light = docs.select(F.struct(*keep).alias("keep"), F.col(text_col).cast("string").alias("text"))
     schema = (f"keep {doc_type(light, 'keep')}, n_tokens long, n_known long, base double, score double, a array<long>, "

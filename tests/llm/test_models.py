@@ -61,7 +61,9 @@ def test_query_keeps_good_documents(spark):
 
 # ---------------------------------------------------------------- class language model
 
-def test_language_model(spark, docs, monkeypatch):
+@pytest.mark.parametrize("together", [7, 2048])
+def test_language_model(spark, docs, monkeypatch, together):
+    monkeypatch.setattr(classlm, "DOCS", together)
     monkeypatch.setattr(classlm, "HELD_WORDS", 50)  # most words meet their counts in the join
     df = docs.unionByName(odd_docs(spark))
     train = df.where(queries.fold(10) != 0)
