@@ -18,21 +18,39 @@ from alertloom.llm.bags import letter_words
 from alertloom.llm.common import doc_type, materialise, worker_cache
 
 BUCKETS, NGRAMS = 1 << 16, (3, 4, 5)
-#: Words that a worker keeps the sums of.
-CACHE = 300_000
+#: Words that a worker keeps the sums of, and texts whose new words are hashed together.
+CACHE, DOCS = 300_000, 500
 #: Parts of an epoch over which the repeats of a toxic text are spread; more of them follow each other.
 MOST_COPIES = 8
 
 
-def subwords(word: str):
-    """Buckets of a word: itself and its character n-grams, with marks at both ends."""
+def subwords(words: list[str]):
+    """Distinct buckets of each word, behind each other and sorted, and how many each word has.
+
+    A word's buckets are those of itself and of its character n-grams, with marks at both ends. All words' n-grams are hashed
+    at once, by a polynomial of their code points.
+    """
     import zlib
 
     import numpy as np
 
-    x = f"<{word}>"
-    grams = {x, *(x[i : i + n] for n in NGRAMS for i in range(len(x) - n + 1))}
-    return np.array([zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)], np.int64)
+    marked = [f"<{w}>" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner, ends = np.repeat(np.arange(len(marked)), sizes), np.cumsum(sizes)
+    left = ends[owner] - np.arange(len(points)) if len(points) else np.zeros(0, np.int64)
+    odd, shift, bits = np.uint64(0x9E3779B97F4A7C15), np.uint64(48), np.int64(BUCKETS.bit_length() - 1)
+    wholes = np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in marked), np.int64, len(marked))
+    keys = [np.arange(len(marked)) << bits | wholes]
+    for n in NGRAMS:
+        at = np.flatnonzero(left >= n)
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = (h ^ points[at + k]) * odd
+            h ^= h >> np.uint64(29)
+        keys.append(owner[at] << bits | (h * odd >> shift).astype(np.int64))
+    keys = np.unique(np.concatenate(keys))
+    return keys & BUCKETS - 1, np.bincount(keys >> bits, minlength=len(words))
 
 
 def damped(count: int) -> float:
@@ -47,12 +65,17 @@ def bag(text: str | None):
     found = letter_words(text)
     if not found:
         return np.zeros(0, np.int64), np.zeros(0)
-    parts = [subwords(w) for w in found]
-    weights = np.repeat([damped(n) for n in found.values()], [len(p) for p in parts])
-    ids, where = np.unique(np.concatenate(parts), return_inverse=True)
+    parts, sizes = subwords(list(found))
+    weights = np.repeat([damped(n) for n in found.values()], sizes)
+    ids, where = np.unique(parts, return_inverse=True)
     return ids, np.bincount(where, weights) / weights.sum()
 
 
+def new_words(bags: list, cache: dict) -> list[str]:
+    """The distinct words of some bags that the cache doesn't have."""
+    return list({word for found in bags for word in found if word not in cache})
+
+
 class Trainer:
     """Embeddings and softmax, learned jointly by stochastic gradient steps with Adagrad rates.
 
@@ -102,19 +125,18 @@ def _frequencies(batches):
     total, mark, cache = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS, bool), worker_cache("toxicity buckets")
     for batch in batches:
         total[BUCKETS] += batch.num_rows
-        for text in batch.column(0).to_pylist():
-            parts = []
-            for word in letter_words(text):
-                ids = cache.get(word)
-                if ids is None:
-                    ids = subwords(word).astype(np.uint16)
-                    if len(cache) < CACHE // 2 and len(word) < 64:
-                        cache[word] = ids
-                parts.append(ids)
-            if parts:
-                mark[:] = False
-                mark[np.concatenate(parts)] = True
-                total[:BUCKETS] += mark
+        for i in range(0, batch.num_rows, DOCS):
+            bags = [letter_words(text) for text in batch.column(0).slice(i, DOCS).to_pylist()]
+            new = new_words(bags, cache)
+            ids, sizes = subwords(new)
+            fresh = dict(zip(new, np.split(ids.astype(np.uint16), np.cumsum(sizes)[:-1]))) if new else {}
+            for found in bags:
+                if found:
+                    mark[:] = False
+                    mark[np.concatenate([fresh[w] if w in fresh else cache[w] for w in found])] = True
+                    total[:BUCKETS] += mark
+            for word in new[: max(0, CACHE // 2 - len(cache))]:
+                cache[word] = fresh[word].copy()
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
 
@@ -215,26 +237,30 @@ def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), text_col:
     tag = f"toxicity {hash(np.asarray(effects).tobytes())} {bias}"
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         effects, bias = shared.value
         cache = worker_cache(tag)
         for batch in batches:
             scores = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                total = size = 0.0
-                for word, n in letter_words(text).items():
-                    known = cache.get(word)
-                    if known is None:
-                        ids = subwords(word)
-                        known = (float(effects[ids].sum()), len(ids))
-                        if len(cache) < CACHE:
-                            cache[word] = known
-                    w = damped(n)
-                    total += w * known[0]
-                    size += w * known[1]
-                logit = bias + (total / size if size else 0.0)
-                scores.append(1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, logit)))))
+            for i in range(0, batch.num_rows, DOCS):
+                bags = [letter_words(text) for text in batch.column(batch.num_columns - 1).slice(i, DOCS).to_pylist()]
+                new = new_words(bags, cache)
+                ids, sizes = subwords(new)
+                sums = np.add.reduceat(effects[ids], np.cumsum(sizes) - sizes) if new else np.zeros(0)
+                fresh = dict(zip(new, zip(sums.tolist(), sizes.tolist())))
+                for found in bags:
+                    total = size = 0.0
+                    for word, n in found.items():
+                        known = cache.get(word) or fresh[word]
+                        w = damped(n) if n > 1 else 1.0
+                        total += w * known[0]
+                        size += w * known[1]
+                    logit = bias + (total / size if size else 0.0)
+                    scores.append(1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, logit)))))
+                for word in new[: max(0, CACHE - len(cache))]:
+                    cache[word] = fresh[word]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], score_col])
 
     light = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
