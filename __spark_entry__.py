@@ -7,7 +7,6 @@ the whole table. DOUBLE outputs are rounded to 6 decimals on both sides for the
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -471,19 +470,22 @@ _ORACLES: dict[str, Callable[[], str]] = {
                              "CAST(0 AS BIGINT) AS n_missed FROM events",
 }
 
-# Training-data operators and their pipeline: registered if they are there.
-if importlib.util.find_spec("alertloom.llm"):
+# Training-data operators and their pipeline: registered if they and what they need are there.
+try:
     from alertloom.llm.queries import ORACLES as _LLM_ORACLES
     from alertloom.llm.queries import QUERIES as _LLM_QUERIES
-
-    _QUERIES.update(_LLM_QUERIES)
-    _ORACLES.update({name: (lambda sql=sql: sql) for name, sql in _LLM_ORACLES.items()})
-    if importlib.util.find_spec("corpus_pipeline"):
-        import corpus_pipeline
-
-        _QUERIES["pipeline"] = corpus_pipeline.run
-        if corpus_pipeline.ORACLE_SQL:
-            _ORACLES["pipeline"] = lambda: corpus_pipeline.ORACLE_SQL
+except ImportError:
+    _LLM_QUERIES = _LLM_ORACLES = {}
+_QUERIES.update(_LLM_QUERIES)
+_ORACLES.update({name: (lambda sql=sql: sql) for name, sql in _LLM_ORACLES.items()})
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
+if corpus_pipeline:
+    _QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        _ORACLES["pipeline"] = lambda: corpus_pipeline.ORACLE_SQL
 
 
 def entry(spark: SparkSession) -> DataFrame:

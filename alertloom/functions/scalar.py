@@ -43,3 +43,46 @@ def threshold(prob: Column | str, t: float = 0.5) -> Column:
 
 def clip01(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+
+
+def _scaled(x: Column, digits: int) -> tuple[Column, Column]:
+    """(floor, which way) of x * 10^digits for x >= 0 below 2^52 / 10^digits: the sign of the exact product less floor + 1/2.
+
+    The rounding error of the product comes from splitting both factors into halves of 26 bits (Dekker 1971), so a value next to
+    a tie is not taken for one.
+    """
+    t = float(10 ** digits)
+    split = float(2**27 + 1)
+    hi = x * split - (x * split - x)
+    lo = x - hi
+    t_hi = t * split - (t * split - t)
+    t_lo = t - t_hi
+    p = x * t
+    err = ((hi * t_hi - p) + hi * t_lo + lo * t_hi) + lo * t_lo
+    whole = F.floor(p)
+    return whole, ((p - whole) - 0.5) + err
+
+
+def _rounded(x: Column, digits: int) -> Column:
+    """x * 10^digits as a whole number, halves of the exact product to even."""
+    whole, side = _scaled(x, digits)
+    up = (side > 0) | ((side == 0) & (F.pmod(whole, F.lit(2)) == 1))
+    return whole + up.cast("long")
+
+
+def round_exact(x: Column, digits: int = 4) -> Column:
+    """a double rounded on its exact binary value, halves to even; NULL, NaN and infinite values stay as they are."""
+    a = F.abs(x)
+    near = _rounded(a, digits).cast("double") / float(10 ** digits)
+    return F.when(a < float(2**52 // 10**digits), F.when(x < 0, -near).otherwise(near)).otherwise(x)
+
+
+def fixed_text(x: Column, digits: int = 2) -> Column:
+    """A double as text with so many decimals, rounded on its exact binary value with halves to even."""
+    a = F.abs(x)
+    whole = F.floor(a)
+    part = _rounded(a - whole, digits)
+    carry = (part == 10 ** digits).cast("long")
+    text = F.concat(F.when(x < 0, "-").otherwise(""), (whole + carry).cast("string"), F.lit("."),
+                    F.lpad((part - carry * 10 ** digits).cast("string"), digits, "0"))
+    return F.when(a < 2.0**62, text).otherwise(F.format_string(f"%.{digits}f", x))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from alertloom.config import EXPLAIN_ABOVE, EXPLAIN_BELOW, EXPLAIN_PERCENTILES, EXPLAIN_SEGMENTS
 from alertloom.functions.bands import narrative_band
+from alertloom.functions.scalar import fixed_text
 
 
 def fit_reference_stats(df: DataFrame, features: Sequence[str], approx: bool = False) -> DataFrame:
@@ -73,19 +74,14 @@ def explain_top_k(df: DataFrame, features: Sequence[str], contributions: Sequenc
     return df.withColumn(out, F.transform(ranked, lambda e: e.dropFields("idx")))
 
 
-def _fmt2(c: Column) -> Column:
-    # two decimals, halves to even
-    return F.format_string("%.2f", F.bround(c * 100.0) / 100.0)
-
-
 def narrative(score: Column, explanations: Column) -> Column:
     """three-part narrative -- band and score; primary increasing driver with value and
     percentile; up to two other increasing drivers."""
     head = F.concat(F.lit("This event window has a "), narrative_band(score), F.lit(" anomaly score ("),
-                    _fmt2(score), F.lit("). "))
+                    fixed_text(score), F.lit("). "))
     inc = F.filter(explanations, lambda e: e["direction"] == "increases")
     top = inc[0]
-    primary = F.concat(F.lit("The primary driver is "), top["feature"], F.lit(" (value: "), _fmt2(top["value"]),
+    primary = F.concat(F.lit("The primary driver is "), top["feature"], F.lit(" (value: "), fixed_text(top["value"]),
                        F.lit(", "), F.format_string("%.0f", F.bround(top["percentile"])),
                        F.lit("th percentile), which increases the anomaly score. "))
     others = F.concat(F.lit("Other contributing factors: "),

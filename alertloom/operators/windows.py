@@ -70,6 +70,28 @@ def _sizes(specs: list[WindowSpec]) -> Column:
                                for i, w in enumerate(specs)]))
 
 
+def gap_spread(ts: DataFrame, specs: list[WindowSpec], gap_resolution_us: int = _US) -> DataFrame:
+    """(_zi, _ws, gsd): sample deviation, in seconds, of the gaps between successive events (``_us``) of each window.
+
+    Gaps inside sub-buckets are taken once for all sizes, so a burst is spread over many tasks; one gap joins two sub-buckets.
+    """
+    ts = ts.select("_us", F.floor(F.col("_us") / F.lit(gap_resolution_us)).cast("long").alias("_sb"))
+    inner = (ts.select("_sb", (F.col("_us") - F.lag("_us").over(Window.partitionBy("_sb").orderBy("_us")))
+                       .alias("_gap"))
+             .where(F.col("_gap").isNotNull())
+             .select((F.col("_sb") * F.lit(gap_resolution_us)).alias("_sbus"), "_gap", _sizes(specs).alias("_z"))
+             .select(F.col("_z.zi").alias("_zi"), floor_micros(F.col("_sbus"), F.col("_z.zs")).alias("_ws"), "_gap"))
+    spans = (ts.groupBy("_sb").agg(F.min("_us").alias("_mn"), F.max("_us").alias("_mx"))
+             .select("_sb", "_mn", "_mx", _sizes(specs).alias("_z"))
+             .select("_sb", "_mn", "_mx", F.col("_z.zi").alias("_zi"),
+                     floor_micros(F.col("_mn"), F.col("_z.zs")).alias("_ws")))
+    across = (spans.select("_zi", "_ws", (F.col("_mn") - F.lag("_mx").over(
+        Window.partitionBy("_zi", "_ws").orderBy("_sb"))).alias("_gap"))
+        .where(F.col("_gap").isNotNull()))
+    gaps = inner.unionByName(across)
+    return gaps.groupBy("_zi", "_ws").agg(F.stddev_samp(F.col("_gap") / F.lit(float(_US))).alias("gsd"))
+
+
 def window_features(events: DataFrame, windows: Sequence[WindowSpec | tuple[str, int]] = DEFAULT_WINDOWS,
                     timestamp_col: str = "timestamp", gap_resolution_us: int = _US,
                     quantiles: str = "exact", approx_accuracy: int = 10_000) -> DataFrame:
@@ -91,8 +113,10 @@ def window_features(events: DataFrame, windows: Sequence[WindowSpec | tuple[str,
 
     needed = {*cats, *[b for b in BYTE_COLUMNS if b in present], *(("duration",) if has_dur else ()),
               *(("event_type", "status") if has_auth else ())}
-    base = (events.select(to_micros(timestamp_col).alias("_us"), *sorted(needed))
-            .where(F.col("_us").isNotNull()))
+    # NaN counts as NULL, as sums, means and percentiles would be NaN otherwise.
+    whole = {f.name for f in events.schema.fields if f.dataType.typeName() in ("double", "float")}
+    clean = [F.nanvl(F.col(c), F.lit(None)).alias(c) if c in whole else F.col(c) for c in sorted(needed)]
+    base = events.select(to_micros(timestamp_col).alias("_us"), *clean).where(F.col("_us").isNotNull())
     sized = (base.select("*", _sizes(specs).alias("_z"))
              .select("*", F.col("_z.zi").alias("_zi"), floor_micros(F.col("_us"), F.col("_z.zs")).alias("_ws"))
              .drop("_z"))
@@ -143,23 +167,7 @@ def window_features(events: DataFrame, windows: Sequence[WindowSpec | tuple[str,
             part_b = part_b.select("*", F.col("dq")[0].alias("q50"), F.col("dq")[1].alias("q95")).drop("dq")
         parts.append(part_b)
 
-    # ---- G: gaps inside one-second sub-buckets (computed once) and between sub-buckets
-    ts = base.select("_us", F.floor(F.col("_us") / F.lit(gap_resolution_us)).cast("long").alias("_sb"))
-    inner = (ts.select("_sb", (F.col("_us") - F.lag("_us").over(Window.partitionBy("_sb").orderBy("_us")))
-                       .alias("_gap"))
-             .where(F.col("_gap").isNotNull())
-             .select((F.col("_sb") * F.lit(gap_resolution_us)).alias("_sbus"), "_gap", _sizes(specs).alias("_z"))
-             .select(F.col("_z.zi").alias("_zi"), floor_micros(F.col("_sbus"), F.col("_z.zs")).alias("_ws"), "_gap"))
-    spans = (ts.groupBy("_sb").agg(F.min("_us").alias("_mn"), F.max("_us").alias("_mx"))
-             .select("_sb", "_mn", "_mx", _sizes(specs).alias("_z"))
-             .select("_sb", "_mn", "_mx", F.col("_z.zi").alias("_zi"),
-                     floor_micros(F.col("_mn"), F.col("_z.zs")).alias("_ws")))
-    across = (spans.select("_zi", "_ws", (F.col("_mn") - F.lag("_mx").over(
-        Window.partitionBy("_zi", "_ws").orderBy("_sb"))).alias("_gap"))
-        .where(F.col("_gap").isNotNull()))
-    gaps = inner.unionByName(across)
-    parts.append(gaps.groupBy("_zi", "_ws").agg(
-        F.stddev_samp(F.col("_gap") / F.lit(float(_US))).alias("gsd")))
+    parts.append(gap_spread(base.select("_us"), specs, gap_resolution_us))
 
     # ---- union of per-(size, window) rows, pivoted by window_start (the outer join J1)
     rows = parts[0]
