@@ -39,7 +39,11 @@ def novelty_features(events: DataFrame, timestamp_col: str = "timestamp", second
     """``window_start`` + ``new_<e>_ratio_<suffix>`` and ``new_<e>_count_<suffix>`` per entity
     column; windows without any entity value of that column have NULLs (filled later)."""
     present = [e for e in entities if e in events.columns]
-    seen = _window_entities(events, timestamp_col, seconds, present)
+    return novelty_from_windows(_window_entities(events, timestamp_col, seconds, present), present, memory, suffix)
+
+
+def novelty_from_windows(seen: DataFrame, present: Sequence[str], memory: DataFrame | None, suffix: str) -> DataFrame:
+    """Novelty from distinct (``_w`` in microseconds, entity_type, entity)."""
     first = seen.groupBy("entity_type", "entity").agg(F.min("_w").alias("_first"))
     if memory is not None:
         first = first.join(memory.select("entity_type", "entity"), ["entity_type", "entity"], "left_anti")

@@ -1 +1 @@
-"""Structured Streaming variants of the window features and scoring."""
+"""Window features, novelty and rolling baselines on event streams."""
