@@ -16,20 +16,20 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 import oracles as O  # noqa: E402
-from alertloom.config import DEFAULT_RULES, DEFAULT_WINDOWS, LARGE_WINDOWS  # noqa: E402
+from alertloom.config import DEFAULT_RULES, DEFAULT_WINDOWS, LARGE_WINDOWS, WindowSpec  # noqa: E402
 from alertloom.functions.scalar import round_doubles  # noqa: E402
 from alertloom.operators.novelty import novelty_features  # noqa: E402
 from alertloom.operators.rolling import rolling_baseline  # noqa: E402
 from alertloom.operators.windows import window_features  # noqa: E402
 from alertloom.plans.features import feature_table  # noqa: E402
-from alertloom.sources.events import load_events, metric_input  # noqa: E402
+from alertloom.sources.events import events_from_table, load_events, metric_input  # noqa: E402
 from alertloom.config import YAML_RULES  # noqa: E402
 from alertloom.functions.bands import classify, event_severity, narrative_band, window_severity  # noqa: E402
 from alertloom.operators import evaluate as EV  # noqa: E402
 from alertloom.operators.rules import explain_rules, score_rules  # noqa: E402
 from alertloom.operators.triage import (alert_reduction, blend, normalize_weights,  # noqa: E402
                                         reduction_from_counts, top_alerts)
-from alertloom.session import cut_lineage  # noqa: E402
+from alertloom.session import checkpoint_dir, cut_lineage  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from alertloom.operators import profile as PR  # noqa: E402
 from alertloom.operators import sampling as SA  # noqa: E402
@@ -379,6 +379,87 @@ def q_top_anomalies(spark, sf_dir):
                    F.lit(higher.count()).alias("n_missed"))
 
 
+# ---------------------------------------------------------------- neighbours, streams, declared features
+
+def q_knn_embeddings(spark, sf_dir):
+    """The 20 nearest other vectors of every distinct vector."""
+    from alertloom.operators import neighbors as NB
+    points = NB.distinct_points(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", "vec_id")
+    return round_doubles(NB.knn_join(points, None, 20).select(F.col("pid").alias("vec_id"), "rank", F.col("nid").alias("neighbor_id"), "distance"))
+
+
+def q_lof_embeddings(spark, sf_dir):
+    """M5: local outlier factor of every vector among all, 20 neighbours."""
+    from alertloom.operators import neighbors as NB
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return round_doubles(NB.training_factors(NB.fit_lof(e, "embedding", 20, id_col="vec_id"), e, "vec_id"))
+
+
+STREAM_WINDOW, STREAM_DELAY = WindowSpec("1h", 3600), "10 minutes"
+
+
+def _event_stream(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # A pattern, as a stream's path that is none must be a folder.
+    return events_from_table(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))
+
+
+def q_stream_window_features(spark, sf_dir):
+    """X1 + X2 + X3: hourly features of the event stream, all windows that the watermark has passed."""
+    from alertloom.streaming.windows import run_to_end, stream_window_features
+    return round_doubles(run_to_end(stream_window_features(_event_stream(spark, sf_dir), STREAM_WINDOW, STREAM_DELAY), "windows"))
+
+
+def _stream_folder(spark, name):
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_stream_novelty(spark, sf_dir):
+    """First-seen novelty of the event stream, all windows that the watermark has passed."""
+    from alertloom.streaming.stateful import stream_novelty
+    return round_doubles(stream_novelty(_event_stream(spark, sf_dir), _stream_folder(spark, "novelty"), STREAM_DELAY))
+
+
+#: A feature of every declared kind.
+DECLARED_FEATURES = """
+windows: [{name: 1h, duration_seconds: 3600}]
+window_features:
+  - {name: event_count, type: count}
+  - {name: failed_count, type: count, filter: "status == 'failed'"}
+  - {name: unique_dst_ips, type: cardinality, field: dst_ip}
+  - {name: unique_dst_ports, type: cardinality, field: dst_port}
+  - {name: port_entropy, type: entropy, field: dst_port}
+  - {name: failed_auth_ratio, type: ratio, numerator_filter: "status == 'failed'", denominator_filter: "event_type == 'auth'"}
+  - {name: bytes_in_mean, type: mean, field: bytes_in}
+  - {name: bytes_in_std, type: std, field: bytes_in}
+  - {name: bytes_out_sum, type: sum, field: bytes_out}
+  - {name: duration_p50, type: percentile, field: duration, percentile: 50}
+  - {name: duration_p95, type: percentile, field: duration, percentile: 95}
+  - {name: inter_arrival_cv, type: coefficient_of_variation, field: inter_arrival_time}
+  - {name: new_dst_ip_ratio, type: novelty_ratio, field: dst_ip}
+  - {name: returning_dst_ip_ratio, type: novelty_ratio, field: dst_ip, lookback_windows: 10}
+protocol_features:
+  - {name: dns_ratio, type: ratio, filter: "protocol == 'dns'"}
+  - {name: slow_dns_ratio, type: ratio, numerator_filter: "protocol == 'dns' and duration >= 5", denominator_filter: "protocol == 'dns'"}
+entity_features:
+  - {name: event_rate, type: rolling_mean, field: event_count, lookback_windows: 24}
+  - {name: event_zscore, type: zscore, field: event_count, lookback_windows: 48}
+  - {name: port_diversity_change, type: delta, field: unique_dst_ports, lookback_windows: 5}
+derived_features:
+  - {name: bytes_ratio, formula: "bytes_out_sum / (bytes_in_mean + 1)"}
+  - {name: spread_indicator, formula: "(unique_dst_ips > 10) & (event_count < 40)"}
+"""
+
+
+def q_declared_features(spark, sf_dir):
+    """A16 + W11: hourly features of a declared specification."""
+    from alertloom.operators import featurespec as FS
+    ev = _events(spark, sf_dir)
+    spec = FS.compile_spec(FS.load_spec(DECLARED_FEATURES), ev)
+    return round_doubles(FS.apply_spec(spec, ev, spec.windows[0]))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_features": q_window_features,
     "window_features_large": q_window_features_large,
@@ -422,6 +503,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contribution_invariants": q_contribution_invariants,
     "isolation_invariants": q_isolation_invariants,
     "top_anomalies": q_top_anomalies,
+    "knn_embeddings": q_knn_embeddings,
+    "lof_embeddings": q_lof_embeddings,
+    "stream_window_features": q_stream_window_features,
+    "stream_novelty": q_stream_novelty,
+    "declared_features": q_declared_features,
 }
 
 _ORACLES: dict[str, Callable[[], str]] = {
@@ -468,6 +554,11 @@ _ORACLES: dict[str, Callable[[], str]] = {
                                     "n_out_of_range, CAST(0 AS BIGINT) AS n_off FROM events",
     "top_anomalies": lambda: "SELECT least(count(*), 50) AS n_top, least(count(DISTINCT event_id), 50) AS n_ids, "
                              "CAST(0 AS BIGINT) AS n_missed FROM events",
+    "knn_embeddings": O.knn_sql,
+    "lof_embeddings": O.lof_sql,
+    "stream_window_features": lambda: O.stream_windows_sql(STREAM_WINDOW, STREAM_DELAY),
+    "stream_novelty": lambda: O.stream_novelty_sql(STREAM_DELAY),
+    "declared_features": O.declared_features_sql,
 }
 
 # Training-data operators and their pipeline: registered if they and what they need are there.

@@ -576,3 +576,65 @@ def explanations_sql(features=EXPLAIN_FEATURES, top_k: int = 3) -> str:
               "round(round(v, 9), 6) AS value, round(round(contribution, 9), 6) AS contribution, "
               "CASE WHEN contribution > 0 THEN 'increases' ELSE 'decreases' END AS direction, "
               f"round(round(percentile, 9), 6) AS percentile FROM rk WHERE rank <= {top_k}")
+
+
+# --------------------------------------------------------------------------------------
+# neighbours, streams, declared features
+# --------------------------------------------------------------------------------------
+
+_NEIGHBORS = """
+p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+d AS (SELECT a.vec_id, b.vec_id AS nid, list_distance(a.v, b.v) AS dist FROM p a JOIN p b ON a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nid) AS rank FROM d QUALIFY rank <= 20)"""
+
+
+def knn_sql() -> str:
+    return f"WITH {_NEIGHBORS} SELECT vec_id, CAST(rank AS INTEGER) AS rank, nid AS neighbor_id, {_r('dist')} AS distance FROM k"
+
+
+def lof_sql() -> str:
+    return f"""WITH {_NEIGHBORS},
+kd AS (SELECT vec_id, max(dist) AS kd FROM k GROUP BY vec_id),
+l AS (SELECT k.vec_id, 1 / (avg(greatest(kd.kd, k.dist)) + 1e-10) AS lrd FROM k JOIN kd ON kd.vec_id = k.nid GROUP BY k.vec_id)
+SELECT k.vec_id, {_r('avg(n.lrd) / any_value(o.lrd)')} AS lof FROM k JOIN l n ON n.vec_id = k.nid JOIN l o ON o.vec_id = k.vec_id GROUP BY k.vec_id"""
+
+
+def _finished(sql: str, seconds: int, delay: str) -> str:
+    """Windows that the watermark has passed when all events are read."""
+    return f"SELECT * FROM ({sql}) WHERE window_start + INTERVAL {seconds} SECOND <= (SELECT max(ts) FROM events) - INTERVAL '{delay}'"
+
+
+def stream_windows_sql(window: WindowSpec, delay: str) -> str:
+    return _finished(window_features_sql([window]), window.seconds, delay)
+
+
+def stream_novelty_sql(delay: str) -> str:
+    return _finished(novelty_sql(), 60, delay)
+
+
+def declared_features_sql() -> str:
+    us = 3_600_000_000
+    cols = {
+        "event_count": "a.event_count", "failed_count": "a.failed_count", "unique_dst_ips": "a.unique_dst_ips", "unique_dst_ports": "a.unique_dst_ports",
+        "port_entropy": "a.port_entropy", "failed_auth_ratio": "a.failed_auth_ratio", "bytes_in_mean": "a.bytes_in_mean", "bytes_in_std": "a.bytes_in_std",
+        "bytes_out_sum": "a.bytes_out_sum", "duration_p50": "a.duration_p50", "duration_p95": "a.duration_p95",
+        "inter_arrival_cv": "CASE WHEN a.span > 0 THEN g.gsd / (a.span / (a.event_count - 1)) END", "new_dst_ip_ratio": "n.new_ratio", "returning_dst_ip_ratio": "n.back_ratio",
+        "dns_ratio": "a.dns_ratio", "slow_dns_ratio": "a.slow_dns_ratio", "event_rate": "avg(a.event_count) OVER (ORDER BY a.ws ROWS 23 PRECEDING)",
+        "event_zscore": "(a.event_count - avg(a.event_count) OVER (ORDER BY a.ws ROWS 47 PRECEDING)) / greatest(coalesce(stddev_samp(a.event_count) OVER (ORDER BY a.ws ROWS 47 PRECEDING), 1.0), 0.1)",
+        "port_diversity_change": "CAST(a.unique_dst_ports - lag(a.unique_dst_ports, 5) OVER (ORDER BY a.ws) AS DOUBLE)",
+        "bytes_ratio": "a.bytes_out_sum / (a.bytes_in_mean + 1)", "spread_indicator": "CAST(a.unique_dst_ips > 10 AND a.event_count < 40 AS INTEGER)"}
+    whole = ("event_count", "failed_count", "unique_dst_ips", "unique_dst_ports", "spread_indicator")
+    out = ", ".join(f"{x if c in whole else _r(x)} AS {c}" for c, x in cols.items())
+    return f"""WITH {EVENTS_DUCKDB_CTE},
+b AS (SELECT *, epoch_us("timestamp") AS us, epoch_us("timestamp") - epoch_us("timestamp") % {us} AS ws FROM ev),
+a AS (SELECT ws, count(*) AS event_count, count(*) FILTER (WHERE status = 'failed') AS failed_count, count(DISTINCT dst_ip) AS unique_dst_ips,
+   count(DISTINCT dst_port) AS unique_dst_ports, entropy(dst_port) AS port_entropy,
+   coalesce(count(*) FILTER (WHERE event_type = 'auth' AND status = 'failed') / nullif(count(*) FILTER (WHERE event_type = 'auth'), 0), 0) AS failed_auth_ratio,
+   avg(bytes_in) AS bytes_in_mean, CASE WHEN count(bytes_in) > 1 THEN stddev_samp(bytes_in) WHEN count(bytes_in) = 1 THEN 0 END AS bytes_in_std, sum(bytes_out) AS bytes_out_sum,
+   quantile_cont(duration, 0.5) AS duration_p50, quantile_cont(duration, 0.95) AS duration_p95, (max(us) - min(us)) / 1e6 AS span,
+   count(*) FILTER (WHERE protocol = 'dns') / count(*) AS dns_ratio,
+   coalesce(count(*) FILTER (WHERE protocol = 'dns' AND duration >= 5) / nullif(count(*) FILTER (WHERE protocol = 'dns'), 0), 0) AS slow_dns_ratio FROM b GROUP BY ws),
+g AS (SELECT ws, stddev_samp(gap) AS gsd FROM (SELECT ws, (us - lag(us) OVER (PARTITION BY ws ORDER BY us)) / 1e6 AS gap FROM b) GROUP BY ws),
+n AS (SELECT ws, count(*) FILTER (WHERE prev IS NULL) / count(*) AS new_ratio, count(*) FILTER (WHERE prev IS NULL OR ws - prev > 10 * {us}) / count(*) AS back_ratio
+   FROM (SELECT ws, lag(ws) OVER (PARTITION BY dst_ip ORDER BY ws) AS prev FROM (SELECT DISTINCT ws, dst_ip FROM b WHERE dst_ip IS NOT NULL)) GROUP BY ws)
+SELECT make_timestamp(a.ws) AS window_start, {out} FROM a JOIN g USING (ws) JOIN n USING (ws)"""
