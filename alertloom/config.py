@@ -101,6 +101,8 @@ FPR_RECALL_TARGETS = (0.90, 0.95, 0.99)
 # Supervised defaults (boosted trees): 500 rounds, depth 6, rate 0.05, 0.8 row/column sampling, lineage cut every 10 rounds
 GBT_DEFAULTS = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
                 "featureSubsetStrategy": "0.8", "seed": 42, "checkpointInterval": 10}
+# Rounds without gain on the validation rows after which boosting stops
+GBT_PATIENCE = 50
 # Unsupervised defaults: 100 trees, contamination 0.1, LOF with 20 neighbours
 ISOLATION_TREES = 100
 ISOLATION_SAMPLE = 256

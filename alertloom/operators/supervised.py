@@ -1,7 +1,7 @@
 """Supervised scorers on MLlib, calibration and per-row contributions.
 
 * M1 -- the boosted-tree slot is MLlib ``GBTClassifier`` (depth 6, step 0.05, 0.8 row and
-  feature sampling, early stop on a validation indicator column); ``rf`` and ``lr`` fill the
+  feature sampling, early stop after rounds without gain on the validation rows); ``rf`` and ``lr`` fill the
   other ensemble slots. Class balancing is an explicit ``weightCol`` (negatives / positives).
 * M2 -- isotonic calibration (``IsotonicRegression``: linear interpolation, clamped ends), fitted
   on the validation rows and saved with the model.
@@ -29,21 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertloom.config import GBT_DEFAULTS
-from alertloom.session import checkpoint_dir
+from alertloom.config import GBT_DEFAULTS, GBT_PATIENCE
+from alertloom.session import checkpoint_dir, cut_lineage
 
 
-def make_classifier(kind: str, params: dict | None = None, weight_col: str | None = "weight",
-                    validation_col: str | None = None):
+def make_classifier(kind: str, params: dict | None = None, weight_col: str | None = "weight"):
     p = dict(params or {})
     common = {"featuresCol": "features", "labelCol": "label_d"}
     if weight_col:
         common["weightCol"] = weight_col
     if kind == "gbt":
-        args = {**GBT_DEFAULTS, **p, **common}
-        if validation_col:
-            args["validationIndicatorCol"] = validation_col
-        return GBTClassifier(**args)
+        return GBTClassifier(**{**GBT_DEFAULTS, **p, **common})
     if kind == "rf":
         return RandomForestClassifier(**{"numTrees": 200, "maxDepth": 6, "seed": 42, **p, **common})
     if kind == "lr":
@@ -73,11 +69,46 @@ def _prepare(df: DataFrame, features: Sequence[str], label: str | None) -> DataF
     return out
 
 
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """(best round, whether to stop): the first round of least loss before ``patience`` rounds bring nothing better."""
+    best, at = float("inf"), 0
+    for i, loss in enumerate(losses, 1):
+        if loss < best:
+            best, at = loss, i
+        elif i - at >= patience:
+            return at, True
+    return at, False
+
+
+def _fit_staged(clf, train: DataFrame, validation: DataFrame, patience: int, first: int):
+    """Boosted trees with early stopping by patience: (model, {rounds, rounds_tried, validation_losses}).
+
+    MLlib's own validation stops as soon as one round gains less than 1 %, which small steps never do. Here so many rounds are
+    trained, each stage twice the one before, and the loss after every round is measured on all validation rows; when
+    ``patience`` rounds have brought nothing, or the setting's rounds are used up, the ensemble of the best prefix is kept.
+    Training is seeded and its rows are written first, so fewer rounds give the same first trees.
+    """
+    train, validation = cut_lineage(train), cut_lineage(validation)
+    most = clf.getMaxIter()
+    rounds = min(first, most)
+    while True:
+        model = clf.copy({clf.maxIter: rounds}).fit(train)
+        losses = model.evaluateEachIteration(validation)
+        best, stop = best_round(losses, patience)
+        if stop or rounds == most:
+            break
+        rounds = min(2 * rounds, most)
+    if best < rounds:
+        model = clf.copy({clf.maxIter: best}).fit(train)
+    return model, {"rounds": best, "rounds_tried": rounds, "validation_losses": list(losses)}
+
+
 def fit_supervised(train: DataFrame, features: Sequence[str], label: str = "label", kind: str = "gbt",
                    params: dict | None = None, balance: bool = True, validation: DataFrame | None = None,
-                   calibrate: bool = True) -> SupervisedModel:
+                   calibrate: bool = True, patience: int = GBT_PATIENCE, first_rounds: int = 2 * GBT_PATIENCE) -> SupervisedModel:
     """M1 (+P3, M2): fit on ``train``; when ``validation`` is given it drives early stopping
-    (boosted trees) and the isotonic calibration."""
+    (boosted trees, after ``patience`` rounds without gain) and the isotonic calibration.
+    Without a validation row all rounds are trained."""
     feats = list(features)
     checkpoint_dir(train.sparkSession)  # without a folder checkpointInterval has no effect
     data = _prepare(train, feats, label).withColumn("_val", F.lit(False))
@@ -89,12 +120,17 @@ def fit_supervised(train: DataFrame, features: Sequence[str], label: str = "labe
                                           F.count(F.when(F.col("label_d") != 1, 1)).alias("n")).first()
         w = r["n"] / max(r["p"], 1)
     data = data.withColumn("weight", F.when(F.col("label_d") == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
-    use_val = validation is not None and kind == "gbt"
-    fit_rows = data if use_val else data.where(~F.col("_val"))
-    clf = make_classifier(kind, params, "weight", "_val" if use_val else None)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep"), clf])
-    model = pipe.fit(fit_rows)
-    sm = SupervisedModel(kind, feats, model, None, w)
+    clf = make_classifier(kind, params, "weight")
+    assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
+    fit_rows = data.where(~F.col("_val"))
+    meta: dict = {}
+    if validation is not None and kind == "gbt" and validation.limit(1).count():
+        narrow = assembler.transform(data).select("features", "label_d", "weight", "_val")
+        last, meta = _fit_staged(clf, narrow.where(~F.col("_val")), narrow.where("_val"), patience, first_rounds)
+        model = PipelineModel([assembler, last])
+    else:
+        model = Pipeline(stages=[assembler, clf]).fit(fit_rows)
+    sm = SupervisedModel(kind, feats, model, None, w, meta)
     if calibrate and validation is not None:
         raw = _raw_probability(sm, _prepare(validation, feats, label))
         sm.calibrator = IsotonicRegression(featuresCol="_p", labelCol="label_d", predictionCol="_cal").fit(
@@ -150,8 +186,9 @@ def load_supervised(path: str) -> SupervisedModel:
     spark = SparkSession.getActiveSession()
     meta = json.loads(spark.read.json(f"{path}/meta").first()["meta"])
     cal = IsotonicRegressionModel.load(f"{path}/calibrator") if meta.get("calibrated") else None
+    known = ("kind", "features", "positive_weight", "calibrated")
     return SupervisedModel(meta["kind"], meta["features"], PipelineModel.load(f"{path}/pipeline"), cal,
-                           meta.get("positive_weight", 1.0))
+                           meta.get("positive_weight", 1.0), {k: v for k, v in meta.items() if k not in known})
 
 
 # ------------------------------------------------------------------------------ contributions (M3)

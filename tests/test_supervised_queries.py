@@ -20,3 +20,30 @@ def test_boosted_trees_run_the_default_setting(spark, monkeypatch, query):
     with pytest.raises(Seen):
         query(spark, "/root/testdata/sf0.001")
     assert given == [("gbt", GBT_DEFAULTS)] and GBT_DEFAULTS["maxIter"] == 500 and GBT_DEFAULTS["checkpointInterval"] > 0
+
+
+@pytest.mark.parametrize("losses, patience, want", [([], 3, (0, False)), ([3, 2, 1], 2, (3, False)), ([3, 2, 2, 2], 2, (2, True)), ([3, 1, 2, 2, 0], 3, (5, False)),
+                                                    ([3, 1, 2, 2, 2, 0], 3, (2, True)), ([1, 1, 1], 2, (1, True))])
+def test_best_round(losses, patience, want):
+    assert supervised.best_round(losses, patience) == want
+
+
+def test_patience_keeps_the_best_prefix(spark, tmp_path):
+    import numpy as np
+    r = np.random.default_rng(0)
+    x = r.normal(0, 1, (500, 3))
+    y = (x[:, 0] + 0.5 * r.normal(0, 1, 500) > 0).astype(int)
+    rows = spark.createDataFrame([(*map(float, v), int(k)) for v, k in zip(x, y)], "a double, b double, c double, label int").repartition(2)
+    train, val = rows.where("abs(hash(a, b)) % 4 > 0"), rows.where("abs(hash(a, b)) % 4 = 0")
+    fit = lambda **kw: supervised.fit_supervised(train, ("a", "b", "c"), params={"maxIter": 24, "stepSize": 0.5, "maxDepth": 4}, validation=val, **kw)
+    whole, staged = fit(patience=100, first_rounds=24), fit(patience=4, first_rounds=6)
+    losses = whole.meta["validation_losses"]
+    best, _ = supervised.best_round(losses, 4)
+    assert len(losses) == 24 and 1 < best < 20 and staged.meta["rounds"] == best and staged.meta["rounds_tried"] < 24
+    assert staged.meta["validation_losses"] == pytest.approx(losses[: staged.meta["rounds_tried"]])
+    assert staged.classifier.getNumTrees == best and whole.meta["rounds"] == int(np.argmin(losses)) + 1 == whole.classifier.getNumTrees
+    supervised.save_supervised(staged, str(tmp_path / "m"))
+    again = supervised.load_supervised(str(tmp_path / "m"))
+    assert again.meta["rounds"] == best
+    same = [supervised.predict_proba(m, val, "p").select("a", "p").orderBy("a").collect() for m in (staged, again)]
+    assert same[0] == same[1]
