@@ -117,8 +117,10 @@ def fit(docs: DataFrame, may_learn: Column, per_lang: int = 3000, text_col: str
     """
     known = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("draw"))
-    # The rank needs no texts; the chosen keys, per_lang of a language, are joined to them.
-    pick = known.select("lang", "draw").withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("draw"))).where(F.col("r") <= per_lang)
+    # The rank needs no texts; the chosen keys, per_lang of a language, are joined to them. Each of 64 parts of a language
+    # passes on per_lang keys at most, so the last rank sees no more than 64 times as many, however many tasks read the documents.
+    first = lambda df, *keys: df.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("draw"))).where(F.col("r") <= per_lang)
+    pick = first(first(known.select("lang", "draw", F.pmod(F.xxhash64("draw"), F.lit(64)).alias("part")), "lang", "part"), "lang")
     sample = known.join(pick.select("lang", "draw").distinct(), ["lang", "draw"], "left_semi").select("lang", "text")
     counts = sample.mapInArrow(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     made = counts.mapInArrow(_grams, "size int, gram string, lang string, n long").groupBy("size", "gram", "lang").agg(F.sum("n").alias("n"))
@@ -158,7 +160,8 @@ def identify(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), text_c
     """The kept columns, ``lang_pred`` and ``score`` (its share among the languages, 0 to 1) of every whole text.
 
     NULL texts and texts without a letter are ``und`` with score 0, as is all text if nothing was learned. Ties go to
-    the smaller language name.
+    the smaller language name. Every row is judged by itself and whole, so repeated rows get equal results; an empty table
+    gives no rows. Only ``keep`` is carried, so further columns of any name do no harm.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     tag = f"langid {hash((tuple(model[0]), *(x.tobytes() for t in (model[1], *model[2]) for x in (t[0], t[3], t[4], t[5]))))}"

@@ -98,8 +98,15 @@ def ratio_score(word_col: str, ratio: list[float], orders: tuple[int, ...] = (1,
 def judge(docs: DataFrame, ratio: list[float], threshold: float = 0.0, text_col: str = "text", orders: tuple[int, ...] = (1, 2)) -> DataFrame:
     """All rows with the base rules, ``quality_score`` and ``kept``: base rules passed and score at or over the threshold.
 
-    NULL and empty texts have no n-grams: score NULL, base rules failed, not kept.
+    NULL and empty texts have no n-grams: score NULL, base rules failed, not kept. Every row is judged by itself, so repeated
+    rows get equal results; very long texts are judged whole; an empty table gives no rows. All columns are kept; one that has
+    the name of a result raises ValueError.
     """
-    rows = base_rules(docs.withColumn("_words", words(text_col)), text_col)
+    held = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    rows = base_rules(held.withColumn("_words", words("text")), "text")
     rows = rows.withColumn("quality_score", ratio_score("_words", ratio, orders))
-    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("quality_score") >= threshold, F.lit(False))).drop("_words")
+    rows = rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("quality_score") >= threshold, F.lit(False))).drop("_words", "text")
+    made = [c for c in rows.columns if c != "row"]
+    if taken := sorted(set(made) & set(docs.columns)):
+        raise ValueError(f"columns {taken} exist")
+    return rows.select("row.*", *made)

@@ -64,29 +64,37 @@ def _choose(key: Column, path: str, node: Mapping) -> Column:
 def shard_rows(rows: DataFrame, key_col: str, tree: Tree, shard_col: str = "shard") -> DataFrame:
     """All rows with the shard of ``key_col``: one column of draws for each level of the tree.
 
-    Equal keys share a shard; NULL is one more key. Raises ValueError if ``shard_col`` is taken.
+    Equal keys share a shard; NULL is one more key. Only the key decides, so texts may be NULL, empty or long and rows may
+    repeat; all columns are kept, whatever their names, and an empty table gives no rows. Raises ValueError if ``shard_col`` is taken.
     """
     if shard_col in rows.columns:
         raise ValueError(f"column {shard_col} exists")
-    out = rows.withColumn("_key", draw_key(key_col)).withColumn("_at", _choose(F.col("_key"), "", tree))
+    out = rows.select(F.struct("*").alias("row"), draw_key(key_col).alias("key")).withColumn("at", _choose(F.col("key"), "", tree))
     level: dict[str, Mapping] = {f"/{name}": node for name, node in tree.items()}
     while level and all(isinstance(n, Mapping) for n in level.values()):
         down = F.lit(None).cast("string")
         for path, node in level.items():
-            down = F.when(F.col("_at") == path, _choose(F.col("_key"), path, node)).otherwise(down)
-        out = out.withColumn("_at", down)
+            down = F.when(F.col("at") == path, _choose(F.col("key"), path, node)).otherwise(down)
+        out = out.withColumn("at", down)
         level = {f"{path}/{name}": child for path, node in level.items() for name, child in node.items()}
-    return out.withColumn(shard_col, F.element_at(F.split("_at", "/"), -1).cast("int")).drop("_key", "_at")
+    return out.select("row.*", F.element_at(F.split("at", "/"), -1).cast("int").alias(shard_col))
 
 
 def number_slots(rows: DataFrame, shard_col: str, key_col: str, tie_cols: list[str], slot_col: str = "slot") -> DataFrame:
-    """Number the rows of each shard from 0 without gaps.
+    """All rows, all their columns, with a number in their shard from 0 without gaps.
 
-    The order is (12 hash bits of the key, key, ties): a shard is cut into 4,096 buckets that are
-    numbered apart and put behind each other by their counts. Equal rows get any of their numbers.
+    The order is (12 hash bits of the key, 8 of the ties, key, ties): a shard is cut into buckets that are numbered apart and
+    put behind each other by their counts, and the rows of one key, as NULL, are spread by their ties. Equal rows get any of
+    their numbers; NULL keys come first in their bucket, an empty table gives no rows. Raises ValueError if ``slot_col`` is taken.
     """
-    b = rows.withColumns({"_b": F.conv(F.substring(F.md5(draw_key(key_col)), 1, 3), 16, 10).cast("long"), "_one": F.lit(1).cast("long")})
-    return running_offsets(b, [shard_col], "_b", [key_col, *tie_cols], "_one", slot_col).drop("_b", "_one")
+    if slot_col in rows.columns:
+        raise ValueError(f"column {slot_col} exists")
+    ties = [f"tie{i}" for i in range(len(tie_cols))]
+    held = rows.select(F.struct("*").alias("row"), F.col(shard_col).alias("shard"), F.col(key_col).alias("key"), *[F.col(c).alias(t) for c, t in zip(tie_cols, ties)])
+    first = F.conv(F.substring(F.md5(draw_key("key")), 1, 3), 16, 10).cast("long") * 256
+    second = F.pmod(F.xxhash64(*ties), F.lit(256)) if ties else F.lit(0)
+    placed = held.withColumns({"bucket": (first + second).cast("long"), "one": F.lit(1).cast("long")})
+    return running_offsets(placed, ["shard"], "bucket", ["key", *ties], "one", "slot").select("row.*", F.col("slot").alias(slot_col))
 
 
 def write_shards(rows: DataFrame, path: str, shard_col: str = "shard") -> None:

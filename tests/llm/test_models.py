@@ -53,6 +53,14 @@ def test_ratio_is_the_mean_of_log_ratios(spark):
     assert got[1].quality_score > got[3].quality_score
 
 
+def test_judged_rows_keep_their_columns(spark):
+    df = odd_docs(spark).withColumns({n: F.lit(n) for n in ("_words", "row", "_id", "_text", "w", "b")})
+    got = quality.judge(df, [0.0] * 64)
+    assert got.columns[: len(df.columns)] == df.columns and all(r["_words"] == "_words" and r["row"] == "row" for r in got.collect())
+    with pytest.raises(ValueError):
+        quality.judge(df.withColumn("kept", F.lit(1)), [0.0] * 64)
+
+
 def test_query_keeps_good_documents(spark):
     got = queries.op2_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("not base_failed").collect()
     right = sum(r.kept == (r.quality == 1) for r in got)
@@ -169,6 +177,21 @@ def test_language_of_odd_texts(spark, docs):
     assert [r.lang_pred for r in langid.identify(unseen, langid.fit(known, F.lit(True))).orderBy("doc_id").collect()] == ["de", "es"]
 
 
+def test_whole_texts_have_the_language_of_their_summed_words(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd_docs(spark))
+    model = langid.fit(df, queries.fold(3) != 1, per_lang=20)
+    for r in langid.identify(clash(df), model, ("doc_id", "text")).collect():
+        words_of = letter_words(r.text)
+        if not words_of:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = [sum(n * langid.word_scores(w, model)[i] for w, n in words_of.items()) for i in range(len(model[0]))] if sum(map(len, words_of)) < 3000 else None
+        if total:
+            best = max(total)
+            assert r.score == pytest.approx(1 / sum(math.exp(t - best) for t in total), abs=1e-6)
+            assert r.lang_pred == model[0][total.index(best)] or sorted(total)[-2] > best - 1e-6
+
+
 def test_small_languages_keep_all_their_words(spark):
     big = " ".join(f"{a}{b}{c}{d}{e}" * 2 for a in "abcdefghijkl" for b in "abcdefghijkl" for c in "abcdefghijkl" for d in "abcdefghijkl" for e in "abcdefghij")
     rows = [(1, f"{big} {big}", "aa", "s"), (2, "zoom zest zulu", "zz", "s"), (3, "yoke yarn zulu", "yy", "s")]

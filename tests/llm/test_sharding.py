@@ -52,3 +52,38 @@ def test_slots_have_no_gaps(spark, docs):
         assert len(got) == df.count()
         for s, n in Counter(r.shard for r in got).items():
             assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
+
+
+def plain_shard(key, tree):
+    """Descend by the best draw at every level, hash by hash."""
+    import hashlib
+    import math
+    weight = lambda node: sum(map(weight, node.values())) if isinstance(node, dict) else node
+    text, path, node = "null" if key is None else f"k{key}", "", tree
+    while isinstance(node, dict):
+        draw = {}
+        for name, child in node.items():
+            first = int(hashlib.md5(f"{text}|{path}/{name}".encode()).hexdigest()[:13], 16)
+            if weight(child) > 0:
+                draw[name] = math.log((first + 1) / (2**52 + 1)) / weight(child)
+        best = max(draw, key=draw.get)
+        path, node = f"{path}/{best}", node[best]
+    return best
+
+
+def test_draws_equal_plain_hashes(spark):
+    df = spark.range(400).union(spark.sql("select cast(null as long)"))
+    for tree in (sharding.balanced_tree(16), sharding.grow(sharding.balanced_tree(16), 2.5), {"a": {"r": {0: 1.0, 3: 2.0}}, "b": {"s": {1: 4.0}, "t": {2: 0.5}}}):
+        got = {r.id: r.shard for r in sharding.shard_rows(df, "id", tree).collect()}
+        assert got == {i: plain_shard(i, tree) for i in got} and len(got) == 401
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["_key", "_at", "_b", "_one", "row", "key", "at", "shard_", "bucket", "one", "tie0", "slot_", "_t", "_s", "_p"]
+    df = odd_docs(spark).withColumns({n: F.lit(n) for n in names})
+    out = sharding.number_slots(sharding.shard_rows(df, "doc_id", sharding.balanced_tree(4)), "shard", "doc_id", ["text"])
+    assert out.columns == [*df.columns, "shard", "slot"]
+    rows = out.collect()
+    assert len(rows) == df.count() and all(r[n] == n for r in rows for n in names)
+    with pytest.raises(ValueError):
+        sharding.number_slots(out, "shard", "doc_id", ["text"])
