@@ -91,9 +91,15 @@ def running_offsets(df: DataFrame, group: list[str], bucket: str, order: list[st
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, so later tasks find what earlier ones made."""
+    """A dict that lives as long as the Python worker, so later tasks find what earlier ones made.
+
+    The first word of the name says whose it is; what other operators have left in the worker goes.
+    """
     module = sys.modules.setdefault("alertloom_worker_cache", types.ModuleType("alertloom_worker_cache"))
-    return module.__dict__.setdefault(name, {})
+    held = module.__dict__.setdefault("held", {})
+    for other in [k for k in held if k.split()[0] != name.split()[0]]:
+        del held[other]
+    return held.setdefault(name, {})
 
 
 def doc_type(df: DataFrame, column: str) -> str:

@@ -60,7 +60,7 @@ def chunk_ids(path: str) -> Callable[[bytes], bytes]:
 
     tok = Tokenizer.from_file(path)
     model, letters = tok.model, byte_letters()
-    pieces = worker_cache(f"pieces {path}")
+    pieces = worker_cache(f"packing pieces {path}")
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
 
     def piece(p: str) -> bytes:
@@ -119,7 +119,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, eos_id: int, id_col: str, tex
         import numpy as np
         import pyarrow as pa
 
-        made = worker_cache(f"chunks {tokenizer_path}")
+        made = worker_cache(f"packing chunks {tokenizer_path}")
         chunks = made.get("") or made.setdefault("", Chunks(tokenizer_path))
         for batch in batches:
             ids, counts = [], []

@@ -19,7 +19,7 @@ from alertloom.llm.common import doc_type, materialise, worker_cache
 
 BUCKETS, NGRAMS = 1 << 16, (3, 4, 5)
 #: Words that a worker keeps the sums of, and texts whose new words are hashed together.
-CACHE, DOCS = 300_000, 500
+CACHE, DOCS = 200_000, 500
 #: Parts of an epoch over which the repeats of a toxic text are spread; more of them follow each other.
 MOST_COPIES = 8
 
@@ -49,7 +49,8 @@ def subwords(words: list[str]):
             h = (h ^ points[at + k]) * odd
             h ^= h >> np.uint64(29)
         keys.append(owner[at] << bits | (h * odd >> shift).astype(np.int64))
-    keys = np.unique(np.concatenate(keys))
+    keys = np.sort(np.concatenate(keys))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     return keys & BUCKETS - 1, np.bincount(keys >> bits, minlength=len(words))
 
 
@@ -122,7 +123,7 @@ def _frequencies(batches):
     import numpy as np
     import pyarrow as pa
 
-    total, mark, cache = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS, bool), worker_cache("toxicity buckets")
+    total, mark, cache = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS, bool), {}
     for batch in batches:
         total[BUCKETS] += batch.num_rows
         for i in range(0, batch.num_rows, DOCS):
