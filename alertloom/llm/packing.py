@@ -23,7 +23,7 @@ from alertloom.llm.common import doc_type, materialise, rid_bucket, running_offs
 #: Rounds whose turns are put in order in one task.
 ROUNDS = 16
 #: Cache sizes of a worker, in entries; a full cache keeps what came first, as frequent words do.
-CHUNKS, PIECES = 300_000, 200_000
+CHUNKS, PIECES = 150_000, 100_000
 #: Documents that are split together.
 DOCS = 2048
 
