@@ -130,14 +130,14 @@ def _frequencies(batches):
             bags = [letter_words(text) for text in batch.column(0).slice(i, DOCS).to_pylist()]
             new = new_words(bags, cache)
             ids, sizes = subwords(new)
-            fresh = dict(zip(new, np.split(ids.astype(np.uint16), np.cumsum(sizes)[:-1]))) if new else {}
+            cache.update(zip(new, np.split(ids.astype(np.uint16), np.cumsum(sizes)[:-1])) if new else ())
             for found in bags:
                 if found:
                     mark[:] = False
-                    mark[np.concatenate([fresh[w] if w in fresh else cache[w] for w in found])] = True
+                    mark[np.concatenate(list(map(cache.__getitem__, found)))] = True
                     total[:BUCKETS] += mark
-            for word in new[: max(0, CACHE // 2 - len(cache))]:
-                cache[word] = fresh[word].copy()
+            if len(cache) > CACHE // 2:
+                cache.clear()
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
 
