@@ -123,21 +123,28 @@ def _frequencies(batches):
     import numpy as np
     import pyarrow as pa
 
-    total, mark, cache = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS, bool), {}
+    # A text marks its buckets; marks of up to 255 texts are summed in bytes.
+    total, mark, some, left, cache = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS, np.uint8), np.zeros(BUCKETS, np.uint8), 255, {}
     for batch in batches:
         total[BUCKETS] += batch.num_rows
         for i in range(0, batch.num_rows, DOCS):
             bags = [letter_words(text) for text in batch.column(0).slice(i, DOCS).to_pylist()]
             new = new_words(bags, cache)
             ids, sizes = subwords(new)
-            cache.update(zip(new, np.split(ids.astype(np.uint16), np.cumsum(sizes)[:-1])) if new else ())
+            raw, ends = ids.astype("<u2").tobytes(), (2 * np.cumsum(sizes)).tolist()
+            cache.update((word, raw[j:k]) for word, j, k in zip(new, [0, *ends], ends))
             for found in bags:
                 if found:
-                    mark[:] = False
-                    mark[np.concatenate(list(map(cache.__getitem__, found)))] = True
-                    total[:BUCKETS] += mark
+                    mark[:] = 0
+                    mark[np.frombuffer(b"".join(map(cache.__getitem__, found)), "<u2")] = 1
+                    some += mark
+                    left -= 1
+                    if not left:
+                        total[:BUCKETS] += some
+                        some[:], left = 0, 255
             if len(cache) > CACHE // 2:
                 cache.clear()
+    total[:BUCKETS] += some
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
 
