@@ -102,6 +102,42 @@ def worker_cache(name: str) -> dict:
     return held.setdefault(name, {})
 
 
+def release_memory() -> None:
+    """Give memory that a Python worker has freed back to the machine, at most once a second.
+
+    The C library and Arrow keep it else for as long as the worker lives, beside what the next operator takes.
+    """
+    import ctypes
+    import time
+
+    import pyarrow as pa
+
+    module = sys.modules.setdefault("alertloom_worker_cache", types.ModuleType("alertloom_worker_cache"))
+    if time.monotonic() - module.__dict__.get("released", 0.0) > 1.0:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+        module.__dict__["released"] = time.monotonic()
+
+
+def lean(run: Callable, rows: int = 2048) -> Callable:
+    """A mapInArrow function that sees at most ``rows`` rows at once and gives its memory back when a partition ends."""
+
+    def sliced(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield batch.slice(i, rows)
+
+    def wrapped(batches):
+        try:
+            yield from run(sliced(batches))
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 def doc_type(df: DataFrame, column: str) -> str:
     """DDL type of a column."""
     return df.schema[column].dataType.simpleString()

@@ -18,7 +18,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import doc_type, materialise, rid_bucket, running_offsets, source_key, with_row_id, worker_cache
+from alertloom.llm.common import doc_type, lean, materialise, rid_bucket, running_offsets, source_key, with_row_id, worker_cache
 
 #: Rounds whose turns are put in order in one task.
 ROUNDS = 16
@@ -133,7 +133,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, eos_id: int, id_col: str, tex
                                              names=["doc_id", "sk", "n", "ids"])
 
     light = docs.select(F.col(id_col).alias("doc_id"), source_key(source_col).alias("sk"), F.col(text_col).cast("string").alias("text"))
-    return light.mapInArrow(run, f"doc_id {doc_type(light, 'doc_id')}, sk string, n long, ids binary")
+    return light.mapInArrow(lean(run), f"doc_id {doc_type(light, 'doc_id')}, sk string, n long, ids binary")
 
 
 def _cut(window: int):
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, turn: int = 1
     placed_turns = turns.groupBy("rid").agg(F.collect_list(F.struct("start", "len", "pos")).alias("turns"))
     full = tokens.join(placed_turns, "rid").select("doc_id", "n", "ids", "turns", "sk")
     kind = doc_type(full, "doc_id")
-    pieces = full.mapInArrow(_cut(window), f"doc_id {kind}, sk string, doc_tokens long, start long, length long, sequence_id long, offset long, ids binary")
+    pieces = full.mapInArrow(lean(_cut(window)), f"doc_id {kind}, sk string, doc_tokens long, start long, length long, sequence_id long, offset long, ids binary")
     source = F.when(F.col("sk") != "1", F.expr("substring(sk, 2)"))
     return pieces.select("doc_id", source.alias("source"), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import doc_type, materialise, worker_cache
+from alertloom.llm.common import doc_type, lean, materialise, release_memory, worker_cache
 
 WINDOW, GRAM = 20, 8
 #: Segments of a shard; shards with over twice as many are dealt over parts.
@@ -223,6 +223,8 @@ def _locate(segments, phrases):
                             begins.append(s)
                             ends.append(s + WINDOW)
                     seen.add(w)
+        del machine
+    release_memory()
     return pa.table({"key": pa.array(keys, pa.int64()), "begin": pa.array(begins, pa.int64()), "end": pa.array(ends, pa.int64())})
 
 
@@ -280,12 +282,12 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col:
     light = docs.select(key.alias("key"), order.alias("ord"), F.xxhash64(text, F.lit(1)).alias("h1"), F.sha1(text.cast("binary")).alias("h2"))
     first = materialise(light.groupBy("h1", "h2").agg(F.min(F.struct("ord", "key")).alias("f")).select("h1", "h2", "f.ord", "f.key"))
     copies = light.join(first.select("h1", "h2", F.col("ord").alias("first_ord")), ["h1", "h2"]).where("ord > first_ord").select("key").distinct()
-    listed = docs.select(key.alias("key"), text).mapInArrow(_list_anchors, "key long, anchor long, n int")
+    listed = docs.select(key.alias("key"), text).mapInArrow(lean(_list_anchors), "key long, anchor long, n int")
     listed = materialise(listed.join(first.select("key"), "key", "left_semi").dropDuplicates(["key", "anchor"]))
     seen = listed.groupBy("anchor").agg(F.sum("n").alias("places")).where(F.col("places") > 1)
     live = materialise(listed.join(seen.select("anchor"), "anchor", "left_semi"))
     raw = docs.select(key.alias("key"), order.alias("ord"), F.struct(*keep).alias("doc"), text.alias("t"))
-    packed = raw.mapInArrow(_compress, f"key long, ord long, doc {doc_type(raw, 'doc')}, z binary")
+    packed = raw.mapInArrow(lean(_compress), f"key long, ord long, doc {doc_type(raw, 'doc')}, z binary")
     shards = max(1, -(-live.count() // SHARD))
     of = F.pmod("anchor", F.lit(shards))
     sizes = live.groupBy(of.alias("shard")).agg(F.sum("n").alias("n"))
@@ -295,7 +297,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col:
         wanted = anchors.groupBy("key").agg(F.collect_set("anchor").alias("wanted"))
         # Rows that repeat id and text are one document here.
         once = packed.select("key", "ord", "z").join(wanted, "key").dropDuplicates(["key"]).select("key", "ord", "z", "wanted")
-        made = once.mapInArrow(_segments(shards), "shard long, key long, ord long, start long, codes binary").join(sizes, "shard")
+        made = once.mapInArrow(lean(_segments(shards)), "shard long, key long, ord long, start long, codes binary").join(sizes, "shard")
         # By shard and part: the join alone would leave a large shard in one task.
         return made.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).repartition("shard", "part")
 
@@ -309,7 +311,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col:
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     full = packed.select("key", "doc", "z").join(spans, "key", "left").select("doc", "z", "spans")
     schema = f"doc {doc_type(raw, 'doc')}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    out = full.mapInArrow(_kept(keep_text), schema)
+    out = full.mapInArrow(lean(_kept(keep_text)), schema)
     return out.select("doc.*", "n_words", "n_removed", "kept_sha256", *["kept_text"] * keep_text)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import doc_type, materialise
+from alertloom.llm.common import doc_type, lean, materialise
 from alertloom.session import cut_lineage
 
 BLOCK, RADIUS = 23, 3
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     texts have fingerprint 0. ``key`` is ``row_key``.
     """
     light = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("key"))
-    return light.mapInArrow(fingerprint_rows(shingle), f"id {doc_type(light, 'id')}, key long, fp long")
+    return light.mapInArrow(lean(fingerprint_rows(shingle)), f"id {doc_type(light, 'id')}, key long, fp long")
 
 
 def golay_table():
@@ -177,7 +177,7 @@ def links(distinct: DataFrame, threshold: int = 2, group: int = GROUP) -> DataFr
     The links connect what all links of their anchors connect, without listing every pair. An anchor where more
     than ``group`` fingerprints meet is dealt over salts: those at home are split, the others go to each part.
     """
-    at = distinct.select("fp").mapInArrow(_replicate(threshold), "anchor long, fp long, home boolean")
+    at = distinct.select("fp").mapInArrow(lean(_replicate(threshold)), "anchor long, fp long, home boolean")
     at = materialise(at)
     sizes = at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("home"), 1)).alias("homes"))
     busy = sizes.where((F.col("homes") > 0) & (F.col("n") > 1)).select("anchor", F.ceil(F.col("n") / group).cast("int").alias("parts"))

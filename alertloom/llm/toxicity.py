@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm.bags import letter_words
-from alertloom.llm.common import doc_type, materialise, worker_cache
+from alertloom.llm.common import doc_type, lean, materialise, worker_cache
 
 BUCKETS, NGRAMS = 1 << 16, (3, 4, 5)
 #: Words that a worker keeps the sums of, and texts whose new words are hashed together.
-CACHE, DOCS = 200_000, 500
+CACHE, DOCS = 200_000, 512
 #: Parts of an epoch over which the repeats of a toxic text are spread; more of them follow each other.
 MOST_COPIES = 8
 
@@ -154,7 +154,7 @@ def rarity(docs: DataFrame, text_col: str = "text", scale: float = 30.0):
     import numpy as np
 
     texts = docs.select(F.col(text_col).cast("string"))
-    got = texts.mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.mapInArrow(lean(_frequencies), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(BUCKETS + 1)
     n[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return np.log((n[-1] + 1) / (n[:-1] + 1)) * scale
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int =
 
     texts = sample(docs, labels, may_learn, per_label, id_col, text_col, label_col)
     rows = texts.select(F.xxhash64("_id").alias("draw"), "toxic", "_text")
-    bags = materialise(rows.mapInArrow(_bags, "draw long, toxic int, ids binary, share binary").repartition(8, "draw").sortWithinPartitions("draw"))
+    bags = materialise(rows.mapInArrow(lean(_bags), "draw long, toxic int, ids binary, share binary").repartition(8, "draw").sortWithinPartitions("draw"))
     sizes = {r.toxic: r.n for r in bags.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return np.zeros(BUCKETS), 20.0 if 1 in sizes else -20.0
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int =
 
     order = reduce(DataFrame.union, [turn(e, c) for e in range(epochs) for c in range(copies)]).coalesce(1)
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col))
-    got = order.mapInArrow(_train(shared), "bucket int, effect double").toArrow().sort_by("bucket")
+    got = order.mapInArrow(lean(_train(shared)), "bucket int, effect double").toArrow().sort_by("bucket")
     effects = got["effect"].to_numpy()
     return effects[:-1], float(effects[-1])
 
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], score_col])
 
     light = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    return light.mapInArrow(run, ", ".join([*(f"`{c}` {doc_type(light, c)}" for c in keep), f"`{score_col}` double"]))
+    return light.mapInArrow(lean(run), ", ".join([*(f"`{c}` {doc_type(light, c)}" for c in keep), f"`{score_col}` double"]))
 
 
 def drop_toxic(docs: DataFrame, model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
