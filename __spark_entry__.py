@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 import oracles as O  # noqa: E402
-from alertloom.config import DEFAULT_RULES, DEFAULT_WINDOWS, LARGE_WINDOWS, WindowSpec  # noqa: E402
+from alertloom.config import DEFAULT_RULES, DEFAULT_WINDOWS, LARGE_WINDOWS, Condition, Rule, RuleSet, WindowSpec  # noqa: E402
 from alertloom.functions.scalar import round_doubles  # noqa: E402
 from alertloom.operators.novelty import novelty_features  # noqa: E402
 from alertloom.operators.rolling import rolling_baseline  # noqa: E402
@@ -395,6 +395,106 @@ def q_lof_embeddings(spark, sf_dir):
     return round_doubles(NB.training_factors(NB.fit_lof(e, "embedding", 20, id_col="vec_id"), e, "vec_id"))
 
 
+# ---------------------------------------------------------------- unified scores, comparison, categories, flow tables
+
+EVENT_RULES = RuleSet([Rule("large_in", "Much data received", (Condition("bytes_in", ">", 2000),), "high", 0.3),
+                       Rule("large_out", "Much data sent over a long time", (Condition("bytes_out", ">", 20000), Condition("duration", ">=", 2)), "critical", 0.5),
+                       Rule("low_port", "Low source port", (Condition("src_port", "<", 5000),), "medium", 0.4)],
+                      {"critical": 1.0, "high": 0.8, "medium": 0.5, "low": 0.2})
+
+
+def _unified_events(spark, sf_dir):
+    """M8 over all events: rules that fire, and two given score columns, blended with all three weights."""
+    from alertloom.operators.unified import UnifiedScorer
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    given = ev.select("event_id", (F.col("value") / 600.0).alias("lgb_score"), (F.get_json_object("props", "$.k").cast("int") / 100.0).alias("if_score"))
+    rows = _events(spark, sf_dir).select("event_id", "bytes_in", "bytes_out", "duration", "src_port").join(given, "event_id")
+    return UnifiedScorer(EVENT_RULES).score(rows, given=("lgb_score", "if_score"))
+
+
+def q_unified_event_scores(spark, sf_dir):
+    """Rules, two score columns, blended score and severity of every event."""
+    u = _unified_events(spark, sf_dir)
+    return round_doubles(u.select("event_id", "baseline_score", F.array_join("triggered_rules", ",").alias("triggered_rules"), "rule_severity", "rule_count",
+                                  "lgb_score", "if_score", "anomaly_score", "severity"))
+
+
+def q_unified_event_alerts(spark, sf_dir):
+    """T2 + F3: the 50 events of the highest blended score of at least 0.5, ties by id."""
+    return round_doubles(top_alerts(_unified_events(spark, sf_dir), 50, 0.5, tie_col="event_id").select("event_id", "anomaly_score"))
+
+
+def q_unified_event_models(spark, sf_dir):
+    """M8 with models: rules, logistic regression and an isolation forest fitted on the training split, scores of all events."""
+    from alertloom.operators.unified import fit_unified
+    rows = _model_rows(spark, sf_dir)
+    train = SA.train_validation_test(rows, "label", id_col="event_id").where("split = 'train'").drop("split")
+    scorer = fit_unified(train, _MODEL_FEATURES, rules=EVENT_RULES, kind="lr")
+    return round_doubles(scorer.score(rows).select("event_id", "baseline_score", "lgb_score", "if_score", "anomaly_score", "severity"))
+
+
+def _predictions(spark, sf_dir):
+    """Scores of three models, written in one table: (model, y_true, y_score)."""
+    m = metric_input(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    scores = {"linear": F.col("y_score"), "root": F.sqrt("y_score"), "turned": F.lit(1.0) - F.col("y_score")}
+    made = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), v.alias("y_score")) for k, v in scores.items()])).alias("p")
+    return m.select("y_true", made).select("p.model", "y_true", "p.y_score")
+
+
+def q_grouped_metrics(spark, sf_dir):
+    """Confusion metrics of three models' predictions, a row per model."""
+    from alertloom.operators.selection import grouped_metrics
+    return round_doubles(grouped_metrics(_predictions(spark, sf_dir), threshold=0.3))
+
+
+def q_best_models(spark, sf_dir):
+    """The models of the best F1 and recall and of the least false positive rate."""
+    from alertloom.operators.selection import best_models, grouped_metrics
+    return best_models(grouped_metrics(_predictions(spark, sf_dir), threshold=0.3), ("f1", "recall"), ("fpr",))
+
+
+def _categories(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int")
+    guess = F.when(k % 5 == 0, "error").when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, "other").otherwise(F.col("event_type"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("a"), guess.alias("b"))
+
+
+def q_category_confusion(spark, sf_dir):
+    """Confusion matrix of predicted event types."""
+    from alertloom.operators.multiclass import confusion_matrix
+    return confusion_matrix(_categories(spark, sf_dir), "a", "b")
+
+
+def q_category_metrics(spark, sf_dir):
+    """Support, precision, recall and F1 of each class of predicted event types."""
+    from alertloom.operators.multiclass import class_metrics, confusion_matrix
+    return round_doubles(class_metrics(confusion_matrix(_categories(spark, sf_dir), "a", "b")))
+
+
+def _flow_file(spark, sf_dir):
+    """A flow table written as CSV from the events; its path."""
+    from alertloom.sources.flows import write_csv
+    k, v = F.get_json_object("props", "$.k").cast("int"), F.col("value")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("event_id").alias("id"), F.when(k % 10 != 0, v / 50.0).alias("dur"), k.alias("Spkts"), (k * 2).alias("Dpkts"), (v * (k + 1)).alias("sbytes"),
+        (v * 10.0).alias("dbytes"), F.when(k % 3 == 0, "tcp").when(k % 3 == 1, "udp").alias("proto"),
+        F.when(k % 4 == 0, "FIN").when(k % 4 == 1, "INT").otherwise("CON").alias("state"),
+        F.when((F.col("event_type") == "error") & (k >= 50), 1).otherwise(0).alias("Label"))
+    return write_csv(rows, checkpoint_dir(spark))
+
+
+def q_flow_features(spark, sf_dir):
+    """S5 + S6: features and label of a flow CSV, told by its header."""
+    from alertloom.sources.flows import load_table
+    return round_doubles(load_table(spark, _flow_file(spark, sf_dir)))
+
+
+def q_flow_renamed(spark, sf_dir):
+    """S3: a flow CSV under the event schema's names."""
+    from alertloom.sources.flows import read_flow_csv, renamed_flows
+    return round_doubles(renamed_flows(read_flow_csv(spark, _flow_file(spark, sf_dir))))
+
+
 STREAM_WINDOW, STREAM_DELAY = WindowSpec("1h", 3600), "10 minutes"
 
 
@@ -508,6 +608,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_window_features": q_stream_window_features,
     "stream_novelty": q_stream_novelty,
     "declared_features": q_declared_features,
+    "unified_event_scores": q_unified_event_scores,
+    "unified_event_alerts": q_unified_event_alerts,
+    "unified_event_models": q_unified_event_models,
+    "grouped_metrics": q_grouped_metrics,
+    "best_models": q_best_models,
+    "category_confusion": q_category_confusion,
+    "category_metrics": q_category_metrics,
+    "flow_features": q_flow_features,
+    "flow_renamed": q_flow_renamed,
 }
 
 _ORACLES: dict[str, Callable[[], str]] = {
@@ -559,6 +668,14 @@ _ORACLES: dict[str, Callable[[], str]] = {
     "stream_window_features": lambda: O.stream_windows_sql(STREAM_WINDOW, STREAM_DELAY),
     "stream_novelty": lambda: O.stream_novelty_sql(STREAM_DELAY),
     "declared_features": O.declared_features_sql,
+    "unified_event_scores": O.unified_events_sql,
+    "unified_event_alerts": lambda: O.unified_event_alerts_sql(50, 0.5),
+    "grouped_metrics": O.grouped_metrics_sql,
+    "best_models": O.best_models_sql,
+    "category_confusion": O.category_confusion_sql,
+    "category_metrics": O.category_metrics_sql,
+    "flow_features": O.flow_features_sql,
+    "flow_renamed": O.flow_renamed_sql,
 }
 
 # Training-data operators and their pipeline: registered if they and what they need are there.

@@ -110,7 +110,7 @@ CONTAMINATION = 0.1
 LOF_NEIGHBORS = 20
 SPLIT_SEED = 42
 
-# Flow table (numeric columns) and the raw-header rename map
+# Flow table: numeric columns in the order of the public data set's header, categories, and the raw-header rename map
 FLOW_NUMERIC_COLUMNS = (
     "dur", "spkts", "dpkts", "sbytes", "dbytes", "rate", "sttl", "dttl", "sload", "dload",
     "sloss", "dloss", "sinpkt", "dinpkt", "sjit", "djit", "swin", "stcpb", "dtcpb", "dwin",

@@ -25,7 +25,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,6 +243,43 @@ def _root(tab: TreeTable, t: int) -> int:
     return next(i for i in range(len(tab.value[t])) if i not in kids)
 
 
+def walk_trees(tables, x: np.ndarray) -> np.ndarray:
+    """Contributions (rows x features) of plain node arrays: each step down a tree moves its value to the split's feature."""
+    weights, feature, threshold, left, right, value, roots = tables
+    m = len(x)
+    contrib = np.zeros(x.shape)
+    rows = np.arange(m)
+    for t, w in enumerate(weights):
+        node = np.full(m, roots[t], dtype=np.int64)
+        while True:
+            f = feature[t][node]
+            active = f >= 0
+            if not active.any():
+                break
+            fa = np.where(active, f, 0)
+            go_left = x[rows, fa] <= threshold[t][node]
+            child = np.where(go_left, left[t][node], right[t][node])
+            child = np.where(active, child, node)
+            delta = w * (value[t][child] - value[t][node])
+            np.add.at(contrib, (rows[active], fa[active]), delta[active])
+            node = child
+    return contrib
+
+
+def contribution_column(model: SupervisedModel) -> Column:
+    """M3 as a column: array<double> of the boosted trees' contributions, one per feature, beside any other columns."""
+    tab = tree_table(model)
+    roots = [_root(tab, t) for t in range(len(tab.weights))]
+    spark = SparkSession.getActiveSession()
+    bc = spark.sparkContext.broadcast((tab.weights, tab.feature, tab.threshold, tab.left, tab.right, tab.value, roots))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def walk(x: pd.Series) -> pd.Series:
+        return pd.Series(list(walk_trees(bc.value, np.stack(x.to_numpy()).astype(float))))
+
+    return walk(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in model.features]))
+
+
 def contributions(model: SupervisedModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """M3: ``keep`` columns + features + ``contributions array<double>`` (margin units, one per
     feature), ``base`` and ``margin`` (``probability = 1 / (1 + exp(-2 margin))``)."""
@@ -252,7 +289,6 @@ def contributions(model: SupervisedModel, df: DataFrame, keep: Sequence[str] = (
     # Plain arrays: workers unpickle a broadcast without this package.
     bc = spark.sparkContext.broadcast((tab.weights, tab.feature, tab.threshold, tab.left, tab.right, tab.value, roots))
     feats = list(model.features)
-    nf = len(feats)
     base = float(sum(w * tab.value[t][roots[t]] for t, w in enumerate(tab.weights)))
     keep = [c for c in keep if c not in feats]
     schema = T.StructType([df.schema[c] for c in keep]
@@ -261,26 +297,8 @@ def contributions(model: SupervisedModel, df: DataFrame, keep: Sequence[str] = (
                              T.StructField("base", T.DoubleType()), T.StructField("margin", T.DoubleType())])
 
     def walk(batches):
-        weights, feature, threshold, left, right, value, rts = bc.value
         for pdf in batches:
-            x = pdf[feats].to_numpy(dtype=float)
-            m = len(x)
-            contrib = np.zeros((m, nf))
-            rows = np.arange(m)
-            for t, w in enumerate(weights):
-                node = np.full(m, rts[t], dtype=np.int64)
-                while True:
-                    f = feature[t][node]
-                    active = f >= 0
-                    if not active.any():
-                        break
-                    fa = np.where(active, f, 0)
-                    go_left = x[rows, fa] <= threshold[t][node]
-                    child = np.where(go_left, left[t][node], right[t][node])
-                    child = np.where(active, child, node)
-                    delta = w * (value[t][child] - value[t][node])
-                    np.add.at(contrib, (rows[active], fa[active]), delta[active])
-                    node = child
+            contrib = walk_trees(bc.value, pdf[feats].to_numpy(dtype=float))
             out = pdf[keep + feats].copy()
             out["contributions"] = list(contrib)
             out["base"] = base

@@ -638,3 +638,91 @@ g AS (SELECT ws, stddev_samp(gap) AS gsd FROM (SELECT ws, (us - lag(us) OVER (PA
 n AS (SELECT ws, count(*) FILTER (WHERE prev IS NULL) / count(*) AS new_ratio, count(*) FILTER (WHERE prev IS NULL OR ws - prev > 10 * {us}) / count(*) AS back_ratio
    FROM (SELECT ws, lag(ws) OVER (PARTITION BY dst_ip ORDER BY ws) AS prev FROM (SELECT DISTINCT ws, dst_ip FROM b WHERE dst_ip IS NOT NULL)) GROUP BY ws)
 SELECT make_timestamp(a.ws) AS window_start, {out} FROM a JOIN g USING (ws) JOIN n USING (ws)"""
+
+
+# --------------------------------------------------------------------------------------
+# unified scores of events, grouped metrics, categories, flow tables
+# --------------------------------------------------------------------------------------
+
+_UNIFIED_EVENTS = """
+r AS (SELECT event_id, "timestamp", bytes_in > 2000 AS r1, bytes_out > 20000 AND duration >= 2 AS r2, src_port < 5000 AS r3,
+        e0.value / 600.0::DOUBLE AS lgb_score, e0.k / 100.0::DOUBLE AS if_score FROM ev JOIN e0 USING (event_id)),
+s AS (SELECT *, least((CASE WHEN r1 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN r2 THEN 0.5::DOUBLE ELSE 0 END) + CASE WHEN r3 THEN 0.4::DOUBLE ELSE 0 END, 1.0)
+        AS baseline_score FROM r),
+u AS (SELECT *, least(greatest((0.2::DOUBLE * baseline_score + 0.5::DOUBLE * lgb_score) + 0.3::DOUBLE * if_score, 0.0), 1.0) AS anomaly_score FROM s)
+"""
+
+
+def unified_events_sql() -> str:
+    from alertloom.config import WINDOW_SEVERITY_BANDS
+    return _ev_with(_UNIFIED_EVENTS.strip() + f"""
+SELECT event_id, round(round(baseline_score, 9), 6) AS baseline_score, concat_ws(',', CASE WHEN r1 THEN 'large_in' END, CASE WHEN r2 THEN 'large_out' END,
+         CASE WHEN r3 THEN 'low_port' END) AS triggered_rules,
+  CASE WHEN r2 THEN 'critical' WHEN r1 THEN 'high' WHEN r3 THEN 'medium' ELSE 'none' END AS rule_severity,
+  CAST(r1 AS INTEGER) + CAST(r2 AS INTEGER) + CAST(r3 AS INTEGER) AS rule_count,
+  round(round(lgb_score, 9), 6) AS lgb_score, round(round(if_score, 9), 6) AS if_score, round(round(anomaly_score, 9), 6) AS anomaly_score,
+  {severity_sql('anomaly_score', WINDOW_SEVERITY_BANDS)} AS severity FROM u""")
+
+
+def unified_event_alerts_sql(limit: int, least: float) -> str:
+    return _ev_with(_UNIFIED_EVENTS.strip() + f"""
+SELECT event_id, round(round(anomaly_score, 9), 6) AS anomaly_score FROM u WHERE anomaly_score >= {least!r}
+ORDER BY u.anomaly_score DESC, event_id LIMIT {limit}""")
+
+
+_GROUPED = """
+p AS (SELECT 'linear' AS model, y_true, y_score FROM m UNION ALL SELECT 'root' AS model, y_true, sqrt(y_score) FROM m
+      UNION ALL SELECT 'turned' AS model, y_true, 1.0::DOUBLE - y_score FROM m),
+c AS (SELECT model, count(*) FILTER (WHERE y_true = 1 AND y_score >= 0.3) AS tp, count(*) FILTER (WHERE y_true = 0 AND y_score >= 0.3) AS fp,
+        count(*) FILTER (WHERE y_true = 0 AND y_score < 0.3) AS tn, count(*) FILTER (WHERE y_true = 1 AND y_score < 0.3) AS fn FROM p GROUP BY model),
+g AS (SELECT model, tp AS true_positives, fp AS false_positives, tn AS true_negatives, fn AS false_negatives, (tp + tn) / (tp + tn + fp + fn) AS accuracy,
+        CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+        CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1, CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0.0 END AS fpr FROM c)
+"""
+
+
+def grouped_metrics_sql() -> str:
+    rates = ", ".join(f"round(round({c}, 9), 6) AS {c}" for c in ("accuracy", "precision", "recall", "f1", "fpr"))
+    return _metrics_with(_GROUPED.strip() + f"\nSELECT model, true_positives, false_positives, true_negatives, false_negatives, {rates} FROM g")
+
+
+def best_models_sql() -> str:
+    pick = lambda c, way: f"(SELECT model FROM g ORDER BY {c} {way}, model LIMIT 1)"
+    return _metrics_with(_GROUPED.strip() + f"\nSELECT {pick('f1', 'DESC')} AS best_f1, {pick('recall', 'DESC')} AS best_recall, {pick('fpr', 'ASC')} AS least_fpr")
+
+
+_CATEGORIES = """
+p AS (SELECT et AS a, CASE WHEN k % 5 = 0 THEN 'error' WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN 'other' ELSE et END AS b FROM e0)
+"""
+
+
+def category_confusion_sql() -> str:
+    return _ev_with(_CATEGORIES.strip() + "\nSELECT a AS actual, b AS predicted, count(*) AS n FROM p GROUP BY a, b")
+
+
+def category_metrics_sql() -> str:
+    return _ev_with(_CATEGORIES.strip() + """,
+k AS (SELECT a AS class FROM p UNION SELECT b FROM p),
+c AS (SELECT k.class, count(*) FILTER (WHERE a IS NOT DISTINCT FROM k.class) AS support, count(*) FILTER (WHERE b IS NOT DISTINCT FROM k.class) AS predicted,
+        count(*) FILTER (WHERE a IS NOT DISTINCT FROM k.class AND b IS NOT DISTINCT FROM k.class) AS hits FROM k, p GROUP BY k.class)
+SELECT class, support, predicted, hits, round(round(CASE WHEN predicted > 0 THEN hits / predicted ELSE 0.0 END, 9), 6) AS precision,
+  round(round(CASE WHEN support > 0 THEN hits / support ELSE 0.0 END, 9), 6) AS recall, round(round(2 * hits / (support + predicted), 9), 6) AS f1 FROM c""")
+
+
+_FLOWS = """
+f AS (SELECT event_id AS id, CASE WHEN k % 10 = 0 THEN NULL ELSE value / 50.0::DOUBLE END AS dur, CAST(k AS DOUBLE) AS spkts, CAST(k * 2 AS DOUBLE) AS dpkts,
+        value * (k + 1) AS sbytes, value * 10.0::DOUBLE AS dbytes, CASE k % 3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'udp' END AS proto,
+        CASE k % 4 WHEN 0 THEN 'FIN' WHEN 1 THEN 'INT' ELSE 'CON' END AS state, CASE WHEN et = 'error' AND k >= 50 THEN 1 ELSE 0 END AS label FROM e0)
+"""
+
+
+def flow_features_sql() -> str:
+    nums = ", ".join(f"round(round(coalesce({c}, 0.0), 9), 6) AS {c}" for c in ("dur", "spkts", "dpkts", "sbytes", "dbytes"))
+    flags = ", ".join(f"CAST(coalesce({c} = '{v}', false) AS INTEGER) AS {c}_{v}" for c, v in
+                      (("proto", "tcp"), ("proto", "udp"), ("state", "CON"), ("state", "FIN"), ("state", "INT")))
+    return _ev_with(_FLOWS.strip() + f"\nSELECT {nums}, {flags}, CAST(label AS INTEGER) AS label FROM f")
+
+
+def flow_renamed_sql() -> str:
+    return _ev_with(_FLOWS.strip() + "\nSELECT CAST(id AS DOUBLE) AS id, round(round(dur, 9), 6) AS duration, spkts, dpkts, round(round(sbytes, 9), 6) AS "
+                        "bytes_out, round(round(dbytes, 9), 6) AS bytes_in, CAST(label AS INTEGER) AS is_attack FROM f")
