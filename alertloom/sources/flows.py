@@ -26,8 +26,9 @@ _BROKEN = "_broken_row"
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file or folder, without the byte order mark and outer spaces."""
-    return [c.strip("\ufeff ") for c in spark.read.option("header", True).csv(path).columns]
+    """Column names of a CSV file or folder as they stand there, without the byte order mark and outer spaces."""
+    line = spark.read.csv(path).first()
+    return [(c or f"_c{i}").strip("\ufeff ") for i, c in enumerate(line or ())]
 
 
 def flow_format(columns: Sequence[str]) -> str:
@@ -100,7 +101,7 @@ def encoded_flows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     out = rows.select(*keep, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in numeric], *kinds, "label")
     for c in kinds:
         out = one_hot(out, c, values[c])
-    return out
+    return out.select(*[c for c in out.columns if c != "label"], "label")
 
 
 def load_table(spark: SparkSession, path: str, broken: str = "null") -> DataFrame:
