@@ -43,6 +43,8 @@ def read_event_csv(spark: SparkSession, path: str, schema: T.StructType = EVENT_
     raw_schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "timestamp" else f
                                for f in schema.fields])
     df = spark.read.schema(raw_schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    if "timestamp" not in df.columns:
+        return nan_to_null(df)
     ts = (F.to_timestamp_ntz(F.col("timestamp"), F.lit(timestamp_format)) if timestamp_format
           else F.to_timestamp_ntz(F.col("timestamp")))
     return nan_to_null(df.withColumn("timestamp", ts))
