@@ -2,11 +2,12 @@
 
 Three stateful steps, all behind one watermark:
 
-1. one-second sub-buckets: counts of values, and the sorted microseconds of the events, which give the
-   sub-bucket's first and last event and the sum of squared gaps (``lag`` is refused on streams);
-2. windows: counts of values summed, one struct of gaps for each sub-bucket (as many as the window has seconds);
+1. one-second sub-buckets: equal events counted, whole, so that state holds an event once and not once for each
+   of its values;
+2. windows: counts of words and durations, the sums of the byte columns (a row for each, not one for each value),
+   and the sub-buckets' first and last event and sum of squared gaps (``lag`` is refused on streams);
 3. one row per window: distinct counts and entropy from the value counts, percentiles weighted by them, and the
-   inter-arrival deviation from the sub-buckets in order.
+   inter-arrival deviation from the sub-buckets in order (as many as the window has seconds).
 
 A window is emitted once, when the watermark has passed its end; the rows equal those of the batch operator for the
 same events. Events later than the watermark allows are dropped by Spark and counted in the query's progress.
@@ -39,31 +40,39 @@ def stream_window_features(events: DataFrame, window: WindowSpec | tuple[str, in
     numbers = [c for c in (*BYTE_COLUMNS, "duration") if c in present]
     auth = {"status", "event_type"} <= present
     text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    one = lambda kind, s=text, d=number: F.struct(F.lit(kind).alias("kind"), s.alias("s"), d.alias("d"))
-    values = [one("ts"), *(one(c, F.col(c).cast("string")) for c in words),
-              *(one(c, text, F.nanvl(F.col(c).cast("double"), number)) for c in numbers)]
-    if auth:
-        values.append(one("auth", F.when(F.col("event_type") == "auth", F.when(F.col("status") == "failed", "failed").otherwise("other"))))
+    missing = F.lit(None).cast("long")
+
+    def one(kind, s=text, d=number, at=missing, x=number, us=missing):
+        return F.struct(F.lit(kind).alias("kind"), s.alias("s"), d.alias("d"), at.alias("at"), x.alias("x"), us.alias("us"))
+
     at = F.col(timestamp_col).cast("timestamp")
     rows = events.withColumn("_ts", at).where(F.col("_ts").isNotNull()).withWatermark("_ts", delay)
-    rows = rows.select("_ts", F.explode(F.array(*values)).alias("x")).select("_ts", "x.*")
-    rows = rows.where((F.col("kind") == "ts") | F.col("s").isNotNull() | F.col("d").isNotNull())
+    told = [F.col(c).cast("string").alias(f"s_{c}") for c in words]
+    told += [F.nanvl(F.col(c).cast("double"), number).alias(f"d_{c}") for c in numbers]
+    if auth:
+        told.append(F.when(F.col("event_type") == "auth", F.when(F.col("status") == "failed", "failed").otherwise("other")).alias("s_auth"))
+    rows = rows.select("_ts", _micros(F.col("_ts")).alias("us"), *told)
+    read = [c for c in rows.columns if c != "_ts"]
+    event = rows.groupBy(F.window("_ts", "1 second").alias("w1"), *read).agg(F.count(F.lit(1)).alias("c"))
 
-    second = rows.groupBy(F.window("_ts", "1 second").alias("w1"), "kind", "s", "d").agg(
-        F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list(F.when(F.col("kind") == "ts", _micros(F.col("_ts"))))).alias("us"))
+    values = [one("ts", at=F.unix_seconds("w1.start"), us=F.col("us")), *(one(c, F.col(f"s_{c}")) for c in words)]
+    values += [one(c, d=F.col("d_duration")) if c == "duration" else one(c, x=F.col(f"d_{c}")) for c in numbers]
+    if auth:
+        values.append(one("auth", F.col("s_auth")))
+    each = event.select(F.window_time("w1").alias("_t1"), "c", F.explode(F.array(*values)).alias("v")).select("_t1", "c", "v.*")
+    each = each.where(F.col("us").isNotNull() | F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("x").isNotNull())
+    whole = each.groupBy(F.window("_t1", f"{seconds} seconds").alias("w"), "kind", "s", "d", "at").agg(
+        F.sum("c").alias("c"), F.sum(F.col("c") * F.col("x")).alias("t"), F.sum(F.col("c") * F.col("x") * F.col("x")).alias("q"),
+        F.max("x").alias("hi"), F.min("x").alias("lo"), F.sort_array(F.collect_set("us")).alias("us"))
+    # Equal times have no gap, so distinct ones are enough.
     gaps = F.transform(F.sequence(F.lit(1), F.size("us") - 1), lambda i: F.col("us")[i] - F.col("us")[i - 1])
     square = F.when(F.size("us") > 1, F.aggregate(gaps, F.lit(0.0), lambda a, g: a + (g / 1e6) * (g / 1e6))).otherwise(F.lit(0.0))
     bucket = F.when(F.col("kind") == "ts", F.struct(F.col("us")[0].alias("first"), F.element_at("us", -1).alias("last"), square.alias("sq")))
-    second = second.select(F.window_time("w1").alias("_t1"), "kind", "s", "d", "c", bucket.alias("g"))
-
-    whole = second.groupBy(F.window("_t1", f"{seconds} seconds").alias("w"), "kind", "s", "d").agg(
-        F.sum("c").alias("c"), F.sort_array(F.collect_list("g")).alias("g"))
-    whole = whole.select(F.window_time("w").alias("_t"), "kind", "s", "d", "c", "g")
+    whole = whole.select(F.window_time("w").alias("_t"), "kind", "s", "d", "c", "t", "q", "hi", "lo", bucket.alias("g"))
 
     hit = lambda kind: F.col("kind") == kind
     total = lambda when, x=F.col("c"): F.sum(F.when(when, x))
-    aggs = [total(hit("ts")).alias("n"), F.first("g", ignorenulls=True).alias("_"), F.max(F.when(hit("ts"), F.col("g"))).alias("g")]
-    aggs = [aggs[0], aggs[2]]
+    aggs = [total(hit("ts")).alias("n"), F.sort_array(F.collect_list("g")).alias("g")]
     for c in cats:
         aggs.append(F.count(F.when(hit(c), 1)).alias(f"d_{c}"))
     for c, _ in ENTROPY_COLUMNS:
@@ -71,8 +80,8 @@ def stream_window_features(events: DataFrame, window: WindowSpec | tuple[str, in
             aggs += [total(hit(c)).alias(f"en_{c}"), total(hit(c), F.col("c") * F.log2("c")).alias(f"es_{c}")]
     for c in numbers:
         if c != "duration":
-            aggs += [total(hit(c)).alias(f"n_{c}"), total(hit(c), F.col("c") * F.col("d")).alias(f"sum_{c}"), F.max(F.when(hit(c), F.col("d"))).alias(f"max_{c}"),
-                     total(hit(c), F.col("c") * F.col("d") * F.col("d")).alias(f"sq_{c}"), F.min(F.when(hit(c), F.col("d"))).alias(f"min_{c}")]
+            aggs += [total(hit(c)).alias(f"n_{c}"), total(hit(c), F.col("t")).alias(f"sum_{c}"), F.max(F.when(hit(c), F.col("hi"))).alias(f"max_{c}"),
+                     total(hit(c), F.col("q")).alias(f"sq_{c}"), F.min(F.when(hit(c), F.col("lo"))).alias(f"min_{c}")]
     if "duration" in numbers:
         aggs.append(F.percentile(F.when(hit("duration"), F.col("d")), F.array(F.lit(0.5), F.lit(0.95)), F.when(hit("duration"), F.col("c")).otherwise(F.lit(0))).alias("q"))
     if auth:

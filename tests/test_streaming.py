@@ -88,3 +88,13 @@ def test_rolling_equals_batch(spark, parts, tmp_path):
     got = stream_rolling_baseline(counts, str(tmp_path / "rolling"), lookback=7)
     want = rolling_baseline(window_features(good.select("timestamp"), [("1min", 60)]).select("window_start", "event_count_1min"), lookback=7)
     same(got, want)
+
+
+def test_state_holds_an_event_once(spark, parts, tmp_path):
+    folder, good = parts
+    made = stream_window_features(stream(spark, folder, 100), ("1h", 3600), delay="5 minutes")
+    query = (made.writeStream.format("parquet").option("path", str(tmp_path / "rows")).option("checkpointLocation", str(tmp_path / "state"))
+             .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    first = max((p for p in query.recentProgress if p["numInputRows"]), key=lambda p: p["numInputRows"])
+    assert first["stateOperators"][-1]["numRowsUpdated"] <= good.count() + 2  # each of its twelve values before
