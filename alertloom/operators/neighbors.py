@@ -2,8 +2,9 @@
 
 Rows are first collapsed to distinct points with their number, so copies are never paired. Points are dealt to the
 cells of a bounded set of pivots. Triangle inequalities give each cell a radius within which the k nearest
-neighbours of all its points must lie, and a point is copied only to the cells whose radius reaches it (the
-pivot-based kNN join of Lu et al. 2012). Large cells are cut into blocks, so no cell has to fit one task, and the
+neighbours of all its points must lie, and a point is compared only with the cells whose radius reaches it (the
+pivot-based kNN join of Lu et al. 2012). Cells that lie near each other share a group, so a point is copied once to
+each of a few groups and not to each cell; large groups are cut into blocks, so none has to fit one task, and the
 best of all blocks are ranked. No point is dropped, capped or sampled; only pivots and one row of bounds per cell
 reach the driver.
 
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from alertloom.operators.scaling import fit_standard_scaler, percentile_sigmoid, standard_scale
 from alertloom.session import cut_lineage
 
-#: Pivots at most, points for each pivot, and points of a block.
+#: Pivots at most, points for each pivot, and the least points of a block.
 MOST_PIVOTS, CELL, BLOCK = 256, 2048, 4096
+#: Blocks of a side, as long as their vectors take no more than so many bytes.
+SIDES, BLOCK_BYTES = 4, 64 << 20
 #: Relative room left for rounding in the bounds; it only copies a few points more.
 _SLACK = 1e-9
 
@@ -69,19 +72,33 @@ def _to_cells(pivots: np.ndarray):
     return run
 
 
-def _reached(pivots: np.ndarray, radius: np.ndarray):
-    """mapInArrow: (pid, v) to (pid, v, cells): all cells whose radius around the pivot reaches the point."""
+def _reached(pivots: np.ndarray, radius: np.ndarray, groups: np.ndarray):
+    """mapInArrow: (pid, v) to (pid, v, groups): the groups of all cells whose radius around the pivot reaches the point."""
     def run(batches):
         import pyarrow as pa
 
+        member = groups[:, None] == np.arange(groups.max() + 1)
         for batch in batches:
-            hit = _distances(_matrix(batch.column(1)), pivots) <= radius
-            cells = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(hit.sum(1))).astype(np.int32)), pa.array(np.nonzero(hit)[1].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], names=["pid", "v", "cells"])
+            hit = (_distances(_matrix(batch.column(1)), pivots) <= radius) @ member
+            found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(hit.sum(1))).astype(np.int32)), pa.array(np.nonzero(hit)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["pid", "v", "groups"])
     return run
 
 
-def _nearest(k: int, other: bool):
+def _grouped(sizes: dict[int, int], between: np.ndarray, block: int) -> np.ndarray:
+    """The group of each cell: cells in a chain, each followed by the nearest that is left, put together up to ``block`` points."""
+    groups, left = np.full(len(between), -1), sorted(sizes)
+    at, group, held = left[0], 0, 0
+    while left:
+        at = min(left, key=lambda c: (between[at, c], c))
+        left.remove(at)
+        if held and held + sizes[at] > block:
+            group, held = group + 1, 0
+        groups[at], held = group, held + sizes[at]
+    return groups
+
+
+def _nearest(k: int, other: bool, pivots: np.ndarray, radius: np.ndarray):
     """Cogrouped: the k nearest reference points of each query point of a block; ``other`` leaves out the point itself."""
     def run(key, queries, refs):
         import pyarrow as pa
@@ -89,23 +106,36 @@ def _nearest(k: int, other: bool):
         mine, theirs, dist = [], [], []
         if queries.num_rows and refs.num_rows:
             refs = refs.sort_by("rpid")
-            x, y, q, r = _matrix(queries["v"]), _matrix(refs["rv"]), queries["pid"].to_numpy(), refs["rpid"].to_numpy()
-            yy = (y**2).sum(1)
-            for i in range(0, len(x), 256):
-                part = x[i : i + 256]
-                xx = (part**2).sum(1)[:, None]
-                square = xx + yy - 2 * (part @ y.T)  # rounded: chooses candidates only
-                room = 1e-10 * (xx + yy.max())
-                for j in range(len(part)):
-                    at = np.flatnonzero(r != q[i + j]) if other else np.arange(len(r))
-                    if len(at) > k:
-                        s = square[j, at]
-                        at = at[s <= np.partition(s, k - 1)[k - 1] + 2 * room[j]]
-                    d = np.sqrt(((y[at] - part[j]) ** 2).sum(1))
-                    best = np.argsort(d, kind="stable")[:k]
-                    mine.append(np.full(len(best), i + j))
-                    theirs.append(at[best])
-                    dist.append(d[best])
+            x, whole, q, ids = _matrix(queries["v"]), _matrix(refs["rv"]), queries["pid"].to_numpy(), refs["rpid"].to_numpy()
+            cells = queries["cell"].to_numpy()
+            for cell in np.unique(cells):
+                here = np.flatnonzero(cells == cell)
+                near = np.flatnonzero(_distances(whole, pivots[cell : cell + 1])[:, 0] <= radius[cell])
+                if not len(near):
+                    continue
+                y, r = (whole, ids) if len(near) == len(whole) else (whole[near], ids[near])
+                yy = (y**2).sum(1)
+                step = max(1, min(256, 8_000_000 // len(y)))
+                for i in range(0, len(here), step):
+                    rows = here[i : i + step]
+                    part = x[rows]
+                    xx = (part**2).sum(1)[:, None]
+                    square = xx + yy - 2 * (part @ y.T)  # rounded: chooses candidates only
+                    room = 1e-10 * (xx + yy.max())
+                    first, last = (np.searchsorted(r, q[rows], side) if other else np.zeros(len(rows), int) for side in ("left", "right"))
+                    for j, row in enumerate(rows):
+                        own = slice(first[j], last[j])
+                        square[j, own] = np.inf
+                        at = np.arange(len(r))
+                        if len(r) - (last[j] - first[j]) > k:
+                            s = square[j]
+                            at = np.flatnonzero(s <= np.partition(s, k - 1)[k - 1] + 2 * room[j])
+                        at = at[(at < own.start) | (at >= own.stop)]
+                        d = np.sqrt(((y[at] - part[j]) ** 2).sum(1))
+                        best = np.argsort(d, kind="stable")[:k]
+                        mine.append(np.full(len(best), row))
+                        theirs.append(near[at[best]])
+                        dist.append(d[best])
         mine, theirs, dist = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((mine, np.int64), (theirs, np.int64), (dist, np.float64)))
         refs_id = refs["rpid"].take(pa.array(theirs))
         return pa.table({"pid": queries["pid"].take(pa.array(mine)), "nid": refs_id, "distance": pa.array(dist)})
@@ -143,19 +173,25 @@ def knn_join(queries: DataFrame, reference: DataFrame | None, k: int, most_pivot
         bound = sorted(between[i, j] + d for j, ds in enumerate(close) for d in ds)
         kth = bound[k] if len(bound) > k else math.inf
         radius[i] = (2 * u + kth) * (1 + _SLACK) + _SLACK
-    reached = refs.mapInArrow(_reached(pivots, radius), "pid long, v array<double>, cells array<int>")
-    copies = reached.select(F.col("pid").alias("rpid"), F.col("v").alias("rv"), F.explode("cells").alias("rcell"))
-    sizes = {r.rcell: r.n for r in copies.groupBy("rcell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = lambda m: F.element_at(F.create_map(*[x for c, v in m.items() for x in (F.lit(c), F.lit(max(1, math.ceil(v / block))))]), F.col("c"))
-    q_parts, r_parts = ({c: v[1] for c, v in widest.items()}, {c: sizes.get(c, 0) for c in widest})
+    most = max(1, BLOCK_BYTES // (8 * pivots.shape[1]))
+    q_block, r_block = (min(most, max(block, math.ceil(x / SIDES))) for x in (n, n_refs))
+    # Groups have points of cells with queries only; the others' radius reaches nothing.
+    groups = _grouped({c: v[1] for c, v in widest.items()}, between, q_block)
+    reached = refs.mapInArrow(_reached(pivots, radius, groups), "pid long, v array<double>, groups array<int>")
+    copies = reached.select(F.col("pid").alias("rpid"), F.col("v").alias("rv"), F.explode("groups").alias("rc"))
+    sizes = {r.rc: r.n for r in copies.groupBy("rc").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = {g: sum(v[1] for c, v in widest.items() if groups[c] == g) for g in range(groups.max() + 1)}
+    mapped = lambda m, c: F.element_at(F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))]), c)
+    parts = lambda m, size, c: mapped({g: max(1, math.ceil(v / size)) for g, v in m.items()}, c)
+    q_parts, r_parts = (lambda c: parts(held, q_block, c)), (lambda c: parts({g: sizes.get(g, 0) for g in held}, r_block, c))
     every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    mine = dealt.select("pid", "v", F.col("cell").alias("c")).withColumns({"qb": F.pmod(F.xxhash64("pid"), parts(q_parts)), "rb": every(parts(r_parts))})
-    theirs = copies.select("rpid", "rv", F.col("rcell").alias("c")).withColumn("rb", F.pmod(F.xxhash64("rpid"), parts(r_parts)).cast("int"))
-    theirs = theirs.withColumn("qb", every(parts(q_parts)))
-    mine = mine.withColumn("qb", F.col("qb").cast("int"))
+    mine = dealt.select("pid", "v", "cell", mapped({c: int(groups[c]) for c in widest}, F.col("cell")).alias("c"))
+    mine = mine.withColumns({"qb": F.pmod(F.xxhash64("pid"), q_parts(F.col("c"))).cast("int"), "rb": every(r_parts(F.col("c")))})
+    theirs = copies.select("rpid", "rv", F.col("rc").alias("c")).withColumn("rb", F.pmod(F.xxhash64("rpid"), r_parts(F.col("c"))).cast("int"))
+    theirs = theirs.withColumn("qb", every(q_parts(F.col("c"))))
     keys = lambda p: [F.col("c").alias(f"{p}c"), F.col("qb").alias(f"{p}qb"), F.col("rb").alias(f"{p}rb")]
-    mine, theirs = mine.select("pid", "v", *keys("a")), theirs.select("rpid", "rv", *keys("b"))
-    best = mine.groupBy("ac", "aqb", "arb").cogroup(theirs.groupBy("bc", "bqb", "brb")).applyInArrow(_nearest(k, other), kinds)
+    mine, theirs = mine.select("pid", "v", "cell", *keys("a")), theirs.select("rpid", "rv", *keys("b"))
+    best = mine.groupBy("ac", "aqb", "arb").cogroup(theirs.groupBy("bc", "bqb", "brb")).applyInArrow(_nearest(k, other, pivots, radius), kinds)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("pid").orderBy("distance", "nid")))
     return ranked.where(F.col("rank") <= k).select("pid", "rank", "nid", "distance")
 

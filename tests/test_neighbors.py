@@ -83,3 +83,22 @@ def test_lof_of_an_array_column(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, e array<float>").withColumn("other", F.lit(1))
     got = {g.id: g.lof for g in NB.training_factors(NB.fit_lof(df, "e", 7, id_col="id"), df, "id").collect()}
     assert np.allclose([got[i] for i in range(60)], brute_lof(x.astype(float), 7), rtol=1e-6)
+
+
+def test_near_cells_share_a_group(spark):
+    r = np.random.default_rng(4)
+    pivots = r.normal(0, 1, (200, 3))
+    sizes = {int(c): int(n) for c, n in zip(range(200), r.integers(1, 60, 200)) if c % 9}
+    groups = NB._grouped(sizes, NB._distances(pivots, pivots), 1000)
+    held = [sum(n for c, n in sizes.items() if groups[c] == g) for g in range(groups.max() + 1)]
+    # A point was copied to each of the cells before.
+    assert sum(held) == sum(sizes.values()) and max(held) <= 1000 and len(held) <= 2 * sum(held) / 1000 + 1
+    assert all((groups[c] >= 0) == (c in sizes) for c in range(200))
+    assert NB._grouped({0: 5, 1: 5000}, NB._distances(pivots[:2], pivots[:2]), 1000).tolist() == [0, 1]
+
+
+def test_points_of_one_id_are_left_out_together(spark):
+    x = [[0.0, 0.0], [1.0, 0.0], [2.0, 0.0], [9.0, 0.0]]
+    points = spark.createDataFrame([(5, x[0]), (5, x[1]), (6, x[2]), (7, x[3])], "pid long, v array<double>")
+    got = sorted((g.pid, g.nid, g.distance) for g in NB.knn_join(points, None, 1).collect())
+    assert set(got) == {(5, 6, 1.0), (6, 5, 1.0), (7, 6, 7.0)}
