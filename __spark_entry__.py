@@ -369,7 +369,7 @@ def q_top_anomalies(spark, sf_dir):
     """T3 + M6: the 50 events with the highest isolation score: their number, their ids, and the events outside
     them with a higher score than the least of them."""
     from alertloom.operators import outliers as OU
-    rows = _model_rows(spark, sf_dir)
+    rows = cut_lineage(_model_rows(spark, sf_dir))
     forest = OU.fit_isolation_forest(rows, _MODEL_FEATURES, id_col="event_id")
     scored = cut_lineage(OU.score_outliers(forest, rows, ["event_id"]))
     top = OU.top_anomalies(scored, 50)

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from alertloom.config import ISOLATION_SAMPLE, ISOLATION_TREES
 from alertloom.operators.scaling import exact_quantiles, fit_standard_scaler, percentile_sigmoid, standard_scale
+from alertloom.session import cut_lineage
 
 _EULER = 0.5772156649015329
 _MASK = (1 << 63) - 1
@@ -140,22 +141,24 @@ _NODE_ARRAYS = ("feature", "threshold", "left", "right", "size", "depth")
 
 
 def _path_lengths(forest: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Path length of each row in each tree. Leaves lead back to themselves, so all rows take the same number of steps."""
     feature, threshold, left, right, size, depth = (forest[k] for k in _NODE_ARRAYS)
-    m = len(x)
-    rows = np.arange(m)
-    out = np.zeros((m, feature.shape[0]))
-    for t in range(feature.shape[0]):
-        node = np.zeros(m, dtype=np.int64)
-        while True:
-            f = feature[t, node]
-            active = f >= 0
-            if not active.any():
-                break
-            fa = np.where(active, f, 0)
-            go = x[rows, fa] < threshold[t, node]
-            child = np.where(go, left[t, node], right[t, node])
-            node = np.where(active, child, node)
-        out[:, t] = depth[t, node] + avg_path_length(size[t, node])
+    trees, width = feature.shape
+    leaf, own = feature < 0, np.arange(width)
+    at = np.where(leaf, 0, feature)
+    kids = np.stack([np.where(leaf, own, right), np.where(leaf, own, left)], axis=2).reshape(trees, -1)
+    length = depth + avg_path_length(size)
+    steps = np.where(leaf, depth, 0).max(axis=1)
+    out = np.zeros((len(x), trees))
+    for start in range(0, len(x), 4096):  # small enough to stay in the cache
+        part = x[start : start + 4096]
+        m, d = part.shape
+        flat, rows = np.ascontiguousarray(part).ravel(), np.arange(m) * d
+        for t in range(trees):
+            node = np.zeros(m, dtype=np.int64)
+            for _ in range(steps[t]):
+                node = kids[t].take(2 * node + (flat.take(rows + at[t].take(node)) < threshold[t].take(node)))
+            out[start : start + m, t] = length[t].take(node)
     return out
 
 
@@ -195,8 +198,9 @@ def isolation_scores(forest: Forest, df: DataFrame, keep: Sequence[str] = (), de
 def score_outliers(forest: Forest, df: DataFrame, keep: Sequence[str], quantiles: Sequence[float] | None = None) -> DataFrame:
     """``if_score`` (percentile sigmoid of the raw scores: the batch's own, or the stored ``quantiles``),
     ``combined_score`` (equal to it, as there is no second detector) and the ``> 0.5`` flags.
-    One row per input row."""
-    s, _ = percentile_sigmoid(isolation_scores(forest, df, keep), "if_raw", "if_score", quantiles)
+    One row per input row. The batch's own quantiles take several passes, so raw scores are written for them first."""
+    raw = isolation_scores(forest, df, keep)
+    s, _ = percentile_sigmoid(raw if quantiles is not None else cut_lineage(raw), "if_raw", "if_score", quantiles)
     flags = (F.col("if_score") > 0.5).cast("int")
     return s.withColumns({"if_anomaly": flags, "combined_score": F.col("if_score"), "is_anomaly": flags})
 
@@ -209,7 +213,7 @@ def top_anomalies(scored: DataFrame, k: int, score: str = "if_score", id_col: st
 def isolation_depth(forest: Forest, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """M7: mean / population std of the true per-tree path length and a flag for rows below the
     batch's 10th percentile of the mean depth (easy to isolate)."""
-    s = isolation_scores(forest, df, list(keep), depth_stats=True)
+    s = cut_lineage(isolation_scores(forest, df, list(keep), depth_stats=True))
     (p10,) = exact_quantiles(s, "avg_isolation_depth", (0.10,))
     return s.withColumn("depth_anomaly_indicator", (F.col("avg_isolation_depth") < F.lit(p10)).cast("int"))
 

@@ -46,3 +46,26 @@ def test_one_hot_vector_takes_any_vocabulary(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") > 0, F.col("id").cast("string")).alias("c"))
     rows = one_hot_vector(df, "c", "oh").collect()
     assert len({int(r.oh.indices[0]) for r in rows}) == 3000 and all(r.oh.size == 3000 for r in rows)
+
+
+def test_path_lengths_and_scores_are_made_once(spark):
+    import numpy as np
+
+    from alertloom.operators import outliers
+
+    df = spark.range(900).select("id", F.rand(1).alias("x"), (F.rand(2) > 0.9).cast("int").alias("y"))
+    forest = fit_isolation_forest(df, ["x", "y"], 12, 64, scale=False, id_col="id")
+    x = np.array([[r.x, r.y] for r in df.collect()] + [[np.nan, 0.0], [-9.0, 5.0]])
+    nodes = {k: getattr(forest, k) for k in outliers._NODE_ARRAYS}
+    got = outliers._path_lengths(nodes, x)
+
+    def walk(t, row):
+        node = 0
+        while forest.feature[t, node] >= 0:
+            node = (forest.left if row[forest.feature[t, node]] < forest.threshold[t, node] else forest.right)[t, node]
+        return forest.depth[t, node] + outliers.avg_path_length([forest.size[t, node]])[0]
+
+    assert got.tolist() == [[walk(t, row) for t in range(12)] for row in x]
+    # The quantiles take passes over the scores, so the walk must not be part of their input.
+    scored = score_outliers(forest, df, ["id"])
+    assert "MapInPandas" not in scored._jdf.queryExecution().toString() and scored.count() == 900
