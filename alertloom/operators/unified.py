@@ -139,6 +139,7 @@ def fit_unified(train: DataFrame, features: Sequence[str], label: str = "label",
                 rules: RuleSet = DEFAULT_RULES, kind: str = "gbt", params: dict | None = None, n_trees: int = ISOLATION_TREES,
                 sample_size: int = ISOLATION_SAMPLE, weights: dict[str, float] | None = None, seed: int = SPLIT_SEED) -> UnifiedScorer:
     """Fit both models on ``train``; the forest keeps the 5, 50 and 95 % quantiles of its scores there, for batches of any size."""
+    train = cut_lineage(train)  # read by each of the fits below
     supervised = fit_supervised(train, features, label, kind, params, validation=validation)
     forest = fit_isolation_forest(train, features, n_trees, sample_size, seed, id_col=id_col)
     raw = cut_lineage(train.select(isolation_column(forest).alias("s")))

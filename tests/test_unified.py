@@ -73,3 +73,21 @@ def test_missing_scorers_and_refusals(spark, rows, scorer, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     with pytest.raises(ValueError):
         loose.score(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+
+
+def test_training_rows_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from alertloom.operators.unified import fit_unified
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def half(x):
+        made.add(1)
+        return x / 2
+
+    rows = spark.range(400).select(F.col("id").alias("event_id"), (F.col("id") % 2).cast("int").alias("label"),
+                                   half((F.col("id") * 7 % 101).cast("double")).alias("a"), (F.col("id") % 13).cast("double").alias("b"))
+    fit_unified(rows, ("a", "b"), kind="lr", n_trees=5, sample_size=32)
+    assert made.value == 400
