@@ -2,8 +2,8 @@
 
 Candidates and queries are cut into blocks and every (query block, candidate block) pair is one
 group. In a group the candidates become postings per term (vector position); each non-zero entry
-of a query scatters ``weight * posting`` into a dense score array, a partition selection takes the
-best k, and the k best of all blocks are merged per query by a ranking window.
+of a query scatters ``weight * posting`` into a dense score array (a term that many candidates have
+is kept as a column and added as a whole), a partition selection takes the best k, and the k best of all blocks are merged per query by a ranking window.
 """
 
 from __future__ import annotations
@@ -40,13 +40,26 @@ def _scores(k: int):
             order = np.argsort(terms[live], kind="stable")
             terms, rows, values = terms[live][order], rows[live][order], values[live][order]
             cuts = np.searchsorted(terms, np.arange(int(lengths.max()) + 1))
+            # Columns for terms that many candidates have: adding one up is faster than scattering its postings.
+            widest = max(max(map(len, queries["v"])), int(lengths.max()))
+            most = [max(abs(int(v.min())), abs(int(v.max()))) if len(v) else 0 for v in (values, np.concatenate([np.asarray(v, np.int64) for v in queries["v"]]))]
+            kind = np.int32 if most[0] * most[1] * widest < 2**31 and max(most) < 2**31 else np.int64
+            dense: dict[int, np.ndarray] = {}
+            for term in np.flatnonzero(4 * np.diff(cuts) >= len(candidates)).tolist():
+                at = slice(cuts[term], cuts[term + 1])
+                dense[term] = np.zeros(len(candidates), kind)
+                dense[term][rows[at]] = values[at]
+            added = np.empty(len(candidates), kind)
             crid, ids, null = (candidates[c].to_numpy() for c in ("rid", "vec_id", "null"))
             for qrid, qid, qnull, vector in zip(*(queries[c] for c in ("rid", "vec_id", "null", "v")), strict=True):
-                score = np.zeros(len(crid), np.int64)
+                score = np.zeros(len(crid), kind)
                 for term, weight in enumerate(vector):
-                    if weight and term < len(cuts) - 1:
+                    if weight and term in dense:
+                        score += np.multiply(dense[term], kind(weight), out=added)
+                    elif weight and term < len(cuts) - 1:
                         at = slice(cuts[term], cuts[term + 1])
-                        score[rows[at]] += int(weight) * values[at]  # a row is once in a term's postings
+                        score[rows[at]] += (int(weight) * values[at]).astype(kind)  # a row is once in a term's postings
+                score = score.astype(np.int64)
                 pool = np.flatnonzero(crid != qrid)
                 if len(pool) > k:
                     floor = np.partition(score[pool], len(pool) - k)[len(pool) - k]

@@ -44,3 +44,13 @@ def test_odd_vectors(spark):
     for k in (2, 20):
         assert run(q, k, query_block=1, candidate_block=3) == brute(ok, k, lambda q: q is not None and q % 20 == 0)
     assert run(q.limit(0), 3) == []
+
+
+def test_columns_and_postings(spark):
+    r = np.random.default_rng(5)
+    # Dense, sparse and empty terms; sums beyond 32 bits in the second table.
+    for high in (50, 2**29):
+        v = r.integers(-high, high, (130, 9)) * (r.random((130, 9)) < [1, 1, 0.9, 0.3, 0.2, 0.05, 0.02, 0, 1])
+        rows = [(i, [int(x) for x in w[: r.integers(1, 10)]]) for i, w in enumerate(v)]
+        df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+        assert run(df, 6, query_block=4, candidate_block=50) == brute(rows, 6, lambda q: q % 20 == 0)
