@@ -9,32 +9,24 @@ to the documents as spans of words. A window's words are compared as 32-bit code
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import doc_type, lean, materialise, release_memory, worker_cache
+from alertloom.llm.common import doc_type, lean, materialise, release_memory
 
 WINDOW, GRAM = 20, 8
 #: Segments of a shard; shards with over twice as many are dealt over parts.
 SHARD = 6000
-#: Word hashes that a worker keeps.
-CACHE = 300_000
 
 
-def word_hashes():
-    """Function from words (bytes) to the array of their 64-bit hashes."""
+def word_hashes(words):
+    """The array of the 64-bit hashes of words (bytes). Hashing again is faster than looking words up."""
     import numpy as np
     import xxhash
 
-    held = worker_cache("word hashes")
-
-    def missing(word):
-        h = xxhash.xxh64_intdigest(word)
-        if len(held) < CACHE:
-            held[word] = h
-        return h
-
-    return lambda words: np.fromiter((missing(w) if h is None else h for w, h in zip(words, map(held.get, words))), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
 
 def grams(hashes, n: int):
@@ -79,11 +71,10 @@ def _list_anchors(batches):
     import numpy as np
     import pyarrow as pa
 
-    hashes = word_hashes()
     for batch in batches:
         keys, found, places = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            at, h = anchors(hashes((text or "").encode().split()))
+            at, h = anchors(word_hashes((text or "").encode().split()))
             at = at[np.flatnonzero(np.diff(at, prepend=-1))]
             value, n = np.unique(h[at], return_counts=True)
             begins = runs(h[at])
@@ -124,11 +115,10 @@ def _segments(shards: int):
         import numpy as np
         import pyarrow as pa
 
-        hashes = word_hashes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for key, order, z, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                h = hashes(_unpack(z).split())
+                h = word_hashes(_unpack(z).split())
                 at, gram = anchors(h)
                 codes = (h >> np.uint64(32)).astype("<u4")
                 edge = runs(gram[at])
@@ -152,15 +142,30 @@ def _windows(codes: bytes):
     return [codes[i : i + size] for i in range(0, len(codes) - size + 1, step)]
 
 
+@contextmanager
+def uncollected():
+    """Without Python's cycle collector, which finds no cycles in millions of codes but walks them all."""
+    import gc
+
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def _first_seen(table):
     """applyInArrow over a part of a large shard: each distinct window, its first document there and how often it stands there (2: or more)."""
     import pyarrow as pa
 
     first, times = {}, {}
-    for order, codes in zip(table.column("ord").to_pylist(), table.column("codes").to_pylist()):
-        for w in _windows(codes):
-            first[w] = min(order, first.get(w, order))
-            times[w] = min(2, times.get(w, 0) + 1)
+    with uncollected():
+        for order, codes in zip(table.column("ord").to_pylist(), table.column("codes").to_pylist()):
+            for w in _windows(codes):
+                first[w] = min(order, first.get(w, order))
+                times[w] = min(2, times.get(w, 0) + 1)
     shard, part = table.column("shard")[0].as_py(), table.column("part")[0].as_py()
     return pa.table({"shard": pa.array([shard] * len(first), pa.int64()), "part": pa.array([part] * len(first), pa.int32()), "phrase": pa.array(list(first), pa.binary()),
                      "first": pa.array(list(first.values()), pa.int64()), "n": pa.array(list(times.values()), pa.int64())})
@@ -182,9 +187,18 @@ def _locate(segments, phrases):
     stands earlier in the same document; the latter is seen here only for windows of this shard, and equal windows
     are always of one shard.
     """
+    import pyarrow as pa
+
+    with uncollected():
+        keys, begins, ends = _spans(segments, phrases)
+    release_memory()
+    return pa.table({"key": pa.array(keys, pa.int64()), "begin": pa.array(begins, pa.int64()), "end": pa.array(ends, pa.int64())})
+
+
+def _spans(segments, phrases) -> tuple[list, list, list]:
+    """Keys, begins and ends of the spans of :func:`_locate`."""
     import ahocorasick
     import numpy as np
-    import pyarrow as pa
 
     rows = list(zip(*(segments.column(c).to_pylist() for c in ("key", "ord", "start", "codes"))))
     first: dict[bytes, int] = {}
@@ -224,8 +238,7 @@ def _locate(segments, phrases):
                             ends.append(s + WINDOW)
                     seen.add(w)
         del machine
-    release_memory()
-    return pa.table({"key": pa.array(keys, pa.int64()), "begin": pa.array(begins, pa.int64()), "end": pa.array(ends, pa.int64())})
+    return keys, begins, ends
 
 
 def _kept(keep_text: bool):

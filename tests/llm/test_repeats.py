@@ -99,3 +99,13 @@ def test_parts_get_only_the_phrases_that_stand_in_them(spark):
     want = sorted((s, p, w, first[s, w]) for s, p, w in found if times[s, w] > 1)
     got = sorted((x.shard, x.part, bytes(x.phrase), x.first) for x in repeats.dealt_phrases(df).collect())
     assert got == want
+
+
+def test_word_hashes():
+    import xxhash
+
+    from alertloom.llm import repeats
+
+    words = ["", "a", "caf\u00e9", *map(str, range(5000))]
+    assert repeats.word_hashes([w.encode() for w in words]).tolist() == [xxhash.xxh64_intdigest(w.encode()) for w in words]
+    assert not len(repeats.word_hashes([]))
