@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertloom.config import GBT_DEFAULTS, GBT_PATIENCE
-from alertloom.session import checkpoint_dir, cut_lineage
+from alertloom.session import checkpoint_dir, cut_lineage, spread
 
 
 def make_classifier(kind: str, params: dict | None = None, weight_col: str | None = "weight"):
@@ -84,23 +84,35 @@ def _fit_staged(clf, train: DataFrame, validation: DataFrame, patience: int, fir
     """Boosted trees with early stopping by patience: (model, {rounds, rounds_tried, validation_losses}).
 
     MLlib's own validation stops as soon as one round gains less than 1 %, which small steps never do. Here so many rounds are
-    trained, each stage twice the one before, and the loss after every round is measured on all validation rows; when
-    ``patience`` rounds have brought nothing, or the setting's rounds are used up, the ensemble of the best prefix is kept.
-    Training is seeded and its rows are written first, so fewer rounds give the same first trees.
+    trained, and the loss after every round is measured on all validation rows; when ``patience`` rounds have brought nothing, or
+    the setting's rounds are used up, the best prefix of the ensemble is kept. If not, all rounds are trained in a second fit, as
+    MLlib cannot go on from a model. Training is seeded and its rows are written first, so more rounds have the same first trees
+    and a prefix needs no fit of its own. ``rounds_tried`` are the rounds up to the stop.
     """
     train, validation = cut_lineage(train), cut_lineage(validation)
     most = clf.getMaxIter()
-    rounds = min(first, most)
-    while True:
+    for rounds in sorted({min(first, most), most}):
         model = clf.copy({clf.maxIter: rounds}).fit(train)
-        losses = model.evaluateEachIteration(validation)
+        losses = list(model.evaluateEachIteration(validation))
         best, stop = best_round(losses, patience)
-        if stop or rounds == most:
+        if stop:
             break
-        rounds = min(2 * rounds, most)
-    if best < rounds:
-        model = clf.copy({clf.maxIter: best}).fit(train)
-    return model, {"rounds": best, "rounds_tried": rounds, "validation_losses": list(losses)}
+    tried = best + patience if stop else rounds
+    return _first_trees(model, best), {"rounds": best, "rounds_tried": tried, "validation_losses": losses[:tried]}
+
+
+def _first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The ensemble of the first ``n`` trees."""
+    if n == model.getNumTrees:
+        return model
+    sc, own = SparkSession.getActiveSession().sparkContext, model._java_obj
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = own.trees()[i], float(own.treeWeights()[i])
+    cut = GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(own.uid(), trees, weights, own.numFeatures(), own.numClasses()))
+    cut._resetUid(model.uid)
+    return model._copyValues(cut)
 
 
 def fit_supervised(train: DataFrame, features: Sequence[str], label: str = "label", kind: str = "gbt",
@@ -115,17 +127,19 @@ def fit_supervised(train: DataFrame, features: Sequence[str], label: str = "labe
     if validation is not None:
         data = data.unionByName(_prepare(validation, feats, label).withColumn("_val", F.lit(True)))
     w = 1.0
+    r = data.agg(F.count(F.when(~F.col("_val") & (F.col("label_d") == 1), 1)).alias("p"),
+                 F.count(F.when(~F.col("_val") & (F.col("label_d") != 1), 1)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
     if balance:
-        r = data.where(~F.col("_val")).agg(F.count(F.when(F.col("label_d") == 1, 1)).alias("p"),
-                                          F.count(F.when(F.col("label_d") != 1, 1)).alias("n")).first()
         w = r["n"] / max(r["p"], 1)
+    if kind == "gbt":
+        data = spread(data, r["rows"])  # some jobs a round go over these rows
     data = data.withColumn("weight", F.when(F.col("label_d") == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
     clf = make_classifier(kind, params, "weight")
     assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
     fit_rows = data.where(~F.col("_val"))
     meta: dict = {}
     if validation is not None and kind == "gbt" and validation.limit(1).count():
-        narrow = assembler.transform(data).select("features", "label_d", "weight", "_val")
+        narrow = cut_lineage(assembler.transform(data).select("features", "label_d", "weight", "_val"))
         last, meta = _fit_staged(clf, narrow.where(~F.col("_val")), narrow.where("_val"), patience, first_rounds)
         model = PipelineModel([assembler, last])
     else:
@@ -244,25 +258,31 @@ def _root(tab: TreeTable, t: int) -> int:
 
 
 def walk_trees(tables, x: np.ndarray) -> np.ndarray:
-    """Contributions (rows x features) of plain node arrays: each step down a tree moves its value to the split's feature."""
-    weights, feature, threshold, left, right, value, roots = tables
-    m = len(x)
+    """Contributions (rows x features) of plain node arrays: each step down a tree moves its value to the split's feature.
+
+    Leaves lead back to themselves and move nothing, so all rows take the same number of steps.
+    """
+    made = []
+    for w, feature, threshold, left, right, value, root in zip(*tables):
+        leaf, own = feature < 0, np.arange(len(feature))
+        kids = np.stack([np.where(leaf, own, right), np.where(leaf, own, left)], axis=1)
+        moves = np.where(leaf[:, None], 0.0, w * (value[kids] - value[:, None]))
+        steps, level = 0, np.array([root])
+        while (level := level[~leaf[level]]).size:
+            steps, level = steps + 1, kids[level].ravel()
+        made.append((np.where(leaf, 0, feature), threshold, kids.ravel(), moves.ravel(), steps, root))
     contrib = np.zeros(x.shape)
-    rows = np.arange(m)
-    for t, w in enumerate(weights):
-        node = np.full(m, roots[t], dtype=np.int64)
-        while True:
-            f = feature[t][node]
-            active = f >= 0
-            if not active.any():
-                break
-            fa = np.where(active, f, 0)
-            go_left = x[rows, fa] <= threshold[t][node]
-            child = np.where(go_left, left[t][node], right[t][node])
-            child = np.where(active, child, node)
-            delta = w * (value[t][child] - value[t][node])
-            np.add.at(contrib, (rows[active], fa[active]), delta[active])
-            node = child
+    for start in range(0, len(x), 4096):  # small enough to stay in the cache
+        part = np.ascontiguousarray(x[start : start + 4096])
+        m, d = part.shape
+        flat, rows, out = part.ravel(), np.arange(m) * d, contrib[start : start + m].reshape(-1)
+        for feature, threshold, kids, moves, steps, root in made:
+            node = np.full(m, root, dtype=np.int64)
+            for _ in range(steps):
+                at = rows + feature.take(node)
+                child = 2 * node + (flat.take(at) <= threshold.take(node))
+                out[at] += moves.take(child)
+                node = kids.take(child)
     return contrib
 
 
@@ -305,5 +325,5 @@ def contributions(model: SupervisedModel, df: DataFrame, keep: Sequence[str] = (
             out["margin"] = base + contrib.sum(axis=1)
             yield out
 
-    prepared = _prepare(df, feats, None).select(*keep, *feats)
+    prepared = spread(_prepare(df, feats, None).select(*keep, *feats), df.count())
     return prepared.mapInPandas(walk, schema)

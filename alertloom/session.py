@@ -69,6 +69,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, rows: int, least: int = 20_000, most: int = 1_000_000) -> DataFrame:
+    """The rows over all cores, ``least`` to ``most`` rows a task: a small file of many rows has one or two partitions."""
+    parts = min(-(-rows // least), max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)))
+    return df.repartition(parts) if parts > 1 else df
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """Stream watermarks need TIMESTAMP (not NTZ); casts then depend on the session zone."""
     if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":

@@ -47,3 +47,35 @@ def test_patience_keeps_the_best_prefix(spark, tmp_path):
     assert again.meta["rounds"] == best
     same = [supervised.predict_proba(m, val, "p").select("a", "p").orderBy("a").collect() for m in (staged, again)]
     assert same[0] == same[1]
+
+
+def test_rows_are_spread_and_the_prefix_is_not_fitted_again(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    from alertloom.session import spread
+    assert spread(spark.range(0, 100, 1, 1), 100).rdd.getNumPartitions() == 1
+    assert spread(spark.range(0, 90_000, 1, 1), 90_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    fits, own = [], GBTClassifier._fit
+
+    def fit(self, df):
+        fits.append(self.getMaxIter())
+        return own(self, df)
+
+    monkeypatch.setattr(GBTClassifier, "_fit", fit)
+    rows = spark.range(600).selectExpr("cast(id * 37 % 101 as double) a", "cast(id % 7 as double) b", "cast(id * 37 % 101 + id * 11 % 60 > 80 as int) label")
+    train, val = rows.where("b < 5"), rows.where("b >= 5")
+    model = supervised.fit_supervised(train, ("a", "b"), params={"maxIter": 16, "stepSize": 0.5, "maxDepth": 4}, validation=val, patience=3, first_rounds=4)
+    assert len(fits) <= 2 and set(fits) <= {4, 16} and model.classifier.getNumTrees == model.meta["rounds"]
+
+
+def test_walk_equals_the_trees(spark):
+    import numpy as np
+
+    from pyspark.ml.functions import vector_to_array
+    rows = spark.range(500).selectExpr("id", "cast(id * 37 % 101 as double) a", "cast(id % 7 as double) b", "cast(id * 37 % 101 + id * 11 % 60 > 80 as int) label")
+    model = supervised.fit_supervised(rows, ("a", "b"), params={"maxIter": 8, "maxDepth": 4})
+    con = supervised.contributions(model, rows, keep=("id",))
+    own = model.model.transform(con).select("margin", "base", "contributions", vector_to_array("probability")[1].alias("p")).collect()
+    assert len(own) == 500
+    for r in own:
+        assert r.margin == pytest.approx(r.base + sum(r.contributions)) and 1 / (1 + np.exp(-2 * r.margin)) == pytest.approx(r.p, abs=1e-9)
