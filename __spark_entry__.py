@@ -329,7 +329,7 @@ def q_supervised_event_model(spark, sf_dir):
     """M1 + M2 + P1 + P3 + A25/W9: boosted trees of the default setting on event-level features; stratified 80/20
     split, 15 % of the training rows for early stopping and isotonic calibration; metrics of the test rows."""
     from alertloom.operators import supervised as SU
-    sp = SA.train_validation_test(_model_rows(spark, sf_dir), "label", id_col="event_id")
+    sp = SA.train_validation_test(cut_lineage(_model_rows(spark, sf_dir)), "label", id_col="event_id")
     part = lambda name: sp.where(F.col("split") == name)
     model = SU.fit_supervised(part("train"), _MODEL_FEATURES, "label", "gbt", validation=part("validation"))
     scored = cut_lineage(SU.predict_proba(model, part("test"), "y_score").select(F.col("label").alias("y_true"), "y_score"))
