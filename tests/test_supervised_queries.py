@@ -79,3 +79,51 @@ def test_walk_equals_the_trees(spark):
     assert len(own) == 500
     for r in own:
         assert r.margin == pytest.approx(r.base + sum(r.contributions)) and 1 / (1 + np.exp(-2 * r.margin)) == pytest.approx(r.p, abs=1e-9)
+
+
+def test_trees_are_those_of_mllib_without_its_fit(spark, monkeypatch):
+    import re
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    rows = spark.range(0, 3000, 1, 2).selectExpr("id", "cast(id * 37 % 1009 as double) a", "cast(id % 7 as double) b", "cast(id * 11 % 59 as double) c",
+                                                 "cast(id * 37 % 1009 + pmod(hash(id), 1000) > 1000 as int) label")
+    params = {"maxIter": 7, "maxDepth": 3, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.5", "stepSize": 0.3}
+    clf = GBTClassifier(labelCol="label_d", seed=42, **params)
+    own = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="features"), clf]).fit(rows.selectExpr("*", "cast(label as double) label_d").coalesce(1))
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda *_: pytest.fail("a job and an object per row and level"))
+    model = supervised.fit_supervised(rows.coalesce(1), ("a", "b", "c"), params=params, balance=False)
+    shown = lambda m: [re.sub(r"uid=\w+", "", re.sub(r"-?\d+\.\d+(E-?\d+)?", lambda x: f"{float(x[0]):.6g}", t.toDebugString)) for t in m.trees]
+    assert shown(model.classifier) == shown(own.stages[-1]) and model.classifier.treeWeights == own.stages[-1].treeWeights
+    assert model.classifier.featureImportances.toArray() == pytest.approx(own.stages[-1].featureImportances.toArray())
+
+
+def test_draws_are_those_of_spark(spark):
+    import numpy as np
+
+    from alertloom.operators import boosting
+    own = spark.sparkContext._jvm.org.apache.spark.util.random.XORShiftRandom(-5)
+    tables, s = boosting.draw_tables(), boosting.xorshift_start(-5)
+    (a, s), n = boosting.draws(s, tables, 0.8), 300
+    assert [own.nextDouble() < 0.8 for _ in range(n)] == a[:n].tolist()
+    at = boosting.xorshift_start(-5)
+    for _ in range(2 * boosting.DRAWN):
+        at = boosting.xorshift_step(at)
+    assert s == at and 0.79 < np.mean(a) < 0.81
+
+
+def test_rows_of_a_cell_count_each_for_itself(spark):
+    import numpy as np
+
+    from alertloom.operators import boosting
+    rows = spark.range(0, 900, 1, 1).selectExpr("cast(id % 3 as double) a", "cast(id % 2 as double) b", "cast(id % 5 = 0 as double) label_d", "id % 9 = 0 _val")
+    held, kept = (boosting.packed(rows, ("a", "b"), [np.array([0.5, 1.5]), np.array([0.5])]).where(f"{x} held").collect() for x in ("", "not"))
+    assert len(held) == len(kept) == 1 and len(kept[0].sign) == 12 and len(held[0].cell) // 4 == 100 and len(kept[0].cell) // 4 == 800
+    assert boosting.bundles([33, 1, 1, 1, 40]) == [[1, 2, 3], [0], [4]]
+
+
+def test_labels_beyond_two_classes_raise(spark):
+    for bad in ("cast(id % 3 as int)", "if(id = 4, null, 1)"):
+        with pytest.raises(ValueError, match="labels 0 and 1"):
+            supervised.fit_supervised(spark.range(9).selectExpr("cast(id as double) a", f"{bad} label"), ("a",), params={"maxIter": 1})
