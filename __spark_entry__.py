@@ -29,7 +29,7 @@ from alertloom.operators import evaluate as EV  # noqa: E402
 from alertloom.operators.rules import explain_rules, score_rules  # noqa: E402
 from alertloom.operators.triage import (alert_reduction, blend, normalize_weights,  # noqa: E402
                                         reduction_from_counts, top_alerts)
-from alertloom.session import checkpoint_dir, cut_lineage  # noqa: E402
+from alertloom.session import checkpoint_dir, cut_lineage, spread  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from alertloom.operators import profile as PR  # noqa: E402
 from alertloom.operators import sampling as SA  # noqa: E402
@@ -329,7 +329,9 @@ def q_supervised_event_model(spark, sf_dir):
     """M1 + M2 + P1 + P3 + A25/W9: boosted trees of the default setting on event-level features; stratified 80/20
     split, 15 % of the training rows for early stopping and isotonic calibration; metrics of the test rows."""
     from alertloom.operators import supervised as SU
-    sp = SA.train_validation_test(cut_lineage(_model_rows(spark, sf_dir)), "label", id_col="event_id")
+    rows = _model_rows(spark, sf_dir)
+    rows = cut_lineage(spread(rows, rows.count()))  # the split goes over them many times, and a file may have one partition
+    sp = SA.train_validation_test(rows, "label", id_col="event_id")
     part = lambda name: sp.where(F.col("split") == name)
     model = SU.fit_supervised(part("train"), _MODEL_FEATURES, "label", "gbt", validation=part("validation"))
     scored = cut_lineage(SU.predict_proba(model, part("test"), "y_score").select(F.col("label").alias("y_true"), "y_score"))

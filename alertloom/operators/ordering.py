@@ -72,11 +72,21 @@ def running_sum(df: DataFrame, value: str, out: str, chunk_col: str = "_chunk",
             .drop("_coff"))
 
 
+def _place(pivots: Sequence, first: int = 0) -> Column:
+    """2 i + 1 for ``_k`` on pivot i, 2 i between the pivots before and after it: by halving."""
+    if not pivots:
+        return F.lit(2 * first)
+    m = len(pivots) // 2
+    p = F.lit(pivots[m])
+    return (F.when(F.col("_k") == p, F.lit(2 * (first + m) + 1)).when(F.col("_k") < p, _place(pivots[:m], first))
+            .otherwise(_place(pivots[m + 1 :], first + m + 1)))
+
+
 def kth_values(df: DataFrame, col: Column | str, ranks: Sequence[int], pivots: int = 63) -> list:
     """The non-null values of the given ranks (1-based, ties counted individually), None beyond the last.
 
     Exact for every orderable type and at every size. All ranks share their rounds: a round draws up to ``pivots``
-    values by hash from each range that still holds a rank, counts the rows on and between them (values are compared
+    rows from each range that still holds a rank, counts the rows on and between them (values are compared
     in the column's own order, times as microseconds), and narrows each rank to a pivot or to the range between two.
     Only pivots and counts reach the driver, ``pivots`` for each open range; a round is two jobs.
     """
@@ -95,12 +105,13 @@ def kth_values(df: DataFrame, col: Column | str, ranks: Sequence[int], pivots: i
         inside = [a if hi is None else a & (F.col("_k") < F.lit(hi)) for a, (_, hi) in zip(inside, bounds)]
         drawn = None
         for i, a in enumerate(inside):
-            some = (cur.where(a).groupBy("_k").agg(F.min("_v").alias("_v")).orderBy(F.xxhash64("_k"), "_k").limit(pivots)
-                    .select(F.lit(i).alias("_i"), "_k", "_v"))
+            # rows, not distinct values: each task keeps its first rows by a drawn number, and nothing is shuffled
+            some = cur.where(a).select(F.lit(i).alias("_i"), "_k", "_v", F.rand(i).alias("_r")).orderBy("_r").limit(pivots).drop("_r")
             drawn = some if drawn is None else drawn.unionAll(some)
         at: list[list] = [[] for _ in bounds]
-        for r in drawn.orderBy("_i", "_k").collect():
-            at[r["_i"]].append((r["_k"], r["_v"]))
+        for r in drawn.distinct().orderBy("_i", "_k").collect():
+            if not at[r["_i"]] or at[r["_i"]][-1][0] != r["_k"]:
+                at[r["_i"]].append((r["_k"], r["_v"]))
         if not any(at):
             break
         # 2 i + 1: on pivot i; 2 i: between the pivots before and after.
@@ -108,9 +119,7 @@ def kth_values(df: DataFrame, col: Column | str, ranks: Sequence[int], pivots: i
         for i, a in enumerate(inside):
             if not at[i]:
                 continue
-            below = F.array(*[F.lit(k) for k, _ in at[i]])
-            steps = F.size(F.filter(below, lambda p: p < F.col("_k"))) + F.size(F.filter(below, lambda p: p <= F.col("_k")))
-            place = F.when(a, F.struct(F.lit(i).alias("i"), steps.alias("b"))).otherwise(place)
+            place = F.when(a, F.struct(F.lit(i).alias("i"), _place([k for k, _ in at[i]]).alias("b"))).otherwise(place)
         counts = cur.groupBy(place.alias("_p")).agg(F.count(F.lit(1)).alias("c")).where(F.col("_p").isNotNull()).select("_p.i", "_p.b", "c")
         rows = sorted((r["i"], r["b"], r["c"]) for r in counts.collect())
         narrower: dict[tuple, dict[int, int]] = {}

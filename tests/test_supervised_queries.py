@@ -127,3 +127,13 @@ def test_labels_beyond_two_classes_raise(spark):
     for bad in ("cast(id % 3 as int)", "if(id = 4, null, 1)"):
         with pytest.raises(ValueError, match="labels 0 and 1"):
             supervised.fit_supervised(spark.range(9).selectExpr("cast(id as double) a", f"{bad} label"), ("a",), params={"maxIter": 1})
+
+
+def test_ranks_draw_their_pivots_without_a_shuffle_of_all_rows(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from alertloom.operators.ordering import kth_values
+    monkeypatch.setattr(DataFrame, "groupBy", (lambda own: lambda df, *c: pytest.fail("all rows by value") if [str(x) for x in c] == ["_k"] else own(df, *c))(DataFrame.groupBy))
+    df = spark.range(2000).selectExpr("id * 7919 % 2003 v").unionAll(spark.range(500).selectExpr("5 v")).unionAll(spark.range(3).selectExpr("null v"))
+    want = sorted(r.v for r in df.collect() if r.v is not None)
+    assert kth_values(df, "v", [1, 7, 300, 1250, 2500, 2501], pivots=5) == [want[k - 1] for k in (1, 7, 300, 1250, 2500)] + [None]
