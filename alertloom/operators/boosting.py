@@ -304,15 +304,16 @@ def _advance(tree, values, step: float, seed: int | None, rate: float, tables) -
 
 def _histograms(tree, slot: np.ndarray, slots: int, groups: Sequence[Sequence[int]], n_splits: np.ndarray, weight: float, first: bool) -> Callable:
     """Of a task's drawn rows: (rows, rows of label 1, weighted sum, weighted sum of squares) x node x joint bin for each group of features;
-    of the rows held out the sum of their losses and their number."""
+    of the rows held out the weighted sum of their losses and their weight."""
     widths = [int(np.prod([n_splits[f] + 1 for f in group])) for group in groups]
 
     def count(blocks):
         gc.freeze()  # else a worker looks through all its modules for cycles after each of some thousand tasks
-        total, loss, held_rows = None, 0.0, 0
+        total, loss, held_weight = None, 0.0, 0.0
         for held, bins, sign, margin, _, rows in blocks:
             if held:
-                loss, held_rows = loss + float(rows @ (2.0 * np.logaddexp(0.0, -2.0 * sign * margin))), held_rows + int(rows.sum())
+                counted = rows * np.where(sign > 0, weight, 1.0)
+                loss, held_weight = loss + float(counted @ (2.0 * np.logaddexp(0.0, -2.0 * sign * margin))), held_weight + float(counted.sum())
                 continue
             if total is None:
                 total = [np.zeros((4, (slots + 1) * width)) for width in widths]
@@ -333,7 +334,7 @@ def _histograms(tree, slot: np.ndarray, slots: int, groups: Sequence[Sequence[in
                     out[1] += np.bincount(code.take(one), weights=n_one, minlength=size)
                     out[2] += np.bincount(code, weights=wr, minlength=size)
                     out[3] += np.bincount(code, weights=wrr, minlength=size)
-        yield total, loss, held_rows
+        yield total, loss, held_weight
 
     return count
 
@@ -418,8 +419,8 @@ def _split(tree: Tree, group: list, h: np.ndarray, n_splits: np.ndarray, weight:
     return go_on
 
 
-def _grown(state: RDD, first: bool, d: int, k: int, n_splits: np.ndarray, weight: float, limits: tuple, max_depth: int, memory: int, seed: int) -> tuple[Tree, float, int]:
-    """One tree, and the loss and number of the rows held out before it."""
+def _grown(state: RDD, first: bool, d: int, k: int, n_splits: np.ndarray, weight: float, limits: tuple, max_depth: int, memory: int, seed: int) -> tuple[Tree, float, float]:
+    """One tree, and the loss and weight of the rows held out before it."""
     tree, stack, rng, loss = Tree(), [0], JavaRandom(seed), None
     groups = bundles(n_splits)
     while stack:
@@ -443,7 +444,7 @@ def _grown(state: RDD, first: bool, d: int, k: int, n_splits: np.ndarray, weight
 
 def fit_boosted_trees(clf: GBTClassifier, rows: DataFrame, features: Sequence[str], weight: float, n: int, n_positive: int, n_held: int = 0,
                       stop: Callable[[Sequence[float]], tuple[int, bool]] | None = None) -> tuple[GBTClassificationModel, list[float]]:
-    """Boosted trees of the classifier's setting, and the mean loss of the held rows after each round.
+    """Boosted trees of the classifier's setting, and the weighted mean loss of the held rows after each round.
 
     ``rows`` (written already, spread over the tasks): the features as doubles, ``label_d``, and ``_val`` for rows held out; ``weight`` is that
     of label 1. ``stop`` is given the losses so far and says (best round, whether to stop): the model then has the best rounds only.

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -33,6 +33,9 @@ from alertloom.config import GBT_DEFAULTS, GBT_PATIENCE
 from alertloom.operators.boosting import fit_boosted_trees
 from alertloom.session import checkpoint_dir, cut_lineage, spread
 
+# From so many rows on, boosting's trainer is the faster one: a job of Python tasks takes longer to start than MLlib's.
+PACKED_ROWS = 100_000
+
 
 def make_classifier(kind: str, params: dict | None = None, weight_col: str | None = "weight"):
     p = dict(params or {})
@@ -81,6 +84,41 @@ def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
     return at, False
 
 
+def _fit_staged(clf, train: DataFrame, validation: DataFrame, patience: int, first: int):
+    """Boosted trees with early stopping by patience: (model, {rounds, rounds_tried, validation_losses}).
+
+    MLlib's own validation stops as soon as one round gains less than 1 %, which small steps never do. Here so many rounds are
+    trained, and the loss after every round is measured on all validation rows; when ``patience`` rounds have brought nothing, or
+    the setting's rounds are used up, the best prefix of the ensemble is kept. If not, all rounds are trained in a second fit, as
+    MLlib cannot go on from a model. Training is seeded and its rows are written first, so more rounds have the same first trees
+    and a prefix needs no fit of its own. ``rounds_tried`` are the rounds up to the stop.
+    """
+    train, validation = cut_lineage(train), cut_lineage(validation)
+    most = clf.getMaxIter()
+    for rounds in sorted({min(first, most), most}):
+        model = clf.copy({clf.maxIter: rounds}).fit(train)
+        losses = list(model.evaluateEachIteration(validation))
+        best, stop = best_round(losses, patience)
+        if stop:
+            break
+    tried = best + patience if stop else rounds
+    return _first_trees(model, best), {"rounds": best, "rounds_tried": tried, "validation_losses": losses[:tried]}
+
+
+def _first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The ensemble of the first ``n`` trees."""
+    if n == model.getNumTrees:
+        return model
+    sc, own = SparkSession.getActiveSession().sparkContext, model._java_obj
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = own.trees()[i], float(own.treeWeights()[i])
+    cut = GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(own.uid(), trees, weights, own.numFeatures(), own.numClasses()))
+    cut._resetUid(model.uid)
+    return model._copyValues(cut)
+
+
 def fit_supervised(train: DataFrame, features: Sequence[str], label: str = "label", kind: str = "gbt",
                    params: dict | None = None, balance: bool = True, validation: DataFrame | None = None,
                    calibrate: bool = True, patience: int = GBT_PATIENCE, first_rounds: int = 2 * GBT_PATIENCE) -> SupervisedModel:
@@ -88,9 +126,8 @@ def fit_supervised(train: DataFrame, features: Sequence[str], label: str = "labe
     (boosted trees, after ``patience`` rounds without gain) and the isotonic calibration.
     Without a validation row all rounds are trained.
 
-    MLlib's own validation stops as soon as one round gains less than 1 %, which small steps never do. Here the loss after every round is
-    measured on all validation rows; when ``patience`` rounds have brought nothing, or the setting's rounds are used up, the best prefix of
-    the ensemble is kept. ``first_rounds`` has no effect: no stage is trained twice. ``rounds_tried`` are the rounds up to the stop."""
+    From ``PACKED_ROWS`` rows on, boosted trees are trained by :func:`boosting.fit_boosted_trees`, which looks at the loss after every
+    round, ends at the stop and needs no ``first_rounds``; fewer rows by MLlib itself. The trees are the same up to the rounding of sums."""
     feats = list(features)
     checkpoint_dir(train.sparkSession)  # without a folder checkpointInterval has no effect
     data = _prepare(train, feats, label).withColumn("_val", F.lit(False))
@@ -105,15 +142,22 @@ def fit_supervised(train: DataFrame, features: Sequence[str], label: str = "labe
     clf = make_classifier(kind, params, "weight")
     assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
     meta: dict = {}
-    if kind == "gbt":
+    if kind == "gbt" and r["rows"] >= PACKED_ROWS:
         data = cut_lineage(spread(data, r["rows"]).select(*feats, "label_d", "_val"))
         last, losses = fit_boosted_trees(clf, data, feats, float(w), r["rows"] - r["held"], r["p"], r["held"], lambda x: best_round(x, patience))
         if losses:
             meta = {"rounds": last.getNumTrees, "rounds_tried": len(losses), "validation_losses": losses}
         model = PipelineModel([assembler, last])
     else:
+        if kind == "gbt":
+            data = spread(data, r["rows"])  # some jobs a round go over these rows
         data = data.withColumn("weight", F.when(F.col("label_d") == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
-        model = Pipeline(stages=[assembler, clf]).fit(data.where(~F.col("_val")))
+        if kind == "gbt" and r["held"]:
+            narrow = cut_lineage(assembler.transform(data).select("features", "label_d", "weight", "_val"))
+            last, meta = _fit_staged(clf, narrow.where(~F.col("_val")), narrow.where("_val"), patience, first_rounds)
+            model = PipelineModel([assembler, last])
+        else:
+            model = Pipeline(stages=[assembler, clf]).fit(data.where(~F.col("_val")))
     sm = SupervisedModel(kind, feats, model, None, w, meta)
     if calibrate and validation is not None:
         raw = _raw_probability(sm, _prepare(validation, feats, label))

@@ -92,6 +92,7 @@ def test_trees_are_those_of_mllib_without_its_fit(spark, monkeypatch):
     params = {"maxIter": 7, "maxDepth": 3, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.5", "stepSize": 0.3}
     clf = GBTClassifier(labelCol="label_d", seed=42, **params)
     own = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="features"), clf]).fit(rows.selectExpr("*", "cast(label as double) label_d").coalesce(1))
+    monkeypatch.setattr(supervised, "PACKED_ROWS", 0)
     monkeypatch.setattr(GBTClassifier, "_fit", lambda *_: pytest.fail("a job and an object per row and level"))
     model = supervised.fit_supervised(rows.coalesce(1), ("a", "b", "c"), params=params, balance=False)
     shown = lambda m: [re.sub(r"uid=\w+", "", re.sub(r"-?\d+\.\d+(E-?\d+)?", lambda x: f"{float(x[0]):.6g}", t.toDebugString)) for t in m.trees]
@@ -123,7 +124,8 @@ def test_rows_of_a_cell_count_each_for_itself(spark):
     assert boosting.bundles([33, 1, 1, 1, 40]) == [[1, 2, 3], [0], [4]]
 
 
-def test_labels_beyond_two_classes_raise(spark):
+def test_labels_beyond_two_classes_raise(spark, monkeypatch):
+    monkeypatch.setattr(supervised, "PACKED_ROWS", 0)
     for bad in ("cast(id % 3 as int)", "if(id = 4, null, 1)"):
         with pytest.raises(ValueError, match="labels 0 and 1"):
             supervised.fit_supervised(spark.range(9).selectExpr("cast(id as double) a", f"{bad} label"), ("a",), params={"maxIter": 1})
@@ -137,3 +139,13 @@ def test_ranks_draw_their_pivots_without_a_shuffle_of_all_rows(spark, monkeypatc
     df = spark.range(2000).selectExpr("id * 7919 % 2003 v").unionAll(spark.range(500).selectExpr("5 v")).unionAll(spark.range(3).selectExpr("null v"))
     want = sorted(r.v for r in df.collect() if r.v is not None)
     assert kth_values(df, "v", [1, 7, 300, 1250, 2500, 2501], pivots=5) == [want[k - 1] for k in (1, 7, 300, 1250, 2500)] + [None]
+
+
+def test_packed_rows_stop_where_the_staged_fit_does(spark, monkeypatch):
+    rows = spark.range(0, 600, 1, 1).selectExpr("cast(id * 37 % 101 as double) a", "cast(id % 7 as double) b", "cast(id * 37 % 101 + pmod(hash(id), 100) > 100 as int) label")
+    train, val = rows.where("b < 5"), rows.where("b >= 5")
+    fit = lambda: supervised.fit_supervised(train, ("a", "b"), params={"maxIter": 12, "stepSize": 0.5, "maxDepth": 3}, validation=val, patience=3, first_rounds=12)
+    own = fit()
+    monkeypatch.setattr(supervised, "PACKED_ROWS", 0)
+    packed = fit()
+    assert packed.meta["validation_losses"] == pytest.approx(own.meta["validation_losses"]) and packed.meta["rounds"] == own.meta["rounds"] == packed.classifier.getNumTrees
